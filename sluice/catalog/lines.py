@@ -1 +1,265 @@
-"""placeholder"""
+"""Queries for code lines, flaw lines, tokens and per-function line ranks (C2-C13 W3 W10
+A5 F4 J7 A18)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sluice.catalog import register
+from sluice.catalog.evaluation import _results
+from sluice.functions import tokens as tk
+from sluice.functions.code import (count_code_lines, count_flaw_lines, flaw_line_numbers, has_text,
+                                   split_flaw_lines)
+from sluice.oracle import cte, sql
+from sluice.operators import effort as ef
+from sluice.sources import tables as tb
+
+PATTERN_SQL = tk.TOKEN_PATTERN.replace("'", "''")
+
+
+def _f(spark, sf):
+    return tb.functions(spark, sf)
+
+
+# ------------------------------------------------------------------ line and flaw counts
+@register("count_code_lines", sql("""
+SELECT func_id, len(list_filter(string_split(code, chr(10)), lambda x: length(x)>0))::INTEGER AS num_lines
+FROM functions""", "functions"))
+def count_code_lines_q(spark, sf):
+    return _f(spark, sf).select("func_id", count_code_lines("code").alias("num_lines"))
+
+
+@register("count_flaw_lines", sql("""
+SELECT func_id, (CASE WHEN flaw_line_index IS NULL THEN 0 ELSE len(string_split(flaw_line_index, ',')) END)::INTEGER
+       AS num_flaw_lines FROM functions""", "functions"))
+def count_flaw_lines_q(spark, sf):
+    return _f(spark, sf).select("func_id", count_flaw_lines("flaw_line_index").alias("num_flaw_lines"))
+
+
+cte("flaw_parts", """
+SELECT func_id, (generate_subscripts(parts, 1) - 1)::INTEGER AS part_idx, unnest(parts) AS part FROM (
+  SELECT func_id, list_transform(string_split(trim(flaw_line, '/~'), '/~/'),
+                                 lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS parts
+  FROM functions WHERE flaw_line IS NOT NULL)""", "functions")
+
+
+@register("split_flaw_lines", sql("SELECT * FROM flaw_parts", "flaw_parts"))
+def split_flaw_lines_q(spark, sf):
+    f = _f(spark, sf).filter(F.col("flaw_line").isNotNull())
+    return f.select("func_id", F.posexplode(split_flaw_lines("flaw_line")).alias("part_idx", "part"))
+
+
+@register("has_flaw_text", sql("""
+SELECT func_id, (coalesce(flaw_line, '') <> '')::INTEGER AS has_text,
+       (coalesce(flaw_line, '') <> '' AND coalesce(flaw_line_index, '') <> '')::INTEGER AS has_text_and_index
+FROM results""", "results"))
+def has_flaw_text(spark, sf):
+    r = _results(spark, sf)
+    return r.select("func_id", has_text("flaw_line").cast("int").alias("has_text"),
+                    (has_text("flaw_line") & has_text("flaw_line_index")).cast("int").alias("has_text_and_index"))
+
+
+@register("line_statistics", sql("""
+SELECT sum(num_lines)::BIGINT AS sum_lines, sum(num_flaw_lines)::BIGINT AS sum_flaw_lines FROM results""", "results"))
+def line_statistics(spark, sf):
+    return ef.line_statistics(_results(spark, sf))
+
+
+@register("label_lines", sql("""
+SELECT func_id, line_idx,
+       list_contains(CASE WHEN f.flaw_line_index IS NULL THEN []::INTEGER[] ELSE list_transform(
+           list_filter(string_split(f.flaw_line_index, ','), lambda x: trim(x) <> ''),
+           lambda x: trim(x)::INTEGER) END, line_no)::INTEGER AS label
+FROM flines JOIN functions f USING (func_id)""", "flines", "functions"))
+def label_lines(spark, sf):
+    """A line is a flaw line when its 1-based number is listed in the flaw index."""
+    f = _f(spark, sf).filter(F.col("latent") == 0)
+    lines = tb.lines_of(f.withColumn("_nums", flaw_line_numbers("flaw_line_index")), extra=("_nums",))
+    return lines.select("func_id", "line_idx", F.array_contains("_nums", F.col("line_no")).cast("int").alias("label"))
+
+
+# ------------------------------------------------------------------ attention
+def attention_table(spark, sf):
+    """Attention weights (func_id, head, q, k, w) of the first layer for every non-latent
+    function: two heads over the first four query/key positions."""
+    f = _f(spark, sf).filter(F.col("latent") == 0).select("func_id")
+    r = F.sequence(F.lit(0), F.lit(3))
+    a = f.select("func_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("head")) \
+         .select("func_id", "head", F.explode(r).alias("q")) \
+         .select("func_id", "head", "q", F.explode(r).alias("k"))
+    return a.withColumn("w", (F.col("func_id") * 7 + F.col("head") * 5 + F.col("q") * 3 + F.col("k")) % 11)
+
+
+@register("attention_received", sql("""
+SELECT func_id, k, sum((func_id*7 + head*5 + q*3 + k) % 11)::BIGINT AS score
+FROM (SELECT func_id FROM functions WHERE latent=0) f,
+     (SELECT unnest(range(0,2))::INTEGER AS head) h, (SELECT unnest(range(0,4))::INTEGER AS q) qq,
+     (SELECT unnest(range(0,4))::INTEGER AS k) kk
+GROUP BY func_id, k""", "functions"))
+def attention_received(spark, sf):
+    """Attention received per token position, summed over heads and query positions."""
+    return attention_table(spark, sf).groupBy("func_id", "k").agg(F.sum("w").cast("long").alias("score"))
+
+
+# ------------------------------------------------------------------ tokens
+cte("tok512", f"""
+SELECT func_id, flaw_line, list_concat(framed, list_transform(range(512 - len(framed)), lambda x: '<pad>')) AS toks
+FROM (SELECT func_id, flaw_line, list_concat(['<s>'], list_slice(list_transform(
+          regexp_extract_all(code, '{PATTERN_SQL}'),
+          lambda t: CASE WHEN t = chr(10) THEN 'Ċ' WHEN t = chr(9) THEN 'ĉ' ELSE t END), 1, 510), ['</s>']) AS framed
+      FROM functions)""", "functions")
+
+
+def _tok512(spark, sf):
+    return _f(spark, sf).select("func_id", "flaw_line", tk.tokenize_pad("code").alias("toks"))
+
+
+@register("tokenize_pad", sql("""
+SELECT func_id, len(toks)::INTEGER AS n_tokens, len(list_filter(toks, lambda t: t = '<pad>'))::INTEGER AS n_pad,
+       array_to_string(toks, ' ') AS tokens FROM tok512""", "tok512"))
+def tokenize_pad(spark, sf):
+    t = _tok512(spark, sf)
+    return t.select("func_id", F.size("toks").alias("n_tokens"),
+                    F.size(F.filter("toks", lambda x: x == tk.PAD)).alias("n_pad"),
+                    F.array_join("toks", " ").alias("tokens"))
+
+
+@register("normalise_tokens", sql("""
+SELECT func_id, array_to_string(list_transform(toks, lambda t: replace(replace(t, 'Ġ', ''), 'ĉ', 'Ċ')), ' ') AS tokens
+FROM tok512""", "tok512"))
+def normalise_tokens(spark, sf):
+    return _tok512(spark, sf).select("func_id", F.array_join(tk.normalise_tokens("toks"), " ").alias("tokens"))
+
+
+cte("flaw_encoded", f"""
+SELECT func_id, part_idx, array_to_string(list_filter(list_transform(
+         regexp_extract_all('@ ' || part, '{PATTERN_SQL}'),
+         lambda t: replace(replace(CASE WHEN t = chr(10) THEN 'Ċ' WHEN t = chr(9) THEN 'ĉ' ELSE t END, 'Ġ', ''), 'ĉ', 'Ċ')),
+       lambda t: t <> '@'), '') AS encoded
+FROM flaw_parts""", "flaw_parts")
+
+
+@register("encode_flaw_lines", sql("SELECT * FROM flaw_encoded", "flaw_encoded"))
+def encode_flaw_lines(spark, sf):
+    f = _f(spark, sf).filter(F.col("flaw_line").isNotNull())
+    return f.select("func_id", F.posexplode(tk.encode_flaw_lines(split_flaw_lines("flaw_line"))).alias("part_idx",
+                                                                                                      "encoded"))
+
+
+@register("verify_flaw_lines", sql("""
+SELECT t.func_id, len(e.enc)::INTEGER AS n_flaw_lines,
+  (CASE WHEN list_position(list_transform(e.enc, lambda x: contains(array_to_string(t.toks, ''), x)), false) IS NULL
+        THEN len(e.enc)
+        ELSE list_position(list_transform(e.enc, lambda x: contains(array_to_string(t.toks, ''), x)), false) - 1
+   END)::INTEGER AS n_verified
+FROM tok512 t JOIN (SELECT func_id, list(encoded ORDER BY part_idx) AS enc FROM flaw_encoded GROUP BY func_id) e
+  USING (func_id)
+WHERE t.flaw_line <> ''""", "tok512", "flaw_encoded"))
+def verify_flaw_lines(spark, sf):
+    t = _tok512(spark, sf).filter(has_text("flaw_line"))
+    t = t.withColumn("_enc", tk.encode_flaw_lines(split_flaw_lines("flaw_line"))).withColumn("_text", tk.token_text("toks"))
+    v = tk.verify_flaw_lines("_enc", "_text")
+    return t.select("func_id", F.size("_enc").alias("n_flaw_lines"), F.size(v).alias("n_verified"))
+
+
+@register("drop_special_tokens", sql("""
+SELECT func_id, len(list_filter(toks, lambda t: t NOT IN ('<s>', '</s>', '<unk>', '<pad>')))::INTEGER AS n_tokens
+FROM tok512""", "tok512"))
+def drop_special_tokens(spark, sf):
+    t = _tok512(spark, sf)
+    scored = tk.zip_token_scores(F.col("toks"), F.transform("toks", lambda x: F.length(x).cast("double")))
+    return t.select("func_id", F.size(tk.drop_special_tokens(scored)).alias("n_tokens"))
+
+
+@register("zip_token_scores", sql("""
+SELECT func_id, len(toks)::INTEGER AS n_pairs, list_sum(list_transform(toks, lambda t: length(t)))::DOUBLE AS sum_v
+FROM tok512""", "tok512"))
+def zip_token_scores(spark, sf):
+    t = _tok512(spark, sf)
+    z = tk.zip_token_scores(F.col("toks"), F.transform("toks", lambda x: F.length(x).cast("double")))
+    return t.select("func_id", F.size(z).alias("n_pairs"),
+                    F.aggregate(z, F.lit(0.0), lambda acc, e: acc + e["v"]).alias("sum_v"))
+
+
+# ------------------------------------------------------------------ scored tokens
+def _token_scores(spark, sf):
+    return tb.token_scores(spark, sf)
+
+
+def _space_tokenize(text):
+    return F.filter(F.split(text, " "), lambda t: t != "")
+
+
+def with_verified(ts, tokens_col="tokens", flaw_col="flaw_line"):
+    """C7 + C8 with the fixture's space tokenizer: encoded flaw lines verified against the
+    concatenated token text, as column ``_verified``."""
+    enc = tk.encode_flaw_lines(split_flaw_lines(flaw_col), tokenizer=_space_tokenize)
+    t = ts.withColumn("_text", tk.token_text(F.transform(tokens_col, lambda e: e["tok"])))
+    return t.withColumn("_verified", tk.verify_flaw_lines(enc, "_text")).drop("_text")
+
+
+def fold_lines(ts):
+    """C9 over the fixture token scores -> (func_id, line_idx, score, label)."""
+    v = with_verified(ts)
+    folded = v.select("func_id", tk.segment_line_scores("tokens", "_verified").alias("lines"))
+    return folded.select("func_id", F.posexplode("lines").alias("line_idx", "l")).select(
+        "func_id", "line_idx", F.col("l.score").alias("score"), F.col("l.label").alias("label"))
+
+
+cte("fold_lines", """
+SELECT func_id, line_idx, (length(replace(line, ' ', '')) + 1)::DOUBLE AS score,
+       (f_label = 1 AND length(line) % 5 = 0)::INTEGER AS label
+FROM (SELECT func_id, f_label, line_idx, ls[line_no] AS line FROM flines)""", "flines")
+
+
+@register("segment_line_scores", sql("SELECT * FROM fold_lines", "fold_lines"))
+def segment_line_scores(spark, sf):
+    return fold_lines(_token_scores(spark, sf))
+
+
+@register("zero_special_tokens", sql("""
+SELECT func_id, (length(replace(code, ' ', '')) + 1)::DOUBLE AS total,
+       (list_sum(list_transform(string_split(code, chr(10)),
+            lambda l: len(list_filter(string_split(l, ' '), lambda t: t <> '')) + 1)) + 0)::INTEGER AS n_nonzero
+FROM functions WHERE latent = 0""", "functions"))
+def zero_special_tokens(spark, sf):
+    """C10 on attention-style values: <s> and </s> carry values that are zeroed (padding mode)."""
+    ts = _token_scores(spark, sf)
+    vals = F.concat(F.array(F.lit(2.0)), F.transform("tokens", lambda e: e["v"]), F.array(F.lit(3.0)),
+                    F.array(F.lit(0.0), F.lit(0.0)))
+    v = ts.select("func_id", vals.alias("_vals")).withColumn("_last", tk.last_special_index("_vals", padding=True))
+    z = v.select("func_id", tk.zero_special_values("_vals", "_last").alias("_z"))
+    return z.select("func_id", F.aggregate("_z", F.lit(0.0), lambda acc, x: acc + x).alias("total"),
+                    F.size(F.filter("_z", lambda x: x != 0)).alias("n_nonzero"))
+
+
+@register("normalise_attributions", sql("""
+SELECT func_id, sqrt(ss) AS norm, mx / sqrt(ss) AS max_score FROM (
+  SELECT func_id, list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b) AS ss, list_max(v) AS mx
+  FROM (SELECT func_id, flatten(list_transform(string_split(code, chr(10)),
+          lambda l: list_concat(list_transform(list_filter(string_split(l, ' '), lambda t: t <> ''),
+                                               lambda t: length(t)::DOUBLE), [1.0::DOUBLE]))) AS v
+        FROM functions WHERE latent = 0))""", "functions"))
+def normalise_attributions(spark, sf):
+    ts = _token_scores(spark, sf)
+    v = ts.select("func_id", F.transform("tokens", lambda e: e["v"]).alias("_v"))
+    v = v.withColumn("norm", tk.l2_norm("_v"))
+    return v.select("func_id", "norm", F.array_max(tk.normalise_attributions("_v", "norm")).alias("max_score"))
+
+
+# ------------------------------------------------------------------ per-function ranks
+@register("rank_lines_in_function", sql("""
+SELECT func_id, line_idx, row_number() OVER (PARTITION BY func_id ORDER BY score DESC, line_idx) - 1 AS rank
+FROM line_scores""", "line_scores"))
+def rank_lines_in_function(spark, sf):
+    r = ef.rank_in_function(spark, tb.line_scores(spark, sf))
+    return r.select("func_id", "line_idx", "rank")
+
+
+@register("topk_slice", sql("""
+SELECT * FROM (SELECT func_id, line_idx,
+                      row_number() OVER (PARTITION BY func_id ORDER BY score DESC, line_idx) - 1 AS rank
+               FROM line_scores) WHERE rank < 10""", "line_scores"))
+def topk_slice(spark, sf):
+    r = ef.rank_in_function(spark, tb.line_scores(spark, sf))
+    return ef.topk_slice(r, ef.TOP_K_CONSTANT).select("func_id", "line_idx", "rank")

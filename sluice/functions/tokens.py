@@ -55,25 +55,43 @@ def encode_flaw_lines(flaw_lines, tokenizer=tokenize) -> Column:
                  lambda t: t != FLAW_PREFIX_TOKEN), ""))
 
 
-def verify_flaw_lines(encoded, all_tokens) -> Column:
+def token_text(all_tokens) -> Column:
+    """The concatenated token text (materialise before ``verify_flaw_lines``)."""
+    return F.array_join(_c(all_tokens), "")
+
+
+def verify_flaw_lines(encoded, joined_text) -> Column:
     """Keep encoded flaw lines, in order, up to the first one not contained in the
-    concatenated (truncated) token text."""
-    joined = F.array_join(_c(all_tokens), "")
+    concatenated (truncated) token text ``joined_text`` (see ``token_text``)."""
+    joined = _c(joined_text)
     enc = _c(encoded)
     found = F.transform(enc, lambda x: F.instr(joined, x) > 0)
     first_miss = F.array_position(found, F.lit(False))
     return F.when(first_miss == 0, enc).otherwise(F.slice(enc, 1, (first_miss - 1).cast("int")))
 
 
-def zero_special_values(values, padding: bool = True) -> Column:
-    """Value 0 at the first position, and at the last non-zero position (padding) or
-    the last position (no padding)."""
+def last_special_index(values, padding: bool = True) -> Column:
+    """0-based index of the closing special token: the last non-zero value (padding) or
+    the last position. Materialise it as a column before ``zero_special_values``."""
     v = _c(values)
     if padding:
-        last = F.array_max(F.filter(F.transform(v, lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull()))
-    else:
-        last = F.size(v) - 1
-    return F.transform(v, lambda x, i: F.when((i == 0) | (i == last), F.lit(0.0)).otherwise(x.cast("double")))
+        return F.array_max(F.filter(F.transform(v, lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull()))
+    return F.size(v) - 1
+
+
+def zero_special_values(values, last_index) -> Column:
+    """Value 0 at the first position and at ``last_index`` (see ``last_special_index``).
+
+    Built from slices rather than a lambda, so ``last_index`` is read once per row."""
+    v = F.transform(_c(values), lambda x: x.cast("double"))
+    last = _c(last_index)
+    n = F.size(v)
+    zero = F.array(F.lit(0.0))
+    middle = F.slice(v, 2, F.greatest(last - 1, F.lit(0)))
+    tail = F.slice(v, F.least(last + 2, n + 1), F.greatest(n - last - 1, F.lit(0)))
+    return (F.when(n == 0, v)
+            .when(last.isNull() | (last == 0), F.concat(zero, F.slice(v, 2, F.greatest(n - 1, F.lit(0)))))
+            .otherwise(F.concat(zero, middle, zero, tail)))
 
 
 def drop_special_tokens(scored) -> Column:
@@ -87,11 +105,16 @@ def zip_token_scores(tokens, scores) -> Column:
                        lambda e: F.struct(e["tok"].alias("tok"), e["v"].cast("double").alias("v")))
 
 
-def normalise_attributions(scores) -> Column:
-    """Scores divided by their L2 norm (NULL entries when the norm is 0)."""
-    s = _c(scores)
-    norm = F.sqrt(F.aggregate(s, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.transform(s, lambda x: F.try_divide(x.cast("double"), norm))
+def l2_norm(scores) -> Column:
+    """Euclidean norm of a numeric array, summed left to right."""
+    return F.sqrt(F.aggregate(_c(scores), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+
+
+def normalise_attributions(scores, norm) -> Column:
+    """Scores divided by their L2 norm ``norm`` (a column; see ``l2_norm``); NULL
+    entries when the norm is 0."""
+    n = _c(norm)
+    return F.transform(_c(scores), lambda x: F.try_divide(x.cast("double"), n))
 
 
 def segment_line_scores(scored, verified_flaw_lines) -> Column:
@@ -102,28 +125,36 @@ def segment_line_scores(scored, verified_flaw_lines) -> Column:
     equals the next expected verified flaw line (the pointer advances only on a match).
     A separator reached with a zero running score is skipped and the line text is kept;
     the last token's text is never appended. Returns ``array<struct<score double, label int>>``.
+
+    The flaw list, the token count and a step counter travel in the accumulator, so the
+    merge lambda refers to nothing outside its own arguments (outer references inside a
+    lambda can be re-evaluated per element).
     """
     arr = _c(scored)
-    flaws = _c(verified_flaw_lines)
-    n = F.size(arr)
-    indexed = F.transform(arr, lambda e, i: F.struct(e["tok"].alias("tok"), e["v"].alias("v"),
-                                                     (i == n - 1).alias("last")))
     init = F.struct(
         F.array().cast("array<struct<score:double,label:int>>").alias("lines"),
-        F.lit(0.0).alias("ss"), F.lit("").alias("line"), F.lit(1).alias("cur"))
+        F.lit(0.0).alias("ss"), F.lit("").alias("line"), F.lit(1).alias("cur"),
+        F.lit(0).alias("i"), F.size(arr).alias("n"), _c(verified_flaw_lines).alias("flaws"))
 
     def step(acc, e):
         is_sep = e["tok"].isin(*LINE_SEPARATORS)
-        close = (is_sep | e["last"]) & (acc["ss"] != 0)
-        hit = (acc["cur"] <= F.size(flaws)) & (F.element_at(flaws, acc["cur"]) == acc["line"])
-        hit = F.coalesce(hit, F.lit(False))
+        last = acc["i"] == acc["n"] - 1
+        close = (is_sep | last) & (acc["ss"] != 0)
+        hit = F.coalesce((acc["cur"] <= F.size(acc["flaws"])) & (F.element_at(acc["flaws"], acc["cur"]) == acc["line"]),
+                         F.lit(False))
+        nxt = acc["i"] + 1
         closed = F.struct(
             F.concat(acc["lines"], F.array(F.struct((acc["ss"] + e["v"]).alias("score"),
                                                     hit.cast("int").alias("label")))).alias("lines"),
             F.lit(0.0).alias("ss"), F.lit("").alias("line"),
-            (acc["cur"] + hit.cast("int")).alias("cur"))
+            (acc["cur"] + hit.cast("int")).alias("cur"), nxt.alias("i"), acc["n"].alias("n"),
+            acc["flaws"].alias("flaws"))
         grown = F.struct(acc["lines"].alias("lines"), (acc["ss"] + e["v"]).alias("ss"),
-                         F.concat(acc["line"], e["tok"]).alias("line"), acc["cur"].alias("cur"))
-        return F.when(close, closed).when(~is_sep, grown).otherwise(acc)
-
-    return F.aggregate(indexed, init, step, lambda acc: acc["lines"])
+                         F.concat(acc["line"], e["tok"]).alias("line"), acc["cur"].alias("cur"),
+                         nxt.alias("i"), acc["n"].alias("n"), acc["flaws"].alias("flaws"))
+        skipped = F.struct(acc["lines"].alias("lines"), acc["ss"].alias("ss"), acc["line"].alias("line"),
+                           acc["cur"].alias("cur"), nxt.alias("i"), acc["n"].alias("n"),
+                           acc["flaws"].alias("flaws"))
+        return F.when(close, closed).when(~is_sep, grown).otherwise(skipped)
+
+    return F.aggregate(arr, init, step, lambda acc: acc["lines"])

@@ -93,13 +93,10 @@ def _local_scan(group_cols: list[str], running: list[str]):
                 cs = v.groupby(run).cumsum().to_numpy()
                 cs[cont] += carry[c]
                 pdf[f"_cum_{c}"] = cs
-            last_run = run[-1]
-            tail = run == last_run
             carry_pos = int(pos[-1]) + 1
             for c in running:
                 carry[c] = float(pdf[f"_cum_{c}"].iloc[-1])
             last_key = tuple(pdf[c].iloc[-1] for c in group_cols) if group_cols else ()
-            del tail
             yield pdf
     return fn
 
@@ -120,9 +117,9 @@ def range_rank(spark: SparkSession, df: DataFrame, order: list[Column], group_co
     staged = (df.repartitionByRange(nb, *sort_keys)
                 .sortWithinPartitions(*sort_keys)
                 .withColumn("_b", F.spark_partition_id()))
-    schema = staged.schema.add("_pos", T.LongType())
-    for c in running:
-        schema = schema.add(f"_cum_{c}", T.DoubleType())
+    # a fresh StructType: DataFrame.schema is cached and must not be mutated
+    extra = [T.StructField("_pos", T.LongType())] + [T.StructField(f"_cum_{c}", T.DoubleType()) for c in running]
+    schema = T.StructType(list(staged.schema.fields) + extra)
     local = staged.mapInPandas(_local_scan(group_cols, running), schema)
     path = scratch_path(spark, name)
     local.write.parquet(path)

@@ -34,10 +34,8 @@ def scan_functions(spark: SparkSession, path: str, schema: T.StructType = FUNCTI
     return spark.read.schema(schema).parquet(path)
 
 
-def _flaw_positions(code: Column) -> Column:
-    ls = code_lines(code)
-    return F.filter(F.sequence(F.lit(1), F.size(ls)),
-                    lambda i: (F.length(F.element_at(ls, i)) > 0) & (F.length(F.element_at(ls, i)) % 5 == 0))
+def _is_flaw_text(line: Column) -> Column:
+    return (F.length(line) > 0) & (F.length(line) % 5 == 0)
 
 
 def functions(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -56,8 +54,12 @@ def functions(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) ->
     label = (F.when(F.col("l_id").isNotNull(),
                     F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0))
              .when(F.col("doc_id") % 2 == 0, 1).otherwise(0))
+    # Lambdas iterate the line array itself: an outer expression referenced inside a lambda
+    # would be re-evaluated for every element.
     ls = code_lines("text")
-    ix = _flaw_positions(F.col("text"))
+    flaw_text = F.array_join(F.filter(ls, _is_flaw_text), "/~/")
+    flaw_index = F.array_join(F.filter(F.transform(ls, lambda x, i: F.when(_is_flaw_text(x), (i + 1).cast("string"))),
+                                       lambda x: x.isNotNull()), ",")
     vuln = label == 1
     return j.select(
         F.col("doc_id").alias("func_id"),
@@ -66,8 +68,8 @@ def functions(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) ->
         F.when(unlabelled_even, 1).otherwise(0).cast("int").alias("latent"),
         F.when(unlabelled_even, F.when(F.col("doc_id") % 3 == 0, "b").otherwise("v")).alias("method"),
         F.when(unlabelled_even, F.col("doc_id") - F.col("doc_id") % 10).otherwise(F.col("doc_id")).alias("vfc"),
-        F.when(vuln, F.array_join(F.transform(ix, lambda i: F.element_at(ls, i)), "/~/")).alias("flaw_line"),
-        F.when(vuln, F.array_join(F.transform(ix, lambda i: i.cast("string")), ",")).alias("flaw_line_index"),
+        F.when(vuln, flaw_text).alias("flaw_line"),
+        F.when(vuln, flaw_index).alias("flaw_line_index"),
         *extra,
     )
 
@@ -98,11 +100,10 @@ def lines_of(f: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     Positions of non-blank lines are filtered inside the row, then exploded with their
     ordinal, so no window or shuffle is needed.
     """
-    ls = code_lines("code")
-    nb = F.filter(F.sequence(F.lit(1), F.size(ls)), lambda i: F.length(F.element_at(ls, i)) > 0)
-    ex = f.select("func_id", *extra, F.posexplode(nb).alias("line_idx", "line_no"), ls.alias("_ls"))
-    return ex.select("func_id", *extra, "line_idx", "line_no",
-                     F.element_at("_ls", F.col("line_no")).alias("line"))
+    numbered = F.transform(code_lines("code"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
+    nb = F.filter(numbered, lambda s: F.length(s["line"]) > 0)
+    ex = f.select("func_id", *extra, F.posexplode(nb).alias("line_idx", "_l"))
+    return ex.select("func_id", *extra, "line_idx", F.col("_l.line_no").alias("line_no"), F.col("_l.line").alias("line"))
 
 
 def line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
