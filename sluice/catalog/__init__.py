@@ -22,4 +22,4 @@ def register(name: str, oracle: str | None = None):
 
 
 def load_all() -> None:
-    from sluice.catalog import curation, evaluation, lines, denoise, models, sinks  # noqa: F401
+    from sluice.catalog import curation, evaluation, lines, effort, denoise, models, sinks  # noqa: F401
