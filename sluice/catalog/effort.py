@@ -10,6 +10,7 @@ from sluice.catalog.evaluation import _results
 from sluice.catalog.lines import fold_lines
 from sluice.oracle import cte, sql
 from sluice.operators import effort as ef
+from sluice.plans.evaluate import evaluate_lines
 from sluice.session import scratch_path
 from sluice.sources import tables as tb
 
@@ -256,48 +257,26 @@ def id_list_diff(spark, sf):
 
 
 # ------------------------------------------------------------------ P3 line evaluation
-P3_SQL = sql(f"""
+def p3_sql(fold: bool = True) -> str:
+    """Oracle of P3: over folded token lines (``fold``) or over the given line scores."""
+    deps = ["lstats", "line_ranks", "tp_summary"] + (["fold_lines"] if fold else [])
+    overrides = {"eval_lines": "SELECT * FROM fold_lines"} if fold else {}
+    inspected = ("coalesce((SELECT min(rank) FROM line_ranks, lstats WHERE cum_label = floor(sum_flaw_lines * 0.2::DOUBLE)),"
+                 " (SELECT count(*) FROM line_ranks))")
+    caught = "(SELECT coalesce(sum(label), 0) FROM line_ranks, lstats WHERE rank <= floor(sum_lines * 0.01::DOUBLE))"
+    return sql(f"""
 SELECT 'sum_lines' AS metric, sum_lines::DOUBLE AS value FROM lstats
 UNION ALL SELECT 'sum_flaw_lines', sum_flaw_lines::DOUBLE FROM lstats
 UNION ALL SELECT 'total_pred_as_vul', count(DISTINCT func_id)::DOUBLE FROM line_ranks WHERE part = 'pos'
-UNION ALL SELECT 'inspected', coalesce((SELECT min(rank) FROM line_ranks, lstats
-                                        WHERE cum_label = floor(sum_flaw_lines * 0.2::DOUBLE)),
-                                       (SELECT count(*) FROM line_ranks))::DOUBLE
-UNION ALL SELECT 'recall_at_loc', {_div('(SELECT coalesce(sum(label), 0) FROM line_ranks, lstats WHERE rank <= floor(sum_lines * 0.01::DOUBLE))', 'sum_flaw_lines')} FROM lstats
+UNION ALL SELECT 'inspected', {inspected}::DOUBLE
+UNION ALL SELECT 'effort_at_recall', {_div(inspected, 'sum_lines')} FROM lstats
+UNION ALL SELECT 'recall_at_loc', {_div(caught, 'sum_flaw_lines')} FROM lstats
 UNION ALL SELECT 'ifa', {_div('sum_first_rank', 'total_function')} FROM tp_summary
 UNION ALL SELECT 'top_k_accuracy', {_div('top_k_hits', 'total_function')} FROM tp_summary""",
-             "fold_lines", "lstats", "line_ranks", "tp_summary",
-             overrides={"eval_lines": "SELECT * FROM fold_lines"})
+               *deps, overrides=overrides)
 
 
-def evaluate_lines(spark, sf, lines=None):
-    """Line scores (folded from token scores by default) -> predicted-positive/negative
-    rankings -> Effort@20%Recall, Recall@1%LOC; true positives -> IFA and top-10 accuracy.
-    Returns a long (metric, value) table."""
-    if lines is None:
-        lines = fold_lines(tb.token_scores(spark, sf))
-    lines = lines.select("func_id", "line_idx", "score", "label")
-    results = _results(spark, sf)
-    stat_row = ef.line_statistics(results).first()
-    n_lines, n_flaws = int(stat_row["sum_lines"] or 0), int(stat_row["sum_flaw_lines"] or 0)
-    ranked = ef.rank_lines_global(spark, ef.ranked_line_parts(results, lines), name="p3_ranks")
-    eff = ef.effort_at_recall(ranked, n_lines, n_flaws)
-    rec = ef.recall_at_loc(ranked, n_lines, n_flaws)
-    pos = ef.predicted_vulnerable_totals(ranked)
-    summ = ef.explanation_summary(ef.function_line_stats(spark, ef.selected_functions(results), lines))
-    row = (eff.select("inspected").crossJoin(rec.select("recall")).crossJoin(pos.select("total_pred_as_vul"))
-           .crossJoin(summ.select("ifa", "top_k_accuracy")))
-    metrics = F.array(
-        F.struct(F.lit("sum_lines").alias("metric"), F.lit(float(n_lines)).alias("value")),
-        F.struct(F.lit("sum_flaw_lines").alias("metric"), F.lit(float(n_flaws)).alias("value")),
-        F.struct(F.lit("total_pred_as_vul").alias("metric"), F.col("total_pred_as_vul").cast("double").alias("value")),
-        F.struct(F.lit("inspected").alias("metric"), F.col("inspected").cast("double").alias("value")),
-        F.struct(F.lit("recall_at_loc").alias("metric"), F.col("recall").alias("value")),
-        F.struct(F.lit("ifa").alias("metric"), F.col("ifa").alias("value")),
-        F.struct(F.lit("top_k_accuracy").alias("metric"), F.col("top_k_accuracy").alias("value")))
-    return row.select(F.inline(metrics))
-
-
-@register("evaluate_lines", P3_SQL)
+@register("evaluate_lines", p3_sql(fold=True))
 def evaluate_lines_q(spark, sf):
-    return evaluate_lines(spark, sf)
+    """P3 over token scores folded into lines."""
+    return evaluate_lines(spark, _results(spark, sf), fold_lines(tb.token_scores(spark, sf)))

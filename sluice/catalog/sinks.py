@@ -1 +1,57 @@
-"""placeholder"""
+"""Queries for the sinks (S7 S9 S10 S11): each writes to the shared folder and reads back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sluice.catalog import register
+from sluice.catalog.curation import splits10
+from sluice.catalog.effort import _ranked, p3_sql
+from sluice.catalog.evaluation import _results, repeat_metrics
+from sluice.oracle import SEEDS10, sql
+from sluice.operators import metrics as me
+from sluice.plans.evaluate import evaluate_lines
+from sluice.session import scratch_path
+from sluice.sources import sinks as sk
+from sluice.sources import tables as tb
+
+
+@register("write_splits", sql("SELECT seed, split, label, count(*) AS n FROM splits GROUP BY ALL", "splits",
+                              overrides={"seeds": SEEDS10}))
+def write_splits(spark, sf):
+    path = scratch_path(spark, "splits")
+    sk.write_splits(splits10(spark, sf), path)
+    back = spark.read.parquet(path)
+    return back.groupBy("seed", "split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("write_line_ranks", sql("SELECT part, func_id, line_idx, rank FROM line_ranks", "line_ranks"))
+def write_line_ranks(spark, sf):
+    path = scratch_path(spark, "line_ranks")
+    sk.write_line_ranks(_ranked(spark, sf).select("part", "func_id", "line_idx", "rank", "score", "label"), path)
+    return spark.read.parquet(path).select("part", "func_id", "line_idx", "rank")
+
+
+RESULTS_SCHEMA = ("config string, repeat int, precision double, recall double, f1 double, effort_at_recall double, "
+                  "recall_at_loc double, ifa double, top_k_accuracy double")
+
+
+@register("write_results_csv", sql("""
+SELECT 'regular' AS config, repeat, precision, recall, f1, -1.0::DOUBLE AS effort_at_recall,
+       -1.0::DOUBLE AS recall_at_loc, -1.0::DOUBLE AS ifa, -1.0::DOUBLE AS top_k_accuracy
+FROM repeat_metrics""", "repeat_metrics"))
+def write_results_csv(spark, sf):
+    long = me.to_long(repeat_metrics(spark, sf).withColumn("config", F.lit("regular")),
+                      ["config", "repeat"], ["precision", "recall", "f1"])
+    path = scratch_path(spark, "results_csv")
+    sk.write_results_csv(me.results_wide(long), path)
+    return spark.read.schema(RESULTS_SCHEMA).option("header", True).csv(path)
+
+
+@register("write_line_report", p3_sql(fold=False))
+def write_line_report(spark, sf):
+    """The P3 report over the given line scores, appended as JSON and read back."""
+    report = evaluate_lines(spark, _results(spark, sf), tb.line_scores(spark, sf), name="s11")
+    path = scratch_path(spark, "line_report")
+    sk.write_line_report(report, path)
+    return spark.read.schema("metric string, value double").json(path)
