@@ -12,6 +12,7 @@ from sluice.functions.code import (count_code_lines, count_flaw_lines, flaw_line
                                    split_flaw_lines)
 from sluice.oracle import cte, sql
 from sluice.operators import effort as ef
+from sluice.session import persist_table
 from sluice.sources import tables as tb
 
 PATTERN_SQL = tk.TOKEN_PATTERN.replace("'", "''")
@@ -202,6 +203,9 @@ def fold_lines(ts):
     """C9 over the fixture token scores -> (func_id, line_idx, score, label)."""
     v = with_verified(ts)
     folded = v.select("func_id", tk.segment_line_scores("tokens", "_verified").alias("lines"))
+    # persist the per-function fold result before exploding: in one stage Spark evaluates the
+    # fold several times for a generator over its output (measured 3x at sf0.1)
+    folded = persist_table(ts.sparkSession, folded, "folded_lines")
     return folded.select("func_id", F.posexplode("lines").alias("line_idx", "l")).select(
         "func_id", "line_idx", F.col("l.score").alias("score"), F.col("l.label").alias("label"))
 

@@ -14,6 +14,11 @@ from sluice.plans.evaluate import evaluate_lines
 from sluice.session import scratch_path
 from sluice.sources import sinks as sk
 from sluice.sources import tables as tb
+from sluice.sources.logs import metric_log_lines
+from sluice.streaming.metric_logs import start_metric_log_ingest
+from sluice.catalog import ORACLE as _ORACLE
+
+ORACLE_LOGS = None  # filled below from the batch query's oracle
 
 
 @register("write_splits", sql("SELECT seed, split, label, count(*) AS n FROM splits GROUP BY ALL", "splits",
@@ -55,3 +60,17 @@ def write_line_report(spark, sf):
     path = scratch_path(spark, "line_report")
     sk.write_line_report(report, path)
     return spark.read.schema("metric string, value double").json(path)
+
+
+ORACLE_LOGS = _ORACLE["ingest_metric_logs"]
+
+
+@register("ingest_metric_logs_stream", ORACLE_LOGS)
+def ingest_metric_logs_stream(spark, sf):
+    """S5 through Structured Streaming: log files in a folder, parsed incrementally with a
+    checkpoint (available-now trigger), read back from the parquet sink."""
+    logs = scratch_path(spark, "stream_logs")
+    metric_log_lines(tb.read_table(spark, sf, "labels")).write.text(logs)
+    out, ckpt = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ckpt")
+    start_metric_log_ingest(spark, logs, out, ckpt).awaitTermination()
+    return spark.read.parquet(out).select("metric", "value")

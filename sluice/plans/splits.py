@@ -53,7 +53,9 @@ def build_splits(f: DataFrame, seeds=(10000,), method: str = "v", latent_source:
     Returns rows ``(seed, split, func_id, hash_code, label, latent, method, vfc)`` with split in
     train / val / test / train_latent.
     """
-    h = with_hash(f.select(*[c for c in KEY_COLS if c != "hash_code"], "code")).select(*KEY_COLS)
+    # The narrow keyed table (no code text) is persisted once: SHA-256 over the code is
+    # computed a single time however many jobs read it (counts, offsets, main plan).
+    h = with_hash(f.select(*[c for c in KEY_COLS if c != "hash_code"], "code")).select(*KEY_COLS).checkpoint()
     c = h.withColumn("cohort", cohort(method))
     # U1 + A2: per-cohort and cross-cohort keep-first collapse into one de-duplication
     # ordered by (vulnerable first, smallest func_id).

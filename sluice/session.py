@@ -64,3 +64,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def persist_table(spark: SparkSession, df, name: str):
+    """Write ``df`` below the shared checkpoint folder and read it back: cuts lineage so an
+    expensive input (e.g. folded line scores) is computed once however many jobs read it,
+    and survives executor loss."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -76,3 +76,17 @@ def test_link_is_null_safe(spark):
 def test_zero_vector_distance_is_null(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0])], "u array<double>, c array<double>")
     assert df.select(cosine_distance("u", "c")).first()[0] is None
+
+
+def test_metric_log_stream_matches_batch(spark, sf, tmp_path):
+    from sluice.sources.logs import ingest_metric_logs, metric_log_lines
+    from sluice.sources.tables import read_table
+    from sluice.streaming.metric_logs import start_metric_log_ingest
+
+    logs = str(tmp_path / "logs")
+    metric_log_lines(read_table(spark, sf, "labels")).write.text(logs)
+    q = start_metric_log_ingest(spark, logs, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    q.awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("metric", "value").collect()))
+    want = sorted(map(tuple, ingest_metric_logs(spark.read.text(logs)).select("metric", "value").collect()))
+    assert got == want and got
