@@ -274,3 +274,20 @@ def scan_configs(spark, sf):
 
 
 __all__ = ["derive_seed"]
+
+
+@register("derive_seed", sql(f"""
+SELECT project, repeat,
+  (list_reduce(list_transform(string_split(array_to_string(list_transform(
+      string_split('regular_' || project || '_{SETTING}', ''), lambda ch: ord(ch)::VARCHAR), ''), ''),
+      lambda d: d::BIGINT), lambda acc, d: (acc * 10 + d) % 123456) + 20000 * repeat)::BIGINT AS model_seed,
+  (10000 * repeat)::BIGINT AS data_seed
+FROM (SELECT DISTINCT source AS project FROM documents), (SELECT unnest(range(1, 11))::INTEGER AS repeat)"""))
+def derive_seed_q(spark, sf):
+    """C14: model and data seeds of each repeat for every project's 'regular' config string."""
+    p = tb.read_table(spark, sf, "documents").select(F.col("source").alias("project")).distinct()
+    p = p.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    return p.select("project", "repeat",
+                    model_seed(F.concat(F.lit("regular_"), F.col("project"), F.lit(f"_{SETTING}")), F.col("repeat"))
+                    .alias("model_seed"),
+                    (F.lit(10000) * F.col("repeat")).cast("long").alias("data_seed"))

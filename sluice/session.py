@@ -27,14 +27,24 @@ _DEFAULTS = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "sluice") -> SparkSession:
-    builder = SparkSession.builder.appName(app_name)
-    if master:
-        builder = builder.master(master)
-    for key, value in _DEFAULTS.items():
-        builder = builder.config(key, value)
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    spark = builder.getOrCreate()
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        spark = active
+        for key, value in _DEFAULTS.items():
+            if spark.conf.get(key, None) is None:
+                try:
+                    spark.conf.set(key, value)
+                except Exception:  # static settings of a running session stay as launched
+                    pass
+    else:
+        builder = SparkSession.builder.appName(app_name)
+        if master:
+            builder = builder.master(master)
+        for key, value in _DEFAULTS.items():
+            builder = builder.config(key, value)
+        if shuffle_partitions:
+            builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
