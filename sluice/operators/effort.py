@@ -40,7 +40,7 @@ def line_statistics(results: DataFrame) -> DataFrame:
 
 def rank_in_function(spark: SparkSession, lines: DataFrame, name: str = "fn_ranks") -> DataFrame:
     """0-based position ``rank`` of each line in its function by score descending, ties
-    by ascending line index (stable descending sort); ``_group_n`` = lines in the function."""
+    by ascending line index (stable descending sort)."""
     r = range_rank(spark, lines, [F.desc("score"), F.asc("line_idx")], group_cols=["func_id"], name=name)
     return r.withColumn("rank", F.col("_rank") - 1).drop("_rank")
 
@@ -68,8 +68,8 @@ def rank_lines_global(spark: SparkSession, parts: DataFrame, neg_ascending: bool
     r = range_rank(spark, keyed, [F.col("_key"), F.col("func_id"), F.col("line_idx")], group_cols=["part"],
                    running=["label"], name=name)
     # The neg part follows the pos part; offsets come from the two part totals.
-    totals = {row["part"]: (row["_group_n"], row["_group_label"])
-              for row in r.select("part", "_group_n", "_group_label").distinct().collect()}
+    totals = {row["part"]: (row["n"], row["flaws"]) for row in
+              r.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("flaws")).collect()}
     pos_n, pos_flaws = totals.get("pos", (0, 0.0))
     is_neg = F.col("part") == "neg"
     return r.select(
@@ -162,15 +162,19 @@ def function_line_stats(spark: SparkSession, selected: DataFrame, lines: DataFra
     ranked = rank_in_function(spark, lines.join(sel.filter("_text").select("func_id"), "func_id", "left_semi"),
                               name=name)
     lab = F.col("label") == 1
-    aggs = [F.count(F.lit(1)).alias("total_lines"),
-            F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("num_flaw_lines"),
-            F.min(F.when(lab, F.col("rank"))).alias("first_rank"),
-            F.max(F.when(lab, F.col("rank"))).alias("last_rank"),
-            F.avg(F.when(lab, F.col("rank").cast("double"))).alias("mean_rank")]
+    # flaw-line ranks are gathered per function (bounded by that function's own lines) so the
+    # top-k% thresholds, which need the function's line count, come from the same aggregate
+    per = ranked.groupBy("func_id").agg(
+        F.count(F.lit(1)).alias("total_lines"),
+        F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("num_flaw_lines"),
+        F.min(F.when(lab, F.col("rank"))).alias("first_rank"),
+        F.max(F.when(lab, F.col("rank"))).alias("last_rank"),
+        F.avg(F.when(lab, F.col("rank").cast("double"))).alias("mean_rank"),
+        F.collect_list(F.when(lab, F.col("rank"))).alias("_flaw_ranks"))
     for i, p in enumerate(top_k_locs):
-        k = F.floor(F.col("_group_n") * F.lit(float(p)))
-        aggs.append(F.count_if(lab & (F.col("rank") < k)).alias(f"correct_{i}"))
-    per = ranked.groupBy("func_id").agg(*aggs)
+        per = per.withColumn(f"correct_{i}", F.size(F.filter(
+            "_flaw_ranks", lambda r: r < F.floor(F.col("total_lines") * F.lit(float(p))))).cast("long"))
+    per = per.drop("_flaw_ranks")
     out = sel.join(per, "func_id", "left")
     status = (F.when(~F.col("_text"), "defective")
               .when(F.coalesce(F.col("num_flaw_lines"), F.lit(0)) == 0, "no_flaw_line").otherwise("ok"))

@@ -102,13 +102,17 @@ def _local_scan(group_cols: list[str], running: list[str]):
 
 
 def range_rank(spark: SparkSession, df: DataFrame, order: list[Column], group_cols: list[str] | None = None,
-               running: list[str] | None = None, num_buckets: int | None = None,
+               running: list[str] | None = None, num_buckets: int | None = None, totals: bool = False,
                name: str = "ranked") -> DataFrame:
     """Exact 1-based rank ``_rank`` within each group by ``order`` (must be a total order:
-    include tie-breakers), inclusive running sums ``cum_<c>`` of ``running`` columns, and
-    group totals ``_group_n`` / ``_group_<c>``.
-
-    The ranked rows are persisted under the shared checkpoint folder (``name``).
+    include tie-breakers) and inclusive running sums ``cum_<c>`` of ``running`` columns.
+    With ``totals`` the group size ``_group_n`` and sums ``_group_<c>`` are added.
+
+    The ranked rows are persisted under the shared checkpoint folder (``name``). Buckets are
+    monotone in (group, order), so only groups that cross a bucket boundary -- at most about
+    two per bucket -- need offsets: that table is bounded by the bucket count and broadcast;
+    every other row's offset is 0. No data-sized join is needed unless ``totals`` is asked
+    for with group columns.
     """
     group_cols = list(group_cols or [])
     running = list(running or [])
@@ -126,12 +130,29 @@ def range_rank(spark: SparkSession, df: DataFrame, order: list[Column], group_co
     fixed = spark.read.parquet(path)
     aggs = [F.count(F.lit(1)).alias("_n")] + [F.sum(F.col(c).cast("double")).alias(f"_s_{c}") for c in running]
     stats = fixed.groupBy(*group_cols, "_b").agg(*aggs)
-    offsets = _offsets(stats, group_cols, {c: f"_s_{c}" for c in running}).checkpoint()
-    out = _join_offsets(fixed, offsets, group_cols + ["_b"])
+    sums = {c: f"_s_{c}" for c in running}
+    if group_cols:
+        # groups present in more than one bucket (bounded by the bucket count)
+        spanning = stats.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > 1)
+        stats_span = stats.join(spanning.select(*group_cols), group_cols, "left_semi")
+        offsets = _offsets(stats_span, group_cols, sums).checkpoint()
+        out = fixed.join(F.broadcast(offsets) if offsets.count() <= MAX_BROADCAST_ROWS else offsets,
+                         group_cols + ["_b"], "left")
+    else:
+        offsets = _offsets(stats, group_cols, sums).checkpoint()
+        out = _join_offsets(fixed, offsets, ["_b"])
+    zero = F.lit(0)
     cols = [F.col(c) for c in df.columns]
-    cols.append((F.col("_off_n") + F.col("_pos") + 1).alias("_rank"))
-    cols.append(F.col("_group_n"))
+    cols.append((F.coalesce(F.col("_off_n"), zero) + F.col("_pos") + 1).alias("_rank"))
     for c in running:
-        cols.append((F.col(f"_off_{c}") + F.col(f"_cum_{c}")).alias(f"cum_{c}"))
-        cols.append(F.col(f"_group_{c}"))
-    return out.select(*cols)
+        cols.append((F.coalesce(F.col(f"_off_{c}"), F.lit(0.0)) + F.col(f"_cum_{c}")).alias(f"cum_{c}"))
+    ranked = out.select(*cols)
+    if not totals:
+        return ranked
+    if not group_cols:
+        tot = offsets.select(F.first("_group_n").alias("_group_n"),
+                             *[F.first(f"_group_{c}").alias(f"_group_{c}") for c in running]).limit(1)
+        return ranked.crossJoin(F.broadcast(tot))  # one row
+    per_group = stats.groupBy(*group_cols).agg(F.sum("_n").alias("_group_n"),
+                                               *[F.sum(f"_s_{c}").alias(f"_group_{c}") for c in running])
+    return ranked.join(per_group, group_cols, "inner")
