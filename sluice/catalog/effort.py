@@ -51,14 +51,14 @@ FROM tp_sel s LEFT JOIN (
         FROM eval_lines l WHERE l.func_id IN (SELECT func_id FROM tp_sel WHERE ok_text))
   GROUP BY func_id) p USING (func_id)""", "tp_sel", "eval_lines")
 cte("tp_summary", f"""
-SELECT count_if(status = 'ok') AS total_function,
+SELECT count_if(status = 'ok')::BIGINT AS total_function,
        coalesce(sum(total_lines) FILTER (WHERE status = 'ok'), 0)::BIGINT AS sum_total_lines,
        coalesce(sum(num_flaw_lines) FILTER (WHERE status = 'ok'), 0)::BIGINT AS total_flaw_lines,
        coalesce(sum(first_rank) FILTER (WHERE status = 'ok'), 0)::BIGINT AS sum_first_rank,
        coalesce(sum(last_rank) FILTER (WHERE status = 'ok'), 0)::BIGINT AS sum_last_rank,
-       count_if(status = 'ok' AND hit = 1) AS top_k_hits,
+       count_if(status = 'ok' AND hit = 1)::BIGINT AS top_k_hits,
        sum(mean_rank) FILTER (WHERE status = 'ok') AS sum_mean_rank,
-       count_if(status = 'no_flaw_line') AS na_no_flaw_line, count_if(status = 'defective') AS na_defective
+       count_if(status = 'no_flaw_line')::BIGINT AS na_no_flaw_line, count_if(status = 'defective')::BIGINT AS na_defective
 FROM tp_stats""", "tp_stats")
 
 

@@ -26,7 +26,7 @@ ORACLE_LOGS = None  # filled below from the batch query's oracle
 def write_splits(spark, sf):
     path = scratch_path(spark, "splits")
     sk.write_splits(splits10(spark, sf), path)
-    back = spark.read.parquet(path)
+    back = spark.read.parquet(path).withColumn("seed", F.col("seed").cast("long"))  # partition values read as int
     return back.groupBy("seed", "split", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
