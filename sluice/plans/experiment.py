@@ -11,26 +11,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.operators import denoise as dn
 from sluice.operators import effort as ef
 from sluice.operators import metrics as me
 from sluice.operators import models as mo
+from sluice.operators.curate import is_latent
 from sluice.plans.evaluate import evaluate_lines, lines_from_token_scores
 from sluice.plans.splits import build_splits
-from sluice.session import scratch_path
+from sluice.session import persist_table, scratch_path
 
 # Experiment configurations and the training split each one uses.
 CONFIGS = [("regular", "train"), ("latent_v", "train_latent")]
 
 
+def denoise_train(spark: SparkSession, train: DataFrame, val: DataFrame, how: str, grid, max_iter: int,
+                  alpha: float = 1.0, keep: str = "negative") -> DataFrame:
+    """M5 / M6 between the split builder and training.
+
+    * ``centroid``: feature vectors (M3) of the training rows; keep latent rows closer to the
+      centroid of non-latent positives than (alpha x) to that of non-latent negatives.
+    * ``predict``: a model fit on the non-latent rows scores the latent rows; rows predicted
+      positive are removed (``keep='negative'``, reference behaviour).
+    """
+    if how == "centroid":
+        emb = mo.embed_functions(train.select("func_id", "code"))
+        with_vec = train.join(emb, "func_id")
+        kept = dn.centroid_filter(with_vec, "embedding", alpha=alpha)
+        return kept.drop("embedding")
+    if how == "predict":
+        non_latent = train.filter(~is_latent())
+        model, _ = mo.fit_function_classifier(non_latent, val, grid=grid, max_iter=max_iter)
+        scored = mo.score_functions(model, train.filter(is_latent())).select("func_id", "y_pred")
+        return dn.self_training_filter(train, scored, keep=keep)
+    raise ValueError("denoise must be None, 'centroid' or 'predict'")
+
+
 def run_experiment(spark: SparkSession, f: DataFrame, repeats: int = 10, configs=CONFIGS, grid=(0.01,),
-                   method: str = "attention", max_iter: int = 30) -> tuple[DataFrame, DataFrame]:
+                   method: str = "attention", max_iter: int = 30, denoise: str | None = None
+                   ) -> tuple[DataFrame, DataFrame]:
     """Returns ``(long, wide)``: long ``(config, repeat, metric, value)`` and the per-repeat
-    result table with -1 for missing metrics."""
+    result table with -1 for missing metrics. ``denoise`` inserts M5 ('centroid') or M6
+    ('predict') before the final fit."""
     seeds = [10000 * r for r in range(1, repeats + 1)]
     path = scratch_path(spark, "experiment_splits")
     build_splits(f, seeds=seeds).write.partitionBy("seed", "split").parquet(path)
     splits = spark.read.parquet(path)
-    code = f.select("func_id", "code", "flaw_line", "flaw_line_index")
+    # derived once, read by every (config, repeat) iteration
+    code = persist_table(spark, f.select("func_id", "code", "flaw_line", "flaw_line_index"), "experiment_code")
     rows = []
     for config, train_split in configs:
         for r, seed in enumerate(seeds, start=1):
@@ -38,7 +65,10 @@ def run_experiment(spark: SparkSession, f: DataFrame, repeats: int = 10, configs
 
             def take(name):
                 return part.filter(F.col("split") == name).select("func_id", "label", "latent").join(code, "func_id")
-            model, _ = mo.fit_function_classifier(take(train_split), take("val"), grid=grid, max_iter=max_iter)
+            train = take(train_split)
+            if denoise is not None:
+                train = denoise_train(spark, train, take("val"), denoise, grid, max_iter)
+            model, _ = mo.fit_function_classifier(train, take("val"), grid=grid, max_iter=max_iter)
             test = mo.score_functions(model, take("test"))
             fm = me.classification_metrics(test.withColumnRenamed("label", "y_true"), []).first()
             for m in ("precision", "recall", "f1"):
