@@ -84,11 +84,10 @@ def split_latent(spark, sf):
 SELECT func_id, CASE WHEN latent IS NOT DISTINCT FROM 1 THEN 'latent' WHEN label=1 THEN 'pos' ELSE 'neg' END AS part
 FROM splits WHERE split='train_latent'""", "splits"))
 def class_partition(spark, sf):
+    """F2 + F3 in one pass: latent rows, then non-latent positives / negatives."""
     train = splits1(spark, sf).filter(F.col("split") == "train_latent")
-    non_latent, latent = cu.split_latent(train)
-    return (non_latent.filter(F.col("label") == 1).select("func_id", F.lit("pos").alias("part"))
-            .unionByName(non_latent.filter(F.col("label") == 0).select("func_id", F.lit("neg").alias("part")))
-            .unionByName(latent.select("func_id", F.lit("latent").alias("part"))))
+    part = F.when(cu.is_latent(), "latent").when(F.col("label") == 1, "pos").when(F.col("label") == 0, "neg")
+    return train.select("func_id", part.alias("part")).filter(F.col("part").isNotNull())
 
 
 @register("tag_latent", sql("""

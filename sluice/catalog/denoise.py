@@ -9,6 +9,7 @@ from sluice.catalog.curation import splits1
 from sluice.oracle import cte, sql
 from sluice.operators import denoise as dn
 from sluice.operators.curate import is_latent, rebuild_train
+from sluice.session import persist_table
 from sluice.sources import tables as tb
 
 cte("emb", """
@@ -91,12 +92,13 @@ WHERE s.split = 'train_latent' AND s.latent IS NOT DISTINCT FROM 1""", "splits",
 
 
 def _train_latent(spark, sf):
-    return splits1(spark, sf).filter(F.col("split") == "train_latent")
+    """The augmented training split (seed 10000), persisted once: it is read twice (latent
+    rows to score, and the rebuild)."""
+    return persist_table(spark, splits1(spark, sf).filter(F.col("split") == "train_latent"), "train_latent")
 
 
-def _scored_latent(spark, sf):
+def _scored_latent(spark, sf, train):
     """Scores of the latent training rows by the stand-in scorer (given scores)."""
-    train = _train_latent(spark, sf)
     code = tb.functions(spark, sf).select("func_id", "code")
     lat = train.filter(is_latent()).join(code, "func_id")
     return tb.score_hash_model(lat).select("func_id", "y_pred")
@@ -105,7 +107,7 @@ def _scored_latent(spark, sf):
 @register("drop_flagged", sql("SELECT func_id FROM st_latent WHERE y_pred <> 1", "st_latent"))
 def drop_flagged(spark, sf):
     train = _train_latent(spark, sf)
-    flagged = _scored_latent(spark, sf).filter(F.col("y_pred") == 1)
+    flagged = _scored_latent(spark, sf, train).filter(F.col("y_pred") == 1)
     return dn.drop_flagged(train.filter(is_latent()), flagged).select("func_id")
 
 
@@ -113,5 +115,6 @@ def drop_flagged(spark, sf):
 SELECT func_id, label, latent FROM splits WHERE split = 'train_latent' AND NOT (latent IS NOT DISTINCT FROM 1)
 UNION ALL SELECT func_id, label, latent FROM st_latent WHERE y_pred <> 1""", "splits", "st_latent"))
 def self_training_filter(spark, sf):
-    train = _train_latent(spark, sf).select("func_id", "label", "latent")
-    return dn.self_training_filter(train, _scored_latent(spark, sf), keep="negative")
+    train = _train_latent(spark, sf)
+    return dn.self_training_filter(train.select("func_id", "label", "latent"), _scored_latent(spark, sf, train),
+                                   keep="negative")
