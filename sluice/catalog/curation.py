@@ -237,7 +237,7 @@ def latest_latent(f):
 
 
 @register("build_splits_latest", sql("SELECT * FROM splits WHERE split='train_latent'", "splits",
-                                     overrides={"seeds": SEEDS10, "sp_lat": LATEST_LAT}))
+                                     overrides={"seeds": SEEDS10, "sp_lat_aug": LATEST_LAT}))
 def build_splits_latest(spark, sf):
     f = _f(spark, sf)
     s = sp.build_splits(f, seeds=sp.DEFAULT_SEEDS, latent_source=latest_latent(f))
@@ -249,3 +249,34 @@ SELECT seed, split, label, latent, count(*) AS n FROM splits GROUP BY ALL""", "s
                               overrides={"seeds": SEEDS10}))
 def label_counts(spark, sf):
     return cu.label_counts(splits10(spark, sf), "seed", "split", "label", "latent")
+
+
+def mixed_latent(f_src, latest_projects):
+    """Latent source chosen per project: the 'latest' table for ``latest_projects``, the plain
+    latent rows elsewhere (one project's tracer output may be missing)."""
+    latest = latest_latent(f_src).filter(F.col("source").isin(*latest_projects))
+    plain = f_src.filter(~F.col("source").isin(*latest_projects))
+    return latest.unionByName(plain)
+
+
+# Projects whose latent rows come from the 'latest' table in the mixed P2 variant.
+LATEST_PROJECTS = ["src0", "src1", "src2", "src3", "src4", "src5", "src6", "src7", "src8", "src9"]
+MIXED_LAT = f"""
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY hash_code ORDER BY func_id) AS rn FROM (
+    SELECT h.func_id, h.label, h.latent,
+           CASE WHEN d.source IN ({", ".join(repr(p) for p in LATEST_PROJECTS)}) AND h.latent = 1 THEN 'v'
+                ELSE h.method END AS method,
+           h.vfc, h.hash_code
+    FROM hashed h JOIN documents d ON h.func_id = d.doc_id
+    WHERE NOT (d.source IN ({", ".join(repr(p) for p in LATEST_PROJECTS)}) AND h.latent <> 1))
+  WHERE label=1 AND latent=1 AND method='v') WHERE rn=1"""
+
+
+@register("build_splits_latest_mixed", sql("SELECT * FROM splits WHERE split='train_latent'", "splits",
+                                           overrides={"seeds": SEEDS10, "sp_lat_aug": MIXED_LAT}))
+def build_splits_latest_mixed(spark, sf):
+    """P2 with a per-project latent source ('latest' for half the projects, plain elsewhere)."""
+    f = tb.functions(spark, sf, extra=("source",))
+    s = sp.build_splits(f.drop("source"), seeds=sp.DEFAULT_SEEDS, latent_source=mixed_latent(f, LATEST_PROJECTS))
+    return s.filter(F.col("split") == "train_latent")

@@ -76,9 +76,14 @@ def _local_scan(group_cols: list[str], running: list[str]):
             first_new = last_key is None
             for i, c in enumerate(group_cols):
                 s = pdf[c]
-                new[1:] |= (s.values[1:] != s.values[:-1])
-                if last_key is not None and s.iloc[0] != last_key[i]:
-                    first_new = True
+                prev = s.shift(1)
+                # a change of value; two nulls in a row are the same group
+                changed = (s != prev) & ~(s.isna() & prev.isna())
+                new[1:] |= changed.to_numpy()[1:]
+                if last_key is not None:
+                    v0, k0 = s.iloc[0], last_key[i]
+                    if not ((pd.isna(v0) and pd.isna(k0)) or v0 == k0):
+                        first_new = True
             if not group_cols and last_key is None:
                 first_new = True
             new[0] = first_new

@@ -97,6 +97,9 @@ SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY hash_code ORDER BY func_id) AS rn
   FROM hashed WHERE label=1 AND latent=1 AND method='v') WHERE rn=1""", "hashed")
 
+# latent rows that augment training (P2 overrides this with the 'latest' table)
+cte("sp_lat_aug", "SELECT * FROM sp_lat", "sp_lat")
+
 cte("sp_assigned", """
 SELECT *, CASE WHEN rk <= floor(n*0.8::DOUBLE) THEN 'train'
                WHEN rk <= floor(n*0.8::DOUBLE) + floor((n - floor(n*0.8::DOUBLE))*0.5::DOUBLE) THEN 'val'
@@ -117,11 +120,11 @@ cte("sp_aug", """
 SELECT * EXCLUDE (rn, prio) FROM (
   SELECT *, row_number() OVER (PARTITION BY seed, hash_code ORDER BY prio, func_id) AS rn FROM (
     SELECT s.seed, l.func_id, l.hash_code, l.label, l.latent, l.method, l.vfc, 0 AS prio
-    FROM seeds s, sp_lat l
+    FROM seeds s, sp_lat_aug l
     WHERE EXISTS (SELECT 1 FROM sp_train t WHERE t.seed=s.seed AND t.func_id IS NOT DISTINCT FROM l.vfc)
     UNION ALL
     SELECT seed, func_id, hash_code, label, latent, method, vfc, 1 FROM sp_train)) WHERE rn=1""",
-    "seeds", "sp_lat", "sp_train")
+    "seeds", "sp_lat_aug", "sp_train")
 
 cte("splits", """
 SELECT seed, split, func_id, hash_code, label, latent, method, vfc FROM sp_train

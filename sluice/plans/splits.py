@@ -47,9 +47,13 @@ def assign_splits(base: DataFrame, train_fraction: float = TRAIN_FRACTION,
 
 
 def build_splits(f: DataFrame, seeds=(10000,), method: str = "v", latent_source: DataFrame | None = None,
-                 with_code: bool = False) -> DataFrame:
+                 with_code: bool = False, strict_purge: bool = False) -> DataFrame:
     """P1 (and P2 when ``latent_source`` gives the 'latest' latent table).
 
+    Val/test are always purged against the latent rows of ``f`` (P2 reuses P1's held-out
+    sets). ``strict_purge`` additionally drops augmenting latent rows whose hash occurs in that
+    seed's val/test (the reference does not re-purge the 'latest' rows; default parity).
+
     Returns rows ``(seed, split, func_id, hash_code, label, latent, method, vfc)`` with split in
     train / val / test / train_latent.
     """
@@ -63,17 +67,18 @@ def build_splits(f: DataFrame, seeds=(10000,), method: str = "v", latent_source:
                 .withColumn("prio", F.when(F.col("cohort") == VULN, 0).otherwise(1))
                 .drop("cohort"))
     base = dedup_first(classes)
+    purge_latent = dedup_first(c.filter(F.col("cohort") == LATENT).drop("cohort").withColumn("prio", F.lit(0)))
     if latent_source is None:
-        lat = c.filter(F.col("cohort") == LATENT).drop("cohort")
+        latent = purge_latent
     else:
         lat = with_hash(latent_source.select(*[x for x in KEY_COLS if x != "hash_code"], "code")).select(*KEY_COLS)
         lat = lat.filter((F.col("label") == 1) & (F.col("latent") == 1) & (F.col("method") == method))
-    latent = dedup_first(lat.withColumn("prio", F.lit(0)))
+        latent = dedup_first(lat.withColumn("prio", F.lit(0)))
 
     splits = assign_splits(_with_seeds(base, seeds))
     train = splits.filter(F.col("split") == "train")
     # Purge val/test rows whose hash occurs among the latent rows (label 0 or 1).
-    hashes = latent.select(F.col("hash_code").alias("_h"))
+    hashes = purge_latent.select(F.col("hash_code").alias("_h"))
     held = splits.filter(F.col("split") != "train")
     held = held.join(hashes, (held["hash_code"] == hashes["_h"]) & held["label"].isin(0, 1), "left_anti")
     # F9 + J2: latent rows whose parent is a training key (null-safe, per seed).
@@ -81,6 +86,10 @@ def build_splits(f: DataFrame, seeds=(10000,), method: str = "v", latent_source:
     tkeys = train.select("seed", F.col(key).alias("_k"))
     lat_s = _with_seeds(latent, seeds)
     linked = lat_s.join(tkeys, (lat_s["seed"] == tkeys["seed"]) & lat_s["vfc"].eqNullSafe(tkeys["_k"]), "left_semi")
+    if strict_purge:
+        held_h = held.select("seed", F.col("hash_code").alias("_hh"))
+        linked = linked.join(held_h, (linked["seed"] == held_h["seed"]) & (linked["hash_code"] == held_h["_hh"]),
+                             "left_anti")
     # U2 + A2: latent before train; on a shared hash the latent row wins.
     aug = (linked.withColumn("prio", F.lit(0)).withColumn("_rank", F.lit(None).cast("long"))
            .unionByName(train.drop("split").withColumn("prio", F.lit(1))))

@@ -68,3 +68,18 @@ def test_recall_curve_monotone_and_complete(spark, sf):
     recalls = [r for _, r in curve]
     assert recalls == sorted(recalls)
     assert recalls[-1] == 1.0
+
+
+def test_strict_purge_keeps_latest_latent_out_of_held_out(spark, sf):
+    from sluice.catalog.curation import latest_latent
+
+    f = tb.functions(spark, sf)
+    s = build_splits(f, seeds=(10000,), latent_source=latest_latent(f), strict_purge=True)
+    held = {r[0] for r in s.filter(F.col("split").isin("val", "test")).select("hash_code").collect()}
+    aug = {r[0] for r in s.filter((F.col("split") == "train_latent") & (F.col("latent") == 1))
+           .select("hash_code").collect()}
+    assert aug and not (aug & held)
+    # default parity: held-out sets are those of the plain split builder
+    plain = build_splits(f, seeds=(10000,))
+    assert sorted(map(tuple, s.filter(F.col("split").isin("val", "test")).collect())) == \
+        sorted(map(tuple, plain.filter(F.col("split").isin("val", "test")).collect()))
