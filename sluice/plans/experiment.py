@@ -46,12 +46,29 @@ def denoise_train(spark: SparkSession, train: DataFrame, val: DataFrame, how: st
     raise ValueError("denoise must be None, 'centroid' or 'predict'")
 
 
+METRIC_SCHEMA = "config string, repeat int, metric string, value double"
+
+
+def _done_cells(spark: SparkSession, out_path: str | None) -> set:
+    if not out_path:
+        return set()
+    try:
+        done = spark.read.schema(METRIC_SCHEMA).parquet(out_path).select("config", "repeat").distinct().collect()
+    except Exception:  # nothing written yet
+        return set()
+    return {(r["config"], r["repeat"]) for r in done}
+
+
 def run_experiment(spark: SparkSession, f: DataFrame, repeats: int = 10, configs=CONFIGS, grid=(0.01,),
-                   method: str = "attention", max_iter: int = 30, denoise: str | None = None
-                   ) -> tuple[DataFrame, DataFrame]:
+                   method: str = "attention", max_iter: int = 30, denoise: str | None = None,
+                   out_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns ``(long, wide)``: long ``(config, repeat, metric, value)`` and the per-repeat
     result table with -1 for missing metrics. ``denoise`` inserts M5 ('centroid') or M6
-    ('predict') before the final fit."""
+    ('predict') before the final fit.
+
+    With ``out_path`` (shared storage) every finished (config, repeat) cell is appended there
+    as soon as it completes, and cells already present are skipped: a restarted driver
+    resumes instead of refitting finished repeats."""
     seeds = [10000 * r for r in range(1, repeats + 1)]
     path = scratch_path(spark, "experiment_splits")
     build_splits(f, seeds=seeds).write.partitionBy("seed", "split").parquet(path)
@@ -59,8 +76,12 @@ def run_experiment(spark: SparkSession, f: DataFrame, repeats: int = 10, configs
     # derived once, read by every (config, repeat) iteration
     code = persist_table(spark, f.select("func_id", "code", "flaw_line", "flaw_line_index"), "experiment_code")
     rows = []
+    done = _done_cells(spark, out_path)
     for config, train_split in configs:
         for r, seed in enumerate(seeds, start=1):
+            if (config, r) in done:
+                continue
+            cell = []
             part = splits.filter(F.col("seed") == seed)
 
             def take(name):
@@ -72,7 +93,7 @@ def run_experiment(spark: SparkSession, f: DataFrame, repeats: int = 10, configs
             test = mo.score_functions(model, take("test"))
             fm = me.classification_metrics(test.withColumnRenamed("label", "y_true"), []).first()
             for m in ("precision", "recall", "f1"):
-                rows.append((config, r, m, float(fm[m])))
+                cell.append((config, r, m, float(fm[m])))
             results = ef.result_frame(test)
             tokens = mo.scored_token_arrays(
                 mo.attribute_tokens(spark, model, test.select("func_id", "code"), methods=[method]))
@@ -82,6 +103,12 @@ def run_experiment(spark: SparkSession, f: DataFrame, repeats: int = 10, configs
                                  name=f"p4_{config}_{r}").collect()}
             for m in ("effort_at_recall", "recall_at_loc", "ifa", "top_k_accuracy"):
                 if lm.get(m) is not None:
-                    rows.append((config, r, m, float(lm[m])))
-    long = spark.createDataFrame(rows, "config string, repeat int, metric string, value double")
+                    cell.append((config, r, m, float(lm[m])))
+            if out_path:
+                spark.createDataFrame(cell, METRIC_SCHEMA).write.mode("append").parquet(out_path)
+            rows.extend(cell)
+    if out_path:
+        long = spark.read.schema(METRIC_SCHEMA).parquet(out_path)
+    else:
+        long = spark.createDataFrame(rows, METRIC_SCHEMA)
     return long, me.results_wide(long)
