@@ -25,6 +25,17 @@ from pyspark.sql import types as T
 from sluice.session import scratch_path
 
 MAX_BROADCAST_ROWS = 2_000_000
+# Target rows per rank bucket: one bucket is sorted by one task.
+ROWS_PER_BUCKET = 4_000_000
+
+
+def hex_digits_for(rows: int, groups: int = 1, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Hex prefix length so that each (group, prefix) bucket of a uniform hex key holds about
+    ``rows_per_bucket`` rows at most (at least 3 digits = 4096 buckets)."""
+    digits = 3
+    while rows / max(groups, 1) / (16 ** digits) > rows_per_bucket and digits < 8:
+        digits += 1
+    return digits
 
 
 def _join_offsets(df: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
@@ -121,7 +132,11 @@ def range_rank(spark: SparkSession, df: DataFrame, order: list[Column], group_co
     """
     group_cols = list(group_cols or [])
     running = list(running or [])
-    nb = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    if num_buckets is None:
+        # enough buckets that none exceeds the target size (one extra pass over the input)
+        base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        num_buckets = max(base, -(-df.count() // ROWS_PER_BUCKET))
+    nb = num_buckets
     sort_keys = [F.col(c) for c in group_cols] + list(order)
     staged = (df.repartitionByRange(nb, *sort_keys)
                 .sortWithinPartitions(*sort_keys)

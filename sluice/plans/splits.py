@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators.curate import (LATENT, NON_VULN, VULN, cohort, dedup_first, link_key,
                                      with_hash)
-from sluice.operators.ranking import hash_rank
+from sluice.operators.ranking import hash_rank, hex_digits_for
 
 KEY_COLS = ["func_id", "hash_code", "label", "latent", "method", "vfc"]
 SPLIT_COLS = ["seed", "split"] + KEY_COLS
@@ -32,11 +32,11 @@ def order_key(seed="seed", hash_code="hash_code"):
 
 
 def assign_splits(base: DataFrame, train_fraction: float = TRAIN_FRACTION,
-                  val_fraction: float = VAL_FRACTION_OF_REST) -> DataFrame:
+                  val_fraction: float = VAL_FRACTION_OF_REST, hex_digits: int = 3) -> DataFrame:
     """W1 + W2: exact-size split by seeded rank: train = first floor(0.8 n); of the rest r,
     val = next floor(0.5 r); test = remainder."""
     keyed = base.withColumn("_okey", order_key())
-    ranked = hash_rank(keyed, "_okey", group_cols=["seed"], tiebreak=["hash_code"])
+    ranked = hash_rank(keyed, "_okey", group_cols=["seed"], tiebreak=["hash_code"], hex_digits=hex_digits)
     n = F.col("_group_n")
     n_train = F.floor(n * F.lit(float(train_fraction)))
     n_val = F.floor((n - n_train) * F.lit(float(val_fraction)))
@@ -75,7 +75,8 @@ def build_splits(f: DataFrame, seeds=(10000,), method: str = "v", latent_source:
         lat = lat.filter((F.col("label") == 1) & (F.col("latent") == 1) & (F.col("method") == method))
         latent = dedup_first(lat.withColumn("prio", F.lit(0)))
 
-    splits = assign_splits(_with_seeds(base, seeds))
+    # bucket count from the size of the keyed table (persisted, so counting is cheap)
+    splits = assign_splits(_with_seeds(base, seeds), hex_digits=hex_digits_for(h.count()))
     train = splits.filter(F.col("split") == "train")
     # Purge val/test rows whose hash occurs among the latent rows (label 0 or 1).
     hashes = purge_latent.select(F.col("hash_code").alias("_h"))
