@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sluice.catalog import register
 from sluice.catalog.curation import splits10
-from sluice.functions.code import derive_seed, model_seed, report_round, softmax_prob, threshold_predict
+from sluice.functions.code import model_seed, report_round, softmax_prob, threshold_predict
 from sluice.oracle import cte, sql
 from sluice.operators import effort as ef
 from sluice.operators import metrics as me
@@ -273,8 +273,6 @@ def scan_configs(spark, sf):
     return out.select("config", "repeat", "data_seed", "model_seed", "n_train")
 
 
-__all__ = ["derive_seed"]
-
 
 @register("derive_seed", sql(f"""
 SELECT project, repeat,

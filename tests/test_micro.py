@@ -90,3 +90,27 @@ def test_metric_log_stream_matches_batch(spark, sf, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("metric", "value").collect()))
     want = sorted(map(tuple, ingest_metric_logs(spark.read.text(logs)).select("metric", "value").collect()))
     assert got == want and got
+
+
+def _prob_ranked(spark, rows):
+    df = spark.createDataFrame(rows, "func_id long, logits double, y_preds int, num_lines int, num_flaw_lines int")
+    return ef.rank_functions_by_prob(spark, df, name="micro_prob")
+
+
+def test_effort_by_prob_target_zero_stops_after_first_function(spark):
+    ranked = _prob_ranked(spark, [(1, 0.9, 1, 7, 0), (2, 0.8, 1, 5, 3), (3, 0.1, 0, 4, 1)])
+    # floor(0.2 * 4) = 0 flaw lines: the first function (7 lines) is inspected, then the walk stops
+    assert ef.effort_at_recall_by_prob(ranked, 16, 4).first()["inspected"] == 7
+
+
+def test_effort_by_prob_counts_only_predicted_positive_flaws(spark):
+    ranked = _prob_ranked(spark, [(1, 0.9, 1, 7, 0), (2, 0.8, 0, 5, 9), (3, 0.7, 1, 4, 2)])
+    # target floor(0.2 * 11) = 2: function 2's flaws do not count (predicted negative)
+    assert ef.effort_at_recall_by_prob(ranked, 16, 11).first()["inspected"] == 16
+
+
+def test_recall_by_prob_excludes_the_crossing_function(spark):
+    ranked = _prob_ranked(spark, [(1, 0.9, 1, 2, 1), (2, 0.8, 1, 2, 1), (3, 0.7, 1, 5, 1)])
+    # budget floor(0.2 * 20) = 4 lines: functions 1 and 2 fit (2 + 2), function 3 crosses it
+    row = ef.recall_at_loc_by_prob(ranked, 20, 3).first()
+    assert (row["target"], row["caught"]) == (4, 2)
