@@ -22,4 +22,5 @@ def register(name: str, oracle: str | None = None):
 
 
 def load_all() -> None:
-    from sluice.catalog import curation, evaluation, lines, effort, denoise, models, sinks  # noqa: F401
+    # model fits last: the heaviest queries run after every relational one
+    from sluice.catalog import curation, evaluation, lines, effort, denoise, sinks, models  # noqa: F401

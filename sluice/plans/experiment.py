@@ -18,7 +18,7 @@ from sluice.operators import models as mo
 from sluice.operators.curate import is_latent
 from sluice.plans.evaluate import evaluate_lines, lines_from_token_scores
 from sluice.plans.splits import build_splits
-from sluice.session import persist_table, scratch_path
+from sluice.session import persist_table, release_unreferenced, scratch_path
 
 # Experiment configurations and the training split each one uses.
 CONFIGS = [("regular", "train"), ("latent_v", "train_latent")]
@@ -107,6 +107,8 @@ def run_experiment(spark: SparkSession, f: DataFrame, repeats: int = 10, configs
             if out_path:
                 spark.createDataFrame(cell, METRIC_SCHEMA).write.mode("append").parquet(out_path)
             rows.extend(cell)
+            del model, test, results, tokens, lines
+            release_unreferenced(spark)
     if out_path:
         long = spark.read.schema(METRIC_SCHEMA).parquet(out_path)
     else:

@@ -22,7 +22,13 @@ _DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # bounded status-store history: long query sequences keep the driver heap flat
+    "spark.ui.retainedJobs": "200",
+    "spark.ui.retainedStages": "200",
+    "spark.sql.ui.retainedExecutions": "50",
 }
+# Only for a JVM started here (local runs); a launcher's setting wins.
+_LOCAL_DRIVER_MEMORY = os.environ.get("SLUICE_LOCAL_DRIVER_MEMORY", "8g")
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -40,6 +46,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = SparkSession.builder.appName(app_name)
         if master:
             builder = builder.master(master)
+            if master.startswith("local"):
+                builder = builder.config("spark.driver.memory", _LOCAL_DRIVER_MEMORY)
         for key, value in _DEFAULTS.items():
             builder = builder.config(key, value)
         if shuffle_partitions:
@@ -83,3 +91,12 @@ def persist_table(spark: SparkSession, df, name: str):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def release_unreferenced(spark: SparkSession) -> None:
+    """Let Spark's ContextCleaner drop broadcasts, shuffle files and checkpoints of finished
+    iterations in a long driver loop (it acts when the JVM collects their references)."""
+    import gc
+
+    gc.collect()  # drop Python-side proxies first
+    spark.sparkContext._jvm.System.gc()
