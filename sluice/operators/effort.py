@@ -38,10 +38,10 @@ def line_statistics(results: DataFrame) -> DataFrame:
                        F.coalesce(F.sum("num_flaw_lines"), F.lit(0)).cast("long").alias("sum_flaw_lines"))
 
 
-def rank_in_function(spark: SparkSession, lines: DataFrame, name: str = "fn_ranks") -> DataFrame:
+def rank_in_function(spark: SparkSession, lines: DataFrame, name: str = "fn_ranks", rows: int | None = None) -> DataFrame:
     """0-based position ``rank`` of each line in its function by score descending, ties
     by ascending line index (stable descending sort)."""
-    r = range_rank(spark, lines, [F.desc("score"), F.asc("line_idx")], group_cols=["func_id"], name=name)
+    r = range_rank(spark, lines, [F.desc("score"), F.asc("line_idx")], group_cols=["func_id"], name=name, rows=rows)
     return r.withColumn("rank", F.col("_rank") - 1).drop("_rank")
 
 
@@ -59,14 +59,14 @@ def ranked_line_parts(results: DataFrame, lines: DataFrame, threshold: float = 0
 
 
 def rank_lines_global(spark: SparkSession, parts: DataFrame, neg_ascending: bool = True,
-                      name: str = "line_ranks") -> DataFrame:
+                      name: str = "line_ranks", rows: int | None = None) -> DataFrame:
     """W4 + U3: ``part_rank`` (1-based) inside each part -- pos by score descending; neg
     ascending for attention scores, else descending; ties by (func_id, line_idx) -- and
     ``rank`` in the concatenation pos || neg, with the running flaw count ``cum_label``."""
     key = F.when((F.col("part") == "neg") & F.lit(bool(neg_ascending)), F.col("score")).otherwise(-F.col("score"))
     keyed = parts.withColumn("_key", key)
     r = range_rank(spark, keyed, [F.col("_key"), F.col("func_id"), F.col("line_idx")], group_cols=["part"],
-                   running=["label"], name=name)
+                   running=["label"], name=name, rows=rows)
     # The neg part follows the pos part; offsets come from the two part totals.
     totals = {row["part"]: (row["n"], row["flaws"]) for row in
               r.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("flaws")).collect()}
@@ -152,7 +152,8 @@ def selected_functions(results: DataFrame, mode: str = "tp", ids: DataFrame | No
 
 
 def function_line_stats(spark: SparkSession, selected: DataFrame, lines: DataFrame,
-                        top_k_locs=TOP_K_LOCS, top_k: int = TOP_K_CONSTANT, name: str = "tp_ranks") -> DataFrame:
+                        top_k_locs=TOP_K_LOCS, top_k: int = TOP_K_CONSTANT, name: str = "tp_ranks",
+                        rows: int | None = None) -> DataFrame:
     """Per selected function with flaw text and flaw index: in-function ranks (W3) of its
     flaw lines -> total lines, flaw lines, first/last/mean flaw rank, flaw lines within the
     top floor(n * p) for each p, and whether the first flaw is in the top ``top_k``.
@@ -160,7 +161,7 @@ def function_line_stats(spark: SparkSession, selected: DataFrame, lines: DataFra
     ok_text = has_text("flaw_line") & has_text("flaw_line_index")
     sel = selected.select("func_id", ok_text.alias("_text"))
     ranked = rank_in_function(spark, lines.join(sel.filter("_text").select("func_id"), "func_id", "left_semi"),
-                              name=name)
+                              name=name, rows=rows)
     lab = F.col("label") == 1
     # flaw-line ranks are gathered per function (bounded by that function's own lines) so the
     # top-k% thresholds, which need the function's line count, come from the same aggregate

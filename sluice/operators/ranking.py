@@ -119,10 +119,11 @@ def _local_scan(group_cols: list[str], running: list[str]):
 
 def range_rank(spark: SparkSession, df: DataFrame, order: list[Column], group_cols: list[str] | None = None,
                running: list[str] | None = None, num_buckets: int | None = None, totals: bool = False,
-               name: str = "ranked") -> DataFrame:
+               name: str = "ranked", rows: int | None = None) -> DataFrame:
     """Exact 1-based rank ``_rank`` within each group by ``order`` (must be a total order:
     include tie-breakers) and inclusive running sums ``cum_<c>`` of ``running`` columns.
-    With ``totals`` the group size ``_group_n`` and sums ``_group_<c>`` are added.
+    With ``totals`` the group size ``_group_n`` and sums ``_group_<c>`` are added. ``rows``
+    (a known input size) raises the bucket count so no bucket exceeds ``ROWS_PER_BUCKET``.
 
     The ranked rows are persisted under the shared checkpoint folder (``name``). Buckets are
     monotone in (group, order), so only groups that cross a bucket boundary -- at most about
@@ -133,9 +134,10 @@ def range_rank(spark: SparkSession, df: DataFrame, order: list[Column], group_co
     group_cols = list(group_cols or [])
     running = list(running or [])
     if num_buckets is None:
-        # enough buckets that none exceeds the target size (one extra pass over the input)
+        # one bucket per shuffle partition (sized to the data by the cluster), more when the
+        # caller knows the row count (e.g. of a persisted input) and buckets would be too big
         base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        num_buckets = max(base, -(-df.count() // ROWS_PER_BUCKET))
+        num_buckets = max(base, -(-rows // ROWS_PER_BUCKET)) if rows else base
     nb = num_buckets
     sort_keys = [F.col(c) for c in group_cols] + list(order)
     staged = (df.repartitionByRange(nb, *sort_keys)
