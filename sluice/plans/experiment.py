@@ -60,7 +60,7 @@ def _done_cells(spark: SparkSession, out_path: str | None) -> set:
 
 
 def run_experiment(spark: SparkSession, f: DataFrame, repeats: int = 10, configs=CONFIGS, grid=(0.01,),
-                   method: str = "attention", max_iter: int = 30, denoise: str | None = None,
+                   method: str = "attention", max_iter: int = mo.EPOCHS, denoise: str | None = None,
                    out_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns ``(long, wide)``: long ``(config, repeat, metric, value)`` and the per-repeat
     result table with -1 for missing metrics. ``denoise`` inserts M5 ('centroid') or M6
@@ -90,7 +90,7 @@ def run_experiment(spark: SparkSession, f: DataFrame, repeats: int = 10, configs
             if denoise is not None:
                 train = denoise_train(spark, train, take("val"), denoise, grid, max_iter)
             model, _ = mo.fit_function_classifier(train, take("val"), grid=grid, max_iter=max_iter)
-            test = mo.score_functions(model, take("test"))
+            test = mo.score_functions(model, take("test")).cache()  # read by every metric below
             fm = me.classification_metrics(test.withColumnRenamed("label", "y_true"), []).first()
             for m in ("precision", "recall", "f1"):
                 cell.append((config, r, m, float(fm[m])))
@@ -107,6 +107,7 @@ def run_experiment(spark: SparkSession, f: DataFrame, repeats: int = 10, configs
             if out_path:
                 spark.createDataFrame(cell, METRIC_SCHEMA).write.mode("append").parquet(out_path)
             rows.extend(cell)
+            test.unpersist()
             del model, test, results, tokens, lines
             release_unreferenced(spark)
     if out_path:
