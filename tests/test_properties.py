@@ -83,3 +83,14 @@ def test_strict_purge_keeps_latest_latent_out_of_held_out(spark, sf):
     plain = build_splits(f, seeds=(10000,))
     assert sorted(map(tuple, s.filter(F.col("split").isin("val", "test")).collect())) == \
         sorted(map(tuple, plain.filter(F.col("split").isin("val", "test")).collect()))
+
+
+def test_recall_at_full_loc_is_ranked_flaw_share(spark, sf):
+    from sluice.catalog.effort import _line_stats, _ranked
+    from sluice.operators import effort as ef
+
+    n_lines, n_flaws = _line_stats(spark, sf)
+    ranked = _ranked(spark, sf)
+    got = ef.recall_at_loc(ranked, n_lines, n_flaws, top_k=1.0).first()["recall"]
+    ranked_flaws = ranked.agg(F.sum("label")).first()[0]
+    assert got == ranked_flaws / n_flaws
