@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sluice.catalog import register
 from sluice.catalog.curation import splits10
-from sluice.catalog.effort import _ranked, p3_sql
+from sluice.catalog.effort import _ranked, _tp_stats, p3_sql
 from sluice.catalog.evaluation import _results, repeat_metrics
 from sluice.oracle import SEEDS10, sql
 from sluice.operators import metrics as me
@@ -74,3 +74,21 @@ def ingest_metric_logs_stream(spark, sf):
     out, ckpt = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ckpt")
     start_metric_log_ingest(spark, logs, out, ckpt).awaitTermination()
     return spark.read.parquet(out).select("metric", "value")
+
+
+@register("write_raw_predictions", sql("""
+SELECT func_id, code, label, latent, method, vfc, flaw_line, flaw_line_index, prob, y_pred AS raw_preds
+FROM predictions WHERE latent = 0""", "predictions"))
+def write_raw_predictions(spark, sf):
+    test = tb.score_hash_model(tb.functions(spark, sf).filter(F.col("latent") == 0))
+    path = scratch_path(spark, "raw_preds")
+    sk.write_raw_predictions(test, "y_pred", path)
+    return spark.read.parquet(path)
+
+
+@register("write_ifa_records", sql("SELECT 'line_scores' AS model, func_id, first_rank AS ifa FROM tp_stats "
+                                   "WHERE status = 'ok'", "tp_stats"))
+def write_ifa_records(spark, sf):
+    path = scratch_path(spark, "ifa_records")
+    sk.write_ifa_records(_tp_stats(spark, sf), path, "line_scores")
+    return spark.read.schema("model string, func_id bigint, ifa bigint").json(path)
