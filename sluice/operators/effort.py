@@ -163,19 +163,22 @@ def function_line_stats(spark: SparkSession, selected: DataFrame, lines: DataFra
     ranked = rank_in_function(spark, lines.join(sel.filter("_text").select("func_id"), "func_id", "left_semi"),
                               name=name, rows=rows)
     lab = F.col("label") == 1
-    # flaw-line ranks are gathered per function (bounded by that function's own lines) so the
-    # top-k% thresholds, which need the function's line count, come from the same aggregate
     per = ranked.groupBy("func_id").agg(
         F.count(F.lit(1)).alias("total_lines"),
         F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("num_flaw_lines"),
         F.min(F.when(lab, F.col("rank"))).alias("first_rank"),
         F.max(F.when(lab, F.col("rank"))).alias("last_rank"),
-        F.avg(F.when(lab, F.col("rank").cast("double"))).alias("mean_rank"),
-        F.collect_list(F.when(lab, F.col("rank"))).alias("_flaw_ranks"))
-    for i, p in enumerate(top_k_locs):
-        per = per.withColumn(f"correct_{i}", F.size(F.filter(
-            "_flaw_ranks", lambda r: r < F.floor(F.col("total_lines") * F.lit(float(p))))).cast("long"))
-    per = per.drop("_flaw_ranks")
+        F.avg(F.when(lab, F.col("rank").cast("double"))).alias("mean_rank"))
+    # top-k% thresholds need each function's line count: join it onto the flaw lines only and
+    # count with aggregates (nothing is gathered per function)
+    flaws = ranked.filter(lab).select("func_id", "rank").join(per.select("func_id", "total_lines"), "func_id")
+    correct = flaws.groupBy("func_id").agg(*[
+        F.count_if(F.col("rank") < F.floor(F.col("total_lines") * F.lit(float(p)))).alias(f"correct_{i}")
+        for i, p in enumerate(top_k_locs)])
+    per = per.join(correct, "func_id", "left").select(
+        "func_id", "total_lines", "num_flaw_lines", "first_rank", "last_rank", "mean_rank",
+        *[F.coalesce(F.col(f"correct_{i}"), F.lit(0)).cast("long").alias(f"correct_{i}")
+          for i in range(len(top_k_locs))])
     out = sel.join(per, "func_id", "left")
     status = (F.when(~F.col("_text"), "defective")
               .when(F.coalesce(F.col("num_flaw_lines"), F.lit(0)) == 0, "no_flaw_line").otherwise("ok"))
