@@ -114,3 +114,23 @@ def test_recall_by_prob_excludes_the_crossing_function(spark):
     # budget floor(0.2 * 20) = 4 lines: functions 1 and 2 fit (2 + 2), function 3 crosses it
     row = ef.recall_at_loc_by_prob(ranked, 20, 3).first()
     assert (row["target"], row["caught"]) == (4, 2)
+
+
+def test_linear_line_fold_equals_token_fold(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = []
+    for _ in range(300):
+        toks = []
+        for _ in range(rnd.randint(0, 40)):
+            if rnd.random() < 0.3:
+                toks.append((rnd.choice(tk.LINE_SEPARATORS), rnd.choice([0.0, 0.5, -0.5, 1.0])))
+            else:
+                toks.append((rnd.choice(["a", "b", "x=", "1", "y"]), rnd.choice([0.0, 1.5, -1.5, 2.0, 0.25])))
+        flaws = [rnd.choice(["a", "ab", "x=1", "y", "b"]) for _ in range(rnd.randint(0, 3))]
+        rows.append((toks, flaws))
+    df = spark.createDataFrame(rows, "tokens array<struct<tok:string,v:double>>, f array<string>")
+    out = df.select(tk.segment_line_scores_fold("tokens", "f").alias("a"),
+                    tk.segment_line_scores("tokens", "f").alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in out)
