@@ -94,3 +94,17 @@ def test_recall_at_full_loc_is_ranked_flaw_share(spark, sf):
     got = ef.recall_at_loc(ranked, n_lines, n_flaws, top_k=1.0).first()["recall"]
     ranked_flaws = ranked.agg(F.sum("label")).first()[0]
     assert got == ranked_flaws / n_flaws
+
+
+def test_experiment_resumes_from_written_cells(spark, sf):
+    from sluice.plans.experiment import run_experiment
+    from sluice.session import scratch_path
+
+    f = tb.functions(spark, sf)
+    out = scratch_path(spark, "exp_resume")
+    long1, wide1 = run_experiment(spark, f, repeats=1, configs=[("regular", "train")], out_path=out)
+    first = sorted(map(tuple, wide1.collect()))
+    # the second run finds the finished cell and fits nothing
+    long2, wide2 = run_experiment(spark, f, repeats=1, configs=[("regular", "train")], out_path=out)
+    assert sorted(map(tuple, wide2.collect())) == first
+    assert long2.count() == long1.count() == 7
