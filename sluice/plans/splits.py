@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sluice.operators.curate import (LATENT, NON_VULN, VULN, cohort, dedup_first, link_key,
                                      with_hash)
 from sluice.operators.ranking import hash_rank, hex_digits_for
+from sluice.session import persist_table
 
 KEY_COLS = ["func_id", "hash_code", "label", "latent", "method", "vfc"]
 SPLIT_COLS = ["seed", "split"] + KEY_COLS
@@ -59,7 +60,9 @@ def build_splits(f: DataFrame, seeds=(10000,), method: str = "v", latent_source:
     """
     # The narrow keyed table (no code text) is persisted once: SHA-256 over the code is
     # computed a single time however many jobs read it (counts, offsets, main plan).
-    h = with_hash(f.select(*[c for c in KEY_COLS if c != "hash_code"], "code")).select(*KEY_COLS).checkpoint()
+    h = persist_table(f.sparkSession,
+                      with_hash(f.select(*[c for c in KEY_COLS if c != "hash_code"], "code")).select(*KEY_COLS),
+                      "keyed_functions")
     c = h.withColumn("cohort", cohort(method))
     # U1 + A2: per-cohort and cross-cohort keep-first collapse into one de-duplication
     # ordered by (vulnerable first, smallest func_id).
