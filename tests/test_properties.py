@@ -108,3 +108,32 @@ def test_experiment_resumes_from_written_cells(spark, sf):
     long2, wide2 = run_experiment(spark, f, repeats=1, configs=[("regular", "train")], out_path=out)
     assert sorted(map(tuple, wide2.collect())) == first
     assert long2.count() == long1.count() == 7
+
+
+def test_write_splits_replaces_only_rewritten_seeds(spark, sf):
+    from sluice.session import scratch_path
+    from sluice.sources.sinks import write_splits
+
+    f = tb.functions(spark, sf)
+    path = scratch_path(spark, "splits_overwrite")
+    write_splits(build_splits(f, seeds=(10000, 20000)), path)
+    before = spark.read.parquet(path).groupBy("seed", "split").count().collect()
+    # rewrite only the (10000, train) partition with its label-1 rows: every other
+    # (seed, split) partition must be untouched
+    new_train = build_splits(f, seeds=(10000,)).filter((F.col("split") == "train") & (F.col("label") == 1))
+    write_splits(new_train, path)
+    after = {(r["seed"], r["split"]): r["count"] for r in spark.read.parquet(path).groupBy("seed", "split").count().collect()}
+    for r in before:
+        key = (r["seed"], r["split"])
+        assert after[key] == (new_train.count() if key == (10000, "train") else r["count"])
+
+
+def test_ranks_do_not_depend_on_bucket_count(spark):
+    df = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), "id",
+                                  (F.col("id") % 7).cast("double").alias("score"))
+    a = {r["id"]: r["_rank"] for r in hash_rank(df, "k", tiebreak=["id"], hex_digits=3).collect()}
+    b = {r["id"]: r["_rank"] for r in hash_rank(df, "k", tiebreak=["id"], hex_digits=4).collect()}
+    assert a == b
+    c = {r["id"]: r["_rank"] for r in range_rank(spark, df, [F.desc("score"), F.asc("id")], num_buckets=3).collect()}
+    d = {r["id"]: r["_rank"] for r in range_rank(spark, df, [F.desc("score"), F.asc("id")], num_buckets=29).collect()}
+    assert c == d
