@@ -1,5 +1,7 @@
-"""Token and line expressions (C5-C13): built-in array higher-order functions, evaluated
-per row inside whole-stage codegen; no Python in the data path.
+"""Token and line expressions (C5-C13): built-in array higher-order functions evaluated per
+row in the JVM (Spark interprets these lambdas rather than code-generating them); no Python
+in the data path. A lambda must not reference an expression defined outside it -- Spark may
+inline and re-evaluate it per element -- so shared values are bound once with ``_let``.
 
 Token arrays are ``array<string>``; scored tokens are ``array<struct<tok string, v double>>``.
 """

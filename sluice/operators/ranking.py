@@ -12,8 +12,10 @@ a tiny table, turn the counts into offsets, and rank inside each bucket in paral
   are computed in the same task as the sort and persisted to the shared checkpoint folder,
   so they stay fixed when later stages read them (and survive executor loss).
 
-Offsets tables have one row per (group, bucket); their size is checked before they are
-broadcast.
+Offsets tables have one row per bucket (or, with group columns, one row per bucket of a
+group that crosses a bucket boundary -- about two per bucket); their size is checked before
+they are broadcast. Bucket counts follow the data: hex-prefix length from the row count,
+range buckets from the shuffle partitions or a known row count.
 """
 
 from __future__ import annotations
