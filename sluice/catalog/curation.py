@@ -10,6 +10,7 @@ from sluice.oracle import SEEDS10, cte, sql
 from sluice.operators import curate as cu
 from sluice.operators.ranking import hash_rank
 from sluice.plans import splits as sp
+from sluice.session import scratch_path
 from sluice.sources import tables as tb
 
 FUNC_COLS = "func_id, code, label, latent, method, vfc, flaw_line, flaw_line_index"
@@ -30,7 +31,10 @@ def splits1(spark, sf):
 # ------------------------------------------------------------------ sources
 @register("scan_functions", sql(f"SELECT {FUNC_COLS} FROM functions", "functions"))
 def scan_functions(spark, sf):
-    return _f(spark, sf)
+    """The function table stored as a file, scanned back with its declared schema."""
+    path = scratch_path(spark, "function_table")
+    _f(spark, sf).write.parquet(path)
+    return tb.scan_functions(spark, path)
 
 
 def _even_source():
