@@ -32,16 +32,19 @@ def result_frame(scored: DataFrame) -> DataFrame:
                          count_code_lines("code").alias("num_lines"), "flaw_line", "flaw_line_index")
 
 
-def line_statistics(results: DataFrame) -> DataFrame:
-    """A5: total non-blank lines and total flaw lines over the whole test set."""
-    return results.agg(F.coalesce(F.sum("num_lines"), F.lit(0)).cast("long").alias("sum_lines"),
-                       F.coalesce(F.sum("num_flaw_lines"), F.lit(0)).cast("long").alias("sum_flaw_lines"))
+def line_statistics(results: DataFrame, group_cols=()) -> DataFrame:
+    """A5: total non-blank lines and total flaw lines over the whole test set (per group)."""
+    return results.groupBy(*group_cols).agg(
+        F.coalesce(F.sum("num_lines"), F.lit(0)).cast("long").alias("sum_lines"),
+        F.coalesce(F.sum("num_flaw_lines"), F.lit(0)).cast("long").alias("sum_flaw_lines"))
 
 
-def rank_in_function(spark: SparkSession, lines: DataFrame, name: str = "fn_ranks", rows: int | None = None) -> DataFrame:
+def rank_in_function(spark: SparkSession, lines: DataFrame, name: str = "fn_ranks", rows: int | None = None,
+                     group_cols=()) -> DataFrame:
     """0-based position ``rank`` of each line in its function by score descending, ties
     by ascending line index (stable descending sort)."""
-    r = range_rank(spark, lines, [F.desc("score"), F.asc("line_idx")], group_cols=["func_id"], name=name, rows=rows)
+    r = range_rank(spark, lines, [F.desc("score"), F.asc("line_idx")], group_cols=[*group_cols, "func_id"],
+                   name=name, rows=rows)
     return r.withColumn("rank", F.col("_rank") - 1).drop("_rank")
 
 
@@ -50,32 +53,36 @@ def topk_slice(ranked: DataFrame, k) -> DataFrame:
     return ranked.filter(F.col("rank") < k)
 
 
-def ranked_line_parts(results: DataFrame, lines: DataFrame, threshold: float = 0.5) -> DataFrame:
+def ranked_line_parts(results: DataFrame, lines: DataFrame, threshold: float = 0.5, group_cols=()) -> DataFrame:
     """F4 + F5: lines of functions with flaw text, tagged 'pos' when the function's
     probability exceeds the threshold, else 'neg'."""
     funcs = results.filter(has_text("flaw_line")).select(
-        "func_id", F.when(F.col("logits") > F.lit(float(threshold)), "pos").otherwise("neg").alias("part"))
-    return lines.join(funcs, "func_id", "inner")
+        *group_cols, "func_id", F.when(F.col("logits") > F.lit(float(threshold)), "pos").otherwise("neg").alias("part"))
+    return lines.join(funcs, [*group_cols, "func_id"], "inner")
 
 
 def rank_lines_global(spark: SparkSession, parts: DataFrame, neg_ascending: bool = True,
-                      name: str = "line_ranks", rows: int | None = None) -> DataFrame:
+                      name: str = "line_ranks", rows: int | None = None, group_cols=()) -> DataFrame:
     """W4 + U3: ``part_rank`` (1-based) inside each part -- pos by score descending; neg
     ascending for attention scores, else descending; ties by (func_id, line_idx) -- and
-    ``rank`` in the concatenation pos || neg, with the running flaw count ``cum_label``."""
+    ``rank`` in the concatenation pos || neg, with the running flaw count ``cum_label``
+    (per group of ``group_cols``)."""
+    g = list(group_cols)
     key = F.when((F.col("part") == "neg") & F.lit(bool(neg_ascending)), F.col("score")).otherwise(-F.col("score"))
     keyed = parts.withColumn("_key", key)
-    r = range_rank(spark, keyed, [F.col("_key"), F.col("func_id"), F.col("line_idx")], group_cols=["part"],
+    r = range_rank(spark, keyed, [F.col("_key"), F.col("func_id"), F.col("line_idx")], group_cols=[*g, "part"],
                    running=["label"], name=name, rows=rows)
-    # The neg part follows the pos part; offsets come from the two part totals.
-    totals = {row["part"]: (row["n"], row["flaws"]) for row in
-              r.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("flaws")).collect()}
-    pos_n, pos_flaws = totals.get("pos", (0, 0.0))
+    # The neg part follows the pos part; offsets are the pos totals of each group
+    # (one row per group: bounded by the number of groups)
+    pos = r.filter(F.col("part") == "pos").groupBy(*g).agg(F.count(F.lit(1)).alias("_pn"),
+                                                            F.sum("label").cast("double").alias("_pf"))
+    r = r.join(F.broadcast(pos), g, "left") if g else r.crossJoin(F.broadcast(pos))
     is_neg = F.col("part") == "neg"
     return r.select(
         *[c for c in parts.columns], F.col("_rank").alias("part_rank"),
-        (F.col("_rank") + F.when(is_neg, F.lit(int(pos_n))).otherwise(F.lit(0))).alias("rank"),
-        (F.col("cum_label") + F.when(is_neg, F.lit(float(pos_flaws))).otherwise(F.lit(0.0))).alias("cum_label"))
+        (F.col("_rank") + F.when(is_neg, F.coalesce(F.col("_pn"), F.lit(0))).otherwise(F.lit(0))).alias("rank"),
+        (F.col("cum_label") + F.when(is_neg, F.coalesce(F.col("_pf"), F.lit(0.0))).otherwise(F.lit(0.0)))
+        .alias("cum_label"))
 
 
 def effort_at_recall(ranked: DataFrame, sum_lines: int, sum_flaw_lines: int,
@@ -153,17 +160,18 @@ def selected_functions(results: DataFrame, mode: str = "tp", ids: DataFrame | No
 
 def function_line_stats(spark: SparkSession, selected: DataFrame, lines: DataFrame,
                         top_k_locs=TOP_K_LOCS, top_k: int = TOP_K_CONSTANT, name: str = "tp_ranks",
-                        rows: int | None = None) -> DataFrame:
+                        rows: int | None = None, group_cols=()) -> DataFrame:
     """Per selected function with flaw text and flaw index: in-function ranks (W3) of its
     flaw lines -> total lines, flaw lines, first/last/mean flaw rank, flaw lines within the
     top floor(n * p) for each p, and whether the first flaw is in the top ``top_k``.
     ``status`` is 'ok', 'no_flaw_line' (no labelled line) or 'defective' (no flaw text)."""
     ok_text = has_text("flaw_line") & has_text("flaw_line_index")
-    sel = selected.select("func_id", ok_text.alias("_text"))
-    ranked = rank_in_function(spark, lines.join(sel.filter("_text").select("func_id"), "func_id", "left_semi"),
-                              name=name, rows=rows)
+    k = [*group_cols, "func_id"]
+    sel = selected.select(*k, ok_text.alias("_text"))
+    ranked = rank_in_function(spark, lines.join(sel.filter("_text").select(*k), k, "left_semi"),
+                              name=name, rows=rows, group_cols=group_cols)
     lab = F.col("label") == 1
-    per = ranked.groupBy("func_id").agg(
+    per = ranked.groupBy(*k).agg(
         F.count(F.lit(1)).alias("total_lines"),
         F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("num_flaw_lines"),
         F.min(F.when(lab, F.col("rank"))).alias("first_rank"),
@@ -171,28 +179,28 @@ def function_line_stats(spark: SparkSession, selected: DataFrame, lines: DataFra
         F.avg(F.when(lab, F.col("rank").cast("double"))).alias("mean_rank"))
     # top-k% thresholds need each function's line count: join it onto the flaw lines only and
     # count with aggregates (nothing is gathered per function)
-    flaws = ranked.filter(lab).select("func_id", "rank").join(per.select("func_id", "total_lines"), "func_id")
-    correct = flaws.groupBy("func_id").agg(*[
+    flaws = ranked.filter(lab).select(*k, "rank").join(per.select(*k, "total_lines"), k)
+    correct = flaws.groupBy(*k).agg(*[
         F.count_if(F.col("rank") < F.floor(F.col("total_lines") * F.lit(float(p)))).alias(f"correct_{i}")
         for i, p in enumerate(top_k_locs)])
-    per = per.join(correct, "func_id", "left").select(
-        "func_id", "total_lines", "num_flaw_lines", "first_rank", "last_rank", "mean_rank",
+    per = per.join(correct, k, "left").select(
+        *k, "total_lines", "num_flaw_lines", "first_rank", "last_rank", "mean_rank",
         *[F.coalesce(F.col(f"correct_{i}"), F.lit(0)).cast("long").alias(f"correct_{i}")
           for i in range(len(top_k_locs))])
-    out = sel.join(per, "func_id", "left")
+    out = sel.join(per, k, "left")
     status = (F.when(~F.col("_text"), "defective")
               .when(F.coalesce(F.col("num_flaw_lines"), F.lit(0)) == 0, "no_flaw_line").otherwise("ok"))
     return out.withColumn("status", status).withColumn("hit", (F.col("first_rank") < top_k).cast("int")).drop("_text")
 
 
-def explanation_summary(stats: DataFrame, top_k_locs=TOP_K_LOCS) -> DataFrame:
+def explanation_summary(stats: DataFrame, top_k_locs=TOP_K_LOCS, group_cols=()) -> DataFrame:
     """One row of totals and localisation metrics over 'ok' functions."""
     ok = F.col("status") == "ok"
 
     def s(c):
         return F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0))
     n = F.count_if(ok)
-    return stats.agg(
+    return stats.groupBy(*group_cols).agg(
         n.alias("total_function"),
         s("total_lines").cast("long").alias("sum_total_lines"),
         s("num_flaw_lines").cast("long").alias("total_flaw_lines"),
@@ -203,7 +211,7 @@ def explanation_summary(stats: DataFrame, top_k_locs=TOP_K_LOCS) -> DataFrame:
         F.count_if(F.col("status") == "no_flaw_line").alias("na_no_flaw_line"),
         F.count_if(F.col("status") == "defective").alias("na_defective"),
     ).select(
-        "total_function", "sum_total_lines", "total_flaw_lines",
+        *group_cols, "total_function", "sum_total_lines", "total_flaw_lines",
         F.try_divide(F.col("sum_first_rank").cast("double"), F.col("total_function")).alias("ifa"),
         F.try_divide(F.col("top_k_hits").cast("double"), F.col("total_function")).alias("top_k_accuracy"),
         F.try_divide(F.col("sum_last_rank").cast("double"), F.col("sum_total_lines")).alias("total_effort"),

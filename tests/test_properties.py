@@ -137,3 +137,22 @@ def test_ranks_do_not_depend_on_bucket_count(spark):
     c = {r["id"]: r["_rank"] for r in range_rank(spark, df, [F.desc("score"), F.asc("id")], num_buckets=3).collect()}
     d = {r["id"]: r["_rank"] for r in range_rank(spark, df, [F.desc("score"), F.asc("id")], num_buckets=29).collect()}
     assert c == d
+
+
+def test_grouped_line_evaluation_equals_per_group_runs(spark, sf):
+    from sluice.catalog.evaluation import _results
+    from sluice.plans.evaluate import evaluate_lines
+
+    res = _results(spark, sf)
+    lines = tb.line_scores(spark, sf)
+    # group 2: other line scores and other predictions
+    res2 = res.withColumn("logits", 1.0 - F.col("logits")).withColumn("y_preds", 1 - F.col("y_preds"))
+    lines2 = lines.withColumn("score", (F.col("score") * 7) % 1000)
+    per_group = {}
+    for g, (r, ln) in {1: (res, lines), 2: (res2, lines2)}.items():
+        per_group.update({(g, m["metric"]): m["value"] for m in evaluate_lines(spark, r, ln, name=f"pg{g}").collect()})
+    both_r = res.withColumn("g", F.lit(1)).unionByName(res2.withColumn("g", F.lit(2)))
+    both_l = lines.withColumn("g", F.lit(1)).unionByName(lines2.withColumn("g", F.lit(2)))
+    grouped = {(m["g"], m["metric"]): m["value"]
+               for m in evaluate_lines(spark, both_r, both_l, name="grp", group_cols=["g"]).collect()}
+    assert grouped == per_group
