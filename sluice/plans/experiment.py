@@ -49,16 +49,20 @@ def denoise_train(spark: SparkSession, train: DataFrame, val: DataFrame, how: st
 METRIC_SCHEMA = "config string, repeat int, metric string, value double"
 
 
-def _done_cells(spark: SparkSession, out_path: str | None) -> set:
-    if not out_path:
-        return set()
+def _done_cells(spark: SparkSession, metrics_path: str) -> set:
     try:
-        done = spark.read.schema(METRIC_SCHEMA).parquet(out_path).select("config", "repeat").distinct().collect()
+        done = spark.read.schema(METRIC_SCHEMA).parquet(metrics_path).select("config", "repeat").distinct().collect()
     except Exception:  # nothing written yet
         return set()
     return {(r["config"], r["repeat"]) for r in done}
 
 
+def _write_cell(df: DataFrame, path: str) -> None:
+    """Write one (config, repeat) cell; a rerun of an interrupted cell replaces its partition."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("config", "repeat").parquet(path))
+
+
 def run_experiment(spark: SparkSession, f: DataFrame, repeats: int = 10, configs=CONFIGS, grid=(0.01,),
                    method: str = "attention", max_iter: int = mo.EPOCHS, denoise: str | None = None,
                    out_path: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -66,22 +70,23 @@ def run_experiment(spark: SparkSession, f: DataFrame, repeats: int = 10, configs
     result table with -1 for missing metrics. ``denoise`` inserts M5 ('centroid') or M6
     ('predict') before the final fit.
 
-    With ``out_path`` (shared storage) every finished (config, repeat) cell is appended there
-    as soon as it completes, and cells already present are skipped: a restarted driver
-    resumes instead of refitting finished repeats."""
+    Only the model fits loop. Each (config, repeat) appends its function metrics, result frame
+    and line scores to tables under ``out_path`` (shared storage; a private scratch folder when
+    not given); the line-level metrics of all repeats are then one grouped plan (P3 with
+    ``group_cols``). Cells already written are skipped, so a restarted driver resumes."""
+    base = out_path or scratch_path(spark, "experiment")
+    metrics_path, results_path, lines_path = (f"{base}/metrics", f"{base}/results", f"{base}/lines")
     seeds = [10000 * r for r in range(1, repeats + 1)]
     path = scratch_path(spark, "experiment_splits")
     build_splits(f, seeds=seeds).write.partitionBy("seed", "split").parquet(path)
     splits = spark.read.parquet(path)
     # derived once, read by every (config, repeat) iteration
     code = persist_table(spark, f.select("func_id", "code", "flaw_line", "flaw_line_index"), "experiment_code")
-    rows = []
-    done = _done_cells(spark, out_path)
+    done = _done_cells(spark, metrics_path)
     for config, train_split in configs:
         for r, seed in enumerate(seeds, start=1):
             if (config, r) in done:
                 continue
-            cell = []
             part = splits.filter(F.col("seed") == seed)
 
             def take(name):
@@ -90,28 +95,27 @@ def run_experiment(spark: SparkSession, f: DataFrame, repeats: int = 10, configs
             if denoise is not None:
                 train = denoise_train(spark, train, take("val"), denoise, grid, max_iter)
             model, _ = mo.fit_function_classifier(train, take("val"), grid=grid, max_iter=max_iter)
-            test = mo.score_functions(model, take("test")).cache()  # read by every metric below
+            test = mo.score_functions(model, take("test")).cache()  # read by every step below
             fm = me.classification_metrics(test.withColumnRenamed("label", "y_true"), []).first()
-            for m in ("precision", "recall", "f1"):
-                cell.append((config, r, m, float(fm[m])))
-            results = ef.result_frame(test)
+            tag = [F.lit(config).alias("config"), F.lit(r).alias("repeat")]
+            _write_cell(ef.result_frame(test).select(*tag, "*"), results_path)
             tokens = mo.scored_token_arrays(
                 mo.attribute_tokens(spark, model, test.select("func_id", "code"), methods=[method]))
-            lines = lines_from_token_scores(tokens.drop("method"), test)
-            lm = {row["metric"]: row["value"] for row in
-                  evaluate_lines(spark, results, lines, neg_ascending=(method == "attention"),
-                                 name=f"p4_{config}_{r}").collect()}
-            for m in ("effort_at_recall", "recall_at_loc", "ifa", "top_k_accuracy"):
-                if lm.get(m) is not None:
-                    cell.append((config, r, m, float(lm[m])))
-            if out_path:
-                spark.createDataFrame(cell, METRIC_SCHEMA).write.mode("append").parquet(out_path)
-            rows.extend(cell)
+            _write_cell(lines_from_token_scores(tokens.drop("method"), test).select(*tag, "*"), lines_path)
+            # the metrics row marks the cell as complete (written after its results and lines)
+            cell = [(config, r, m, float(fm[m])) for m in ("precision", "recall", "f1")]
+            spark.createDataFrame(cell, METRIC_SCHEMA).write.mode("append").parquet(metrics_path)
             test.unpersist()
-            del model, test, results, tokens, lines
+            del model, test, tokens
             release_unreferenced(spark)
-    if out_path:
-        long = spark.read.schema(METRIC_SCHEMA).parquet(out_path)
-    else:
-        long = spark.createDataFrame(rows, METRIC_SCHEMA)
+    function_metrics = spark.read.schema(METRIC_SCHEMA).parquet(metrics_path)
+    cells = function_metrics.select("config", "repeat").distinct()
+    results = spark.read.parquet(results_path).join(cells, ["config", "repeat"], "left_semi")
+    lines = spark.read.parquet(lines_path).join(cells, ["config", "repeat"], "left_semi")
+    line_metrics = evaluate_lines(spark, results, lines, neg_ascending=(method == "attention"), name="p4",
+                                  group_cols=["config", "repeat"])
+    line_metrics = line_metrics.filter(
+        F.col("metric").isin("effort_at_recall", "recall_at_loc", "ifa", "top_k_accuracy")
+        & F.col("value").isNotNull()).select("config", F.col("repeat").cast("int"), "metric", "value")
+    long = function_metrics.unionByName(line_metrics)
     return long, me.results_wide(long)
