@@ -106,3 +106,35 @@ def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     narrow = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
     mixed = pareto_mix(spark, narrow, F.col("source"), F.col("doc_id"), F.col("words"), MIX_SEED)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+_WORDS13 = r"""doc_words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item_words AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+item_windows AS (SELECT DISTINCT item_id, least(13, len(w)) AS size,
+    array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS win
+  FROM item_words, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM item_windows),
+doc_windows AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS win
+  FROM doc_words, sizes, unnest(range(1, len(w) - size + 2)) AS u(i)),
+hits AS (SELECT d.doc_id, d.size, d.i, b.item_id FROM doc_windows d JOIN item_windows b ON d.size = b.size AND d.win = b.win),
+hit_words AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit
+  FROM (SELECT DISTINCT doc_id, size, i FROM hits), unnest(range(i, i + size)) AS u(p) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(DISTINCT item_id)::BIGINT AS n_items,
+    string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id)"""
+
+
+@query("op10_suffix_array_decontamination", f"""WITH {_WORDS13}
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)""")
+def op10_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document shares with the benchmark."""
+    from sluice.llm.decontaminate import benchmark_matches, contaminated
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = benchmark_matches(spark, docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
