@@ -138,3 +138,15 @@ def op10_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     found = benchmark_matches(spark, docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+
+
+@query("op6_weak_supervision")
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base filter and posterior verdict of every document."""
+    from sluice.llm.rules import base_failed, judged, with_counts
+    from sluice.session import persist_table
+
+    counted = with_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    verdict = judged(spark, persist_table(spark, counted, "rule-counts"))
+    return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                          base_failed().alias("base_failed"), (~base_failed() & F.col("good")).alias("kept"), "p_good")
