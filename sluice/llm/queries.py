@@ -167,3 +167,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_token_files(spark, docs, folder, lambda: PartEncoder.of(model).encode, 1, F.col("doc_id"), F.col("text"))
     read = with_start(read_token_files(spark, folder, crc32, "ids_crc32 long"), index)
     return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32", "file")
+
+
+@query("op3_overlap_token_counts")
+def op3_overlap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    import public_tokenizers
+
+    from sluice.llm.token_counts import with_token_counts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
