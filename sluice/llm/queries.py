@@ -178,3 +178,13 @@ def op3_overlap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return with_token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+@query("op5_co_training_quality")
+def op5_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities and verdict of every document, from the labels."""
+    from sluice.llm.quality import fit_quality, scored
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    models = fit_quality(spark, docs, table(spark, sf_dir, "labels"))
+    return scored(spark, docs, models).select("doc_id", "p_good", "p_clean", "score", (F.col("score") >= 0.5).alias("kept"))
