@@ -188,3 +188,12 @@ def op5_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     models = fit_quality(spark, docs, table(spark, sf_dir, "labels"))
     return scored(spark, docs, models).select("doc_id", "p_good", "p_clean", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
+@query("op4_signature_tree_jaccard")
+def op4_signature_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose three-word shingle sets are nine tenths alike."""
+    from sluice.llm.jaccard import similar_documents
+
+    found = similar_documents(spark, table(spark, sf_dir, "documents"), k=3, num=9, den=10)
+    return found.withColumnRenamed("id", "doc_id")
