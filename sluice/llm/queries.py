@@ -157,15 +157,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written, read back whole and digested."""
     import public_tokenizers
 
-    from sluice.llm.token_files import crc32, read_token_files, with_start, write_token_files
-    from sluice.llm.tokenizers_cached import PartEncoder
+    from sluice.llm.token_files import crc32, read_token_files, write_token_files
+    from sluice.llm.tokenizers_cached import UnitEncoder
     from sluice.session import scratch_path
 
     model = public_tokenizers.path("word_bpe_49k.json")
     folder = scratch_path(spark, "token-files")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = write_token_files(spark, docs, folder, lambda: PartEncoder.of(model).encode, 1, F.col("doc_id"), F.col("text"))
-    read = with_start(read_token_files(spark, folder, crc32, "ids_crc32 long"), index)
+    write_token_files(spark, docs, folder, lambda: UnitEncoder.of(model).encode, 1, F.col("doc_id"), F.col("text"))
+    read = read_token_files(spark, folder, crc32, "ids_crc32 long")
     return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32", "file")
 
 

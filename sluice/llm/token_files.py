@@ -233,7 +233,7 @@ def write_token_files(spark: SparkSession, df: DataFrame, folder: str, encoder:
 def _reader(folder: str, digest: Callable[[Iterator[np.ndarray]], dict], fields: list[str], schema: pa.Schema):
     def run(batches):
         for batch in batches:
-            for name, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, before, wanted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 f = TokenFile(folder, name)
                 rows = range(len(f.keys)) if wanted is None else f.rows(wanted)
                 for lo in range(0, len(rows), 1000):
@@ -241,39 +241,36 @@ def _reader(folder: str, digest: Callable[[Iterator[np.ndarray]], dict], fields:
                     out = [digest(f.pieces(r)) for r in part]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([name] * len(part)), pa.array(f.keys[part], pa.int64()),
-                         pa.array(f.starts[part], pa.int64()), pa.array(f.counts[part], pa.int64()),
+                         pa.array(before + f.starts[part], pa.int64()), pa.array(f.counts[part], pa.int64()),
                          *[pa.array([o[c] for o in out], schema.field(c).type) for c in fields]], schema=schema)
                 f.close()
     return run
 
 
 def read_token_files(spark: SparkSession, folder: str, digest: Callable, extra: str, wanted: DataFrame | None = None) -> DataFrame:
-    """Documents read back from the files: file, key, file_start, n_tokens and what ``digest`` makes
-    of the frame pieces of a document (a dict with the columns of the DDL string ``extra``).
-    ``wanted`` (column key) names documents; only files and frames that hold one are read."""
+    """Documents read back from the files: file, key, start (ids of all documents before it), n_tokens
+    and what ``digest`` makes of the frame pieces of a document (a dict with the columns of the
+    DDL string ``extra``). ``wanted`` (column key) names documents; only files and frames that
+    hold one are read."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     index = spark.read.parquet(f"{folder}/index.parquet")
+    files = index.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # one row a file
+    jobs = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
     if wanted is None:
-        jobs = index.select("file").distinct().withColumn("wanted", F.lit(None).cast("array<long>"))
+        jobs = jobs.withColumn("wanted", F.lit(None).cast("array<long>"))
     else:
-        jobs = index.join(wanted.select("key").distinct(), "key", "left_semi")
-        jobs = jobs.groupBy("file").agg(F.collect_list("key").alias("wanted"))  # at most a file's documents
-    schema = StructType.fromDDL(f"{TABLE}, {extra}")
+        held = index.join(wanted.select("key").distinct(), "key", "left_semi")
+        # at most a file's documents
+        jobs = jobs.join(held.groupBy("file").agg(F.collect_list("key").alias("wanted")), "file")
+    schema = StructType.fromDDL(f"file string, key long, start long, n_tokens long, {extra}")
     fields = StructType.fromDDL(extra).names
     # a file is one job: deal them evenly
-    jobs = jobs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
+    jobs = jobs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return jobs.mapInArrow(_reader(folder, digest, fields, to_arrow_schema(schema)), schema)
 
 
-def with_start(read: DataFrame, index: DataFrame) -> DataFrame:
-    """``read`` with ``start``: the ids of all documents in earlier files or earlier in the file."""
-    per_file = index.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = per_file.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-    return read.join(before, "file").withColumn("start", F.col("before") + F.col("file_start")).drop("before")
-
-
 def crc32(pieces: Iterator[np.ndarray]) -> dict:
     value = 0
     for p in pieces:
