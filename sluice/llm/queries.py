@@ -197,3 +197,11 @@ def op4_signature_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = similar_documents(spark, table(spark, sf_dir, "documents"), k=3, num=9, den=10)
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op2_suffix_array_dedup")
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to strings of 200 bytes that occur elsewhere."""
+    from sluice.llm.suffix_dedup import without_repeats
+
+    return without_repeats(spark, table(spark, sf_dir, "documents"), kept=False).withColumnRenamed("id", "doc_id")
