@@ -205,3 +205,15 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.suffix_dedup import without_repeats
 
     return without_repeats(spark, table(spark, sf_dir, "documents"), kept=False).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_context_mixing")
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document; four fifths of the documents, by checksum of the id, are
+    learned from."""
+    from sluice.llm.context_mixing import text_scores
+
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5
+    found = text_scores(spark, table(spark, sf_dir, "documents"), fold != 1)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("trained")).alias("held_out"), "n_tokens", "n_known",
+                        "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
