@@ -236,9 +236,8 @@ def spell(model: Model | Learner, code: Code, data: np.ndarray, at: np.ndarray)
             gained[place[rare]] += np.add.reduceat(spelled, stop - sizes + 1)
     if not scoring:
         return None
-    upto = np.append(0, np.cumsum(gained))
     begin = np.append(0, ends[:-1] + 1)
-    return upto[ends + 1] - upto[begin], ends + 1 - begin, word_symbol, word, doc, first
+    return np.add.reduceat(gained, begin), ends + 1 - begin, word_symbol, word, doc, first
 
 
 def _word_counts(batches):
