@@ -132,7 +132,12 @@ def softmax_prob_q(spark, sf):
 
 
 @register("python_round", sql("""
-SELECT func_id, round_even(num_flaw_lines::DOUBLE / num_lines, 4) AS flaw_share FROM results WHERE num_lines > 0""",
+SELECT func_id, (whole + CASE WHEN hi - whole > 0.5::DOUBLE OR (hi - whole = 0.5::DOUBLE AND (err > 0 OR (err = 0 AND whole % 2 = 1)))
+    THEN 1 ELSE 0 END) / 10000::DOUBLE AS flaw_share
+FROM (SELECT *, ((xh * 10000 - hi) + xl * 10000) AS err, floor(hi) AS whole
+      FROM (SELECT *, x - xh AS xl
+            FROM (SELECT func_id, x, x * 10000::DOUBLE AS hi, 134217729::DOUBLE * x - (134217729::DOUBLE * x - x) AS xh
+                  FROM (SELECT func_id, num_flaw_lines::DOUBLE / num_lines AS x FROM results WHERE num_lines > 0))))""",
                               "results"))
 def python_round(spark, sf):
     r = _results(spark, sf).filter(F.col("num_lines") > 0)

@@ -10,7 +10,7 @@ from sluice.catalog.evaluation import _results
 from sluice.functions import tokens as tk
 from sluice.functions.code import (count_code_lines, count_flaw_lines, flaw_line_numbers, has_text,
                                    split_flaw_lines)
-from sluice.oracle import cte, sql
+from sluice.oracle import CTES, cte, sql
 from sluice.operators import effort as ef
 from sluice.session import persist_table
 from sluice.sources import tables as tb
@@ -66,70 +66,84 @@ def line_statistics(spark, sf):
     return ef.line_statistics(_results(spark, sf))
 
 
+cte("tok_all", f"""
+SELECT *, list_concat(list_concat(['<s>'], body), ['</s>']) AS toks
+FROM (SELECT func_id, flaw_line, list_transform(regexp_extract_all(code, '{PATTERN_SQL}'),
+        lambda t: CASE WHEN t = chr(10) THEN 'Ċ' WHEN t = chr(9) THEN 'ĉ' ELSE t END) AS body FROM functions)""", "functions")
+ALL_LINES = {"flines": CTES["flines"][0].replace("FROM functions WHERE latent=0", "FROM functions")}
+
+
 @register("label_lines", sql("""
 SELECT func_id, line_idx,
        list_contains(CASE WHEN f.flaw_line_index IS NULL THEN []::INTEGER[] ELSE list_transform(
            list_filter(string_split(f.flaw_line_index, ','), lambda x: trim(x) <> ''),
            lambda x: trim(x)::INTEGER) END, line_no)::INTEGER AS label
-FROM flines JOIN functions f USING (func_id)""", "flines", "functions"))
+FROM flines JOIN functions f USING (func_id)""", "flines", "functions", overrides=ALL_LINES))
 def label_lines(spark, sf):
-    """A line is a flaw line when its 1-based number is listed in the flaw index."""
-    f = _f(spark, sf).filter(F.col("latent") == 0)
-    lines = tb.lines_of(f.withColumn("_nums", flaw_line_numbers("flaw_line_index")), extra=("_nums",))
-    return lines.select("func_id", "line_idx", F.array_contains("_nums", F.col("line_no")).cast("int").alias("label"))
+    """A line is a flaw line when its 1-based number is listed in the flaw index. The listed
+    numbers are joined to the lines, so no line carries the list."""
+    f = _f(spark, sf)
+    lines = tb.lines_of(f)
+    numbers = f.select("func_id", F.explode(F.array_distinct(flaw_line_numbers("flaw_line_index"))).alias("line_no"))
+    listed = lines.join(numbers.withColumn("_listed", F.lit(1)), ["func_id", "line_no"], "left")
+    return listed.select("func_id", "line_idx", F.coalesce("_listed", F.lit(0)).alias("label"))
 
 
 # ------------------------------------------------------------------ attention
 def attention_table(spark, sf):
-    """Attention weights (func_id, head, q, k, w) of the first layer for every non-latent
-    function: two heads over the first four query/key positions."""
-    f = _f(spark, sf).filter(F.col("latent") == 0).select("func_id")
-    r = F.sequence(F.lit(0), F.lit(3))
-    a = f.select("func_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("head")) \
-         .select("func_id", "head", F.explode(r).alias("q")) \
-         .select("func_id", "head", "q", F.explode(r).alias("k"))
-    return a.withColumn("w", (F.col("func_id") * 7 + F.col("head") * 5 + F.col("q") * 3 + F.col("k")) % 11)
+    """Attention weights (func_id, head, q, k, w) of two heads over all tokens of each text, every
+    token looking at itself and at the next one; the weight comes from the two tokens' lengths."""
+    sizes = F.transform(tk.tokenize("code"), lambda t: F.length(t))
+    f = _f(spark, sf).select("func_id", sizes.alias("own")).select("func_id", "own", F.concat(
+        F.slice("own", 2, F.greatest(F.size("own") - 1, F.lit(0))), F.array(F.lit(None).cast("int"))).alias("following"))
+    pairs = f.select("func_id", F.posexplode(F.arrays_zip("own", "following")).alias("q", "s"))
+    looks = F.array(F.struct(F.col("q").alias("k"), F.col("s.own").alias("seen")),
+                    F.struct((F.col("q") + 1).alias("k"), F.col("s.following").alias("seen")))
+    a = pairs.select("func_id", "q", F.col("s.own").alias("own"), F.inline(looks)).filter("own is not null and seen is not null")
+    a = a.withColumn("head", F.explode(F.array(F.lit(0), F.lit(1))))
+    return a.select("func_id", "head", "q", "k", ((F.col("own") * 7 + F.col("head") * 5 + F.col("seen")) % 11).alias("w"))
+
+
+cte("tok_sizes", """
+SELECT func_id, (i - 1)::INTEGER AS q, len(body[i]) AS own, len(body[i + 1]) AS following
+FROM tok_all, unnest(range(1, len(body) + 1)) AS u(i)""", "tok_all")
 
 
 @register("attention_received", sql("""
-SELECT func_id, k, sum((func_id*7 + head*5 + q*3 + k) % 11)::BIGINT AS score
-FROM (SELECT func_id FROM functions WHERE latent=0) f,
-     (SELECT unnest(range(0,2))::INTEGER AS head) h, (SELECT unnest(range(0,4))::INTEGER AS q) qq,
-     (SELECT unnest(range(0,4))::INTEGER AS k) kk
-GROUP BY func_id, k""", "functions"))
+SELECT func_id, k, sum((own * 7 + head * 5 + seen) % 11)::BIGINT AS score FROM (
+  SELECT func_id, q AS k, own, own AS seen FROM tok_sizes
+  UNION ALL SELECT func_id, q + 1, own, following FROM tok_sizes WHERE following IS NOT NULL),
+  (SELECT unnest(range(0, 2))::INTEGER AS head) h
+GROUP BY func_id, k""", "tok_sizes"))
 def attention_received(spark, sf):
     """Attention received per token position, summed over heads and query positions."""
     return attention_table(spark, sf).groupBy("func_id", "k").agg(F.sum("w").cast("long").alias("score"))
 
 
 # ------------------------------------------------------------------ tokens
-cte("tok512", f"""
-SELECT func_id, flaw_line, list_concat(framed, list_transform(range(512 - len(framed)), lambda x: '<pad>')) AS toks
-FROM (SELECT func_id, flaw_line, list_concat(['<s>'], list_slice(list_transform(
-          regexp_extract_all(code, '{PATTERN_SQL}'),
-          lambda t: CASE WHEN t = chr(10) THEN 'Ċ' WHEN t = chr(9) THEN 'ĉ' ELSE t END), 1, 510), ['</s>']) AS framed
-      FROM functions)""", "functions")
-
-
-def _tok512(spark, sf):
-    return _f(spark, sf).select("func_id", "flaw_line", tk.tokenize_pad("code").alias("toks"))
+def _tokens(spark, sf):
+    return _f(spark, sf).select("func_id", "flaw_line", tk.framed_tokens("code").alias("toks"))
 
 
 @register("tokenize_pad", sql("""
-SELECT func_id, len(toks)::INTEGER AS n_tokens, len(list_filter(toks, lambda t: t = '<pad>'))::INTEGER AS n_pad,
-       array_to_string(toks, ' ') AS tokens FROM tok512""", "tok512"))
+SELECT func_id, b::INTEGER AS block_idx, 512 AS n_tokens, (510 - len(part))::INTEGER AS n_pad,
+       array_to_string(list_concat(list_concat(['<s>'], part),
+           list_concat(['</s>'], list_transform(range(510 - len(part)), lambda x: '<pad>'))), ' ') AS tokens
+FROM (SELECT func_id, b, body[b * 510 + 1 : b * 510 + 510] AS part
+      FROM tok_all, unnest(range(greatest(1, (len(body) + 509) // 510))) AS u(b))""", "tok_all"))
 def tokenize_pad(spark, sf):
-    t = _tok512(spark, sf)
-    return t.select("func_id", F.size("toks").alias("n_tokens"),
-                    F.size(F.filter("toks", lambda x: x == tk.PAD)).alias("n_pad"),
-                    F.array_join("toks", " ").alias("tokens"))
+    """Every text in blocks of 512 tokens, framing and padding included."""
+    t = tk.token_blocks(_f(spark, sf))
+    return t.select("func_id", "block_idx", F.size("tokens").alias("n_tokens"),
+                    F.size(F.filter("tokens", lambda x: x == tk.PAD)).alias("n_pad"),
+                    F.array_join("tokens", " ").alias("tokens"))
 
 
 @register("normalise_tokens", sql("""
 SELECT func_id, array_to_string(list_transform(toks, lambda t: replace(replace(t, 'Ġ', ''), 'ĉ', 'Ċ')), ' ') AS tokens
-FROM tok512""", "tok512"))
+FROM tok_all""", "tok_all"))
 def normalise_tokens(spark, sf):
-    return _tok512(spark, sf).select("func_id", F.array_join(tk.normalise_tokens("toks"), " ").alias("tokens"))
+    return _tokens(spark, sf).select("func_id", F.array_join(tk.normalise_tokens("toks"), " ").alias("tokens"))
 
 
 cte("flaw_encoded", f"""
@@ -153,38 +167,38 @@ SELECT t.func_id, len(e.enc)::INTEGER AS n_flaw_lines,
         THEN len(e.enc)
         ELSE list_position(list_transform(e.enc, lambda x: contains(array_to_string(t.toks, ''), x)), false) - 1
    END)::INTEGER AS n_verified
-FROM tok512 t JOIN (SELECT func_id, list(encoded ORDER BY part_idx) AS enc FROM flaw_encoded GROUP BY func_id) e
+FROM tok_all t JOIN (SELECT func_id, list(encoded ORDER BY part_idx) AS enc FROM flaw_encoded GROUP BY func_id) e
   USING (func_id)
-WHERE t.flaw_line <> ''""", "tok512", "flaw_encoded"))
+WHERE t.flaw_line <> ''""", "tok_all", "flaw_encoded"))
 def verify_flaw_lines(spark, sf):
-    t = _tok512(spark, sf).filter(has_text("flaw_line"))
+    t = _tokens(spark, sf).filter(has_text("flaw_line"))
     t = t.withColumn("_enc", tk.encode_flaw_lines(split_flaw_lines("flaw_line"))).withColumn("_text", tk.token_text("toks"))
     v = tk.verify_flaw_lines("_enc", "_text")
     return t.select("func_id", F.size("_enc").alias("n_flaw_lines"), F.size(v).alias("n_verified"))
 
 
 @register("drop_special_tokens", sql("""
-SELECT func_id, len(list_filter(toks, lambda t: t NOT IN ('<s>', '</s>', '<unk>', '<pad>')))::INTEGER AS n_tokens
-FROM tok512""", "tok512"))
+SELECT func_id, array_to_string(list_filter(toks, lambda t: t NOT IN ('<s>', '</s>', '<unk>', '<pad>')), ' ') AS tokens
+FROM tok_all""", "tok_all"))
 def drop_special_tokens(spark, sf):
-    t = _tok512(spark, sf)
+    t = _tokens(spark, sf)
     scored = tk.zip_token_scores(F.col("toks"), F.transform("toks", lambda x: F.length(x).cast("double")))
-    return t.select("func_id", F.size(tk.drop_special_tokens(scored)).alias("n_tokens"))
+    return t.select("func_id", F.array_join(F.transform(tk.drop_special_tokens(scored), lambda e: e["tok"]), " ").alias("tokens"))
 
 
 @register("zip_token_scores", sql("""
-SELECT func_id, len(toks)::INTEGER AS n_pairs, list_sum(list_transform(toks, lambda t: length(t)))::DOUBLE AS sum_v
-FROM tok512""", "tok512"))
+SELECT func_id, array_to_string(list_transform(toks, lambda t: t || ':' || length(t)::VARCHAR), ' ') AS pairs FROM tok_all""",
+                                   "tok_all"))
 def zip_token_scores(spark, sf):
-    t = _tok512(spark, sf)
+    t = _tokens(spark, sf)
     z = tk.zip_token_scores(F.col("toks"), F.transform("toks", lambda x: F.length(x).cast("double")))
-    return t.select("func_id", F.size(z).alias("n_pairs"),
-                    F.aggregate(z, F.lit(0.0), lambda acc, e: acc + e["v"]).alias("sum_v"))
+    pairs = F.transform(z, lambda e: F.concat(e["tok"], F.lit(":"), e["v"].cast("int").cast("string")))
+    return t.select("func_id", F.array_join(pairs, " ").alias("pairs"))
 
 
 # ------------------------------------------------------------------ scored tokens
 def _token_scores(spark, sf):
-    return tb.token_scores(spark, sf)
+    return tb.token_scores(spark, sf, test_set=False)
 
 
 def _space_tokenize(text):
@@ -216,7 +230,7 @@ SELECT func_id, line_idx, (length(replace(line, ' ', '')) + 1)::DOUBLE AS score,
 FROM (SELECT func_id, f_label, line_idx, ls[line_no] AS line FROM flines)""", "flines")
 
 
-@register("segment_line_scores", sql("SELECT * FROM fold_lines", "fold_lines"))
+@register("segment_line_scores", sql("SELECT * FROM fold_lines", "fold_lines", overrides=ALL_LINES))
 def segment_line_scores(spark, sf):
     return fold_lines(_token_scores(spark, sf))
 
@@ -225,7 +239,7 @@ def segment_line_scores(spark, sf):
 SELECT func_id, (length(replace(code, ' ', '')) + 1)::DOUBLE AS total,
        (list_sum(list_transform(string_split(code, chr(10)),
             lambda l: len(list_filter(string_split(l, ' '), lambda t: t <> '')) + 1)) + 0)::INTEGER AS n_nonzero
-FROM functions WHERE latent = 0""", "functions"))
+FROM functions""", "functions"))
 def zero_special_tokens(spark, sf):
     """C10 on attention-style values: <s> and </s> carry values that are zeroed (padding mode)."""
     ts = _token_scores(spark, sf)
@@ -243,7 +257,7 @@ SELECT func_id, sqrt(ss) AS norm, mx / sqrt(ss) AS max_score FROM (
   FROM (SELECT func_id, flatten(list_transform(string_split(code, chr(10)),
           lambda l: list_concat(list_transform(list_filter(string_split(l, ' '), lambda t: t <> ''),
                                                lambda t: length(t)::DOUBLE), [1.0::DOUBLE]))) AS v
-        FROM functions WHERE latent = 0))""", "functions"))
+        FROM functions))""", "functions"))
 def normalise_attributions(spark, sf):
     ts = _token_scores(spark, sf)
     v = ts.select("func_id", F.transform("tokens", lambda e: e["v"]).alias("_v"))
@@ -254,16 +268,16 @@ def normalise_attributions(spark, sf):
 # ------------------------------------------------------------------ per-function ranks
 @register("rank_lines_in_function", sql("""
 SELECT func_id, line_idx, row_number() OVER (PARTITION BY func_id ORDER BY score DESC, line_idx) - 1 AS rank
-FROM line_scores""", "line_scores"))
+FROM line_scores""", "line_scores", overrides=ALL_LINES))
 def rank_lines_in_function(spark, sf):
-    r = ef.rank_in_function(spark, tb.line_scores(spark, sf))
+    r = ef.rank_in_function(spark, tb.line_scores(spark, sf, test_set=False))
     return r.select("func_id", "line_idx", "rank")
 
 
 @register("topk_slice", sql("""
 SELECT * FROM (SELECT func_id, line_idx,
                       row_number() OVER (PARTITION BY func_id ORDER BY score DESC, line_idx) - 1 AS rank
-               FROM line_scores) WHERE rank < 10""", "line_scores"))
+               FROM line_scores) WHERE rank < 10""", "line_scores", overrides=ALL_LINES))
 def topk_slice(spark, sf):
-    r = ef.rank_in_function(spark, tb.line_scores(spark, sf))
+    r = ef.rank_in_function(spark, tb.line_scores(spark, sf, test_set=False))
     return ef.topk_slice(r, ef.TOP_K_CONSTANT).select("func_id", "line_idx", "rank")

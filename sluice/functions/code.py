@@ -116,5 +116,21 @@ def threshold_predict(prob="prob", threshold: float = 0.5) -> Column:
 
 
 def report_round(x, digits: int) -> Column:
-    """C17: rounding applied only at the reporting edge (half-even on the decimal value)."""
-    return F.bround(_c(x), digits)
+    """C17: Python's ``round`` of a double to ``digits`` places (0 to 15), applied at the reporting
+    edge: the exact binary value is rounded, halves to even. ``x * 10^digits`` is computed as a
+    double together with its exact error (products of split halves), which decides when the
+    double lands on a half."""
+    x = _c(x).cast("double")
+    scale = float(10 ** digits)
+    split = 134217729.0  # 2^27 + 1 cuts a double into two halves whose products are exact
+    scale_hi = split * scale - (split * scale - scale)
+    scale_lo = scale - scale_hi
+    hi = x * scale
+    x_hi = split * x - (split * x - x)
+    x_lo = x - x_hi
+    error = ((x_hi * scale_hi - hi) + x_hi * scale_lo + x_lo * scale_hi) + x_lo * scale_lo
+    whole = F.floor(hi).cast("double")
+    part = hi - whole
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(whole, F.lit(2.0)) == 1))))
+    rounded = (whole + F.when(up, 1.0).otherwise(0.0)) / scale
+    return F.when(F.abs(hi) < float(2 ** 52), rounded).otherwise(x)

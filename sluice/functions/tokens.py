@@ -8,7 +8,7 @@ Token arrays are ``array<string>``; scored tokens are ``array<struct<tok string,
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Special tokens and markers of the subword vocabulary the reference uses.
@@ -36,11 +36,23 @@ def tokenize(text) -> Column:
                        .when(t == "\t", F.lit(TAB_MARK)).otherwise(t))
 
 
-def tokenize_pad(text, block_size: int = BLOCK_SIZE) -> Column:
-    """Tokens truncated to block_size - 2, wrapped in <s> ... </s>, padded to block_size."""
-    body = F.slice(tokenize(text), 1, block_size - 2)
-    framed = F.concat(F.array(F.lit(BOS)), body, F.array(F.lit(EOS)))
-    return F.concat(framed, F.array_repeat(F.lit(PAD), F.lit(block_size) - F.size(framed)))
+def framed_tokens(text) -> Column:
+    """All tokens of a text between <s> and </s>."""
+    return F.concat(F.array(F.lit(BOS)), tokenize(text), F.array(F.lit(EOS)))
+
+
+def token_blocks(df: DataFrame, key: str = "func_id", text: str = "code", block_size: int = BLOCK_SIZE) -> DataFrame:
+    """(key, block_idx, tokens): consecutive runs of block_size - 2 tokens, each wrapped in
+    <s> ... </s> and padded to block_size. Block 0 is what a model of that block size sees; the
+    later blocks hold the rest of the text. A text without tokens has one block of padding."""
+    body = block_size - 2
+    each = df.select(key, F.posexplode_outer(tokenize(text)).alias("_at", "_tok"))
+    each = each.withColumn("block_idx", F.coalesce(F.floor(F.col("_at") / body), F.lit(0)).cast("int"))
+    blocks = each.groupBy(key, "block_idx").agg(  # a block holds at most block_size - 2 tokens
+        F.array_sort(F.collect_list(F.when(F.col("_tok").isNotNull(), F.struct("_at", "_tok")))).alias("_s"))
+    framed = F.concat(F.array(F.lit(BOS)), F.transform("_s", lambda e: e["_tok"]), F.array(F.lit(EOS)))
+    padding = F.array_repeat(F.lit(PAD), F.lit(body) - F.size("_s"))
+    return blocks.select(key, "block_idx", F.concat(framed, padding).alias("tokens"))
 
 
 def normalise_tokens(tokens) -> Column:
@@ -64,7 +76,7 @@ def token_text(all_tokens) -> Column:
 
 def verify_flaw_lines(encoded, joined_text) -> Column:
     """Keep encoded flaw lines, in order, up to the first one not contained in the
-    concatenated (truncated) token text ``joined_text`` (see ``token_text``)."""
+    concatenated token text ``joined_text`` (see ``token_text``)."""
     joined = _c(joined_text)
     enc = _c(encoded)
     found = F.transform(enc, lambda x: F.instr(joined, x) > 0)

@@ -8,9 +8,9 @@ a tiny table, turn the counts into offsets, and rank inside each bucket in paral
   a key prefix, so the bucketing is a pure expression: no sampling, no persisted copy.
 * ``range_rank`` -- for arbitrary sort keys (scores with hot values). Buckets come from a
   range exchange, which samples the *full* composite key, so a score value shared by a
-  third of all rows is still split by its tie-breakers. Bucket ids and in-bucket positions
-  are computed in the same task as the sort and persisted to the shared checkpoint folder,
-  so they stay fixed when later stages read them (and survive executor loss).
+  third of all rows is still split by its tie-breakers. The sorted rows are written to the
+  shared checkpoint folder with their bucket and place, so both stay fixed when later stages
+  read them (and survive executor loss); positions and running sums are windows over a bucket.
 
 Offsets tables have one row per bucket (or, with group columns, one row per bucket of a
 group that crosses a bucket boundary -- about two per bucket); their size is checked before
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sluice.session import scratch_path
 
@@ -35,15 +34,20 @@ def hex_digits_for(rows: int, groups: int = 1, rows_per_bucket: int = ROWS_PER_B
     """Hex prefix length so that each (group, prefix) bucket of a uniform hex key holds about
     ``rows_per_bucket`` rows at most (at least 3 digits = 4096 buckets)."""
     digits = 3
-    while rows / max(groups, 1) / (16 ** digits) > rows_per_bucket and digits < 8:
+    while rows / max(groups, 1) / (16 ** digits) > rows_per_bucket:
         digits += 1
     return digits
 
 
-def _join_offsets(df: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
+def _join_offsets(df: DataFrame, offsets: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, NULL groups matching each other."""
     n = offsets.count()
-    side = F.broadcast(offsets) if n <= MAX_BROADCAST_ROWS else offsets
-    return df.join(side, keys, "inner")
+    side = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in keys], *[c for c in offsets.columns if c not in keys])
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    joined = df.join(F.broadcast(side) if n <= MAX_BROADCAST_ROWS else side, on, how)
+    return joined.drop(*[f"_o_{c}" for c in keys])
 
 
 def _offsets(stats: DataFrame, group_cols: list[str], sums: dict[str, str]) -> DataFrame:
@@ -60,65 +64,21 @@ def _offsets(stats: DataFrame, group_cols: list[str], sums: dict[str, str]) -> D
 def hash_rank(df: DataFrame, key: str, group_cols: list[str] | None = None, tiebreak: list[str] | None = None,
               hex_digits: int = 3) -> DataFrame:
     """1-based rank ``_rank`` of each row within its group by ascending hex ``key`` (then
-    ``tiebreak``), and the group size ``_group_n``."""
+    ``tiebreak``), and the group size ``_group_n``. Rows with a NULL key rank last; NULL group
+    values form a group. At most 15 digits (a bigint) are used for the bucket."""
     group_cols = list(group_cols or [])
     tiebreak = list(tiebreak or [])
-    b = df.withColumn("_b", F.conv(F.substring(F.col(key), 1, hex_digits), 16, 10).cast("int"))
+    hex_digits = min(hex_digits, 15)
+    prefix = F.conv(F.substring(F.col(key), 1, hex_digits), 16, 10).cast("bigint")
+    b = df.withColumn("_b", F.coalesce(prefix, F.lit(16 ** hex_digits).cast("bigint")))
     stats = b.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
     offsets = _offsets(stats, group_cols, {}).checkpoint()
-    w = Window.partitionBy(*group_cols, "_b").orderBy(F.col(key), *[F.col(c) for c in tiebreak])
+    w = Window.partitionBy(*group_cols, "_b").orderBy(F.col(key).asc_nulls_last(), *[F.col(c) for c in tiebreak])
     ranked = b.withColumn("_rn", F.row_number().over(w))
     out = _join_offsets(ranked, offsets, group_cols + ["_b"])
     return out.withColumn("_rank", F.col("_off_n") + F.col("_rn")).drop("_b", "_rn", "_off_n")
 
 
-def _local_scan(group_cols: list[str], running: list[str]):
-    """Per-partition positions and inclusive running sums over rows already sorted by
-    (group_cols, order); groups are contiguous runs that may span Arrow batches."""
-    import numpy as np
-    import pandas as pd
-
-    def fn(batches):
-        last_key = None
-        carry_pos = 0
-        carry = {c: 0.0 for c in running}
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            new = np.zeros(len(pdf), dtype=bool)
-            first_new = last_key is None
-            for i, c in enumerate(group_cols):
-                s = pdf[c]
-                prev = s.shift(1)
-                # a change of value; two nulls in a row are the same group
-                changed = (s != prev) & ~(s.isna() & prev.isna())
-                new[1:] |= changed.to_numpy()[1:]
-                if last_key is not None:
-                    v0, k0 = s.iloc[0], last_key[i]
-                    if not ((pd.isna(v0) and pd.isna(k0)) or v0 == k0):
-                        first_new = True
-            if not group_cols and last_key is None:
-                first_new = True
-            new[0] = first_new
-            run = np.cumsum(new)  # run 0 continues the previous batch when not first_new
-            run_s = pd.Series(run, index=pdf.index)
-            pos = run_s.groupby(run).cumcount().to_numpy().astype("int64")
-            cont = run == 0
-            pos[cont] += carry_pos
-            pdf["_pos"] = pos
-            for c in running:
-                v = pdf[c].astype("float64").fillna(0.0)
-                cs = v.groupby(run).cumsum().to_numpy()
-                cs[cont] += carry[c]
-                pdf[f"_cum_{c}"] = cs
-            carry_pos = int(pos[-1]) + 1
-            for c in running:
-                carry[c] = float(pdf[f"_cum_{c}"].iloc[-1])
-            last_key = tuple(pdf[c].iloc[-1] for c in group_cols) if group_cols else ()
-            yield pdf
-    return fn
-
-
 def range_rank(spark: SparkSession, df: DataFrame, order: list[Column], group_cols: list[str] | None = None,
                running: list[str] | None = None, num_buckets: int | None = None, totals: bool = False,
                name: str = "ranked", rows: int | None = None) -> DataFrame:
@@ -140,31 +100,32 @@ def range_rank(spark: SparkSession, df: DataFrame, order: list[Column], group_co
         # caller knows the row count (e.g. of a persisted input) and buckets would be too big
         base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
         num_buckets = max(base, -(-rows // ROWS_PER_BUCKET)) if rows else base
-    nb = num_buckets
     sort_keys = [F.col(c) for c in group_cols] + list(order)
-    staged = (df.repartitionByRange(nb, *sort_keys)
+    staged = (df.repartitionByRange(num_buckets, *sort_keys)
                 .sortWithinPartitions(*sort_keys)
-                .withColumn("_b", F.spark_partition_id()))
-    # a fresh StructType: DataFrame.schema is cached and must not be mutated
-    extra = [T.StructField("_pos", T.LongType())] + [T.StructField(f"_cum_{c}", T.DoubleType()) for c in running]
-    schema = T.StructType(list(staged.schema.fields) + extra)
-    local = staged.mapInPandas(_local_scan(group_cols, running), schema)
+                .withColumn("_b", F.spark_partition_id())
+                .withColumn("_at", F.monotonically_increasing_id()))
     path = scratch_path(spark, name)
-    local.write.parquet(path)
+    staged.write.parquet(path)
     fixed = spark.read.parquet(path)
+    # rows of a bucket in the order in which its task sorted them
+    w = Window.partitionBy(*group_cols, "_b").orderBy("_at")
+    local = fixed.withColumn("_pos", F.row_number().over(w) - 1)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for c in running:
+        local = local.withColumn(f"_cum_{c}", F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).over(upto))
     aggs = [F.count(F.lit(1)).alias("_n")] + [F.sum(F.col(c).cast("double")).alias(f"_s_{c}") for c in running]
     stats = fixed.groupBy(*group_cols, "_b").agg(*aggs)
     sums = {c: f"_s_{c}" for c in running}
     if group_cols:
         # groups present in more than one bucket (bounded by the bucket count)
-        spanning = stats.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > 1)
-        stats_span = stats.join(spanning.select(*group_cols), group_cols, "left_semi")
+        spanning = Window.partitionBy(*group_cols)
+        stats_span = stats.withColumn("_k", F.count(F.lit(1)).over(spanning)).filter("_k > 1").drop("_k")
         offsets = _offsets(stats_span, group_cols, sums).checkpoint()
-        out = fixed.join(F.broadcast(offsets) if offsets.count() <= MAX_BROADCAST_ROWS else offsets,
-                         group_cols + ["_b"], "left")
+        out = _join_offsets(local, offsets, group_cols + ["_b"], "left")
     else:
         offsets = _offsets(stats, group_cols, sums).checkpoint()
-        out = _join_offsets(fixed, offsets, ["_b"])
+        out = _join_offsets(local, offsets, ["_b"])
     zero = F.lit(0)
     cols = [F.col(c) for c in df.columns]
     cols.append((F.coalesce(F.col("_off_n"), zero) + F.col("_pos") + 1).alias("_rank"))
@@ -179,4 +140,9 @@ def range_rank(spark: SparkSession, df: DataFrame, order: list[Column], group_co
         return ranked.crossJoin(F.broadcast(tot))  # one row
     per_group = stats.groupBy(*group_cols).agg(F.sum("_n").alias("_group_n"),
                                                *[F.sum(f"_s_{c}").alias(f"_group_{c}") for c in running])
-    return ranked.join(per_group, group_cols, "inner")
+    side = per_group.select(*[F.col(c).alias(f"_o_{c}") for c in group_cols],
+                            *[c for c in per_group.columns if c not in group_cols])
+    on = F.lit(True)
+    for c in group_cols:
+        on = on & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return ranked.join(side, on, "inner").drop(*[f"_o_{c}" for c in group_cols])

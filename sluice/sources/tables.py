@@ -106,14 +106,16 @@ def lines_of(f: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return ex.select("func_id", *extra, "line_idx", F.col("_l.line_no").alias("line_no"), F.col("_l.line").alias("line"))
 
 
-def line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Given line scores of the non-latent functions: one row per non-blank line.
+def line_scores(spark: SparkSession, sf_dir: str, test_set: bool = True) -> DataFrame:
+    """Given line scores: one row per non-blank line, of the non-latent functions (the test set
+    of the metrics) or of all.
 
     ``score`` is an integer-valued hash of ``func_id|line_no`` (exact sums), ``label`` is 1
     for lines of vulnerable functions whose length is a multiple of 5.
     """
-    f = functions(spark, sf_dir).filter(F.col("latent") == 0).select("func_id", "code", F.col("label").alias("f_label"))
-    return line_scores_of(f)
+    f = functions(spark, sf_dir)
+    f = f.filter(F.col("latent") == 0) if test_set else f
+    return line_scores_of(f.select("func_id", "code", F.col("label").alias("f_label")))
 
 
 def line_scores_of(f: DataFrame) -> DataFrame:
@@ -126,14 +128,15 @@ def line_scores_of(f: DataFrame) -> DataFrame:
     )
 
 
-def token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Given token scores of the non-latent functions, as one array per function.
+def token_scores(spark: SparkSession, sf_dir: str, test_set: bool = True) -> DataFrame:
+    """Given token scores of the non-latent functions (the test set of the metrics) or of all, as
+    one array per function.
 
     Each line is split on spaces (score = token length) and closed by a newline marker
     token with score 1; ``tokens`` is ``array<struct<tok string, v double>>``.
     """
-    f = functions(spark, sf_dir).filter(F.col("latent") == 0)
-    return token_scores_of(f)
+    f = functions(spark, sf_dir)
+    return token_scores_of(f.filter(F.col("latent") == 0) if test_set else f)
 
 
 # Fixed value: newline marker of the subword vocabulary.

@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from sluice.catalog import ORACLE, QUERIES, load_all
 
 TABLES = ["documents", "labels", "embeddings"]
-ORACLE = entry.oracle_sql()
-QUERIES = entry.queries()
+load_all()
 
 
 def _norm(v):

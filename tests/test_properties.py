@@ -156,3 +156,58 @@ def test_grouped_line_evaluation_equals_per_group_runs(spark, sf):
     grouped = {(m["g"], m["metric"]): m["value"]
                for m in evaluate_lines(spark, both_r, both_l, name="grp", group_cols=["g"]).collect()}
     assert grouped == per_group
+
+
+def test_hash_rank_keeps_null_keys_and_groups(spark):
+    rng = random.Random(3)
+    rows = [(i, None if i % 10 == 0 else f"{rng.getrandbits(64):016x}", None if i % 3 == 0 else "g") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, k string, g string")
+    want = {}
+    for g in (None, "g"):
+        mine = sorted((r for r in rows if r[2] == g), key=lambda r: (r[1] is None, r[1] or "", r[0]))
+        want |= {r[0]: n for n, r in enumerate(mine, 1)}
+    for digits in (1, 3, 8, 15):
+        got = hash_rank(df, "k", group_cols=["g"], tiebreak=["id"], hex_digits=digits).collect()
+        assert {r.id: r._rank for r in got} == want
+
+
+def test_range_rank_with_null_groups_and_wide_payload(spark):
+    big = 1152921504606846979
+    rows = [(i, i % 7, None if i % 2 else "g", None if i % 5 == 0 else big + i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, score long, g string, payload long")
+    got = range_rank(spark, df, [F.col("score").desc(), F.col("id")], group_cols=["g"], running=["score"], num_buckets=8,
+                     totals=True).collect()
+    assert len(got) == len(rows)
+    for g in (None, "g"):
+        mine = sorted((r for r in rows if r[2] == g), key=lambda r: (-r[1], r[0]))
+        total, of = 0, {r.id: r for r in got if r.g == g}
+        for n, r in enumerate(mine, 1):
+            total += r[1]
+            assert (of[r[0]]._rank, of[r[0]].cum_score, of[r[0]].payload) == (n, total, r[3])
+            assert of[r[0]]._group_n == len(mine)
+
+
+def test_report_round_is_pythons(spark):
+    from sluice.functions.code import report_round
+
+    rng = random.Random(5)
+    values = [2.675, 0.125, 0.375, 2.5, 3.5, -2.675, -0.125, 1.005, 0.0, 1e300, 0.1 + 0.2]
+    values += [rng.uniform(-100, 100) for _ in range(500)] + [rng.randrange(-10 ** 6, 10 ** 6) / 2000 for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 1, 2, 4, 9):
+        got = df.select("x", report_round("x", digits).alias("r")).collect()
+        assert all(r.r == round(r.x, digits) for r in got), digits
+
+
+def test_blocks_hold_every_token(spark):
+    from sluice.functions import tokens as tk
+
+    rows = [(0, ""), (1, "a b\n" * 700), (2, " ".join(f"w{i}" for i in range(1020))), (3, "x")]
+    df = spark.createDataFrame(rows, "func_id long, code string")
+    whole = {r.func_id: r.t for r in df.select("func_id", tk.tokenize("code").alias("t")).collect()}
+    blocks = sorted(tk.token_blocks(df).collect(), key=lambda r: (r.func_id, r.block_idx))
+    assert all(len(r.tokens) == 512 and r.tokens[0] == "<s>" for r in blocks)
+    for i, t in whole.items():
+        body = [x for r in blocks if r.func_id == i for x in r.tokens if x not in ("<s>", "</s>", "<pad>")]
+        assert body == t
+        assert [r.block_idx for r in blocks if r.func_id == i] == list(range(max(1, -(-len(t) // 510))))
