@@ -134,9 +134,9 @@ class String:
         self.size = int(symbols.max()) + 1
         differs = np.ones(n, bool)
         differs[:-1] = symbols[1:] != symbols[:-1]
-        ends = np.flatnonzero(differs)
-        run_of = np.cumsum(differs) - differs  # number of the run
-        self.run = (ends[run_of] - np.arange(n) + 1).astype(np.int32)
+        ends = np.flatnonzero(differs).astype(np.int32)
+        run_of = np.cumsum(differs, dtype=np.int32) - differs  # number of the run
+        self.run = ends[run_of] - np.arange(n, dtype=np.int32) + np.int32(1)
         follow = np.minimum(ends + 1, n - 1)
         rises = symbols[follow] > symbols[ends]
         rises[-1] = True
@@ -332,7 +332,7 @@ def _doubled(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.append(0, common)
 
 
-def suffix_array(symbols: np.ndarray, memory: int = 64 << 20) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(symbols: np.ndarray, memory: int = 16 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of ``symbols`` (whole numbers from 0; the last is 0 and stands nowhere else) and the
     common prefix of each suffix with the one before it. Queues keep ``memory`` bytes each in
     memory at most."""

@@ -8,7 +8,9 @@ without listing pairs:
    dealt by hash into more than H parts, so two linked sets agree on a whole part: each set
    emits one key per part, and sets that share a key become candidates (an edge to the
    smallest set of the key, never all pairs). A part's key stands for several shingles at once,
-   so a common passage does not join the documents that quote it.
+   so a common passage does not join the documents that quote it. A task sends each key
+   once, however many of its sets have it, so a key of very many sets is no larger than the
+   number of tasks.
 2. Components of the candidate edges form the blocks; every link lies inside a block.
 3. In a block the sets are the leaves of a signature tree. A node holds the OR of its
    sets' shingle bitmaps, the range of set sizes and the largest bitmap excess (shingles minus
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import text as tx
+from sluice.llm.columns import packed, unpacked
 from sluice.llm.components import components
 from sluice.session import persist_table
 
@@ -151,10 +154,42 @@ def _set_rows(k: int, text: str):
     return run
 
 
-def _key_rows(k: int, text: str, num: int, den: int):
+def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, smallest node of each, u, v): every other node of a key with the smallest, pairs once."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    first = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+    least = node[first]
+    centre = least[np.cumsum(first) - 1] if len(key) else node
+    apart = node != centre
+    pairs = np.unique(np.stack([node[apart], centre[apart]], 1), axis=0)
+    return key[first], least, pairs[:, 0], pairs[:, 1]
+
+
+KEYS = "bucket int, key binary, node binary, u binary, v binary"
+HELD_KEYS = 3_000_000
+
+
+def _key_rows(k: int, text: str, num: int, den: int, buckets: int):
+    """The part keys of the task's sets, each key once with its smallest node, as one row of packed
+    arrays per bucket of keys, and the edges that the task has found itself."""
+    def packed_rows(keys: list, nodes: list):
+        key, least, u, v = _stars(np.concatenate(keys), np.concatenate(nodes))
+        which = ((key >> _U(32)) * _U(buckets)) >> _U(32)  # keys are sorted, so buckets are slices
+        cut = np.searchsorted(which, np.arange(buckets + 1, dtype=_U))
+        rows = [(b, key[x:y].tobytes(), least[x:y].tobytes(), b"", b"") for b, (x, y) in
+                enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if x < y]
+        if len(u):
+            rows.append((int(u[0] % buckets), b"", b"", u.tobytes(), v.tobytes()))
+        for x in range(0, len(rows), 64):
+            part = list(zip(*rows[x:x + 64], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), *[pa.array(c, pa.binary()) for c in part[1:]]],
+                                             names=["bucket", "key", "node", "u", "v"])
+
     def run(batches):
         classes = SizeClasses(num, den)
         seen: set[int] = set()  # of this task's documents: copies emit their keys once
+        keys, nodes, held = [], [], 0
         for batch in batches:
             for lo, hi, data, at in tx.chunks(batch, text):
                 owner, value = shingles(data, at, k)
@@ -166,11 +201,37 @@ def _key_rows(k: int, text: str, num: int, den: int):
                         fresh[d] = True
                 keep = fresh[owner]
                 doc, key = part_keys(owner[keep], value[keep], np.where(fresh, sizes, 0), classes)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(one[doc].view(np.int64))],
-                                                 names=["key", "node"])
+                keys.append(key)
+                nodes.append(one[doc].view(np.int64))
+                held += len(key)
+                if held >= HELD_KEYS:
+                    yield from packed_rows(keys, nodes)
+                    keys, nodes, held = [], [], 0
+        if held:
+            yield from packed_rows(keys, nodes)
     return run
 
 
+def _star_rows(batches):
+    """Rows sorted by bucket: the candidate edges of each bucket's keys."""
+    def out(u: np.ndarray, v: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    bucket, keys, nodes = None, [], []
+    for batch in batches:
+        for b, key, node, u, v in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if u:
+                yield out(np.frombuffer(u, np.int64), np.frombuffer(v, np.int64))
+            if b != bucket:
+                if keys:
+                    yield out(*_stars(np.concatenate(keys), np.concatenate(nodes))[2:])
+                bucket, keys, nodes = b, [], []
+            keys.append(np.frombuffer(key, _U))
+            nodes.append(np.frombuffer(node, np.int64))
+    if keys:
+        yield out(*_stars(np.concatenate(keys), np.concatenate(nodes))[2:])
+
+
 class Tree:
     """Levels of nodes over one block, leaves first."""
 
@@ -358,11 +419,13 @@ def similar_documents(spark: SparkSession, docs: DataFrame, key: str = "doc_id",
     rows = docs.select(F.coalesce(F.col(key).cast("long"), stand_in).alias("id"), F.col(text).alias("text"))
     sets = persist_table(spark, rows.mapInArrow(_set_rows(k, "text"), "id long, n long, node long, check long"), "sets")
 
-    keyed = rows.select("text").mapInArrow(_key_rows(k, "text", num, den), "key long, node long")
-    # one shuffle of the keys serves both the smallest node of each key and the edges to it
-    keyed = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("w")).filter("v < w").drop("w")
-    edges = keyed.join(shared.hint("merge"), "key").select(F.col("node").alias("u"), "v")
+    # about (1 - similarity) * 2.5 keys a shingle; a bucket holds some hundred thousand
+    shingled = sets.agg(F.sum("n")).first()[0] or 0
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * partitions, int(2.5 * shingled * (den - num) / den / 500_000) + 1)
+    keyed = rows.select("text").mapInArrow(_key_rows(k, "text", num, den, buckets), KEYS)
+    dealt = keyed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    edges = dealt.mapInArrow(_star_rows, "u long, v long")
     blocks = persist_table(spark, components(spark, edges), "blocks")
     return _resolved(spark, rows, sets, blocks, k, num, den, block_sets)
 
@@ -406,6 +469,5 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, key: str = "doc_id",
     found = similar_documents(spark, docs, key, text, k, num, den)
     kept = found.filter("id = component_id").select("id").distinct()
     stand_in = -F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 2) - 1
-    named = docs.select("*", F.coalesce(F.col(key).cast("long"), stand_in).alias("_kept_id"))
-    chosen = named.join(kept.withColumnRenamed("id", "_kept_id"), "_kept_id", "left_semi")
-    return chosen.dropDuplicates(["_kept_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = packed(docs, id=F.coalesce(F.col(key).cast("long"), stand_in))
+    return unpacked(named.join(kept, "id", "left_semi").dropDuplicates(["id"]), docs.columns)

@@ -76,7 +76,7 @@ class Rows:
         return np.bincount(self.doc, weights[self.feature], self.n)
 
     def only(self, keep: np.ndarray) -> Rows:
-        place = np.cumsum(keep) - 1
+        place = np.cumsum(keep, dtype=np.int32) - np.int32(1)
         inside = keep[self.doc]
         return Rows(place[self.doc[inside]], self.feature[inside], int(keep.sum()))
 
@@ -96,7 +96,7 @@ def fit_view(rows: Rows, y: np.ndarray, size: int, least: float = 25.0, ridge: f
              (n - with_any - positive + with_1, (n - with_any) * (1 - positive / n))]
     g = sum(2 * o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)) for o, e in table)
     chosen = np.flatnonzero(g >= least)
-    number = np.full(size, -1)
+    number = np.full(size, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
     inside = number[rows.feature] >= 0
     doc, col = rows.doc[inside], number[rows.feature[inside]]
@@ -205,15 +205,15 @@ def _sampler(text: str, metadata: list[str]):
     return run
 
 
-def _rows(column: list[bytes]) -> Rows:
+def _rows(column: list) -> Rows:
     parts = [np.unique(np.frombuffer(b, "<i4")) for b in column]
-    doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    return Rows(doc, np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64), len(parts))
+    doc = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+    return Rows(doc, np.concatenate(parts) if parts else np.zeros(0, np.int32), len(parts))
 
 
 def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
-                metadata: tuple[str, ...] = ("lang", "source"), max_labelled: int = 20_000,
-                max_unlabelled: int = 8_000, seed: int = 5) -> dict[str, Model]:
+                metadata: tuple[str, ...] = ("lang", "source"), max_labelled: int = 12_000,
+                max_unlabelled: int = 4_000, seed: int = 5) -> dict[str, Model]:
     """A model for each of ``QUESTIONS``, fitted on at most ``max_labelled`` labelled and
     ``max_unlabelled`` other documents. Labels with a null in a column and labels of documents
     that are not there are passed over; of several labels of a document the worst counts."""
@@ -230,8 +230,10 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: st
     kinds = ", ".join(f"{q} int" for q in QUESTIONS)
     found = rows.mapInArrow(_sampler(text, metadata), f"ordered long, {kinds}, content binary, page binary")
     found = sorted(found.collect(), key=lambda r: (r.ordered, bytes(r.content)))
-    content, page = _rows([bytes(r.content) for r in found]), _rows([bytes(r.page) for r in found])
-    return {q: co_train(content, page, np.array([-1 if r[q] is None else r[q] for r in found], int)) for q in QUESTIONS}
+    content, page = _rows([r.content for r in found]), _rows([r.page for r in found])
+    labels_of = {q: np.array([-1 if r[q] is None else r[q] for r in found], int) for q in QUESTIONS}
+    del found
+    return {q: co_train(content, page, y) for q, y in labels_of.items()}
 
 
 def scored(spark: SparkSession, docs: DataFrame, models: dict[str, Model], text: str = "text",

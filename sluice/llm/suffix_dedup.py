@@ -120,31 +120,30 @@ def _context_rows(length: int):
     def run(batches):
         seen: set[int] = set()  # a task sends the bytes of equal contexts once
         for batch in batches:
-            nodes = tx.column(batch, "node").to_pylist()
-            spans = tx.column(batch, "spans").to_pylist()
+            nodes = tx.column(batch, "node").to_numpy(zero_copy_only=False)
             for lo, hi, data, at in tx.chunks(batch):
-                rows = [(s["h"], nodes[d], s["first"], at[d - lo] + s["first"], at[d - lo] + s["last"] + length)
-                        for d in range(lo, hi) for s in spans[d]]
-                if not rows:
-                    continue
-                h, node, first, a, b = zip(*rows, strict=True)
+                spans = tx.column(batch, "spans").slice(lo, hi - lo)
+                h, first, last = (spans.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                doc = np.repeat(np.arange(hi - lo), np.diff(spans.offsets.to_numpy()))
+                a, b = at[doc] + first, at[doc] + last + length
                 sums = tx.prefix_hash(data)
-                a, b = np.array(a), np.array(b)
                 one = tx.span_hash(sums, a, b)
                 two = tx.mix(one ^ tx.span_hash(sums, a, (a + b) // 2))
-                bodies = []
+                bodies: list[bytes | None] = [None] * len(one)
                 raw = data.tobytes()
-                for k, key in enumerate(one.tolist()):
-                    bodies.append(None if key in seen else raw[a[k]:b[k]])
-                    seen.add(key)
+                keys, where = np.unique(one, return_index=True)
+                for key, k in zip(keys.tolist(), where.tolist(), strict=True):
+                    if key not in seen:
+                        seen.add(key)
+                        bodies[k] = raw[a[k]:b[k]]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(h, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-                    pa.array(node, pa.int64()), pa.array(first, pa.int32()), pa.array(bodies, pa.binary())],
+                    pa.array(nodes[lo:hi][doc], pa.int64()), pa.array(first, pa.int32()), pa.array(bodies, pa.binary())],
                     names=["h", "one", "two", "node", "first", "context"])
     return run
 
 
-def repeated_windows(contexts: list[bytes], times: np.ndarray, length: int, memory: int = 64 << 20) -> list[list[tuple[int, int]]]:
+def repeated_windows(contexts: list[bytes], times: np.ndarray, length: int, memory: int = 16 << 20) -> list[list[tuple[int, int]]]:
     """For each of the distinct contexts, the ranges (first, last) of windows that occur twice or more
     among all of them, a context counting as often as ``times`` says."""
     if not contexts:
@@ -201,9 +200,15 @@ def _shard_rows(length: int, memory: int):
     return run
 
 
+def _slices(batches, rows: int = 100):
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _removal_rows(length: int):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             ids, texts, spans = (tx.column(batch, c).to_pylist() for c in ("id", "text", "spans"))
             rows = []
             for text, ranges in zip(texts, spans, strict=True):
@@ -235,7 +240,7 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200,
-                    gram: int = 32, memory: int = 64 << 20, kept: bool = True) -> DataFrame:
+                    gram: int = 32, memory: int = 16 << 20, kept: bool = True) -> DataFrame:
     """(``id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``[, ``kept``]) for every document: the
     bytes left (binary: a cut may fall inside a character) once all bytes covered by a repeated
     string of ``length`` bytes are gone, judged on the input.
@@ -251,14 +256,13 @@ def without_repeats(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
                                              F.min("n_bytes").alias("n_bytes"))
     texts = persist_table(spark, texts.filter(F.col("n_bytes") >= length), "distinct-texts")
 
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.filter(F.octet_length("text") >= length).select(node, "text").mapInArrow(
         _anchor_rows(length, gram), "h long, node long, first int, last int")
-    # one shuffle by hash serves both the search for repeated anchors and the join with them
-    found = found.repartition(partitions, "h")
+    # read twice: for the hashes that occur again and for their places
+    found = persist_table(spark, found, "anchors")
     again = found.groupBy("h").agg(F.min("node").alias("n0"), F.max("node").alias("n1"), F.min("first").alias("f0"),
                                    F.max("first").alias("f1")).filter("n0 < n1 or f0 < f1").select("h")
-    spans = found.join(again.hint("merge"), "h", "left_semi").groupBy("node").agg(
+    spans = found.join(again, "h", "left_semi").groupBy("node").agg(
         F.collect_set(F.struct("h", "first", "last")).alias("spans"))  # at most a document's anchors
     spans = persist_table(spark, spans.join(texts.select("node", "one_id"), "node"), "spans")
 
