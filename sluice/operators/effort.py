@@ -23,10 +23,10 @@ TOP_K_CONSTANT = 10
 TOP_K_LOCS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 
 
-def result_frame(scored: DataFrame) -> DataFrame:
+def result_frame(scored: DataFrame, group_cols=()) -> DataFrame:
     """F8: the per-function result frame keyed by ``func_id``: prediction, truth, line and
     flaw-line counts (C2, C3), flaw text."""
-    return scored.select("func_id", F.col("prob").alias("logits"), F.col("label").alias("y_trues"),
+    return scored.select(*group_cols, "func_id", F.col("prob").alias("logits"), F.col("label").alias("y_trues"),
                          F.col("y_pred").alias("y_preds"),
                          count_flaw_lines("flaw_line_index").alias("num_flaw_lines"),
                          count_code_lines("code").alias("num_lines"), "flaw_line", "flaw_line_index")

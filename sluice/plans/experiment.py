@@ -1,13 +1,19 @@
 """Repeated experiments -- configs x repeats -> splits -> classifier -> function
 metrics -> line metrics -> summaries.
 
-The splits of all repeats come from one plan (seed as a column) and are persisted once to
-the shared folder; each (config, repeat) then fits its own model, the only loop, as in the
-reference. Metrics are gathered as a long table, summarised (A15) and pivoted (A16).
+The splits of all repeats come from one plan (seed as a column) and the term counts of all
+functions from one pass; both are persisted to the shared folder. Only the model fits loop,
+several at a time. A fit leaves its test scores and its slot weights; attribution, line scores
+and all metrics are then single plans keyed by (config, repeat).
 """
 
 from __future__ import annotations
 
+import hashlib
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,41 +24,41 @@ from sluice.operators import models as mo
 from sluice.operators.curate import is_latent
 from sluice.plans.evaluate import evaluate_lines, lines_from_token_scores
 from sluice.plans.splits import build_splits
-from sluice.session import persist_table, release_unreferenced, scratch_path
+from sluice.session import persist_table, scratch_path
+from sluice.sources.sinks import write_results_csv
 
 # Experiment configurations and the training split each one uses.
 CONFIGS = [("regular", "train"), ("latent_v", "train_latent")]
+CELL = ["config", "repeat"]
+LINE_METRICS = ["effort_at_recall", "recall_at_loc", "ifa", "top_k_accuracy"]
 
 
 def denoise_train(spark: SparkSession, train: DataFrame, val: DataFrame, how: str, grid, max_iter: int,
                   alpha: float = 1.0, keep: str = "negative") -> DataFrame:
-    """M5 / M6 between the split builder and training.
+    """M5 / M6 between the split builder and training; both begin with a model fit on the
+    non-latent rows.
 
-    * ``centroid``: feature vectors (M3) of the training rows; keep latent rows closer to the
+    * ``centroid``: that model's features (M3) of the training rows; keep latent rows closer to the
       centroid of non-latent positives than (alpha x) to that of non-latent negatives.
-    * ``predict``: a model fit on the non-latent rows scores the latent rows; rows predicted
-      positive are removed (``keep='negative'``, reference behaviour).
+    * ``predict``: that model scores the latent rows; rows predicted positive are removed
+      (``keep='negative'``, reference behaviour).
     """
+    if how not in ("centroid", "predict"):
+        raise ValueError("denoise must be None, 'centroid' or 'predict'")
+    model, _ = mo.fit_function_classifier(train.filter(~is_latent()), val, grid=grid, max_iter=max_iter)
     if how == "centroid":
-        emb = mo.embed_functions(train.select("func_id", "code"))
-        with_vec = train.join(emb, "func_id")
-        kept = dn.centroid_filter(with_vec, "embedding", alpha=alpha)
-        return kept.drop("embedding")
-    if how == "predict":
-        non_latent = train.filter(~is_latent())
-        model, _ = mo.fit_function_classifier(non_latent, val, grid=grid, max_iter=max_iter)
-        scored = mo.score_functions(model, train.filter(is_latent())).select("func_id", "y_pred")
-        return dn.self_training_filter(train, scored, keep=keep)
-    raise ValueError("denoise must be None, 'centroid' or 'predict'")
-
-
-METRIC_SCHEMA = "config string, repeat int, metric string, value double"
+        with_vec = train.join(mo.embed_functions(train, model=model), "func_id")
+        return dn.centroid_filter(with_vec, "embedding", alpha=alpha).drop("embedding")
+    scored = mo.score_functions(model, train.filter(is_latent())).select("func_id", "y_pred")
+    return dn.self_training_filter(train, scored, keep=keep)
 
 
-def _done_cells(spark: SparkSession, metrics_path: str) -> set:
+def _done_cells(spark: SparkSession, path: str) -> set:
     try:
-        done = spark.read.schema(METRIC_SCHEMA).parquet(metrics_path).select("config", "repeat").distinct().collect()
-    except Exception:  # nothing written yet
+        done = spark.read.parquet(path).select(*CELL).distinct().collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return set()
     return {(r["config"], r["repeat"]) for r in done}
 
@@ -60,62 +66,69 @@ def _done_cells(spark: SparkSession, metrics_path: str) -> set:
 def _write_cell(df: DataFrame, path: str) -> None:
     """Write one (config, repeat) cell; a rerun of an interrupted cell replaces its partition."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("config", "repeat").parquet(path))
+     .partitionBy(*CELL).parquet(path))
 
 
-def run_experiment(spark: SparkSession, f: DataFrame, repeats: int = 10, configs=CONFIGS, grid=(0.01,),
-                   method: str = "attention", max_iter: int = mo.EPOCHS, denoise: str | None = None,
-                   out_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+def run_experiment(spark: SparkSession, f: DataFrame, repeats: int = 10, configs=CONFIGS, grid=mo.GRID,
+                   method: str = "attention", max_iter: int = mo.MAX_ITER, denoise: str | None = None,
+                   out_path: str | None = None, latent_source: DataFrame | None = None, latent_name: str = "",
+                   parallel: int = 8) -> tuple[DataFrame, DataFrame]:
     """Returns ``(long, wide)``: long ``(config, repeat, metric, value)`` and the per-repeat
-    result table with -1 for missing metrics. ``denoise`` inserts M5 ('centroid') or M6
-    ('predict') before the final fit.
-
-    Only the model fits loop. Each (config, repeat) appends its function metrics, result frame
-    and line scores to tables under ``out_path`` (shared storage; a private scratch folder when
-    not given); the line-level metrics of all repeats are then one grouped plan (P3 with
-    ``group_cols``). Cells already written are skipped, so a restarted driver resumes."""
-    base = out_path or scratch_path(spark, "experiment")
-    metrics_path, results_path, lines_path = (f"{base}/metrics", f"{base}/results", f"{base}/lines")
+    result table with -1 for missing metrics (a test set of one class has recall only).
+    ``denoise`` inserts M5 ('centroid') or M6 ('predict') before the final fit; ``latent_source`` (and a
+    ``latent_name`` for it) augments training from another latent table (P2).
+
+    Cells are kept below ``out_path`` (shared storage; a private scratch folder when not given)
+    under a digest of the parameters, and cells already there are not fitted again, so a
+    restarted driver resumes. With ``out_path`` the summary (A15) and the result table (S10, CSV) are
+    written beside them."""
+    given = repr((sorted(map(tuple, configs)), tuple(grid), max_iter, denoise, latent_source is not None, latent_name))
+    base = f"{out_path or scratch_path(spark, 'experiment')}/{hashlib.sha256(given.encode()).hexdigest()[:16]}"
+    scores_path, weights_path, done_path = f"{base}/scores", f"{base}/weights", f"{base}/done"
     seeds = [10000 * r for r in range(1, repeats + 1)]
-    path = scratch_path(spark, "experiment_splits")
-    build_splits(f, seeds=seeds).write.partitionBy("seed", "split").parquet(path)
-    splits = spark.read.parquet(path)
-    # derived once, read by every (config, repeat) iteration
+    splits_path = scratch_path(spark, "experiment_splits")
+    build_splits(f, seeds=seeds, latent_source=latent_source).write.partitionBy("seed", "split").parquet(splits_path)
+    splits = spark.read.parquet(splits_path)
     code = persist_table(spark, f.select("func_id", "code", "flaw_line", "flaw_line_index"), "experiment_code")
-    done = _done_cells(spark, metrics_path)
-    for config, train_split in configs:
-        for r, seed in enumerate(seeds, start=1):
-            if (config, r) in done:
-                continue
-            part = splits.filter(F.col("seed") == seed)
-
-            def take(name):
-                return part.filter(F.col("split") == name).select("func_id", "label", "latent").join(code, "func_id")
-            train = take(train_split)
-            if denoise is not None:
-                train = denoise_train(spark, train, take("val"), denoise, grid, max_iter)
-            model, _ = mo.fit_function_classifier(train, take("val"), grid=grid, max_iter=max_iter)
-            test = mo.score_functions(model, take("test")).cache()  # read by every step below
-            fm = me.classification_metrics(test.withColumnRenamed("label", "y_true"), []).first()
-            tag = [F.lit(config).alias("config"), F.lit(r).alias("repeat")]
-            _write_cell(ef.result_frame(test).select(*tag, "*"), results_path)
-            tokens = mo.scored_token_arrays(
-                mo.attribute_tokens(spark, model, test.select("func_id", "code"), methods=[method]))
-            _write_cell(lines_from_token_scores(tokens.drop("method"), test).select(*tag, "*"), lines_path)
-            # the metrics row marks the cell as complete (written after its results and lines)
-            cell = [(config, r, m, float(fm[m])) for m in ("precision", "recall", "f1")]
-            spark.createDataFrame(cell, METRIC_SCHEMA).write.mode("append").parquet(metrics_path)
-            test.unpersist()
-            del model, test, tokens
-            release_unreferenced(spark)
-    function_metrics = spark.read.schema(METRIC_SCHEMA).parquet(metrics_path)
-    cells = function_metrics.select("config", "repeat").distinct()
-    results = spark.read.parquet(results_path).join(cells, ["config", "repeat"], "left_semi")
-    lines = spark.read.parquet(lines_path).join(cells, ["config", "repeat"], "left_semi")
-    line_metrics = evaluate_lines(spark, results, lines, neg_ascending=(method == "attention"), name="p4",
-                                  group_cols=["config", "repeat"])
-    line_metrics = line_metrics.filter(
-        F.col("metric").isin("effort_at_recall", "recall_at_loc", "ifa", "top_k_accuracy")
-        & F.col("value").isNotNull()).select("config", F.col("repeat").cast("int"), "metric", "value")
-    long = function_metrics.unionByName(line_metrics)
-    return long, me.results_wide(long)
+    counts = persist_table(spark, mo.with_term_counts(code.select("func_id", "code")).select("func_id", "_tf"), "experiment_terms")
+
+    def fit_cell(config: str, train_split: str, r: int, seed: int) -> None:
+        def take(name):
+            part = splits.filter((F.col("seed") == seed) & (F.col("split") == name))
+            return part.select("func_id", "label", "latent").join(counts, "func_id")
+        train, val = take(train_split), take("val")
+        if denoise is not None:
+            train = denoise_train(spark, train, val, denoise, grid, max_iter)
+        model, _ = mo.fit_function_classifier(train, val, grid=grid, max_iter=max_iter)
+        tag = [F.lit(config).alias("config"), F.lit(r).alias("repeat")]
+        scored = mo.score_functions(model, take("test")).select(*tag, "func_id", "label", "prob", "y_pred")
+        _write_cell(scored, scores_path)
+        _write_cell(spark.createDataFrame(mo.slot_weights(model)).select(*tag, "*"), weights_path)
+        # written last: marks the cell as complete
+        spark.range(1).select(*tag).write.mode("append").parquet(done_path)
+
+    done = _done_cells(spark, done_path)
+    cells = [(c, t, r, s) for r, s in enumerate(seeds, start=1) for c, t in configs if (c, r) not in done]
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        for running in [pool.submit(inheritable_thread_target(spark)(fit_cell), *cell) for cell in cells]:
+            running.result()
+
+    wanted = spark.read.parquet(done_path).distinct().filter(
+        F.col("config").isin([c for c, _ in configs]) & (F.col("repeat") <= repeats))
+    scores = spark.read.parquet(scores_path).join(F.broadcast(wanted), CELL, "left_semi")  # one row a cell
+    function_metrics = me.single_class_metrics(scores.withColumnRenamed("label", "y_true"), CELL)
+    function_metrics = me.to_long(function_metrics.drop("n_classes"), CELL, ["precision", "recall", "f1"])
+    results = persist_table(spark, ef.result_frame(scores.join(code, "func_id"), CELL), "experiment_results")
+    occurrences = mo.with_slots(mo.token_occurrences(code.select("func_id", "code")))
+    weighed = (occurrences.join(scores.select(*CELL, "func_id"), "func_id")
+               .join(spark.read.parquet(weights_path), [*CELL, "slot"]))
+    tokens = mo.attributed(weighed, [method], CELL).drop("method")
+    lines = lines_from_token_scores(tokens, code, CELL)
+    line_metrics = evaluate_lines(spark, results, lines, neg_ascending=(method == "attention"), name="p4", group_cols=CELL)
+    long = function_metrics.unionByName(line_metrics.filter(F.col("metric").isin(*LINE_METRICS)))
+    long = long.filter("value is not null").select("config", F.col("repeat").cast("int"), "metric", "value")
+    wide = me.results_wide(long)
+    if out_path:
+        me.experiment_summary(long).write.mode("overwrite").parquet(f"{base}/summary-{method}")
+        write_results_csv(wide, f"{base}/results-{method}")
+    return long, wide
