@@ -18,8 +18,9 @@ without listing pairs:
    when sizes or the largest possible overlap rule out any link, or when all sets below are
    connected already. Leaf pairs that remain are compared exactly.
 
-A block larger than ``block_sets`` is cut by hash into pieces that meet in pairs, one task per pair,
-and the pieces' links go through the component search once more. Equal sets count as one
+A block larger than ``block_sets`` is cut into windows of neighbouring size classes, and a class that is
+larger still by hash into pieces that meet in pairs; their links go through the component
+search once more. Equal sets count as one
 node throughout. Shingles are compared by 64-bit hashes.
 """
 
@@ -357,9 +358,9 @@ def _member_rows(k: int, text: str):
                 cut = np.searchsorted(owner, np.arange(hi - lo + 1))
                 part = batch.slice(lo, hi - lo)
                 out = pa.RecordBatch.from_arrays([
-                    tx.column(part, "block"), tx.column(part, "pieces"), tx.column(part, "node"),
+                    *[tx.column(part, c) for c in ("block", "cls", "pieces", "node")],
                     pa.array([value[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                    names=["block", "pieces", "node", "shingles"])
+                    names=["block", "cls", "pieces", "node", "shingles"])
                 # an id of several texts: only the text that the node stands for
                 own = digests(owner, value, hi - lo)[1].view(np.int64)
                 yield out.filter(pa.array(own == tx.column(part, "node").to_numpy(zero_copy_only=False)))
@@ -367,7 +368,8 @@ def _member_rows(k: int, text: str):
 
 
 def _block_rows(num: int, den: int):
-    """Rows sorted by (block, first, second): the links of each block, or pair of its pieces."""
+    """Rows sorted by (block, window, first, second): the links of each block, or of each pair of pieces
+    of its windows."""
     def solved(node, piece, sets, first, second):
         side = None
         if first != second:
@@ -381,14 +383,14 @@ def _block_rows(num: int, den: int):
         for batch in batches:
             rows = [c.to_pylist() for c in batch.columns]
             out_u, out_v, out_split = [], [], []
-            for block, first, second, own, n, s in zip(*rows, strict=True):
-                if (block, first, second) != key:
+            for block, window, first, second, own, n, s in zip(*rows, strict=True):
+                if (block, window, first, second) != key:
                     if node:
-                        u, v = solved(node, piece, sets, key[1], key[2])
+                        u, v = solved(node, piece, sets, key[2], key[3])
                         out_u.append(u)
                         out_v.append(v)
-                        out_split.append(np.full(len(u), key[1] >= 0))
-                    key, node, piece, sets = (block, first, second), [], [], []
+                        out_split.append(np.full(len(u), key[2] >= 0))
+                    key, node, piece, sets = (block, window, first, second), [], [], []
                 if node and node[-1] == n and sets[-1] == s:
                     continue  # a repeated row
                 node.append(n)
@@ -397,8 +399,8 @@ def _block_rows(num: int, den: int):
             if out_u:
                 yield _edge_batch(out_u, out_v, out_split)
         if node:
-            u, v = solved(node, piece, sets, key[1], key[2])
-            yield _edge_batch([u], [v], [np.full(len(u), key[1] >= 0)])
+            u, v = solved(node, piece, sets, key[2], key[3])
+            yield _edge_batch([u], [v], [np.full(len(u), key[2] >= 0)])
     return run
 
 
@@ -435,22 +437,31 @@ def _resolved(spark: SparkSession, rows: DataFrame, sets: DataFrame, blocks: Dat
     """Verify the blocks and label every row."""
     nodes = blocks.unionByName(blocks.select(F.col("component").alias("node"), "component").distinct())
     # one document for each distinct set of a block
-    members = sets.join(nodes, "node").groupBy("component", "node", "check").agg(F.min("id").alias("id"))
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("sets"))
-    members = members.join(sizes, "component").filter("sets > 1")
-    members = persist_table(spark, members.select("id", "node", F.col("component").alias("block"),
-                                                  F.ceil(F.col("sets") / block_sets).cast("int").alias("pieces")), "members")
+    members = sets.join(nodes, "node").groupBy("component", "node", "check").agg(F.min("id").alias("id"), F.min("n").alias("n"))
+    # linked sets are of the same or of neighbouring size classes
+    size_class = F.floor(F.log("n") / float(1.5 * np.log(den / num))).cast("int")
+    members = persist_table(spark, members.select("id", "node", F.col("component").alias("block"), size_class.alias("cls")),
+                            "block-members")
+    classes = members.groupBy("block", "cls").agg(F.count(F.lit(1)).alias("sets"))
+    sizes = classes.groupBy("block").agg(F.sum("sets").alias("sets"), F.max("sets").alias("most")).filter("sets > 1")
+    pieces = F.when(F.col("sets") <= block_sets, 0).otherwise(F.ceil(F.col("most") / block_sets)).cast("int")
+    members = persist_table(spark, members.join(sizes, "block").select("id", "node", "block", "cls", pieces.alias("pieces")),
+                            "members")
     chosen = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    full = rows.join(chosen, "id").mapInArrow(_member_rows(k, "text"), "block long, pieces int, node long, shingles binary")
-    # pieces of a large block meet in pairs, each set going to the pairs of its piece; others stay whole
-    piece = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).otherwise(F.lit(-1))
-    full = full.withColumn("piece", piece)
-    whole = full.filter("pieces = 1").withColumn("other", F.lit(-1))
-    cut = full.filter("pieces > 1").withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)")))
-    pairs = whole.unionByName(cut).select("block", F.least("piece", "other").alias("first"),
-                                          F.greatest("piece", "other").alias("second"), "piece", "node", "shingles")
-    dealt = (pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block", "first", "second")
-             .sortWithinPartitions("block", "first", "second", "node"))
+    full = rows.join(chosen, "id").mapInArrow(
+        _member_rows(k, "text"), "block long, cls int, pieces int, node long, shingles binary")
+    # a large block is cut into windows of two neighbouring size classes, a set going to two of them;
+    # where a class is large, its pieces by hash meet in pairs; other blocks stay whole
+    whole = full.filter("pieces = 0").select("block", F.lit(-1).alias("window"), F.lit(-1).alias("first"),
+                                             F.lit(-1).alias("second"), F.lit(-1).alias("piece"), "node", "shingles")
+    cut = full.filter("pieces > 0").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    cut = cut.withColumn("window", F.explode(F.array(F.col("cls"), F.col("cls") + 1)))
+    cut = cut.withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)")))
+    cut = cut.select("block", "window", F.least("piece", "other").alias("first"), F.greatest("piece", "other").alias("second"),
+                     "piece", "node", "shingles")
+    pairs = whole.unionByName(cut)
+    dealt = (pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block", "window", "first", "second")
+             .sortWithinPartitions("block", "window", "first", "second", "node"))
     links = persist_table(spark, dealt.mapInArrow(_block_rows(num, den), "u long, v long, split boolean"), "links")
     whole = links.filter("not split and u <> v").select(F.col("u").alias("node"), F.col("v").alias("root"))
     across = components(spark, links.filter("split")).select("node", F.col("component").alias("root"))
