@@ -7,8 +7,7 @@ predictors: the branch frequency of the tree node, and the bits that followed th
 hashed contexts (one and two words before; in escaped words, three and five bytes before).
 Their log-odds are mixed by weights from a set that a gate picks by how much the contexts have
 seen, and an adaptive probability map refines the result. The product over all decisions is the
-model's probability of the text. Beyond the first ``DEPTH`` decisions of a word only the tree
-predicts: what is left is a single factor per word.
+model's probability of the text.
 
 Learning takes the training documents once, after a word count. Each task learns online: it predicts a
 batch with the counts and weights it has, moves the weights along the error, then counts the
@@ -38,7 +37,7 @@ HEAD = 1 << 17  # words in the tree at most
 SLOT_BITS = 21  # slots of a context table
 LETTERS = (3, 5)  # bytes before in the two contexts of an escaped word's bytes
 LEAST = 2  # occurrences of a head word
-DEPTH = 6  # decisions of a word with contexts
+DEPTH = 64  # no path is longer: one of 65 needs more than 2^44 tokens
 BLOCK = 1 << 13  # slots summed up together
 SEEN, MODES, STEPS = 4, 3, 33
 GATES = SEEN * SEEN * MODES
@@ -82,14 +81,8 @@ class Code:
         order = np.argsort(head)
         self.head, self.counts = head[order], counts[order]
         self.end, self.escape, self.ends = len(head), len(head) + 1, end
-        nodes, bits, lengths, odds = huffman(np.concatenate([self.counts, [max(end, 1), max(escaped, 1)]]))
-        p = 1 / (1 + np.exp(-odds))
-        taken = np.where(bits == 1, p[np.maximum(nodes, 0)], 1 - p[np.maximum(nodes, 0)])
-        late = np.arange(nodes.shape[1]) >= DEPTH
-        late = late[None, :] & (np.arange(nodes.shape[1])[None, :] < lengths[:, None])
-        self.rest = np.where(late, np.log(taken), 0).sum(axis=1)  # log probability past DEPTH
-        self.nodes, self.bits = nodes[:, :DEPTH], bits[:, :DEPTH]
-        self.lengths, self.odds = np.minimum(lengths, DEPTH), odds.astype(np.float32)
+        self.nodes, self.bits, self.lengths, odds = huffman(np.concatenate([self.counts, [max(end, 1), max(escaped, 1)]]))
+        self.odds = odds.astype(np.float32)
         self.byte_nodes, self.byte_bits, self.byte_lengths, byte_odds = huffman(byte_counts + 1)
         self.byte_odds = byte_odds.astype(np.float32)
 
@@ -195,14 +188,15 @@ def spell(model: Model | Learner, code: Code, data: np.ndarray, at: np.ndarray)
     before2[before == 0] = 0
     contexts = [tx.mix(before), tx.mix(before ^ tx.mix(before2 + _U(1)))]
     scoring = isinstance(model, Model)
-    gained = code.rest[symbol].copy()
+    gained = np.zeros(total)
+    here, s = np.arange(total), symbol
     for d in range(code.nodes.shape[1]):
-        here = np.flatnonzero(code.lengths[symbol] > d)
-        if not len(here):
+        longer = np.flatnonzero(code.lengths[s] > d)
+        if not len(longer):
             break
-        s = symbol[here]
+        here, s, contexts = here[longer], s[longer], [c[longer] for c in contexts]
         node = code.nodes[s, d]
-        got = _decide(model, [c[here] for c in contexts], node, code.bits[s, d], code.odds[node], int(d > 1))
+        got = _decide(model, contexts, node, code.bits[s, d], code.odds[node], int(d > 1))
         if scoring:
             gained[here] += got
     # escaped words, byte by byte, closed by a space

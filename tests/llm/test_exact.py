@@ -350,6 +350,26 @@ def test_model_learns(spark):
     assert got[0] > 0.5 * got[1]  # one bit a word instead of five
 
 
+def test_contexts_predict_whole_words():
+    """1,000 equally frequent words, paths of about ten decisions; each word has one that follows it."""
+    from sluice.llm import context_mixing as cm
+
+    texts = [" ".join(f"v{(i * 37 + 7 * j) % 1000}" for j in range(200)) for i in range(400)]
+
+    def chunk(part):
+        (_, _, data, at), = cm.tx.chunks(pa.RecordBatch.from_arrays([pa.array(part, pa.large_string())], names=["text"]))
+        return data, at
+    data, at = chunk(texts[:320])
+    low, start, end, _, _ = cm.tx.words(data, at)
+    words, counts = np.unique(cm.tx.span_hash(cm.tx.prefix_hash(low), start, end), return_counts=True)
+    code = cm.Code(words, counts, 320, 0, np.bincount(low, minlength=256))
+    learner = cm.Learner()
+    for k in range(8):
+        cm.spell(learner, code, *chunk(texts[k:320:8]))
+    log_p, tokens = cm.spell(cm.Model(learner.counts.astype(np.uint64), learner.weights, learner.map), code, *chunk(texts[320:]))[:2]
+    assert -log_p.sum() / np.log(2) < tokens.sum()  # with contexts for six decisions four bits a word are left
+
+
 # ------------------------------------------------------------------ 10
 def test_contamination(spark):
     from sluice.llm.decontaminate import benchmark_matches
