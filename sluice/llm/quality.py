@@ -66,6 +66,15 @@ def page_features(data: np.ndarray, at: np.ndarray, names: list[list[str | None]
     return (np.stack(binned, 1) & np.uint64((1 << PAGE_BITS) - 1)).astype(np.int64)
 
 
+def _sums(keys: np.ndarray, size: int, values=None, step: int = 1 << 20) -> np.ndarray:
+    """``np.bincount`` taking ``step`` pairs at a time; ``values`` gives the weights of a slice."""
+    total = np.zeros(size)
+    for at in range(0, len(keys), step):
+        part = slice(at, at + step)
+        total += np.bincount(keys[part], None if values is None else values(part), size)
+    return total
+
+
 class Rows:
     """Documents as sorted distinct (document, feature) pairs."""
 
@@ -73,7 +82,7 @@ class Rows:
         self.doc, self.feature, self.n = doc, feature, n
 
     def margins(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.doc, weights[self.feature], self.n)
+        return _sums(self.doc, self.n, lambda part: weights[self.feature[part]])
 
     def only(self, keep: np.ndarray) -> Rows:
         place = np.cumsum(keep, dtype=np.int32) - np.int32(1)
@@ -89,8 +98,8 @@ def fit_view(rows: Rows, y: np.ndarray, size: int, least: float = 25.0, ridge: f
     weights[-1] = np.log((positive + 1) / (n - positive + 1))
     if not 0 < positive < n:
         return weights
-    with_1 = np.bincount(rows.feature, y[rows.doc], size)
-    with_any = np.bincount(rows.feature, minlength=size).astype(float)
+    with_1 = _sums(rows.feature, size, lambda part: y[rows.doc[part]])
+    with_any = _sums(rows.feature, size)
     table = [(with_1, with_any * positive / n), (with_any - with_1, with_any * (1 - positive / n)),
              (positive - with_1, (n - with_any) * positive / n),
              (n - with_any - positive + with_1, (n - with_any) * (1 - positive / n))]
@@ -212,8 +221,8 @@ def _rows(column: list) -> Rows:
 
 
 def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
-                metadata: tuple[str, ...] = ("lang", "source"), max_labelled: int = 12_000,
-                max_unlabelled: int = 4_000, seed: int = 5) -> dict[str, Model]:
+                metadata: tuple[str, ...] = ("lang", "source"), max_labelled: int = 20_000,
+                max_unlabelled: int = 8_000, seed: int = 5) -> dict[str, Model]:
     """A model for each of ``QUESTIONS``, fitted on at most ``max_labelled`` labelled and
     ``max_unlabelled`` other documents. Labels with a null in a column and labels of documents
     that are not there are passed over; of several labels of a document the worst counts."""

@@ -216,6 +216,22 @@ def test_quality(spark, edge, empty, labels):
     assert unlabelled.columns == edge.columns and unlabelled.count() == len(rows())
 
 
+def test_quality_sample_bounds():
+    """The samples are as large as they were, and sums by parts are the sums."""
+    import inspect
+
+    import numpy as np
+
+    from sluice.llm import quality as q
+
+    options = inspect.signature(q.fit_quality).parameters
+    assert options["max_labelled"].default >= 20_000 and options["max_unlabelled"].default >= 8_000
+    keys, values = np.arange(1000) * 7 % 13, np.arange(1000.0)
+    for step in (1, 64, 5000):
+        assert (q._sums(keys, 15, step=step) == np.bincount(keys, minlength=15)).all()
+        assert (q._sums(keys, 15, lambda part: values[part], step) == np.bincount(keys, values, 15)).all()
+
+
 def test_quality_on_held_out_labels(spark):
     """Accuracy on labelled documents that the fit has not seen."""
     from sluice.llm.quality import fit_quality, scored
