@@ -217,3 +217,75 @@ def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text_scores(spark, table(spark, sf_dir, "documents"), fold != 1)
     return found.select(F.col("id").alias("doc_id"), (~F.col("trained")).alias("held_out"), "n_tokens", "n_known",
                         "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
+_FOLD11 = r"""rows_after AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text
+  FROM (SELECT *, crc % 20 AS kind FROM marked), unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS u(i)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+    rtrim(text, E' \t\n\x0b\x0c\r') AS t FROM rows_after),
+faults AS (SELECT *, substr(role, 1, 1) AS h, CASE WHEN t = '' THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+    WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS h0 FROM numbered),
+counts AS (SELECT conv_id, count(*) AS n_rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (fault = 'blank')::BIGINT AS blank, count(*) FILTER (fault = 'duplicate')::BIGINT AS duplicate,
+    count(*) FILTER (fault = 'truncated')::BIGINT AS truncated,
+    count(*) FILTER (n > 1 AND h0 || h NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal FROM faults GROUP BY conv_id),
+-- states: 0 nothing, 1 system, 2 user, 3 pairs; inserts lead from one to another
+inserts(a, b, letters, price) AS (VALUES (0, 0, '', 0), (1, 1, '', 0), (2, 2, '', 0), (3, 3, '', 0), (0, 2, 'I', 5), (1, 2, 'I', 5),
+    (3, 2, 'I', 5), (2, 3, 'I', 5), (0, 3, 'II', 10), (1, 3, 'II', 10)),
+reads(a, h, b) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+actions AS (SELECT a, b, h, 'K' AS letter, 0 AS price FROM reads
+  UNION ALL SELECT a, b, NULL, 'R', 1 FROM reads WHERE h <> 's'
+  UNION ALL SELECT i, i, NULL, 'D', 2 FROM range(4) AS r(i)),
+parse AS (
+  SELECT conv_id, 0::BIGINT AS n, 0 AS state, {'cost': 0, 'audit': ''} AS best FROM counts
+  UNION ALL
+  SELECT p.conv_id, p.n + 1, x.b, min({'cost': p.best.cost + i.price + x.price
+      + CASE WHEN x.letter <> 'D' AND f.fault = 'truncated' THEN 5 ELSE 0 END, 'audit': p.best.audit || i.letters || x.letter})
+  FROM parse p JOIN faults f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.n = p.n + 1
+    JOIN inserts i ON i.a = p.state JOIN actions x ON x.a = i.b
+  WHERE (x.h IS NULL OR x.h = f.h) AND (x.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY p.conv_id, p.n, x.b),
+plans AS (SELECT p.conv_id, min({'cost': p.best.cost + i.price, 'audit': p.best.audit || i.letters}) AS best
+  FROM parse p JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n_rows = p.n JOIN inserts i ON i.a = p.state
+  WHERE i.b IN (0, 3) GROUP BY p.conv_id),
+edits AS (SELECT conv_id, k, substr(best.audit, k::INTEGER, 1) AS letter,
+    length(replace(substr(best.audit, 1, k::INTEGER), 'I', '')) AS n,
+    length(replace(substr(best.audit, 1, k::INTEGER), 'D', '')) AS o FROM plans, unnest(range(1, length(best.audit) + 1)) AS u(k)),
+made AS (SELECT e.conv_id, e.k, e.o, e.letter, f.role, f.text, max(CASE WHEN e.letter = 'K' AND e.o = 1 AND f.h = 's' THEN 1 ELSE 0 END)
+    OVER (PARTITION BY e.conv_id) AS sys
+  FROM edits e LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.n = e.n AND e.letter <> 'I' WHERE e.letter <> 'D'),
+repaired AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+    || coalesce(text, ''), chr(10) ORDER BY k) AS whole FROM made GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+  LEFT JOIN plans p ON p.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+_MARKED11 = """marked AS (SELECT hx.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS crc
+  FROM (SELECT *, hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS x FROM conversations) hx, crc_table)"""
+
+
+@query("op11_lr_conversation_repair", f"""WITH RECURSIVE {_CRC.partition("hexed AS")[0].rstrip().rstrip(",")},
+{_MARKED11},
+{_FOLD11}""")
+def op11_lr_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every damaged conversation."""
+    from sluice.llm.conversations import damaged, ordered_rows, repair_plans
+
+    rows = damaged(table(spark, sf_dir, "conversations"))
+    ordered = ordered_rows(rows, F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text"), F.col("present"))
+    return repair_plans(ordered).withColumnRenamed("conv", "conv_id")
+
+
+@query("op13_lanczos_whitening")
+def op13_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen whitened components of every embedding."""
+    from sluice.llm.whitening import whiten
+
+    return whiten(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("embedding"), 16).withColumnRenamed("key", "vec_id")
