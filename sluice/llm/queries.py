@@ -289,3 +289,12 @@ def op13_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.whitening import whiten
 
     return whiten(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("embedding"), 16).withColumnRenamed("key", "vec_id")
+
+
+@query("op12_host_suffix_html")
+def op12_host_suffix_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from sluice.llm.html_text import main_text
+
+    found = main_text(spark, table(spark, sf_dir, "pages"), F.col("page_id"), F.col("url"), F.col("html"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -45,7 +45,7 @@ def near_copies(seed):
 @pytest.mark.parametrize(("name"), sorted(queries.ORACLE))
 def test_query_equals_its_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     got = queries.QUERIES[name](spark, sf)
     cur = con.execute(queries.ORACLE[name])
