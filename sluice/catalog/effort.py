@@ -11,7 +11,7 @@ from sluice.catalog.lines import fold_lines
 from sluice.oracle import cte, sql
 from sluice.operators import effort as ef
 from sluice.plans.evaluate import evaluate_lines
-from sluice.session import scratch_path
+from sluice.session import persist_table, scratch_path
 from sluice.sources import tables as tb
 
 # ------------------------------------------------------------------ oracle views
@@ -67,10 +67,12 @@ def _div(a, b):
 
 
 # ------------------------------------------------------------------ Spark helpers
-def _ranked(spark, sf, lines=None):
-    results = _results(spark, sf)
-    lines = tb.line_scores(spark, sf) if lines is None else lines
-    return ef.rank_lines_global(spark, ef.ranked_line_parts(results, lines))
+def _parts(spark, sf):
+    return ef.ranked_line_parts(_results(spark, sf), tb.line_score_arrays(spark, sf))
+
+
+def _ranked(spark, sf):
+    return ef.rank_lines_global(spark, _parts(spark, sf))
 
 
 def _line_stats(spark, sf):
@@ -78,10 +80,8 @@ def _line_stats(spark, sf):
     return int(row["sum_lines"] or 0), int(row["sum_flaw_lines"] or 0)
 
 
-def _tp_stats(spark, sf, lines=None):
-    results = _results(spark, sf)
-    lines = tb.line_scores(spark, sf) if lines is None else lines
-    return ef.function_line_stats(spark, ef.selected_functions(results), lines)
+def _tp_stats(spark, sf):
+    return ef.function_line_stats(ef.selected_functions(_results(spark, sf)), tb.line_score_arrays(spark, sf))
 
 
 # ------------------------------------------------------------------ global rankings
@@ -103,7 +103,7 @@ FROM lstats s, (SELECT coalesce((SELECT min(rank) FROM line_ranks, lstats
                                 (SELECT count(*) FROM line_ranks)) AS inspected) i""", "lstats", "line_ranks"))
 def effort_at_recall(spark, sf):
     n_lines, n_flaws = _line_stats(spark, sf)
-    return ef.effort_at_recall(_ranked(spark, sf), n_lines, n_flaws)
+    return ef.effort_at_recall(spark, persist_table(spark, _parts(spark, sf), "line_parts"), n_lines, n_flaws)
 
 
 @register("recall_at_loc", sql(f"""
@@ -113,7 +113,7 @@ FROM lstats s, (SELECT coalesce(sum(label), 0) AS caught FROM line_ranks, lstats
                 WHERE rank <= floor(sum_lines * 0.01::DOUBLE)) c""", "lstats", "line_ranks"))
 def recall_at_loc(spark, sf):
     n_lines, n_flaws = _line_stats(spark, sf)
-    return ef.recall_at_loc(_ranked(spark, sf), n_lines, n_flaws)
+    return ef.recall_at_loc(spark, persist_table(spark, _parts(spark, sf), "line_parts"), n_lines, n_flaws)
 
 
 @register("effort_at_recall_by_prob", sql(f"""
@@ -148,18 +148,14 @@ def predicted_vulnerable_totals(spark, sf):
 SELECT total_function, sum_first_rank, {_div('sum_first_rank', 'total_function')} AS ifa FROM tp_summary""",
                      "tp_summary"))
 def ifa(spark, sf):
-    return ef.explanation_summary(_tp_stats(spark, sf)).select(
-        "total_function", (F.col("ifa") * F.col("total_function")).cast("long").alias("sum_first_rank"), "ifa")
+    return ef.explanation_summary(_tp_stats(spark, sf)).select("total_function", "sum_first_rank", "ifa")
 
 
 @register("topk_accuracy", sql(f"""
 SELECT total_function, top_k_hits, {_div('top_k_hits', 'total_function')} AS top_k_accuracy FROM tp_summary""",
                                "tp_summary"))
 def topk_accuracy(spark, sf):
-    stats = _tp_stats(spark, sf)
-    s = ef.explanation_summary(stats)
-    hits = stats.agg(F.count_if((F.col("status") == "ok") & (F.col("hit") == 1)).alias("top_k_hits"))
-    return s.crossJoin(hits).select("total_function", "top_k_hits", "top_k_accuracy")
+    return ef.explanation_summary(_tp_stats(spark, sf)).select("total_function", "top_k_hits", "top_k_accuracy")
 
 
 LOCS_VALUES = ", ".join(f"({p!r}::DOUBLE, {i})" for i, p in enumerate(ef.TOP_K_LOCS))
@@ -191,11 +187,7 @@ def recall_curve_auc(spark, sf):
 SELECT sum_last_rank, sum_total_lines, {_div('sum_last_rank', 'sum_total_lines')} AS total_effort FROM tp_summary""",
                               "tp_summary"))
 def total_effort(spark, sf):
-    stats = _tp_stats(spark, sf)
-    ok = F.col("status") == "ok"
-    return stats.agg(F.coalesce(F.sum(F.when(ok, F.col("last_rank"))), F.lit(0)).cast("long").alias("sum_last_rank"),
-                     F.coalesce(F.sum(F.when(ok, F.col("total_lines"))), F.lit(0)).cast("long").alias("sum_total_lines")) \
-        .withColumn("total_effort", F.try_divide(F.col("sum_last_rank").cast("double"), F.col("sum_total_lines")))
+    return ef.explanation_summary(_tp_stats(spark, sf)).select("sum_last_rank", "sum_total_lines", "total_effort")
 
 
 @register("mean_ranks", sql(f"""

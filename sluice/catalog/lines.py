@@ -214,14 +214,8 @@ def with_verified(ts, tokens_col="tokens", flaw_col="flaw_line"):
 
 
 def fold_lines(ts):
-    """C9 over the fixture token scores -> (func_id, line_idx, score, label)."""
-    v = with_verified(ts)
-    folded = v.select("func_id", tk.segment_line_scores("tokens", "_verified").alias("lines"))
-    # persist the per-function fold result before exploding: in one stage Spark evaluates the
-    # fold several times for a generator over its output (measured 3x at sf0.1)
-    folded = persist_table(ts.sparkSession, folded, "folded_lines")
-    return folded.select("func_id", F.posexplode("lines").alias("line_idx", "l")).select(
-        "func_id", "line_idx", F.col("l.score").alias("score"), F.col("l.label").alias("label"))
+    """C9 over the fixture token scores -> (func_id, lines array<struct<score, label>>)."""
+    return with_verified(ts).select("func_id", tk.segment_line_scores("tokens", "_verified").alias("lines"))
 
 
 cte("fold_lines", """
@@ -232,7 +226,9 @@ FROM (SELECT func_id, f_label, line_idx, ls[line_no] AS line FROM flines)""", "f
 
 @register("segment_line_scores", sql("SELECT * FROM fold_lines", "fold_lines", overrides=ALL_LINES))
 def segment_line_scores(spark, sf):
-    return fold_lines(_token_scores(spark, sf))
+    # stored before exploding: in one stage Spark evaluates the fold several times for a generator
+    # over its output (measured 3x at sf0.1)
+    return ef.exploded(persist_table(spark, fold_lines(_token_scores(spark, sf)), "folded_lines"))
 
 
 @register("zero_special_tokens", sql("""
@@ -270,8 +266,7 @@ def normalise_attributions(spark, sf):
 SELECT func_id, line_idx, row_number() OVER (PARTITION BY func_id ORDER BY score DESC, line_idx) - 1 AS rank
 FROM line_scores""", "line_scores", overrides=ALL_LINES))
 def rank_lines_in_function(spark, sf):
-    r = ef.rank_in_function(spark, tb.line_scores(spark, sf, test_set=False))
-    return r.select("func_id", "line_idx", "rank")
+    return ef.rank_in_function(tb.line_score_arrays(spark, sf, test_set=False)).select("func_id", "line_idx", "rank")
 
 
 @register("topk_slice", sql("""
@@ -279,5 +274,5 @@ SELECT * FROM (SELECT func_id, line_idx,
                       row_number() OVER (PARTITION BY func_id ORDER BY score DESC, line_idx) - 1 AS rank
                FROM line_scores) WHERE rank < 10""", "line_scores", overrides=ALL_LINES))
 def topk_slice(spark, sf):
-    r = ef.rank_in_function(spark, tb.line_scores(spark, sf, test_set=False))
-    return ef.topk_slice(r, ef.TOP_K_CONSTANT).select("func_id", "line_idx", "rank")
+    first = ef.topk_slice(tb.line_score_arrays(spark, sf, test_set=False), ef.TOP_K_CONSTANT)
+    return first.select("func_id", "line_idx", "rank")

@@ -56,7 +56,7 @@ def write_results_csv(spark, sf):
 @register("write_line_report", p3_sql(fold=False))
 def write_line_report(spark, sf):
     """The P3 report over the given line scores, appended as JSON and read back."""
-    report = evaluate_lines(spark, _results(spark, sf), tb.line_scores(spark, sf), name="s11")
+    report = evaluate_lines(spark, _results(spark, sf), tb.line_score_arrays(spark, sf), name="s11")
     path = scratch_path(spark, "line_report")
     sk.write_line_report(report, path)
     return spark.read.schema("metric string, value double").json(path)

@@ -20,6 +20,7 @@ TAB_MARK = "ĉ"
 LINE_SEPARATORS = ["Ċ", " Ċ", "ĊĊ", " ĊĊ"]
 FLAW_PREFIX_TOKEN = "@"
 BLOCK_SIZE = 512
+LABEL_RUN = 256
 
 # Word, single punctuation character, newline or tab.
 TOKEN_PATTERN = r"\w+|[^\w\s]|\n|\t"
@@ -29,6 +30,12 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` once and evaluate ``body(bound)``: the initial value of a one-step
+    aggregate is computed once, so ``body`` can read it many times without re-evaluation."""
+    return F.aggregate(F.array(F.lit(0)), value, lambda acc, _: acc, body)
+
+
 def tokenize(text) -> Column:
     """Regex word-level tokens; newline and tab render as the vocabulary's markers."""
     raw = F.regexp_extract_all(_c(text), F.lit(TOKEN_PATTERN), 0)
@@ -41,18 +48,25 @@ def framed_tokens(text) -> Column:
     return F.concat(F.array(F.lit(BOS)), tokenize(text), F.array(F.lit(EOS)))
 
 
-def token_blocks(df: DataFrame, key: str = "func_id", text: str = "code", block_size: int = BLOCK_SIZE) -> DataFrame:
-    """(key, block_idx, tokens): consecutive runs of block_size - 2 tokens, each wrapped in
-    <s> ... </s> and padded to block_size. Block 0 is what a model of that block size sees; the
-    later blocks hold the rest of the text. A text without tokens has one block of padding."""
+def blocks_of(tokens, block_size: int = BLOCK_SIZE) -> Column:
+    """Consecutive runs of block_size - 2 tokens, each wrapped in <s> ... </s> and padded to
+    block_size; without tokens, one block of padding."""
     body = block_size - 2
-    each = df.select(key, F.posexplode_outer(tokenize(text)).alias("_at", "_tok"))
-    each = each.withColumn("block_idx", F.coalesce(F.floor(F.col("_at") / body), F.lit(0)).cast("int"))
-    blocks = each.groupBy(key, "block_idx").agg(  # a block holds at most block_size - 2 tokens
-        F.array_sort(F.collect_list(F.when(F.col("_tok").isNotNull(), F.struct("_at", "_tok")))).alias("_s"))
-    framed = F.concat(F.array(F.lit(BOS)), F.transform("_s", lambda e: e["_tok"]), F.array(F.lit(EOS)))
-    padding = F.array_repeat(F.lit(PAD), F.lit(body) - F.size("_s"))
-    return blocks.select(key, "block_idx", F.concat(framed, padding).alias("tokens"))
+
+    def cut(t):
+        blocks = F.greatest(F.ceil(F.size(t) / body), F.lit(1)).cast("int")
+
+        def block(b):
+            part = F.slice(t, b * body + 1, F.lit(body))
+            return F.concat(F.array(F.lit(BOS)), part, F.array(F.lit(EOS)), F.array_repeat(F.lit(PAD), F.lit(body) - F.size(part)))
+        return F.transform(F.sequence(F.lit(0), blocks - 1), block)
+    return _let(_c(tokens), cut)
+
+
+def token_blocks(df: DataFrame, key: str = "func_id", text: str = "code", block_size: int = BLOCK_SIZE) -> DataFrame:
+    """(key, block_idx, tokens). Block 0 is what a model of that block size sees; the later
+    blocks hold the rest of the text. Blocks are cut in the row: no token leaves its text's task."""
+    return df.select(key, F.posexplode(blocks_of(tokenize(text), block_size)).alias("block_idx", "tokens"))
 
 
 def normalise_tokens(tokens) -> Column:
@@ -176,12 +190,6 @@ def segment_line_scores_fold(scored, verified_flaw_lines) -> Column:
     return F.aggregate(arr, init, step, lambda acc: acc["lines"])
 
 
-def _let(value: Column, body) -> Column:
-    """Bind ``value`` once and evaluate ``body(bound)``: the initial value of a one-step
-    aggregate is computed once, so ``body`` can read it many times without re-evaluation."""
-    return F.aggregate(F.array(F.lit(0)), value, lambda acc, _: acc, body)
-
-
 def segment_line_scores(scored, verified_flaw_lines) -> Column:
     """C9 in linear time (same result as ``segment_line_scores_fold``).
 
@@ -189,7 +197,8 @@ def segment_line_scores(scored, verified_flaw_lines) -> Column:
     separator (or the last token) iff the scores of its own segment -- the tokens since the
     previous separator -- sum to non-zero, summed left to right from 0.0 like the fold. The
     line text is the text of every segment since the previous closing one; the flaw pointer
-    then advances over the emitted lines only (state: pointer and matched line indices).
+    then advances over the emitted lines only. Their labels are gathered in runs of ``LABEL_RUN``, so a
+    step copies at most one run and no line searches a list.
     """
     seps = LINE_SEPARATORS
 
@@ -230,20 +239,19 @@ def segment_line_scores(scored, verified_flaw_lines) -> Column:
             return _let(F.struct(segs.alias("g"), emit.alias("e")), lines_body)
 
         def labelled(ls):
-            lines = ls["l"]
             flaws = ls["f"]
-            init = F.struct(F.lit(1).alias("cur"), F.array().cast("array<int>").alias("hit"), F.lit(0).alias("i"))
+            ints = F.array().cast("array<int>")
+            init = F.struct(F.lit(1).alias("cur"), ints.alias("part"), F.array().cast("array<array<int>>").alias("parts"))
 
             def step(acc, l):
                 ok = F.coalesce((acc["cur"] <= F.size(flaws)) & (F.element_at(flaws, acc["cur"]) == l["text"]),
-                                F.lit(False))
-                return F.struct((acc["cur"] + ok.cast("int")).alias("cur"),
-                                F.when(ok, F.concat(acc["hit"], F.array(acc["i"]))).otherwise(acc["hit"]).alias("hit"),
-                                (acc["i"] + 1).alias("i"))
-            hits = F.aggregate(lines, init, step, lambda acc: acc["hit"])
-            return _let(F.struct(lines.alias("l"), hits.alias("h")),
-                        lambda z: F.transform(z["l"], lambda l, i: F.struct(
-                            l["score"].alias("score"), F.array_contains(z["h"], i).cast("int").alias("label"))))
+                                F.lit(False)).cast("int")
+                full = F.size(acc["part"]) >= LABEL_RUN
+                return F.struct((acc["cur"] + ok).alias("cur"),
+                                F.when(full, F.array(ok)).otherwise(F.concat(acc["part"], F.array(ok))).alias("part"),
+                                F.when(full, F.concat(acc["parts"], F.array(acc["part"]))).otherwise(acc["parts"]).alias("parts"))
+            labels = F.aggregate(ls["l"], init, step, lambda acc: F.concat(F.flatten(acc["parts"]), acc["part"]))
+            return F.zip_with(ls["l"], labels, lambda l, x: F.struct(l["score"].alias("score"), x.alias("label")))
 
         segs = _let(F.struct(a.alias("a"), closers.alias("c")), segs_of)
         lines = _let(F.struct(segs.alias("s")), lines_of)

@@ -106,26 +106,21 @@ def lines_of(f: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return ex.select("func_id", *extra, "line_idx", F.col("_l.line_no").alias("line_no"), F.col("_l.line").alias("line"))
 
 
-def line_scores(spark: SparkSession, sf_dir: str, test_set: bool = True) -> DataFrame:
-    """Given line scores: one row per non-blank line, of the non-latent functions (the test set
-    of the metrics) or of all.
+def line_score_arrays(spark: SparkSession, sf_dir: str, test_set: bool = True) -> DataFrame:
+    """Given line scores: (func_id, lines array<struct<score, label>>) of the non-blank lines, of the
+    non-latent functions (the test set of the metrics) or of all.
 
     ``score`` is an integer-valued hash of ``func_id|line_no`` (exact sums), ``label`` is 1
     for lines of vulnerable functions whose length is a multiple of 5.
     """
     f = functions(spark, sf_dir)
     f = f.filter(F.col("latent") == 0) if test_set else f
-    return line_scores_of(f.select("func_id", "code", F.col("label").alias("f_label")))
-
-
-def line_scores_of(f: DataFrame) -> DataFrame:
-    lines = lines_of(f, extra=("f_label",))
-    return lines.select(
-        "func_id", "line_idx",
-        (F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("func_id"), F.col("line_no")), 256), 1, 6), 16, 10)
+    numbered = F.transform(code_lines("code"), lambda x, i: F.struct((i + 1).alias("line_no"), F.length(x).alias("len")))
+    own = f.select("func_id", F.col("label").alias("f_label"), F.filter(numbered, lambda s: s["len"] > 0).alias("_nb"))
+    return own.select("func_id", F.transform("_nb", lambda s: F.struct(
+        (F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("func_id"), s["line_no"]), 256), 1, 6), 16, 10)
          .cast("bigint") % 1000).cast("double").alias("score"),
-        ((F.col("f_label") == 1) & (F.length("line") % 5 == 0)).cast("int").alias("label"),
-    )
+        ((F.col("f_label") == 1) & (s["len"] % 5 == 0)).cast("int").alias("label"))).alias("lines"))
 
 
 def token_scores(spark: SparkSession, sf_dir: str, test_set: bool = True) -> DataFrame:

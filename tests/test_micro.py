@@ -46,17 +46,16 @@ def test_verify_stops_at_first_missing(spark):
 
 
 def _ranked(spark, labels):
-    rows = [(i + 1, lab, 0.0) for i, lab in enumerate(labels)]
-    df = spark.createDataFrame(rows, "rank long, label int, x double")
-    return df.withColumn("cum_label", F.sum("label").over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("rank")).cast("double"))
+    """Lines of predicted-positive functions, ranked in the given order."""
+    rows = [("pos", -float(i), 1, i, lab) for i, lab in enumerate(labels)]
+    return spark.createDataFrame(rows, "part string, score double, func_id long, line_idx int, label int")
 
 
 def test_effort_target_zero_edge_cases(spark):
     # target 0 with a flaw on top never matches: every row is inspected
-    assert ef.effort_at_recall(_ranked(spark, [1, 0, 0]), 10, 2).first()["inspected"] == 3
+    assert ef.effort_at_recall(spark, _ranked(spark, [1, 0, 0]), 10, 2).first()["inspected"] == 3
     # target 0 with a clean line on top stops at once
-    assert ef.effort_at_recall(_ranked(spark, [0, 1, 0]), 10, 2).first()["inspected"] == 1
+    assert ef.effort_at_recall(spark, _ranked(spark, [0, 1, 0]), 10, 2).first()["inspected"] == 1
 
 
 def test_null_latent_is_non_latent(spark):

@@ -86,13 +86,13 @@ def test_strict_purge_keeps_latest_latent_out_of_held_out(spark, sf):
 
 
 def test_recall_at_full_loc_is_ranked_flaw_share(spark, sf):
-    from sluice.catalog.effort import _line_stats, _ranked
+    from sluice.catalog.effort import _line_stats, _parts
     from sluice.operators import effort as ef
 
     n_lines, n_flaws = _line_stats(spark, sf)
-    ranked = _ranked(spark, sf)
-    got = ef.recall_at_loc(ranked, n_lines, n_flaws, top_k=1.0).first()["recall"]
-    ranked_flaws = ranked.agg(F.sum("label")).first()[0]
+    parts = _parts(spark, sf)
+    got = ef.recall_at_loc(spark, parts, n_lines, n_flaws, top_k=1.0).first()["recall"]
+    ranked_flaws = parts.agg(F.sum("label")).first()[0]
     assert got == ranked_flaws / n_flaws
 
 
@@ -110,6 +110,70 @@ def test_experiment_resumes_from_written_cells(spark, sf):
     assert long2.count() == long1.count() == 7
 
 
+def _cuts_by_sorting(rows, totals):
+    """Effort and recall cut-offs of rows (part, score, func_id, line_idx, label) from a full sort."""
+    order = sorted(rows, key=lambda r: (r[0] == "neg", r[1] if r[0] == "neg" else -r[1], r[2], r[3]))
+    n_lines, n_flaws = totals
+    target, caught, inspected = int(n_flaws * 0.2), 0, len(order)
+    for rank, r in enumerate(order, 1):
+        caught += r[4]
+        if caught == target:
+            inspected = rank
+            break
+    return inspected, sum(r[4] for r in order[:int(n_lines * 0.01)])
+
+
+def test_cut_offs_without_ordering_equal_a_full_sort(spark):
+    from sluice.operators import effort as ef
+
+    rng = random.Random(11)
+    for trial, scores in enumerate([[1.0], [0.0, 1.0, 2.0], [rng.uniform(-5, 5) for _ in range(400)], [1e-300, 1e300, -1e300, 5.0]]):
+        rows = [(g, rng.choice(["pos", "neg"]), rng.choice(scores) if i % 3 else scores[0], rng.randrange(40), i, int(rng.random() < 0.2))
+                for g in (0, 1, 2) for i in range(1500)]
+        df = spark.createDataFrame(rows, "g int, part string, score double, func_id long, line_idx int, label int")
+        totals = {(0,): (1500, 290), (1,): (40_000, 3), (2,): (90, 9_000)}
+        for limits in ({"small": 40, "bins": 4}, {"small": 1, "bins": 7}, {}):
+            got = ef.line_cuts(spark, df, totals, group_cols=["g"], **limits)
+            for (g,), total in totals.items():
+                want = _cuts_by_sorting([r[1:] for r in rows if r[0] == g], total)
+                assert (got[g,]["inspected"], got[g,]["caught"]) == want, (trial, g, limits)
+    assert ef.line_cuts(spark, df.limit(0), {(): (10, 2)}) == {(): {"flaw_target": 0, "row_target": 0, "inspected": 0, "caught": 0}}
+
+
+def test_ranks_in_the_row_equal_a_window(spark, sf):
+    from sluice.operators import effort as ef
+
+    rng = random.Random(6)
+    rows = [(i, [(float(rng.randrange(4)), rng.randrange(2)) for _ in range(rng.randrange(30))]) for i in range(60)] + [(99, None)]
+    df = spark.createDataFrame(rows, "func_id long, lines array<struct<score:double,label:int>>")
+    got = {(r.func_id, r.line_idx): (r["rank"], r.score, r.label) for r in ef.rank_in_function(df).collect()}
+    assert len(got) == sum(len(ls or []) for _, ls in rows)
+    for i, ls in rows:
+        for rank, j in enumerate(sorted(range(len(ls or [])), key=lambda j: (-ls[j][0], j))):
+            assert got[i, j] == (rank, *ls[j])
+    top = ef.topk_slice(df, 3).collect()
+    assert {(r.func_id, r.line_idx) for r in top} == {k for k, v in got.items() if v[0] < 3}
+
+
+def test_line_labels_grow_linearly(spark):
+    import time
+
+    from sluice.functions import tokens as tk
+
+    def lines(n):
+        toks = [t for i in range(n) for t in ((f"w{i}", 1.0), (tk.NEWLINE_MARK, 1.0))]
+        flaws = [f"w{i}" for i in range(0, n, 3)]
+        df = spark.createDataFrame([(toks, flaws)], "tokens array<struct<tok:string,v:double>>, f array<string>")
+        start = time.time()
+        out = df.select(tk.segment_line_scores("tokens", "f").alias("l")).first()["l"]
+        assert [r["label"] for r in out] == [int(i % 3 == 0) for i in range(n)]
+        return time.time() - start
+
+    lines(1000)
+    small, large = lines(10_000), lines(100_000)
+    assert large < 30 * max(small, 0.5)
+
+
 def test_write_splits_replaces_only_rewritten_seeds(spark, sf):
     from sluice.session import scratch_path
     from sluice.sources.sinks import write_splits
@@ -144,10 +208,10 @@ def test_grouped_line_evaluation_equals_per_group_runs(spark, sf):
     from sluice.plans.evaluate import evaluate_lines
 
     res = _results(spark, sf)
-    lines = tb.line_scores(spark, sf)
+    lines = tb.line_score_arrays(spark, sf)
     # group 2: other line scores and other predictions
     res2 = res.withColumn("logits", 1.0 - F.col("logits")).withColumn("y_preds", 1 - F.col("y_preds"))
-    lines2 = lines.withColumn("score", (F.col("score") * 7) % 1000)
+    lines2 = lines.withColumn("lines", F.transform("lines", lambda e: F.struct(((e["score"] * 7) % 1000).alias("score"), e["label"])))
     per_group = {}
     for g, (r, ln) in {1: (res, lines), 2: (res2, lines2)}.items():
         per_group.update({(g, m["metric"]): m["value"] for m in evaluate_lines(spark, r, ln, name=f"pg{g}").collect()})
