@@ -1,10 +1,11 @@
 """Repeated experiments -- configs x repeats -> splits -> classifier -> function
-metrics -> line metrics -> summaries.
+metrics -> attributions -> line metrics -> summaries.
 
-The splits of all repeats come from one plan (seed as a column) and the term counts of all
+The splits of all repeats come from one plan (seed as a column) and the tokens and term counts of all
 functions from one pass; both are persisted to the shared folder. Only the model fits loop,
-several at a time. A fit leaves its test scores and its slot weights; attribution, line scores
-and all metrics are then single plans keyed by (config, repeat).
+several at a time. A finished cell (config, repeat) is one table in the ledger: its test scores and, for
+each attribution method, the line scores of the functions with flaw text. All metrics are then single
+plans over the cells.
 """
 
 from __future__ import annotations
@@ -13,16 +14,17 @@ import hashlib
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions.code import has_text
 from sluice.operators import denoise as dn
 from sluice.operators import effort as ef
 from sluice.operators import metrics as me
 from sluice.operators import models as mo
 from sluice.operators.curate import is_latent
 from sluice.plans.evaluate import evaluate_lines, lines_from_token_scores
+from sluice.plans.ledger import finished_cells, read_cells, write_cell
 from sluice.plans.splits import build_splits
 from sluice.session import persist_table, scratch_path
 from sluice.sources.sinks import write_results_csv
@@ -33,7 +35,7 @@ CELL = ["config", "repeat"]
 LINE_METRICS = ["effort_at_recall", "recall_at_loc", "ifa", "top_k_accuracy"]
 
 
-def denoise_train(spark: SparkSession, train: DataFrame, val: DataFrame, how: str, grid, max_iter: int,
+def denoise_train(train: DataFrame, val: DataFrame, how: str, grid, max_iter: int, slots: int,
                   alpha: float = 1.0, keep: str = "negative") -> DataFrame:
     """M5 / M6 between the split builder and training; both begin with a model fit on the
     non-latent rows.
@@ -45,90 +47,75 @@ def denoise_train(spark: SparkSession, train: DataFrame, val: DataFrame, how: st
     """
     if how not in ("centroid", "predict"):
         raise ValueError("denoise must be None, 'centroid' or 'predict'")
-    model, _ = mo.fit_function_classifier(train.filter(~is_latent()), val, grid=grid, max_iter=max_iter)
+    model, _ = mo.fit_function_classifier(train.filter(~is_latent()), val, grid=grid, max_iter=max_iter, slots=slots)
     if how == "centroid":
         with_vec = train.join(mo.embed_functions(train, model=model), "func_id")
         return dn.centroid_filter(with_vec, "embedding", alpha=alpha).drop("embedding")
-    scored = mo.score_functions(model, train.filter(is_latent())).select("func_id", "y_pred")
-    return dn.self_training_filter(train, scored, keep=keep)
-
-
-def _done_cells(spark: SparkSession, path: str) -> set:
-    try:
-        done = spark.read.parquet(path).select(*CELL).distinct().collect()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return set()
-    return {(r["config"], r["repeat"]) for r in done}
-
-
-def _write_cell(df: DataFrame, path: str) -> None:
-    """Write one (config, repeat) cell; a rerun of an interrupted cell replaces its partition."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*CELL).parquet(path))
+    scored = mo.score_functions(mo.weighed(train.filter(is_latent()), model), model.intercept)
+    return dn.self_training_filter(train, scored.select("func_id", "y_pred"), keep=keep)
 
 
 def run_experiment(spark: SparkSession, f: DataFrame, repeats: int = 10, configs=CONFIGS, grid=mo.GRID,
-                   method: str = "attention", max_iter: int = mo.MAX_ITER, denoise: str | None = None,
+                   methods=("attention",), max_iter: int = mo.MAX_ITER, denoise: str | None = None,
                    out_path: str | None = None, latent_source: DataFrame | None = None, latent_name: str = "",
                    parallel: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Returns ``(long, wide)``: long ``(config, repeat, metric, value)`` and the per-repeat
-    result table with -1 for missing metrics (a test set of one class has recall only).
-    ``denoise`` inserts M5 ('centroid') or M6 ('predict') before the final fit; ``latent_source`` (and a
+    """Returns ``(long, wide)``: long ``(config, repeat, method, metric, value)`` and the per-repeat
+    result table, one row per (config, repeat, method), with -1 for missing metrics (a test set of one class has
+    recall only). ``denoise`` inserts M5 ('centroid') or M6 ('predict') before the final fit; ``latent_source`` (and a
     ``latent_name`` for it) augments training from another latent table (P2).
 
-    Cells are kept below ``out_path`` (shared storage; a private scratch folder when not given)
+    Cells are kept in a ledger below ``out_path`` (shared storage; a private scratch folder when not given)
     under a digest of the parameters, and cells already there are not fitted again, so a
     restarted driver resumes. With ``out_path`` the summary (A15) and the result table (S10, CSV) are
     written beside them."""
-    given = repr((sorted(map(tuple, configs)), tuple(grid), max_iter, denoise, latent_source is not None, latent_name))
+    methods = list(methods)
+    given = repr((sorted(map(tuple, configs)), tuple(grid), methods, max_iter, denoise, latent_source is not None, latent_name))
     base = f"{out_path or scratch_path(spark, 'experiment')}/{hashlib.sha256(given.encode()).hexdigest()[:16]}"
-    scores_path, weights_path, done_path = f"{base}/scores", f"{base}/weights", f"{base}/done"
     seeds = [10000 * r for r in range(1, repeats + 1)]
-    splits_path = scratch_path(spark, "experiment_splits")
-    build_splits(f, seeds=seeds, latent_source=latent_source).write.partitionBy("seed", "split").parquet(splits_path)
-    splits = spark.read.parquet(splits_path)
+    all_cells = [(c, r) for r in range(1, repeats + 1) for c, _ in configs]
+    done = finished_cells(spark, f"{base}/cells")
+    todo = [(c, t, r, s) for r, s in enumerate(seeds, start=1) for c, t in configs if (c, str(r)) not in done]
     code = persist_table(spark, f.select("func_id", "code", "flaw_line", "flaw_line_index"), "experiment_code")
-    counts = persist_table(spark, mo.with_term_counts(code.select("func_id", "code")).select("func_id", "_tf"), "experiment_terms")
+    if todo:
+        slots = mo.slots_for(code)
+        splits_path = scratch_path(spark, "experiment_splits")
+        build_splits(f, seeds=seeds, latent_source=latent_source).write.partitionBy("seed", "split").parquet(splits_path)
+        splits = spark.read.parquet(splits_path)
+        tokens = persist_table(spark, mo.tokenised(code, slots).select("func_id", "flaw_line", *mo._TOKEN_COLUMNS), "experiment_tokens")
 
     def fit_cell(config: str, train_split: str, r: int, seed: int) -> None:
-        def take(name):
+        def take(name, columns=("_slots", "_tf")):
             part = splits.filter((F.col("seed") == seed) & (F.col("split") == name))
-            return part.select("func_id", "label", "latent").join(counts, "func_id")
+            return part.select("func_id", "label", "latent").join(tokens.select("func_id", *columns), "func_id")
         train, val = take(train_split), take("val")
         if denoise is not None:
-            train = denoise_train(spark, train, val, denoise, grid, max_iter)
-        model, _ = mo.fit_function_classifier(train, val, grid=grid, max_iter=max_iter)
-        tag = [F.lit(config).alias("config"), F.lit(r).alias("repeat")]
-        scored = mo.score_functions(model, take("test")).select(*tag, "func_id", "label", "prob", "y_pred")
-        _write_cell(scored, scores_path)
-        _write_cell(spark.createDataFrame(mo.slot_weights(model)).select(*tag, "*"), weights_path)
-        # written last: marks the cell as complete
-        spark.range(1).select(*tag).write.mode("append").parquet(done_path)
+            train = denoise_train(train, val, denoise, grid, max_iter, slots)
+        model, _ = mo.fit_function_classifier(train, val, grid=grid, max_iter=max_iter, slots=slots)
+        test = mo.weighed(take("test", ("flaw_line", "_toks", "_slots")), model)
+        scored = mo.score_functions(test.select("func_id", "label", "_c"), model.intercept)
+        relevant = mo.attributed(test.filter(has_text("flaw_line")), ["func_id", "flaw_line"], methods)
+        lines = lines_from_token_scores(relevant.drop("flaw_line"), tokens, ["method"])
+        explained = lines.groupBy("func_id").agg(F.collect_list(F.struct("method", "lines")).alias("explained"))  # one entry a method
+        cell = scored.join(explained, "func_id", "left").select(
+            F.lit(config).alias("config"), F.lit(r).alias("repeat"), "func_id", "label", "prob", "y_pred", "explained")
+        write_cell(cell, f"{base}/cells", (config, r))
 
-    done = _done_cells(spark, done_path)
-    cells = [(c, t, r, s) for r, s in enumerate(seeds, start=1) for c, t in configs if (c, r) not in done]
     with ThreadPoolExecutor(max(1, parallel)) as pool:
-        for running in [pool.submit(inheritable_thread_target(spark)(fit_cell), *cell) for cell in cells]:
+        for running in [pool.submit(inheritable_thread_target(spark)(fit_cell), *cell) for cell in todo]:
             running.result()
 
-    wanted = spark.read.parquet(done_path).distinct().filter(
-        F.col("config").isin([c for c, _ in configs]) & (F.col("repeat") <= repeats))
-    scores = spark.read.parquet(scores_path).join(F.broadcast(wanted), CELL, "left_semi")  # one row a cell
-    function_metrics = me.single_class_metrics(scores.withColumnRenamed("label", "y_true"), CELL)
-    function_metrics = me.to_long(function_metrics.drop("n_classes"), CELL, ["precision", "recall", "f1"])
-    results = persist_table(spark, ef.result_frame(scores.join(code, "func_id"), CELL), "experiment_results")
-    occurrences = mo.with_slots(mo.token_occurrences(code.select("func_id", "code")))
-    weighed = (occurrences.join(scores.select(*CELL, "func_id"), "func_id")
-               .join(spark.read.parquet(weights_path), [*CELL, "slot"]))
-    tokens = mo.attributed(weighed, [method], CELL).drop("method")
-    lines = lines_from_token_scores(tokens, code, CELL)
-    line_metrics = evaluate_lines(spark, results, lines, neg_ascending=(method == "attention"), name="p4", group_cols=CELL)
+    cells = read_cells(spark, f"{base}/cells", all_cells)
+    keyed = [*CELL, "method"]
+    each = cells.drop("explained").withColumn("method", F.explode(F.array(*map(F.lit, methods))))
+    lines = cells.select(*CELL, "func_id", F.inline("explained"))
+    function_metrics = me.single_class_metrics(each.withColumnRenamed("label", "y_true"), keyed)
+    function_metrics = me.to_long(function_metrics.drop("n_classes"), keyed, ["precision", "recall", "f1"])
+    results = ef.result_frame(each.join(code, "func_id"), keyed)
+    line_metrics = evaluate_lines(spark, results, lines, neg_ascending=F.col("method") == "attention", name="p4", group_cols=keyed)
     long = function_metrics.unionByName(line_metrics.filter(F.col("metric").isin(*LINE_METRICS)))
-    long = long.filter("value is not null").select("config", F.col("repeat").cast("int"), "metric", "value")
-    wide = me.results_wide(long)
+    long = long.filter("value is not null").select("config", F.col("repeat").cast("int"), "method", "metric", "value")
+    wide = me.results_wide(long, keyed)
     if out_path:
-        me.experiment_summary(long).write.mode("overwrite").parquet(f"{base}/summary-{method}")
-        write_results_csv(wide, f"{base}/results-{method}")
+        me.experiment_summary(long, ["config", "method"]).write.mode("overwrite").parquet(f"{base}/summary")
+        write_results_csv(wide, f"{base}/results")
     return long, wide

@@ -96,18 +96,25 @@ def test_recall_at_full_loc_is_ranked_flaw_share(spark, sf):
     assert got == ranked_flaws / n_flaws
 
 
-def test_experiment_resumes_from_written_cells(spark, sf):
+def test_experiment_resumes_from_written_cells(spark, sf, monkeypatch):
+    from sluice.operators import models as mo
     from sluice.plans.experiment import run_experiment
     from sluice.session import scratch_path
 
     f = tb.functions(spark, sf)
     out = scratch_path(spark, "exp_resume")
-    long1, wide1 = run_experiment(spark, f, repeats=1, configs=[("regular", "train")], out_path=out)
+    settings = dict(repeats=1, configs=[("regular", "train")], grid=((0.1, True),), methods=("attention", "saliency"), out_path=out)
+    long1, wide1 = run_experiment(spark, f, **settings)
     first = sorted(map(tuple, wide1.collect()))
-    # the second run finds the finished cell and fits nothing
-    long2, wide2 = run_experiment(spark, f, repeats=1, configs=[("regular", "train")], out_path=out)
+    assert len(first) == 2
+
+    def fits_nothing(*a, **k):
+        raise AssertionError("a finished cell was fitted again")
+    monkeypatch.setattr(mo, "fit_function_classifier", fits_nothing)
+    long2, wide2 = run_experiment(spark, f, **settings)
     assert sorted(map(tuple, wide2.collect())) == first
-    assert long2.count() == long1.count() == 7
+    # the long table has exactly the metrics that the wide one does not fill with -1
+    assert long2.count() == long1.count() == sum(v != -1.0 for row in first for v in row[3:])
 
 
 def _cuts_by_sorting(rows, totals):
