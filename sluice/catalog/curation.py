@@ -41,14 +41,25 @@ def _even_source():
     return F.substring(F.col("source"), 4, 10).cast("int") % 2 == 0
 
 
+def project_files(spark, sf):
+    """The function table as one folder of files per project: {project: path}. Odd-numbered projects
+    ship without ``latent`` and ``method`` and with wider labels (ragged schemas)."""
+    f = tb.functions(spark, sf, extra=("source",)).withColumnRenamed("source", "project")
+    base = scratch_path(spark, "project_files")
+    even = f.withColumnRenamed("project", "source").filter(_even_source()).withColumnRenamed("source", "project")
+    odd = f.withColumnRenamed("project", "source").filter(~_even_source()).withColumnRenamed("source", "project")
+    even.write.partitionBy("project").parquet(f"{base}/full")
+    odd.drop("latent", "method").withColumn("label", F.col("label").cast("long")).write.partitionBy("project").parquet(f"{base}/ragged")
+    paths = {}
+    for kind in ("full", "ragged"):  # one row a project
+        for r in spark.read.parquet(f"{base}/{kind}").select("project").distinct().collect():
+            paths[r["project"]] = f"{base}/{kind}/project={r['project']}"
+    return paths
+
+
 def projects(spark, sf):
-    """Per-project tables concatenated by name; odd-numbered projects ship without the
-    ``latent`` and ``method`` columns (ragged schemas)."""
-    f = tb.functions(spark, sf, extra=("source",))
-    full = f.filter(_even_source()).select(F.col("source").alias("project"), "func_id", "label", "latent",
-                                           "method", "vfc")
-    ragged = f.filter(~_even_source()).select(F.col("source").alias("project"), "func_id", "label", "vfc")
-    return full.unionByName(ragged, allowMissingColumns=True)
+    """The files of all projects as one table."""
+    return tb.scan_projects(spark, project_files(spark, sf))
 
 
 cte("fsrc", """
@@ -60,9 +71,11 @@ SELECT project, func_id, label, NULL::INTEGER, NULL::VARCHAR, vfc FROM fsrc WHER
     "fsrc")
 
 
-@register("scan_projects", sql("SELECT * FROM projects", "projects"))
+@register("scan_projects", sql("SELECT *, 'project=' || project AS folder FROM projects", "projects"))
 def scan_projects(spark, sf):
-    return projects(spark, sf)
+    """S2 with the folder each row was read from."""
+    p = projects(spark, sf)
+    return p.select("project", "func_id", "label", "latent", "method", "vfc", F.element_at(F.split("file", "/"), -2).alias("folder"))
 
 
 # ------------------------------------------------------------------ filters
@@ -169,11 +182,8 @@ def _linked(spark, sf, drop_func_id: bool):
                             .select("func_id", "hash_code", "vfc").withColumn("prio", F.lit(0)))
     train = sp.assign_splits(base.withColumn("seed", F.lit(10000).cast("long"))).filter(F.col("split") == "train")
     train = train.select("seed", *([c for c in ["func_id"] if not drop_func_id]), "vfc")
-    key = cu.link_key(train)
-    tk = train.select("seed", F.col(key).alias("_k"))
     lat = latent.withColumn("seed", F.lit(10000).cast("long"))
-    out = lat.join(tk, (lat["seed"] == tk["seed"]) & lat["vfc"].eqNullSafe(tk["_k"]), "left_semi")
-    return out.select("seed", "func_id", "vfc", "hash_code")
+    return cu.link_latent(lat, train, by=["seed"]).select("seed", "func_id", "vfc", "hash_code")
 
 
 @register("link_latent", sql("SELECT * FROM sp_linked", "sp_linked"))

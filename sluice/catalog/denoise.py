@@ -8,7 +8,7 @@ from sluice.catalog import register
 from sluice.catalog.curation import splits1
 from sluice.oracle import cte, sql
 from sluice.operators import denoise as dn
-from sluice.operators.curate import is_latent, rebuild_train
+from sluice.operators.curate import is_latent
 from sluice.session import persist_table
 from sluice.sources import tables as tb
 
@@ -68,8 +68,15 @@ def centroid_distance(spark, sf):
 @register("centroid_filter", sql("SELECT vec_id FROM emb_dist WHERE role = 'latent' AND d_pos < 1.0 * d_neg",
                                  "emb_dist"))
 def centroid_filter(spark, sf):
-    latent = _emb(spark, sf).filter(F.col("role") == "latent")
-    return dn.centroid_select(latent, "embedding", _pair(spark, sf), alpha=1.0).select("vec_id")
+    return _filtered(spark, sf).filter(F.col("role") == "latent").select("vec_id")
+
+
+def _filtered(spark, sf):
+    """M5 over the vectors: centroids of the two original classes, latent rows kept by distance."""
+    role = F.col("role")
+    train = _emb(spark, sf).select("vec_id", "embedding", "role", F.when(role == "latent", 1).otherwise(0).alias("latent"),
+                                   F.when(role == "pos", 1).when(role == "neg", 0).alias("label"))
+    return dn.centroid_filter(train, "embedding", alpha=1.0)
 
 
 @register("rebuild_train", sql("""
@@ -77,9 +84,7 @@ SELECT vec_id, role FROM emb_dist WHERE role <> 'latent'
 UNION ALL SELECT vec_id, role FROM emb_dist WHERE role = 'latent' AND d_pos < 1.0 * d_neg""", "emb_dist"))
 def rebuild_train_q(spark, sf):
     """U4 on the centroid path: non-latent vectors plus the kept latent vectors."""
-    e = _emb(spark, sf)
-    kept = dn.centroid_select(e.filter(F.col("role") == "latent"), "embedding", _pair(spark, sf)).select("vec_id", "role")
-    return rebuild_train(e.filter(F.col("role") != "latent").select("vec_id", "role"), kept)
+    return _filtered(spark, sf).select("vec_id", "role")
 
 
 # ------------------------------------------------------------------ self-training path

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from sluice.catalog import register
 from sluice.catalog.curation import splits10
-from sluice.functions.code import model_seed, report_round, softmax_prob, threshold_predict
+from sluice.functions.code import data_seed, model_seed, report_round, softmax_prob, threshold_predict
 from sluice.oracle import cte, sql
 from sluice.operators import effort as ef
 from sluice.operators import metrics as me
+from sluice.operators.align import attach_predictions
 from sluice.plans.splits import DEFAULT_SEEDS
 from sluice.session import scratch_path
+from sluice.sources import sinks
 from sluice.sources import tables as tb
 from sluice.sources.logs import ingest_metric_logs, metric_log_lines
 
@@ -86,9 +88,8 @@ def project_results(spark, sf):
 
 def write_predictions(spark, sf):
     """Persist (func_id, y_trues, y_preds, logits) of the test set."""
-    r = _results(spark, sf)
     path = scratch_path(spark, "predictions")
-    r.select("func_id", "y_trues", "y_preds", "logits").write.parquet(path)
+    sinks.write_predictions(_results(spark, sf), path)
     return path
 
 
@@ -97,21 +98,11 @@ def write_predictions_q(spark, sf):
     return spark.read.parquet(write_predictions(spark, sf))
 
 
-def attach_predictions(preds, test):
-    """Attach predictions to the test table by key; both sides must have equal counts
-    (the positional-length assertion of the reference)."""
-    out = test.join(preds, "func_id", "inner")
-    n_p, n_t, n_o = preds.count(), test.count(), out.count()
-    if not (n_p == n_t == n_o):
-        raise ValueError(f"predictions ({n_p}) and test rows ({n_t}) do not align ({n_o} matched)")
-    return out
-
-
 @register("attach_predictions", sql("SELECT * FROM results", "results"))
 def attach_predictions_q(spark, sf):
     test = tb.functions(spark, sf).filter(F.col("latent") == 0)
     preds = tb.score_hash_model(test).select("func_id", "prob", "y_pred")
-    joined = attach_predictions(preds, test.drop("prob", "y_pred"))
+    joined = attach_predictions(test.drop("prob", "y_pred"), preds)
     return ef.result_frame(joined)
 
 
@@ -121,7 +112,7 @@ def scan_predictions(spark, sf):
     saved = spark.read.parquet(write_predictions(spark, sf)).select(
         "func_id", F.col("logits").alias("prob"), F.col("y_preds").alias("y_pred"))
     test = tb.functions(spark, sf).filter(F.col("latent") == 0)
-    return ef.result_frame(attach_predictions(saved, test))
+    return ef.result_frame(attach_predictions(test, saved))
 
 
 @register("softmax_prob", sql("""
@@ -230,11 +221,14 @@ SELECT metric, TRY_CAST(trim(split_part(value, ' = ', 2)) AS DOUBLE) AS value FR
                      WHEN contains(value, 'Recall@0.01LOC') THEN 'recall_at_loc'
                      WHEN contains(value, 'IFA =') THEN 'ifa'
                      WHEN contains(value, 'Top-10_Accuracy') THEN 'top_k_accuracy' END AS metric
-  FROM (SELECT CASE doc_id % 5
+  FROM (SELECT CASE doc_id % 8
                  WHEN 0 THEN '  test_recall = 0.' || lpad((doc_id % 100)::VARCHAR, 2, '0')
                  WHEN 1 THEN '  test_precision = 0.' || lpad((doc_id % 100)::VARCHAR, 2, '0')
                  WHEN 2 THEN '  test_f1 = 0.' || lpad((doc_id % 100)::VARCHAR, 2, '0')
                  WHEN 3 THEN 'IFA = ' || (doc_id % 100)::VARCHAR || '.5'
+                 WHEN 4 THEN 'Effort@0.2Recall = 0.' || lpad((doc_id % 100)::VARCHAR, 2, '0')
+                 WHEN 5 THEN 'Recall@0.01LOC = 0.' || lpad((doc_id % 100)::VARCHAR, 2, '0')
+                 WHEN 6 THEN 'Top-10_Accuracy = ' || (doc_id % 100)::VARCHAR
                  ELSE 'epoch ' || doc_id::VARCHAR || ' done' END AS value
         FROM labels))
 WHERE metric IS NOT NULL"""))
@@ -269,7 +263,7 @@ def scan_configs(spark, sf):
     spark.createDataFrame([Row(config=c, split=s) for c, s in CONFIGS]).write.option("header", False).csv(path)
     configs = spark.read.schema("config string, split string").csv(path)
     reps = configs.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(len(DEFAULT_SEEDS)))))
-    reps = reps.withColumn("data_seed", (F.lit(10000) * F.col("repeat")).cast("long"))
+    reps = reps.withColumn("data_seed", data_seed("repeat"))
     reps = reps.withColumn("model_seed",
                            model_seed(F.concat(F.col("config"), F.lit(f"_{CORPUS}_{SETTING}")), F.col("repeat")))
     sizes = splits10(spark, sf).groupBy("seed", "split").agg(F.count(F.lit(1)).alias("n_train"))
@@ -293,4 +287,4 @@ def derive_seed_q(spark, sf):
     return p.select("project", "repeat",
                     model_seed(F.concat(F.lit("regular_"), F.col("project"), F.lit(f"_{SETTING}")), F.col("repeat"))
                     .alias("model_seed"),
-                    (F.lit(10000) * F.col("repeat")).cast("long").alias("data_seed"))
+                    data_seed("repeat").alias("data_seed"))

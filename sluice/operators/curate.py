@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.code import code_hash, has_text
+from sluice.functions.code import code_hash
 
 # Cohort names (fixed values of the split builder).
 VULN, NON_VULN, LATENT = "vuln", "non_vuln", "latent"
@@ -75,9 +75,9 @@ def union_classes(vuln: DataFrame, non_vuln: DataFrame) -> DataFrame:
     return dedup_first(ordered_union(vuln, non_vuln))
 
 
-def augment_train(latent: DataFrame, train: DataFrame) -> DataFrame:
-    """Latent rows before training rows; on a shared hash the latent row wins."""
-    return dedup_first(ordered_union(latent, train))
+def augment_train(latent: DataFrame, train: DataFrame, key="hash_code") -> DataFrame:
+    """Latent rows before training rows; on a shared hash (or ``key``) the latent row wins."""
+    return dedup_first(ordered_union(latent, train), key=key)
 
 
 def rebuild_train(non_latent: DataFrame, kept_latent: DataFrame) -> DataFrame:
@@ -90,22 +90,19 @@ def label_counts(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def has_flaw_text(df: DataFrame, need_index: bool = False) -> Column:
-    """non-empty ``flaw_line`` (and ``flaw_line_index`` for the explanation path)."""
-    c = has_text("flaw_line")
-    return c & has_text("flaw_line_index") if need_index else c
-
-
 def link_key(df: DataFrame) -> str:
     """the training-side link key: ``func_id`` when the column exists, else ``vfc``."""
     return "func_id" if "func_id" in df.columns else "vfc"
 
 
-def link_latent(latent: DataFrame, train: DataFrame) -> DataFrame:
-    """Latent rows whose parent ``vfc`` is a key of the training split (null-safe)."""
-    key = link_key(train)
-    keys = train.select(F.col(key).alias("_k"))
-    return latent.join(keys, latent["vfc"].eqNullSafe(keys["_k"]), "left_semi")
+def link_latent(latent: DataFrame, train: DataFrame, by=()) -> DataFrame:
+    """Latent rows whose parent ``vfc`` is a key of the training split (null-safe), within the groups ``by``
+    (e.g. the seed)."""
+    keys = train.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col(link_key(train)).alias("_k"))
+    on = latent["vfc"].eqNullSafe(keys["_k"])
+    for i, c in enumerate(by):
+        on = on & (latent[c] == keys[f"_by{i}"])
+    return latent.join(keys, on, "left_semi")
 
 
 def purge_leakage(split: DataFrame, latent: DataFrame) -> DataFrame:

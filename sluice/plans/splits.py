@@ -2,7 +2,10 @@
 
 One plan for all seeds: the seed is a column (rows are generated per seed, not joined),
 so ten permutations, purges and augmentations share each shuffle. Only narrow key
-columns travel through the shuffles; code text is joined back at the end when asked for.
+columns travel through the shuffles, the content hash as its 32 bytes; code text is joined back at
+the end when asked for. The keyed table, the de-duplicated base and the ranked splits are each
+computed once and stored below the shared folder; training, held-out, link and augmentation
+branches read the stored ranking.
 """
 
 from __future__ import annotations
@@ -10,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.operators.curate import (LATENT, NON_VULN, VULN, cohort, dedup_first, link_key,
-                                     with_hash)
+from sluice.operators.curate import (LATENT, NON_VULN, VULN, augment_train, cohort, dedup_first, link_latent,
+                                     purge_leakage, with_hash)
 from sluice.operators.ranking import hash_rank, hex_digits_for
 from sluice.session import persist_table
 
@@ -28,15 +31,16 @@ def _with_seeds(df: DataFrame, seeds) -> DataFrame:
 
 
 def order_key(seed="seed", hash_code="hash_code"):
-    """Seeded permutation key; reproducible and independent of partitioning."""
-    return F.sha2(F.concat_ws("|", F.col(seed), F.col(hash_code)), 256)
+    """Seeded permutation key; reproducible and independent of partitioning. ``hash_code`` is hex text."""
+    return F.sha2(F.concat_ws("|", F.col(seed), F.col(hash_code) if isinstance(hash_code, str) else hash_code), 256)
 
 
 def assign_splits(base: DataFrame, train_fraction: float = TRAIN_FRACTION,
                   val_fraction: float = VAL_FRACTION_OF_REST, hex_digits: int = 3) -> DataFrame:
     """W1 + W2: exact-size split by seeded rank: train = first floor(0.8 n); of the rest r,
     val = next floor(0.5 r); test = remainder."""
-    keyed = base.withColumn("_okey", order_key())
+    binary = dict(base.dtypes)["hash_code"] == "binary"
+    keyed = base.withColumn("_okey", order_key(hash_code=F.lower(F.hex("hash_code")) if binary else "hash_code"))
     ranked = hash_rank(keyed, "_okey", group_cols=["seed"], tiebreak=["hash_code"], hex_digits=hex_digits)
     n = F.col("_group_n")
     n_train = F.floor(n * F.lit(float(train_fraction)))
@@ -58,47 +62,43 @@ def build_splits(f: DataFrame, seeds=(10000,), method: str = "v", latent_source:
     Returns rows ``(seed, split, func_id, hash_code, label, latent, method, vfc)`` with split in
     train / val / test / train_latent.
     """
-    # The narrow keyed table (no code text) is persisted once: SHA-256 over the code is
-    # computed a single time however many jobs read it (counts, offsets, main plan).
-    h = persist_table(f.sparkSession,
-                      with_hash(f.select(*[c for c in KEY_COLS if c != "hash_code"], "code")).select(*KEY_COLS),
-                      "keyed_functions")
+    spark = f.sparkSession
+
+    def keyed(t: DataFrame) -> DataFrame:
+        named = with_hash(t.select(*[c for c in KEY_COLS if c != "hash_code"], "code")).select(*KEY_COLS)
+        return named.withColumn("hash_code", F.unhex("hash_code"))
+
+    # SHA-256 over the code is computed a single time however many jobs read the keys
+    h = persist_table(spark, keyed(f), "keyed_functions")
     c = h.withColumn("cohort", cohort(method))
     # U1 + A2: per-cohort and cross-cohort keep-first collapse into one de-duplication
     # ordered by (vulnerable first, smallest func_id).
     classes = (c.filter(F.col("cohort").isin(VULN, NON_VULN))
                 .withColumn("prio", F.when(F.col("cohort") == VULN, 0).otherwise(1))
                 .drop("cohort"))
-    base = dedup_first(classes)
+    base = persist_table(spark, dedup_first(classes), "split_base")
     purge_latent = dedup_first(c.filter(F.col("cohort") == LATENT).drop("cohort").withColumn("prio", F.lit(0)))
     if latent_source is None:
         latent = purge_latent
     else:
-        lat = with_hash(latent_source.select(*[x for x in KEY_COLS if x != "hash_code"], "code")).select(*KEY_COLS)
-        lat = lat.filter((F.col("label") == 1) & (F.col("latent") == 1) & (F.col("method") == method))
+        lat = keyed(latent_source).filter((F.col("label") == 1) & (F.col("latent") == 1) & (F.col("method") == method))
         latent = dedup_first(lat.withColumn("prio", F.lit(0)))
 
-    # bucket count from the size of the keyed table (persisted, so counting is cheap)
-    splits = assign_splits(_with_seeds(base, seeds), hex_digits=hex_digits_for(h.count()))
+    # bucket count from the size of the base (stored, so counting is cheap)
+    ranked = assign_splits(_with_seeds(base, seeds), hex_digits=hex_digits_for(base.count()))
+    splits = persist_table(spark, ranked.select(*SPLIT_COLS), "ranked_splits")
     train = splits.filter(F.col("split") == "train")
     # Purge val/test rows whose hash occurs among the latent rows (label 0 or 1).
-    hashes = purge_latent.select(F.col("hash_code").alias("_h"))
-    held = splits.filter(F.col("split") != "train")
-    held = held.join(hashes, (held["hash_code"] == hashes["_h"]) & held["label"].isin(0, 1), "left_anti")
+    held = purge_leakage(splits.filter(F.col("split") != "train"), purge_latent)
     # F9 + J2: latent rows whose parent is a training key (null-safe, per seed).
-    key = link_key(train)
-    tkeys = train.select("seed", F.col(key).alias("_k"))
-    lat_s = _with_seeds(latent, seeds)
-    linked = lat_s.join(tkeys, (lat_s["seed"] == tkeys["seed"]) & lat_s["vfc"].eqNullSafe(tkeys["_k"]), "left_semi")
+    linked = link_latent(_with_seeds(latent, seeds), train, by=["seed"])
     if strict_purge:
-        held_h = held.select("seed", F.col("hash_code").alias("_hh"))
-        linked = linked.join(held_h, (linked["seed"] == held_h["seed"]) & (linked["hash_code"] == held_h["_hh"]),
-                             "left_anti")
+        held_h = held.select("seed", "hash_code")
+        linked = linked.join(held_h, ["seed", "hash_code"], "left_anti")
     # U2 + A2: latent before train; on a shared hash the latent row wins.
-    aug = (linked.withColumn("prio", F.lit(0)).withColumn("_rank", F.lit(None).cast("long"))
-           .unionByName(train.drop("split").withColumn("prio", F.lit(1))))
-    aug = dedup_first(aug, key=["seed", "hash_code"]).withColumn("split", F.lit("train_latent"))
-    out = train.unionByName(held).unionByName(aug.select(*train.columns)).select(*SPLIT_COLS)
+    aug = augment_train(linked, train.drop("split"), key=["seed", "hash_code"]).withColumn("split", F.lit("train_latent"))
+    out = train.unionByName(held).unionByName(aug.select(*train.columns))
+    out = out.withColumn("hash_code", F.lower(F.hex("hash_code"))).select(*SPLIT_COLS)
     if with_code:
         code = f.select("func_id", "code", "flaw_line", "flaw_line_index")
         out = out.join(code, "func_id", "inner")

@@ -42,9 +42,13 @@ def metric_log_lines(labels: DataFrame) -> DataFrame:
     """Synthetic evaluation log text derived from ``labels``: metric lines and noise lines."""
     d = F.col("doc_id")
     two = F.lpad((d % 100).cast("string"), 2, "0")
-    line = (F.when(d % 5 == 0, F.concat(F.lit("  test_recall = 0."), two))
-            .when(d % 5 == 1, F.concat(F.lit("  test_precision = 0."), two))
-            .when(d % 5 == 2, F.concat(F.lit("  test_f1 = 0."), two))
-            .when(d % 5 == 3, F.concat(F.lit("IFA = "), (d % 100).cast("string"), F.lit(".5")))
+    keyed = lambda key: F.concat(F.lit(f"{key} = 0."), two)
+    line = (F.when(d % 8 == 0, keyed("  test_recall"))
+            .when(d % 8 == 1, keyed("  test_precision"))
+            .when(d % 8 == 2, keyed("  test_f1"))
+            .when(d % 8 == 3, F.concat(F.lit("IFA = "), (d % 100).cast("string"), F.lit(".5")))
+            .when(d % 8 == 4, keyed("Effort@0.2Recall"))
+            .when(d % 8 == 5, keyed("Recall@0.01LOC"))
+            .when(d % 8 == 6, F.concat(F.lit("Top-10_Accuracy = "), (d % 100).cast("string")))
             .otherwise(F.concat(F.lit("epoch "), d.cast("string"), F.lit(" done"))))
     return labels.select(line.alias("value"))

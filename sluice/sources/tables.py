@@ -7,6 +7,8 @@ and projections reach the parquet scan.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,19 @@ def scan_functions(spark: SparkSession, path: str, schema: T.StructType = FUNCTI
     return spark.read.schema(schema).parquet(path)
 
 
+def scan_projects(spark: SparkSession, paths: dict[str, str], schema: T.StructType = FUNCTION_SCHEMA) -> DataFrame:
+    """The function tables of several projects, read from the path of each, as one table with the
+    project's name and the ``file`` of every row. Columns are matched by name and brought to the declared types; a
+    column that a project's files lack is null, further columns are left out."""
+    parts = []
+    for project, path in paths.items():
+        found = spark.read.parquet(path)
+        kinds = dict(found.dtypes)
+        columns = [(F.col(f"`{f.name}`") if f.name in kinds else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+        parts.append(found.select(F.lit(project).alias("project"), *columns, F.col("_metadata.file_path").alias("file")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _is_flaw_text(line: Column) -> Column:
     return (F.length(line) > 0) & (F.length(line) % 5 == 0)
 
