@@ -20,7 +20,7 @@ TAB_MARK = "ĉ"
 LINE_SEPARATORS = ["Ċ", " Ċ", "ĊĊ", " ĊĊ"]
 FLAW_PREFIX_TOKEN = "@"
 BLOCK_SIZE = 512
-LABEL_RUN = 256
+HIT_RUN = 256
 
 # Word, single punctuation character, newline or tab.
 TOKEN_PATTERN = r"\w+|[^\w\s]|\n|\t"
@@ -197,8 +197,8 @@ def segment_line_scores(scored, verified_flaw_lines) -> Column:
     separator (or the last token) iff the scores of its own segment -- the tokens since the
     previous separator -- sum to non-zero, summed left to right from 0.0 like the fold. The
     line text is the text of every segment since the previous closing one; the flaw pointer
-    then advances over the emitted lines only. Their labels are gathered in runs of ``LABEL_RUN``, so a
-    step copies at most one run and no line searches a list.
+    then advances over the emitted lines only. Its hits are gathered in runs of ``HIT_RUN``, so a
+    step copies at most one run, and the labels are the zeros and ones between the hits: no line searches a list.
     """
     seps = LINE_SEPARATORS
 
@@ -240,18 +240,24 @@ def segment_line_scores(scored, verified_flaw_lines) -> Column:
 
         def labelled(ls):
             flaws = ls["f"]
-            ints = F.array().cast("array<int>")
-            init = F.struct(F.lit(1).alias("cur"), ints.alias("part"), F.array().cast("array<array<int>>").alias("parts"))
+            init = F.struct(F.lit(1).alias("cur"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("part"),
+                            F.array().cast("array<array<int>>").alias("parts"))
 
             def step(acc, l):
-                ok = F.coalesce((acc["cur"] <= F.size(flaws)) & (F.element_at(flaws, acc["cur"]) == l["text"]),
-                                F.lit(False)).cast("int")
-                full = F.size(acc["part"]) >= LABEL_RUN
-                return F.struct((acc["cur"] + ok).alias("cur"),
-                                F.when(full, F.array(ok)).otherwise(F.concat(acc["part"], F.array(ok))).alias("part"),
+                ok = F.coalesce((acc["cur"] <= F.size(flaws)) & (F.element_at(flaws, acc["cur"]) == l["text"]), F.lit(False))
+                full = ok & (F.size(acc["part"]) >= HIT_RUN)
+                return F.struct((acc["cur"] + ok.cast("int")).alias("cur"), (acc["i"] + 1).alias("i"),
+                                F.when(full, F.array(acc["i"])).when(ok, F.concat(acc["part"], F.array(acc["i"]))).otherwise(acc["part"]).alias("part"),
                                 F.when(full, F.concat(acc["parts"], F.array(acc["part"]))).otherwise(acc["parts"]).alias("parts"))
-            labels = F.aggregate(ls["l"], init, step, lambda acc: F.concat(F.flatten(acc["parts"]), acc["part"]))
-            return F.zip_with(ls["l"], labels, lambda l, x: F.struct(l["score"].alias("score"), x.alias("label")))
+            hits = F.aggregate(ls["l"], init, step, lambda acc: F.concat(F.flatten(acc["parts"]), acc["part"]))
+
+            def labels(h, n):
+                """Zeros up to each hit, a one, and zeros to the end."""
+                before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(h, k - 1))
+                runs = F.flatten(F.transform(h, lambda x, k: F.concat(F.array_repeat(F.lit(0), x - before(k) - 1), F.array(F.lit(1)))))
+                return F.concat(runs, F.array_repeat(F.lit(0), n - 1 - F.coalesce(F.get(h, F.size(h) - 1), F.lit(-1))))
+            return _let(F.struct(ls["l"].alias("l"), hits.alias("h")), lambda z: F.zip_with(
+                z["l"], labels(z["h"], F.size(z["l"])), lambda l, x: F.struct(l["score"].alias("score"), x.alias("label"))))
 
         segs = _let(F.struct(a.alias("a"), closers.alias("c")), segs_of)
         lines = _let(F.struct(segs.alias("s")), lines_of)
