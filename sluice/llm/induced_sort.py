@@ -135,12 +135,13 @@ class String:
         differs = np.ones(n, bool)
         differs[:-1] = symbols[1:] != symbols[:-1]
         ends = np.flatnonzero(differs).astype(np.int32)
-        run_of = np.cumsum(differs, dtype=np.int32) - differs  # number of the run
-        self.run = ends[run_of] - np.arange(n, dtype=np.int32) + np.int32(1)
-        follow = np.minimum(ends + 1, n - 1)
-        rises = symbols[follow] > symbols[ends]
+        del differs
+        lengths = np.diff(ends, prepend=np.int32(-1))
+        self.run = np.repeat(ends + np.int32(1), lengths)
+        self.run -= np.arange(n, dtype=np.int32)
+        rises = symbols[np.minimum(ends + 1, n - 1)] > symbols[ends]
         rises[-1] = True
-        self.s_type = rises[run_of]
+        self.s_type = np.repeat(rises, lengths)
         self.starts = np.zeros(n, bool)
         self.starts[1:] = self.s_type[1:] & ~self.s_type[:-1]
 
@@ -234,7 +235,7 @@ class String:
 
     def sorted_starts(self) -> tuple[np.ndarray, np.ndarray]:
         """The starts in suffix order, and the common prefix of each with the one before."""
-        place = np.flatnonzero(self.starts)
+        place = np.flatnonzero(self.starts).astype(np.int32)
         if len(place) <= 1:
             return place, np.zeros(len(place), np.int32)
         # what is known of a start at first: its run of equal symbols, which a larger one follows
@@ -266,9 +267,11 @@ class String:
         between = prefixes[new]  # common prefix of a name with the name before
         if int(name[-1]) + 1 == len(place):
             return positions, prefixes
-        names = np.zeros(len(place), np.int64)
+        count = int(name[-1]) + 1
+        names = np.zeros(len(place), np.int32)
         names[number[positions]] = name
-        order, common = _names_order(names, int(name[-1]) + 1, self.n, self.memory)
+        del known, run, positions, prefixes, number, length, new, name  # only the names go down
+        order, common = _names_order(names, count, self.n, self.memory)
         # symbols covered by the common names, then the common prefix of the first two that differ
         a, b = order[:-1], order[1:]
         k = common[1:]
@@ -302,14 +305,18 @@ def _doubled(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(symbols)
     order = np.argsort(symbols, kind="stable")
     sorted_ = symbols[order]
-    head = np.append(0, np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1)
-    rank = np.empty(n + 1, np.int64)  # suffixes that are smaller by the symbols seen
-    rank[order] = np.repeat(head, np.diff(np.append(head, n)))
+    head = np.append(0, np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1).astype(np.int32)
+    del sorted_
+    rank = np.empty(n + 1, np.int32)  # suffixes that are smaller by the symbols seen
+    sizes = np.diff(head, append=np.int32(n))
+    rank[order] = np.repeat(head, sizes)
     rank[n] = -1
-    ranks, width = [rank.astype(np.int32)], 1
-    open_ = np.flatnonzero(np.bincount(rank[:n], minlength=n)[rank[:n]] > 1)
+    ranks, width = [rank.copy()], 1
+    open_ = order[np.repeat(sizes > 1, sizes)].astype(np.int32)
+    open_.sort()
+    del order, head, sizes
     while len(open_):
-        key = rank[open_] * (n + 2) + rank[np.minimum(open_ + width, n)] + 1
+        key = rank[open_].astype(np.int64) * (n + 2) + rank[np.minimum(open_ + width, n)] + 1
         by = np.argsort(key, kind="stable")
         moved, key = open_[by], key[by]
         old = rank[moved]
@@ -320,16 +327,17 @@ def _doubled(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         alone = fresh & np.append(fresh[1:], True)
         open_ = moved[~alone]
         width *= 2
-        ranks.append(rank.astype(np.int32))
-    order = np.empty(n, np.int64)
-    order[rank[:n]] = np.arange(n)
+        ranks.append(rank.copy())
+    order = np.empty(n, np.int32)
+    order[rank[:n]] = np.arange(n, dtype=np.int32)
     a, b = order[:-1].copy(), order[1:].copy()
-    common = np.zeros(n - 1, np.int64)
+    common = np.zeros(n - 1, np.int32)
     for k in range(len(ranks) - 1, -1, -1):
-        same = (ranks[k][np.minimum(a, n)] == ranks[k][np.minimum(b, n)]) & (a < n) & (b < n)
+        known = ranks.pop()
+        same = (known[np.minimum(a, n)] == known[np.minimum(b, n)]) & (a < n) & (b < n)
         for c in (a, b, common):
             c[same] += 1 << k
-    return order, np.append(0, common)
+    return order, np.append(np.int32(0), common)
 
 
 def suffix_array(symbols: np.ndarray, memory: int = 16 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -339,7 +347,7 @@ def suffix_array(symbols: np.ndarray, memory: int = 16 << 20) -> tuple[np.ndarra
     size = int(symbols.max()) + 1
     string = String(symbols.astype(np.uint8 if size <= 256 else np.uint16 if size <= 1 << 16 else np.int32), memory)
     if string.n == 1:
-        return np.zeros(1, np.int64), np.zeros(1, np.int32)
+        return np.zeros(1, np.int32), np.zeros(1, np.int32)
     starts, prefix = string.sorted_starts()
     large, small = string.induced(starts, prefix)
     order, common = [np.array([string.n - 1], np.int32)], [np.zeros(1, np.int32)]
@@ -356,4 +364,4 @@ def suffix_array(symbols: np.ndarray, memory: int = 16 << 20) -> tuple[np.ndarra
             common.append(second_prefix)
     large.close()
     small.close()
-    return np.concatenate(order).astype(np.int64), np.concatenate(common)
+    return np.concatenate(order), np.concatenate(common)

@@ -18,10 +18,12 @@ without listing pairs:
    when sizes or the largest possible overlap rule out any link, or when all sets below are
    connected already. Leaf pairs that remain are compared exactly.
 
-A block larger than ``block_sets`` is cut into windows of neighbouring size classes, and a class that is
-larger still by hash into pieces that meet in pairs; their links go through the component
-search once more. Equal sets count as one
+A block of more than ``piece_shingles`` shingles is cut into windows of two neighbouring size classes, and a
+window that is larger still by hash into pieces that meet in pairs, so a task never holds more than two pieces;
+their links go through the component search once more. Equal sets count as one
 node throughout. Shingles are compared by 64-bit hashes.
+
+Rows are told apart by their text, never by their id alone: ids may be null or equal.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import text as tx
+from sluice.llm.batches import small_batches
 from sluice.llm.columns import packed, unpacked
 from sluice.llm.components import components
 from sluice.session import persist_table
@@ -150,8 +153,8 @@ def _set_rows(k: int, text: str):
             for lo, hi, data, at in tx.chunks(batch, text):
                 sizes, one, two = digests(*shingles(data, at, k), hi - lo)
                 yield pa.RecordBatch.from_arrays([
-                    tx.column(batch, "id").slice(lo, hi - lo), pa.array(sizes.astype(np.int64)),
-                    pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["id", "n", "node", "check"])
+                    tx.column(batch, "id").slice(lo, hi - lo), tx.column(batch, "told").slice(lo, hi - lo), pa.array(sizes.astype(np.int64)),
+                    pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["id", "told", "n", "node", "check"])
     return run
 
 
@@ -352,18 +355,22 @@ def _ranges(label: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _member_rows(k: int, text: str):
     def run(batches):
+        seen: set[int] = set()  # of this task's nodes: repeated rows stand for one set
         for batch in batches:
             for lo, hi, data, at in tx.chunks(batch, text):
                 owner, value = shingles(data, at, k)
                 cut = np.searchsorted(owner, np.arange(hi - lo + 1))
                 part = batch.slice(lo, hi - lo)
+                nodes = tx.column(part, "node")
+                fresh = np.zeros(hi - lo, bool)
+                for i, node in enumerate(nodes.to_pylist()):
+                    fresh[i] = node not in seen
+                    seen.add(node)
                 out = pa.RecordBatch.from_arrays([
-                    *[tx.column(part, c) for c in ("block", "cls", "pieces", "node")],
+                    *[tx.column(part, c) for c in ("block", "cls", "whole")], nodes,
                     pa.array([value[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                    names=["block", "cls", "pieces", "node", "shingles"])
-                # an id of several texts: only the text that the node stands for
-                own = digests(owner, value, hi - lo)[1].view(np.int64)
-                yield out.filter(pa.array(own == tx.column(part, "node").to_numpy(zero_copy_only=False)))
+                    names=["block", "cls", "whole", "node", "shingles"])
+                yield out.filter(pa.array(fresh))
     return run
 
 
@@ -409,17 +416,19 @@ def _edge_batch(u, v, split) -> pa.RecordBatch:
                                        pa.array(np.concatenate(split))], names=["u", "v", "split"])
 
 
-def similar_documents(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3,
-                      num: int = 9, den: int = 10, block_sets: int = 4096) -> DataFrame:
-    """(``id``, ``n_shingles``, ``component_id``) for every row of ``docs``: the size of its set and the
-    smallest id reachable by links, its own included.
+PIECE_SHINGLES = 1 << 20
 
-    Null and empty texts, and texts without a word, have no shingles and link with nothing.
-    Repeated rows each have their line; so have rows of one id and several texts. A null id is replaced by a negative number made from the text. An empty table gives an
-    empty result."""
-    stand_in = -F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 2) - 1
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), stand_in).alias("id"), F.col(text).alias("text"))
-    sets = persist_table(spark, rows.mapInArrow(_set_rows(k, "text"), "id long, n long, node long, check long"), "sets")
+
+def _told(text: str):
+    """What tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+@small_batches
+def _labelled(spark: SparkSession, docs: DataFrame, key: str, text: str, k: int, num: int, den: int, piece_shingles: int) -> DataFrame:
+    """(id, told, n, node, root) of every row: its set's size and node and the node that stands for its component."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), _told(text).alias("told"), F.col(text).alias("text"))
+    sets = persist_table(spark, rows.mapInArrow(_set_rows(k, "text"), "id long, told long, n long, node long, check long"), "sets")
 
     # about (1 - similarity) * 2.5 keys a shingle; a bucket holds some hundred thousand
     shingled = sets.agg(F.sum("n")).first()[0] or 0
@@ -429,33 +438,39 @@ def similar_documents(spark: SparkSession, docs: DataFrame, key: str = "doc_id",
     dealt = keyed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
     edges = dealt.mapInArrow(_star_rows, "u long, v long")
     blocks = persist_table(spark, components(spark, edges), "blocks")
-    return _resolved(spark, rows, sets, blocks, k, num, den, block_sets)
+    roots = persist_table(spark, _roots(spark, rows, sets, blocks, k, num, den, piece_shingles), "roots")
+    return sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _resolved(spark: SparkSession, rows: DataFrame, sets: DataFrame, blocks: DataFrame, k: int, num: int, den: int,
-              block_sets: int) -> DataFrame:
-    """Verify the blocks and label every row."""
+def _roots(spark: SparkSession, rows: DataFrame, sets: DataFrame, blocks: DataFrame, k: int, num: int, den: int,
+           piece_shingles: int) -> DataFrame:
+    """(node, root) of every node that links with another, but the root itself."""
     nodes = blocks.unionByName(blocks.select(F.col("component").alias("node"), "component").distinct())
-    # one document for each distinct set of a block
-    members = sets.join(nodes, "node").groupBy("component", "node", "check").agg(F.min("id").alias("id"), F.min("n").alias("n"))
+    # for each distinct set of a block the row of its smallest id (nulls last) and, among those, one text
+    last = F.coalesce("id", F.lit((1 << 63) - 1))
+    members = sets.join(nodes, "node").groupBy("component", "node", "check").agg(
+        F.min("id").alias("id"), F.min_by("told", last).alias("told"), F.min("n").alias("n"))
     # linked sets are of the same or of neighbouring size classes
     size_class = F.floor(F.log("n") / float(1.5 * np.log(den / num))).cast("int")
-    members = persist_table(spark, members.select("id", "node", F.col("component").alias("block"), size_class.alias("cls")),
+    members = persist_table(spark, members.select("id", "told", "node", F.col("component").alias("block"), size_class.alias("cls"), "n"),
                             "block-members")
-    classes = members.groupBy("block", "cls").agg(F.count(F.lit(1)).alias("sets"))
-    sizes = classes.groupBy("block").agg(F.sum("sets").alias("sets"), F.max("sets").alias("most")).filter("sets > 1")
-    pieces = F.when(F.col("sets") <= block_sets, 0).otherwise(F.ceil(F.col("most") / block_sets)).cast("int")
-    members = persist_table(spark, members.join(sizes, "block").select("id", "node", "block", "cls", pieces.alias("pieces")),
-                            "members")
-    chosen = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    full = rows.join(chosen, "id").mapInArrow(
-        _member_rows(k, "text"), "block long, cls int, pieces int, node long, shingles binary")
+    classes = members.groupBy("block", "cls").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+    sizes = classes.groupBy("block").agg(F.sum("sets").alias("sets"), F.sum("shingles").alias("all")).filter("sets > 1")
+    sizes = sizes.select("block", (F.col("all") <= piece_shingles).alias("whole"))
+    members = persist_table(spark, members.join(sizes, "block").select("id", "told", "node", "block", "cls", "whole"), "members")
+    chosen = _few(members.withColumnRenamed("id", "id_").withColumnRenamed("told", "told_"))
+    full = rows.join(chosen, (F.col("told") == F.col("told_")) & F.col("id").eqNullSafe(F.col("id_"))).mapInArrow(
+        _member_rows(k, "text"), "block long, cls int, whole boolean, node long, shingles binary")
     # a large block is cut into windows of two neighbouring size classes, a set going to two of them;
-    # where a class is large, its pieces by hash meet in pairs; other blocks stay whole
-    whole = full.filter("pieces = 0").select("block", F.lit(-1).alias("window"), F.lit(-1).alias("first"),
-                                             F.lit(-1).alias("second"), F.lit(-1).alias("piece"), "node", "shingles")
-    cut = full.filter("pieces > 0").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-    cut = cut.withColumn("window", F.explode(F.array(F.col("cls"), F.col("cls") + 1)))
+    # where a window is large, its pieces by hash meet in pairs; other blocks stay whole
+    whole = full.filter("whole").select("block", F.lit(-1).alias("window"), F.lit(-1).alias("first"),
+                                        F.lit(-1).alias("second"), F.lit(-1).alias("piece"), "node", "shingles")
+    both = F.explode(F.array(F.col("cls"), F.col("cls") + 1)).alias("window")
+    windows = classes.join(sizes.filter("not whole"), "block").select("block", both, "shingles")
+    windows = windows.groupBy("block", "window").agg(F.ceil(F.sum("shingles") / piece_shingles).cast("int").alias("pieces"))
+    windows = _few(persist_table(spark, windows, "windows"))
+    cut = full.filter("not whole").select("block", both, "node", "shingles").join(windows, ["block", "window"])
+    cut = cut.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)")))
     cut = cut.select("block", "window", F.least("piece", "other").alias("first"), F.greatest("piece", "other").alias("second"),
                      "piece", "node", "shingles")
@@ -463,11 +478,26 @@ def _resolved(spark: SparkSession, rows: DataFrame, sets: DataFrame, blocks: Dat
     dealt = (pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block", "window", "first", "second")
              .sortWithinPartitions("block", "window", "first", "second", "node"))
     links = persist_table(spark, dealt.mapInArrow(_block_rows(num, den), "u long, v long, split boolean"), "links")
-    whole = links.filter("not split and u <> v").select(F.col("u").alias("node"), F.col("v").alias("root"))
+    inside = links.filter("not split and u <> v").select(F.col("u").alias("node"), F.col("v").alias("root"))
     across = components(spark, links.filter("split")).select("node", F.col("component").alias("root"))
-    roots = whole.unionByName(across)
+    return inside.unionByName(across)
 
-    labelled = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+def _few(table: DataFrame) -> DataFrame:
+    """A stored table, broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def similar_documents(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3,
+                      num: int = 9, den: int = 10, piece_shingles: int = PIECE_SHINGLES) -> DataFrame:
+    """(``id``, ``n_shingles``, ``component_id``) for every row of ``docs``: the size of its set and the
+    smallest id reachable by links, its own included.
+
+    Null and empty texts, and texts without a word, have no shingles and link with nothing.
+    Repeated rows each have their line; so have rows of one id and several texts. Rows with a null id come out with a
+    null id; a component of such rows alone has a null ``component_id``. An empty table gives an
+    empty result."""
+    labelled = _labelled(spark, docs, key, text, k, num, den, piece_shingles)
     least = labelled.filter("n > 0").groupBy("root").agg(F.min("id").alias("least"))
     out = labelled.join(least, "root", "left")
     return out.select("id", F.col("n").alias("n_shingles"),
@@ -476,9 +506,17 @@ def _resolved(spark: SparkSession, rows: DataFrame, sets: DataFrame, blocks: Dat
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
                       num: int = 8, den: int = 10) -> DataFrame:
-    """``docs`` without near duplicates: of each component the document of the smallest id stays, once."""
-    found = similar_documents(spark, docs, key, text, k, num, den)
-    kept = found.filter("id = component_id").select("id").distinct()
-    stand_in = -F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 2) - 1
-    named = packed(docs, id=F.coalesce(F.col(key).cast("long"), stand_in))
-    return unpacked(named.join(kept, "id", "left_semi").dropDuplicates(["id"]), docs.columns)
+    """``docs`` without near duplicates: of each component the row of the smallest id stays (null ids last; of rows
+    that share id and text, one). Documents without shingles link with nothing and stay, a repeated id once."""
+    found = _labelled(spark, docs, key, text, k, num, den, PIECE_SHINGLES).filter("n > 0")
+    last = F.coalesce("id", F.lit((1 << 63) - 1))
+    chosen = found.groupBy("root").agg(F.min("id").alias("id"), F.min_by("told", last).alias("told"))
+    times = found.groupBy("id", "told").agg(F.count(F.lit(1)).alias("times"))
+    chosen = persist_table(spark, chosen.alias("c").join(times.alias("t"), F.col("c.id").eqNullSafe(F.col("t.id")) & (F.col("c.told") == F.col("t.told")))
+                           .select(F.col("c.id").alias("id_"), F.col("c.told").alias("told_"), "times"), "kept")
+    named = packed(docs, id=F.col(key).cast("long"), told=_told(text), words=F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    kept = named.join(chosen, F.col("id").eqNullSafe(F.col("id_")) & (F.col("told") == F.col("told_"))).filter("words")
+    once = kept.filter("times = 1").select("row").unionByName(kept.filter("times > 1").dropDuplicates(["id", "told"]).select("row"))
+    silent = named.filter("not words")
+    silent = silent.filter("id IS NULL").select("row").unionByName(silent.filter("id IS NOT NULL").dropDuplicates(["id", "told"]).select("row"))
+    return unpacked(once.unionByName(silent), docs.columns)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import text as tx
+from sluice.llm.batches import small_batches
 from sluice.llm.induced_sort import suffix_array
 from sluice.session import persist_table
 
@@ -119,7 +120,13 @@ CONTEXT = "h long, one long, two long, node long, first int, context binary"
 def _context_rows(length: int):
     def run(batches):
         seen: set[int] = set()  # a task sends the bytes of equal contexts once
+        done: set[int] = set()  # and those of a text once
         for batch in batches:
+            fresh = []
+            for node in tx.column(batch, "node").to_pylist():
+                fresh.append(node not in done)
+                done.add(node)
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             nodes = tx.column(batch, "node").to_numpy(zero_copy_only=False)
             for lo, hi, data, at in tx.chunks(batch):
                 spans = tx.column(batch, "spans").slice(lo, hi - lo)
@@ -151,29 +158,27 @@ def repeated_windows(contexts: list[bytes], times: np.ndarray, length: int, memo
     sizes = np.array([len(c) for c in contexts])
     starts = np.cumsum(sizes + 1) - sizes - 1
     # bytes from 2; contexts end with 1, the string with 0
-    string = np.full(int(sizes.sum()) + len(contexts) + 1, 1, np.int16)
-    string[-1] = 0
-    inside = tx.ragged(starts, sizes)
-    string[inside] = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int16) + 2
+    string = np.zeros(int(sizes.sum()) + len(contexts) + 1, np.int16)
+    string[:-1] = np.frombuffer(b"\0".join([*contexts, b""]), np.uint8)
+    string[:-1] += 2
+    string[starts + sizes] = 1
     order, prefix = suffix_array(string, memory)
-    owner = np.repeat(np.arange(len(contexts)), sizes + 1)
-    room = np.zeros(len(string), np.int64)  # bytes from a position to the end of its context
-    room[:-1] = (starts + sizes)[owner] - np.arange(len(string) - 1)
     # suffixes with a whole window form classes: maximal stretches of long common prefixes
-    long_ = prefix >= length
-    twice = long_.copy()
-    twice[:-1] |= long_[1:]
-    again = np.zeros(len(string), bool)
-    again[order[twice]] = True
-    again[:-1] |= times[owner] > 1
-    again &= room >= length
-    # ranges of consecutive windows of a context
-    flag = np.flatnonzero(again)
-    out: list[list[tuple[int, int]]] = [[] for _ in contexts]
+    twice = prefix >= length
+    del prefix, string
+    twice[:-1] |= twice[1:]
+    flag = np.sort(order[twice])
+    del order, twice
+    owner = np.searchsorted(starts, flag, "right") - 1
+    fits = (starts + sizes)[owner] - flag >= length
+    flag, owner = flag[fits], owner[fits]
+    # ranges of consecutive windows of a context; of one that occurs twice, all of them
+    out: list[list[tuple[int, int]]] = [[(0, n - length)] if t > 1 and n >= length else [] for n, t in zip(sizes.tolist(), times.tolist(), strict=True)]
     if len(flag):
-        cut = np.flatnonzero(np.append(True, (np.diff(flag) > 1) | (owner[flag[1:]] != owner[flag[:-1]])))
-        for a, b in zip(flag[cut].tolist(), flag[np.append(cut[1:], len(flag)) - 1].tolist(), strict=True):
-            out[owner[a]].append((a - int(starts[owner[a]]), b - int(starts[owner[a]])))
+        cut = np.flatnonzero(np.append(True, (np.diff(flag) > 1) | (owner[1:] != owner[:-1])))
+        for a, b, who in zip(flag[cut].tolist(), flag[np.append(cut[1:], len(flag)) - 1].tolist(), owner[cut].tolist(), strict=True):
+            if times[who] <= 1:
+                out[who].append((a - int(starts[who]), b - int(starts[who])))
     return out
 
 
@@ -239,6 +244,7 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+@small_batches
 def without_repeats(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200,
                     gram: int = 32, memory: int = 16 << 20, kept: bool = True) -> DataFrame:
     """(``id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``[, ``kept``]) for every document: the
@@ -246,17 +252,18 @@ def without_repeats(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     string of ``length`` bytes are gone, judged on the input.
 
     Null texts are empty; texts shorter than ``length`` lose nothing; repeated rows of long texts
-    lose everything, like other copies. Keys should be unique, rows without one come out with a
-    null id. An empty table gives an empty result."""
+    lose everything, like other copies. Texts are told apart by their digest: ids may be null (they come out
+    null) or equal. An empty table gives an empty result."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("sha", F.sha2("text", 256))
     node = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("node")
-    known = persist_table(spark, rows.select("id", "sha", node, F.octet_length("text").cast("long").alias("n_bytes")), "texts")
+    rows = rows.select("id", "sha", node, F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    known = persist_table(spark, rows.drop("text"), "texts")
     texts = known.groupBy("sha", "node").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("one_id"),
                                              F.min("n_bytes").alias("n_bytes"))
     texts = persist_table(spark, texts.filter(F.col("n_bytes") >= length), "distinct-texts")
 
-    found = rows.filter(F.octet_length("text") >= length).select(node, "text").mapInArrow(
+    found = rows.filter(F.octet_length("text") >= length).select("node", "text").mapInArrow(
         _anchor_rows(length, gram), "h long, node long, first int, last int")
     # read twice: for the hashes that occur again and for their places
     found = persist_table(spark, found, "anchors")
@@ -266,9 +273,10 @@ def without_repeats(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
         F.collect_set(F.struct("h", "first", "last")).alias("spans"))  # at most a document's anchors
     spans = persist_table(spark, spans.join(texts.select("node", "one_id"), "node"), "spans")
 
-    # the contexts of one document for each distinct text
-    asked = rows.join(_few(spans.select(F.col("one_id").alias("id"))), "id", "left_semi").select("id", "text")
-    asked = asked.join(spans, F.col("id") == F.col("one_id")).select("node", "text", "spans")
+    # the contexts of one row for each distinct text; rows that repeat it under the same id add nothing
+    wanted = _few(spans.select(F.col("node").alias("node_"), "one_id"))
+    asked = rows.join(wanted, (F.col("node") == F.col("node_")) & F.col("id").eqNullSafe(F.col("one_id")), "left_semi").select("node", "text")
+    asked = asked.join(spans.drop("one_id"), "node").select("node", "text", "spans")
     contexts = persist_table(spark, asked.mapInArrow(_context_rows(length), CONTEXT), "contexts")
 
     size = contexts.agg(F.sum(F.octet_length("context"))).first()[0] or 0
@@ -283,21 +291,16 @@ def without_repeats(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     covered = covered.groupBy("node").agg(F.collect_set(F.struct(
         (F.col("low") + F.col("first")).alias("low"), (F.col("high") + F.col("first")).alias("high"))).alias("spans"))
 
-    # copies of a whole text lose all of it, texts with spans are cut, the rest stays
-    single = texts.filter("copies = 1").select("node", "one_id")
-    covered = persist_table(spark, covered.join(single, "node"), "covered")
-    cut = rows.join(_few(covered.select(F.col("one_id").alias("id"))), "id", "left_semi").select("id", "text")
-    cut = cut.join(covered, F.col("id") == F.col("one_id")).select("id", "text", "spans")
+    # copies of a whole text lose all of it, texts with spans (of one row each) are cut, the rest stays
+    covered = persist_table(spark, covered.join(texts.filter("copies = 1").select("node"), "node", "left_semi"), "covered")
+    cut = rows.join(_few(covered.select("node")), "node", "left_semi").select("node", "id", "text").join(covered, "node").select("id", "text", "spans")
     cut = cut.mapInArrow(_removal_rows(length), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    state = (known.join(texts.filter("copies > 1").select("sha", F.lit(True).alias("copied")), "sha", "left")
+    state = ((rows if kept else known).join(texts.filter("copies > 1").select("sha", F.lit(True).alias("copied")), "sha", "left")
              .join(covered.select("node", F.lit(True).alias("covered")), "node", "left"))
     gone = F.coalesce("copied", F.lit(False))
     rest = state.filter(gone | F.col("covered").isNull()).select(
         "id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).alias("n_removed"),
         F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"),
-        F.when(gone, F.lit(_EMPTY)).otherwise(F.col("sha")).alias("kept_sha256"))
-    if not kept:
-        return rest.unionByName(cut.drop("kept"))
-    whole = rows.join(rest.filter("n_removed = 0").select("id"), "id").select("id", F.encode("text", "utf-8").alias("kept"))
-    rest = rest.join(whole.dropDuplicates(["id"]), "id", "left").withColumn("kept", F.coalesce("kept", F.lit(b"")))
-    return rest.unionByName(cut)
+        F.when(gone, F.lit(_EMPTY)).otherwise(F.col("sha")).alias("kept_sha256"),
+        *([F.when(gone, F.lit(b"")).otherwise(F.encode("text", "utf-8")).alias("kept")] if kept else []))
+    return rest.unionByName(cut if kept else cut.drop("kept"))

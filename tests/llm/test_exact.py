@@ -153,6 +153,23 @@ def test_repeats(spark, length, gram):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_repeats_with_null_and_equal_ids(spark):
+    from sluice.llm.suffix_dedup import without_repeats
+
+    rng = random.Random(31)
+    base = ["".join(rng.choice("abcd") for _ in range(40)) for _ in range(6)]
+    texts = ["".join(rng.choice("xyz") for _ in range(rng.randrange(30))) + rng.choice(base)[:rng.randrange(41)] + "".join(
+        rng.choice("uvw") for _ in range(rng.randrange(20))) for _ in range(50)] + [base[0]] * 3 + [None, None, ""]
+    names = ids_missing_and_shared(list(enumerate(texts)))
+    want = brute.repeats(list(enumerate(texts)), 10)
+    for kept in (True, False):
+        got = without_repeats(spark, frame(spark, names), length=10, gram=4, memory=100, kept=kept).collect()
+        assert sorted(map(repr, [(r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got])) == sorted(
+            map(repr, [(name, *want[i]) for i, (name, _) in enumerate(names)]))
+        if kept:
+            assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
+
+
 def test_repeats_of_documents(spark, sf, docs):
     got = queries.QUERIES["op2_suffix_array_dedup"](spark, sf).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.repeats(docs, 200)
@@ -217,15 +234,54 @@ def test_token_counts_of_documents(spark, sf, docs):
 
 
 # ------------------------------------------------------------------ 4
-@pytest.mark.parametrize(("k", "num", "den", "block"), [(3, 9, 10, 4096), (5, 8, 10, 4096), (2, 8, 10, 6), (3, 6, 10, 5)])
-def test_jaccard(spark, k, num, den, block):
+@pytest.mark.parametrize(("k", "num", "den", "piece"), [(3, 9, 10, 1 << 20), (5, 8, 10, 1 << 20), (2, 8, 10, 60), (3, 6, 10, 50)])
+def test_jaccard(spark, k, num, den, piece):
     from sluice.llm.jaccard import similar_documents
 
     rows = near_copies(k + num)
-    got = similar_documents(spark, frame(spark, rows), k=k, num=num, den=den, block_sets=block).collect()
+    got = similar_documents(spark, frame(spark, rows), k=k, num=num, den=den, piece_shingles=piece).collect()
     assert {r.id: (r.n_shingles, r.component_id) for r in got} == brute.jaccard(rows, k, num, den)
 
 
+def ids_missing_and_shared(rows):
+    """The rows again with some ids null and some shared by several texts."""
+    return [(None if i % 7 == 0 else i - i % 3 if i % 5 == 0 else i, t) for i, t in rows]
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 60])
+def test_jaccard_with_null_and_equal_ids(spark, piece):
+    from sluice.llm.jaccard import one_of_each_group, similar_documents
+
+    rows = near_copies(21)
+    names = ids_missing_and_shared(rows)
+    want = brute.jaccard(rows, 3, 9, 10)  # by row number
+    groups = {}
+    for (row, _), (name, _) in zip(rows, names, strict=True):
+        groups.setdefault(want[row][1], []).append(name)
+    expected = []
+    for (row, _), (name, _) in zip(rows, names, strict=True):
+        n, root = want[row]
+        real = [i for i in groups[root] if i is not None]
+        expected.append((name, n, (min(real) if real else None) if n else name))
+    got = similar_documents(spark, frame(spark, names), k=3, num=9, den=10, piece_shingles=piece).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+    # one row of each group stays, its smallest real id where it has one; texts without words stay
+    kept = Counter((r.doc_id, r.text) for r in one_of_each_group(spark, frame(spark, names), k=3, num=9, den=10).collect())
+    assert all(v == 1 for (name, _), v in kept.items() if name is not None)
+    by_row = {}
+    for (row, text), (name, _) in zip(rows, names, strict=True):
+        n, root = want[row]
+        if n:
+            by_row.setdefault(root, []).append((name, text))
+    spoken = Counter({k: v for k, v in kept.items() if k[1] and k[1].split()})
+    assert sum(spoken.values()) == len(by_row)
+    for members in by_row.values():
+        left = [m for m in set(members) if spoken[m]]
+        assert left and min((m[0] is None, m[0] or 0) for m in members) in [(m[0] is None, m[0] or 0) for m in left]
+    silent = {(name, t) for (row, t), (name, _) in zip(rows, names, strict=True) if not want[row][0]}
+    assert {k for k in kept if not (k[1] and k[1].split())} == silent
+
+
 def test_jaccard_of_documents(spark, sf, docs):
     got = queries.QUERIES["op4_signature_tree_jaccard"](spark, sf).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.jaccard(docs, 3, 9, 10)
