@@ -3,14 +3,18 @@
 The content view sees which words and punctuation runs a text has; the page view sees the page's
 metadata and form (language, source, sizes, shares of symbols, capitals, repeated lines and
 words). Each view is a sparse logistic regression over hashed 0/1 features. From a sample of
-labelled rows both are fitted; then, for a few rounds, each view labels those sampled unlabelled
-documents of which it is sure, and these pseudo-labels join the other view's training rows.
+labelled rows both are fitted; then, for a few rounds, each view labels all documents outside the sample of
+which it is sure, and the other view learns from these pseudo-labels: a pass over the table counts its features by
+label, the counts are summed in Spark, and each feature's log-odds ratio among the pseudo-labelled documents,
+with its precision, enters the other view's next fit. All pseudo-labelled documents together weigh as much as the
+labelled rows, and the labelled rows set the scale on which their ratios are believed.
 On labelled rows kept apart for it, the two log-odds are calibrated and combined into one
 probability, with which all documents are scored. This is done for two questions, good quality
 and freedom from toxic language; the score of a document is the lower of its two probabilities.
 
-Scale: fitting sees at most ``max_labelled`` + ``max_unlabelled`` documents, chosen by a hash of the
-key; the model is four weight tables of fixed size. Scoring is one pass without a shuffle.
+Scale: at most ``max_labelled`` labelled documents, chosen by a hash of the key, are fitted on the driver; every
+other document takes part in each round through counts, at most one row per feature and task. The
+model is four weight tables of fixed size. A round and the scoring are one pass each, without a shuffle of documents.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import types as T
 
 from sluice.llm import text as tx
 from sluice.llm.rules import document_counts
+from sluice.session import persist_table
 
 BITS = 20  # hashed features of the content view
 PAGE_BITS = 12
@@ -90,35 +95,85 @@ class Rows:
         return Rows(place[self.doc[inside]], self.feature[inside], int(keep.sum()))
 
 
-def fit_view(rows: Rows, y: np.ndarray, size: int, least: float = 25.0, ridge: float = 0.1, steps: int = 300) -> np.ndarray:
+def _evidence(with_1: np.ndarray, with_any: np.ndarray, positive: float, n: float) -> np.ndarray:
+    """Likelihood ratio statistic of each feature's dependence on the label."""
+    table = [(with_1, with_any * positive / n), (with_any - with_1, with_any * (1 - positive / n)),
+             (positive - with_1, (n - with_any) * positive / n),
+             (n - with_any - positive + with_1, (n - with_any) * (1 - positive / n))]
+    return sum(2 * o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)) for o, e in table)
+
+
+@dataclass
+class Counts:
+    """Pseudo-labelled documents of a view: how many of each label, and with each feature."""
+
+    total: np.ndarray  # of label 0 and 1
+    having: np.ndarray  # label by feature
+
+    def ratios(self, labelled: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log-odds ratio, its precision, evidence) of each feature, the documents together weighing as
+        ``labelled`` rows at most."""
+        weight = min(1.0, labelled / max(self.total.sum(), 1.0))
+        n, (a, b) = self.total * weight, self.having * weight
+        cells = [b + 0.5, n[0] - a + 0.5, a + 0.5, n[1] - b + 0.5]
+        ratio = np.log(cells[0]) + np.log(cells[1]) - np.log(cells[2]) - np.log(cells[3])
+        return ratio, 1 / sum(1 / c for c in cells), _evidence(b, a + b, n[1], max(n.sum(), 1e-9))
+
+
+def _scale(margin: np.ndarray, y: np.ndarray) -> float:
+    """How far margins tell the labels: the factor of a logistic regression on them, none below 0."""
+    x = np.column_stack([margin, np.ones(len(y))])
+    w = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        move = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 0.1 * np.eye(2), x.T @ (p - y) + 0.1 * w)
+        w -= np.clip(move, -1, 1)
+        if np.abs(move).max() < 1e-6:
+            break
+    return float(np.clip(w[0], 0, 1))
+
+
+def label_evidence(rows: Rows, y: np.ndarray, size: int) -> np.ndarray:
+    """Evidence of each feature among labelled rows."""
+    positive, n = float(y.sum()), float(len(y))
+    if not 0 < positive < n:
+        return np.zeros(size)
+    return _evidence(_sums(rows.feature, size, lambda part: y[rows.doc[part]]), _sums(rows.feature, size), positive, n)
+
+
+def fit_view(rows: Rows, y: np.ndarray, size: int, given: Counts | None = None, least: float = 25.0, ridge: float = 0.1,
+             steps: int = 300) -> np.ndarray:
     """Weights of ``size`` features and, last, the intercept. Only features whose presence depends
-    on the label (likelihood ratio statistic of ``least`` or more) take part."""
+    on the label (likelihood ratio statistic of ``least`` or more, among labelled or pseudo-labelled documents) take part.
+    ``given`` draws weights to the scaled ratios of the pseudo-labelled documents."""
     weights = np.zeros(size + 1)
     positive, n = float(y.sum()), float(len(y))
     weights[-1] = np.log((positive + 1) / (n - positive + 1))
     if not 0 < positive < n:
         return weights
-    with_1 = _sums(rows.feature, size, lambda part: y[rows.doc[part]])
-    with_any = _sums(rows.feature, size)
-    table = [(with_1, with_any * positive / n), (with_any - with_1, with_any * (1 - positive / n)),
-             (positive - with_1, (n - with_any) * positive / n),
-             (n - with_any - positive + with_1, (n - with_any) * (1 - positive / n))]
-    g = sum(2 * o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)) for o, e in table)
-    chosen = np.flatnonzero(g >= least)
+    taken = label_evidence(rows, y, size) >= least
+    if given is not None and given.total.min() > 0:
+        ratio, precision, evidence = given.ratios(n)
+        taken |= evidence >= least
+    chosen = np.flatnonzero(taken)
     number = np.full(size, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
     inside = number[rows.feature] >= 0
     doc, col = rows.doc[inside], number[rows.feature[inside]]
+    centre, hold = np.zeros(len(chosen)), np.zeros(len(chosen))
+    if given is not None and given.total.min() > 0:
+        centre = _scale(np.bincount(doc, ratio[chosen][col], rows.n), y) * ratio[chosen]
+        hold = precision[chosen]
     w, b = np.zeros(len(chosen)), weights[-1]
     look_w, look_b, pace = w.copy(), b, 1.0
     # curvature bounds: a document's share counts as often as it has features, the intercept included
     own = np.bincount(doc, minlength=rows.n) + 1.0
-    step = 1.0 / (ridge + 0.25 * np.bincount(col, own[doc], len(chosen)))
+    step = 1.0 / (ridge + hold + 0.25 * np.bincount(col, own[doc], len(chosen)))
     step_b = 1.0 / (0.25 * own.sum())
     for _ in range(steps):  # accelerated gradient descent
         p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, look_w[col], rows.n) + look_b, -30, 30)))
         error = p - y
-        new_w = look_w - step * (np.bincount(col, error[doc], len(chosen)) + ridge * look_w)
+        new_w = look_w - step * (np.bincount(col, error[doc], len(chosen)) + ridge * look_w + hold * (look_w - centre))
         new_b = look_b - step_b * error.sum()
         faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         if np.dot(look_w - new_w, new_w - w) > 0:  # overshot: start again from here
@@ -156,36 +211,105 @@ def calibrated(odds: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarra
     return np.maximum(w, [0, 0, -np.inf])
 
 
-def co_train(content: Rows, page: Rows, label: np.ndarray, rounds: int = 3, sure: float = 0.98,
-             share: float = 0.1) -> Model:
-    """``label``: 1, 0, or -1 for unlabelled. Every fifth labelled row is kept apart to calibrate. In
-    each round a view passes on at most ``share`` of the unlabelled rows."""
-    known = np.flatnonzero(label >= 0)
-    apart = np.zeros(len(label), bool)
-    apart[known[::5]] = True
-    views = [(content, 1 << BITS), (page, 1 << PAGE_BITS)]
-    given = [label.copy(), label.copy()]
-    weights = []
-    for turn in range(rounds + 1):
-        weights, odds = [], []
-        for (rows, size), y in zip(views, given, strict=True):
-            train = (y >= 0) & ~apart
-            w = fit_view(rows.only(train), y[train].astype(float), size)
-            weights.append(w)
-            odds.append(rows.margins(w[:-1]) + w[-1])
-        if turn == rounds:
-            break
-        free = (label < 0)
-        for k in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(odds[k], -30, 30)))
-            sureness = np.where(free & (given[1 - k] < 0) & (np.abs(p - 0.5) >= sure - 0.5), np.abs(p - 0.5), -1)
-            picked = np.argsort(-sureness, kind="stable")[:int(share * free.sum())]
-            picked = picked[sureness[picked] > 0]
-            given[1 - k][picked] = (p[picked] > 0.5).astype(int)
-    held = np.flatnonzero(apart)
-    combine = calibrated(np.column_stack([odds[0][held], odds[1][held]]), label[held].astype(float)) \
-        if len(held) and 0 < label[held].sum() < len(held) else np.array([1.0, 0.0, 0.0])
-    return Model(*[w.astype(np.float32) for w in weights], combine)
+CONTENT, PAGE = 0, 1
+SIZES = (1 << BITS, 1 << PAGE_BITS)
+
+
+class CoTraining:
+    """The labelled rows of one question and the views fitted to them. Every fifth labelled row is
+    kept apart to calibrate."""
+
+    def __init__(self, content: Rows, page: Rows, label: np.ndarray):
+        self.views, self.label = (content, page), label.astype(float)
+        self.apart = np.zeros(len(label), bool)
+        self.apart[::5] = True
+        self.train = [v.only(~self.apart) for v in self.views]
+        self.y = self.label[~self.apart]
+
+    def fit(self, given: tuple[Counts | None, Counts | None] = (None, None)) -> Model:
+        """Both views, calibrated and combined on the rows kept apart."""
+        weights = [fit_view(rows, self.y, size, counts) for rows, size, counts in zip(self.train, SIZES, given, strict=True)]
+        held = self.label[self.apart]
+        combine = np.array([1.0, 0.0, 0.0])
+        if len(held) and 0 < held.sum() < len(held):
+            odds = [v.only(self.apart).margins(w[:-1]) + w[-1] for v, w in zip(self.views, weights, strict=True)]
+            combine = calibrated(np.column_stack(odds), held)
+        return Model(*[w.astype(np.float32) for w in weights], combine)
+
+    def candidates(self, least: float = 10.0) -> np.ndarray:
+        """Content features worth counting among pseudo-labelled documents."""
+        return np.flatnonzero(label_evidence(self.train[CONTENT], self.y, SIZES[CONTENT]) >= least)
+
+
+def view_margins(models: list[Model], data: np.ndarray, at: np.ndarray, names: list, relevant: np.ndarray | None = None) -> tuple:
+    """(distinct content pairs, page features, which of them are first of their kind, margins by question and view);
+    content features outside ``relevant`` (and without weight) are left out."""
+    all_doc, all_feature = content_features(data, at)
+    used = np.zeros(len(all_feature), bool) if relevant is None else relevant[all_feature] >= 0
+    for m in models:
+        used |= m.content[all_feature] != 0
+    doc, feature = _distinct(all_doc[used], all_feature[used])
+    page = np.sort(page_features(data, at, names), axis=1)
+    first = np.ones(page.shape, bool)
+    first[:, 1:] = page[:, 1:] != page[:, :-1]
+    margins = [(np.bincount(doc, m.content[feature], len(at) - 1) + m.content[-1],
+                (m.page[page] * first).sum(axis=1, dtype=np.float64) + m.page[-1]) for m in models]
+    return doc, feature, page, first, margins
+
+
+COUNTED = "question int, view int, label int, feature int, n long"
+
+
+def _pseudo_label_rows(text: str, metadata: list[str], shared, sure: float):
+    """What each view is sure of, counted for the other view: (question, view that learns, label, feature, documents);
+    feature -1 counts the documents themselves."""
+    edge = np.log(sure / (1 - sure))
+
+    def run(batches):
+        models, numbers, features = shared.value
+        total = np.zeros((len(models), 2, 2), np.int64)
+        having = [[[np.zeros(size, np.int64) for _ in (0, 1)] for size in (len(features), SIZES[PAGE])] for _ in models]
+        for batch in batches:
+            for lo, hi, data, at in tx.chunks(batch, text):
+                doc, feature, page, first, margins = view_margins(models, data, at, _names(batch.slice(lo, hi - lo), metadata), numbers)
+                number = numbers[feature]
+                for q, odds in enumerate(margins):
+                    for teacher in (CONTENT, PAGE):
+                        learner = 1 - teacher
+                        for label, chosen in ((0, odds[teacher] <= -edge), (1, odds[teacher] >= edge)):
+                            total[q, learner, label] += chosen.sum()
+                            found = number[(number >= 0) & chosen[doc]] if learner == CONTENT else page[first & chosen[:, None]]
+                            having[q][learner][label] += np.bincount(found, minlength=len(having[q][learner][label]))
+        rows = [(q, v, label, -1, int(total[q, v, label])) for q in range(len(models)) for v in (0, 1) for label in (0, 1)]
+        columns = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
+        for q in range(len(models)):
+            for v in (0, 1):
+                for label in (0, 1):
+                    some = np.flatnonzero(having[q][v][label])
+                    names = features[some] if v == CONTENT else some
+                    more = [np.full(len(some), x) for x in (q, v, label)] + [names, having[q][v][label][some]]
+                    columns = [np.concatenate(c) for c in zip(columns, more, strict=True)]
+        yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int32)) for c in columns[:4]], pa.array(columns[4])],
+                                         names=["question", "view", "label", "feature", "n"])
+    return run
+
+
+def pseudo_label_counts(spark: SparkSession, docs: DataFrame, models: list[Model], candidates: np.ndarray, text: str, metadata: list[str],
+                        sure: float = 0.98) -> list[tuple[Counts, Counts]]:
+    """For each question the counts from which the content and the page view learn, over all of ``docs``."""
+    numbers = np.full(SIZES[CONTENT], -1, np.int32)
+    numbers[candidates] = np.arange(len(candidates))
+    shared = spark.sparkContext.broadcast((models, numbers, candidates))  # tables of fixed size
+    counted = docs.select(text, *metadata).mapInArrow(_pseudo_label_rows(text, metadata, shared, sure), COUNTED)
+    out = [tuple(Counts(np.zeros(2), np.zeros((2, size))) for size in SIZES) for _ in models]
+    # at most one row per feature, view, question and label
+    for r in counted.groupBy("question", "view", "label", "feature").agg(F.sum("n").alias("n")).collect():
+        counts = out[r.question][r.view]
+        if r.feature < 0:
+            counts.total[r.label] = r.n
+        else:
+            counts.having[r.label, r.feature] = r.n
+    return out
 
 
 def _distinct(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,28 +345,32 @@ def _rows(column: list) -> Rows:
 
 
 def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
-                metadata: tuple[str, ...] = ("lang", "source"), max_labelled: int = 20_000,
-                max_unlabelled: int = 8_000, seed: int = 5) -> dict[str, Model]:
-    """A model for each of ``QUESTIONS``, fitted on at most ``max_labelled`` labelled and
-    ``max_unlabelled`` other documents. Labels with a null in a column and labels of documents
-    that are not there are passed over; of several labels of a document the worst counts."""
+                metadata: tuple[str, ...] = ("lang", "source"), max_labelled: int = 20_000, rounds: int = 2,
+                seed: int = 5) -> dict[str, Model]:
+    """A model for each of ``QUESTIONS``: fitted on at most ``max_labelled`` labelled documents, and in each of
+    ``rounds`` on the pseudo-labels of all documents outside this sample. Labels with a null in a column and labels of
+    documents that are not there are passed over; of several labels of a document the worst counts."""
     known = labels.filter("quality is not null and toxic is not null").groupBy(F.col(key).alias("k")).agg(
         *[F.min(F.expr(rule).cast("int")).alias(f"_{q}") for q, rule in QUESTIONS.items()])
     metadata = [c for c in metadata if c in docs.columns]
-    joined = docs.select(F.col(key).alias("k")).filter("k is not null").distinct().join(known, "k", "left")
-    joined = joined.withColumn("_order", F.xxhash64("k", F.lit(seed)))
-    labelled = F.col("_good").isNotNull()
-    sample = (joined.filter(labelled).orderBy("_order", "k").limit(max_labelled)
-              .unionByName(joined.filter(~labelled).orderBy("_order", "k").limit(max_unlabelled)))
-    # bounded: at most max_labelled + max_unlabelled keys
-    rows = docs.select(F.col(key).alias("k"), text, *metadata).join(F.broadcast(sample), "k").drop("k")
+    named = docs.select(F.col(key).alias("k"), text, *metadata)
+    sample = named.select("k").filter("k is not null").distinct().join(known, "k").withColumn("_order", F.xxhash64("k", F.lit(seed)))
+    # bounded: at most max_labelled keys
+    sample = persist_table(spark, sample.orderBy("_order", "k").limit(max_labelled), "labelled-sample")
+    rows = named.join(F.broadcast(sample), "k").drop("k")
     kinds = ", ".join(f"{q} int" for q in QUESTIONS)
     found = rows.mapInArrow(_sampler(text, metadata), f"ordered long, {kinds}, content binary, page binary")
     found = sorted(found.collect(), key=lambda r: (r.ordered, bytes(r.content)))
     content, page = _rows([r.content for r in found]), _rows([r.page for r in found])
-    labels_of = {q: np.array([-1 if r[q] is None else r[q] for r in found], int) for q in QUESTIONS}
+    asked = {q: CoTraining(content, page, np.array([r[q] for r in found], int)) for q in QUESTIONS}
     del found
-    return {q: co_train(content, page, y) for q, y in labels_of.items()}
+    models = {q: c.fit() for q, c in asked.items()}
+    others = named.join(F.broadcast(sample.select("k")), "k", "left_anti")
+    candidates = np.unique(np.concatenate([c.candidates() for c in asked.values()]))
+    for _ in range(rounds if content.n else 0):
+        counts = pseudo_label_counts(spark, others, list(models.values()), candidates, text, metadata)
+        models = {q: c.fit(given) for (q, c), given in zip(asked.items(), counts, strict=True)}
+    return models
 
 
 def scored(spark: SparkSession, docs: DataFrame, models: dict[str, Model], text: str = "text",
@@ -265,16 +393,9 @@ def scored(spark: SparkSession, docs: DataFrame, models: dict[str, Model], text:
         for batch in batches:
             for lo, hi, data, at in tx.chunks(batch, text):
                 part = batch.slice(lo, hi - lo)
-                all_doc, all_feature = content_features(data, at)
-                page = np.sort(page_features(data, at, _names(part, metadata)), axis=1)
-                first = np.ones(page.shape, bool)
-                first[:, 1:] = page[:, 1:] != page[:, :-1]
-                p = []
-                for m in shared.value.values():
-                    counts = m.content[all_feature] != 0
-                    doc, feature = _distinct(all_doc[counts], all_feature[counts])
-                    p.append(m.score(np.bincount(doc, m.content[feature], hi - lo) + m.content[-1],
-                                     (m.page[page] * first).sum(axis=1, dtype=np.float64) + m.page[-1]))
+                models = list(shared.value.values())
+                margins = view_margins(models, data, at, _names(part, metadata))[-1]
+                p = [m.score(*odds) for m, odds in zip(models, margins, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[tx.column(part, c) for c in kept], *map(pa.array, p),
                                                   pa.array(np.minimum(*p))], schema=arrow)
     return docs.mapInArrow(run, schema)

@@ -217,7 +217,7 @@ def test_quality(spark, edge, empty, labels):
 
 
 def test_quality_sample_bounds():
-    """The samples are as large as they were, and sums by parts are the sums."""
+    """Only the labelled sample is bounded, and sums by parts are the sums."""
     import inspect
 
     import numpy as np
@@ -225,13 +225,68 @@ def test_quality_sample_bounds():
     from sluice.llm import quality as q
 
     options = inspect.signature(q.fit_quality).parameters
-    assert options["max_labelled"].default >= 20_000 and options["max_unlabelled"].default >= 8_000
+    assert options["max_labelled"].default >= 20_000 and "max_unlabelled" not in options
     keys, values = np.arange(1000) * 7 % 13, np.arange(1000.0)
     for step in (1, 64, 5000):
         assert (q._sums(keys, 15, step=step) == np.bincount(keys, minlength=15)).all()
         assert (q._sums(keys, 15, lambda part: values[part], step) == np.bincount(keys, values, 15)).all()
 
 
+def test_pseudo_labels_come_from_all_documents(spark):
+    """The counts of a round against a plain loop over the documents."""
+    import numpy as np
+
+    from sluice.llm import quality as q
+    from sluice.llm import text as tx
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = np.random.default_rng(3)
+    models = [q.Model((rng.standard_normal((1 << q.BITS) + 1) * (rng.random((1 << q.BITS) + 1) < 0.3)).astype(np.float32),
+                      rng.standard_normal((1 << q.PAGE_BITS) + 1).astype(np.float32), np.array([1.0, 1.0, 0.0])) for _ in range(2)]
+    candidates = np.flatnonzero(rng.random(1 << q.BITS) < 0.2)
+    got = q.pseudo_label_counts(spark, docs.repartition(5), models, candidates, "text", ["lang", "source"], sure=0.9)
+    total, having = np.zeros((2, 2, 2)), {}
+    for r in docs.collect():
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        at = np.array([0, len(data)])
+        words = set(q.content_features(data, at)[1].tolist())
+        page = set(q.page_features(data, at, [[r.lang], [r.source]])[0].tolist())
+        for k, m in enumerate(models):
+            odds = [sum(float(m.content[w]) for w in words) + float(m.content[-1]), sum(float(m.page[w]) for w in page) + float(m.page[-1])]
+            for teacher in (0, 1):
+                if abs(odds[teacher]) >= np.log(9):
+                    label = int(odds[teacher] > 0)
+                    total[k, 1 - teacher, label] += 1
+                    for f in (words & set(candidates.tolist())) if teacher == 1 else page:
+                        having[k, 1 - teacher, label, f] = having.get((k, 1 - teacher, label, f), 0) + 1
+    for k in (0, 1):
+        for v in (0, 1):
+            assert got[k][v].total.tolist() == total[k, v].tolist()
+            where = np.argwhere(got[k][v].having)
+            assert {(k, v, a, b): got[k][v].having[a, b] for a, b in where.tolist()} == {x: n for x, n in having.items() if x[:2] == (k, v)}
+
+
+def test_pseudo_labels_teach_the_other_view():
+    """Words that no labelled row has get their weight from documents which the page view is sure of."""
+    import numpy as np
+
+    from sluice.llm import quality as q
+
+    rng = np.random.default_rng(1)
+    y = (rng.random(400) < 0.5).astype(float)
+    doc = np.arange(400)
+    rows = q.Rows(np.repeat(doc, 2), np.column_stack([np.where(y > 0, 1, 2), 3 + rng.integers(0, 2, 400)]).ravel().astype(np.int32), 400)
+    alone = q.fit_view(rows, y, 16)
+    counts = q.Counts(np.array([5000.0, 5000.0]), np.zeros((2, 16)))
+    counts.having[:, 7] = 100, 4000  # seen with label 1 only among pseudo-labelled documents
+    counts.having[:, 1], counts.having[:, 2] = (50, 4900), (4900, 50)
+    taught = q.fit_view(rows, y, 16, counts)
+    assert alone[7] == 0 and taught[7] > 0.5 and taught[1] > 0 > taught[2] and taught[3] == taught[4] == 0
+    garbage = q.Counts(np.array([5000.0, 5000.0]), counts.having[::-1])  # labels turned around are not believed
+    assert abs(q.fit_view(rows, y, 16, garbage)[7]) < 0.2
+
+
 def test_quality_on_held_out_labels(spark):
     """Accuracy on labelled documents that the fit has not seen."""
     from sluice.llm.quality import fit_quality, scored
