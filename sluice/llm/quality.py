@@ -94,13 +94,25 @@ class Rows:
         inside = keep[self.doc]
         return Rows(place[self.doc[inside]], self.feature[inside], int(keep.sum()))
 
+    def of(self, features: np.ndarray, size: int) -> Rows:
+        """The pairs of some of the ``size`` features, which are numbered anew."""
+        number = np.full(size, -1, np.int32)
+        number[features] = np.arange(len(features), dtype=np.int32)
+        feature = number[self.feature]
+        inside = feature >= 0
+        return Rows(self.doc[inside], feature[inside], self.n)
+
 
 def _evidence(with_1: np.ndarray, with_any: np.ndarray, positive: float, n: float) -> np.ndarray:
     """Likelihood ratio statistic of each feature's dependence on the label."""
-    table = [(with_1, with_any * positive / n), (with_any - with_1, with_any * (1 - positive / n)),
-             (positive - with_1, (n - with_any) * positive / n),
-             (n - with_any - positive + with_1, (n - with_any) * (1 - positive / n))]
-    return sum(2 * o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)) for o, e in table)
+    share = positive / n
+    total = np.zeros(len(with_1))
+    for observed, expected in ((lambda: with_1, lambda: with_any * share), (lambda: with_any - with_1, lambda: with_any * (1 - share)),
+                               (lambda: positive - with_1, lambda: (n - with_any) * share),
+                               (lambda: n - with_any - positive + with_1, lambda: (n - with_any) * (1 - share))):
+        o = observed()  # one cell of the table at a time
+        total += 2 * o * np.log(np.maximum(o, 1e-12) / np.maximum(expected(), 1e-12))
+    return total
 
 
 @dataclass
@@ -216,29 +228,39 @@ SIZES = (1 << BITS, 1 << PAGE_BITS)
 
 
 class CoTraining:
-    """The labelled rows of one question and the views fitted to them. Every fifth labelled row is
-    kept apart to calibrate."""
+    """The labelled rows of one question and the views fitted to them; content features are numbered by
+    ``candidates``. Rows kept ``apart`` calibrate."""
 
-    def __init__(self, content: Rows, page: Rows, label: np.ndarray):
-        self.views, self.label = (content, page), label.astype(float)
-        self.apart = np.zeros(len(label), bool)
-        self.apart[::5] = True
-        self.train = [v.only(~self.apart) for v in self.views]
-        self.y = self.label[~self.apart]
+    def __init__(self, train: list[Rows], apart: list[Rows], y: np.ndarray, y_apart: np.ndarray, candidates: np.ndarray):
+        self.train, self.apart, self.y, self.y_apart, self.candidates = train, apart, y, y_apart, candidates
 
     def fit(self, given: tuple[Counts | None, Counts | None] = (None, None)) -> Model:
         """Both views, calibrated and combined on the rows kept apart."""
-        weights = [fit_view(rows, self.y, size, counts) for rows, size, counts in zip(self.train, SIZES, given, strict=True)]
-        held = self.label[self.apart]
+        sizes = (len(self.candidates), SIZES[PAGE])
+        weights = [fit_view(rows, self.y, size, counts) for rows, size, counts in zip(self.train, sizes, given, strict=True)]
         combine = np.array([1.0, 0.0, 0.0])
-        if len(held) and 0 < held.sum() < len(held):
-            odds = [v.only(self.apart).margins(w[:-1]) + w[-1] for v, w in zip(self.views, weights, strict=True)]
-            combine = calibrated(np.column_stack(odds), held)
-        return Model(*[w.astype(np.float32) for w in weights], combine)
-
-    def candidates(self, least: float = 10.0) -> np.ndarray:
-        """Content features worth counting among pseudo-labelled documents."""
-        return np.flatnonzero(label_evidence(self.train[CONTENT], self.y, SIZES[CONTENT]) >= least)
+        if len(self.y_apart) and 0 < self.y_apart.sum() < len(self.y_apart):
+            odds = [v.margins(w[:-1]) + w[-1] for v, w in zip(self.apart, weights, strict=True)]
+            combine = calibrated(np.column_stack(odds), self.y_apart)
+        content = np.zeros(SIZES[CONTENT] + 1, np.float32)
+        content[self.candidates], content[-1] = weights[CONTENT][:-1], weights[CONTENT][-1]
+        return Model(content, weights[PAGE].astype(np.float32), combine)
+
+
+def co_trainings(content: Rows, page: Rows, labels: list[np.ndarray], least: float = 10.0) -> list[CoTraining]:
+    """One for each question. Every fifth row is kept apart; of the content features those take part that have at least a
+    weak dependence on a label."""
+    apart = np.zeros(content.n, bool)
+    apart[::5] = True
+    known = content.only(~apart)
+    wanted = np.zeros(SIZES[CONTENT], bool)
+    for y in labels:
+        wanted |= label_evidence(known, y[~apart].astype(float), SIZES[CONTENT]) >= least
+    candidates = np.flatnonzero(wanted)
+    del known
+    content = content.of(candidates, SIZES[CONTENT])
+    train, held = ([v.only(~apart) for v in (content, page)], [v.only(apart) for v in (content, page)])
+    return [CoTraining(train, held, y[~apart].astype(float), y[apart].astype(float), candidates) for y in labels]
 
 
 def view_margins(models: list[Model], data: np.ndarray, at: np.ndarray, names: list, relevant: np.ndarray | None = None) -> tuple:
@@ -262,13 +284,14 @@ COUNTED = "question int, view int, label int, feature int, n long"
 
 def _pseudo_label_rows(text: str, metadata: list[str], shared, sure: float):
     """What each view is sure of, counted for the other view: (question, view that learns, label, feature, documents);
-    feature -1 counts the documents themselves."""
+    content features by their number among the candidates, feature -1 counts the documents themselves."""
     edge = np.log(sure / (1 - sure))
 
     def run(batches):
-        models, numbers, features = shared.value
+        models, numbers = shared.value
+        width = int(numbers.max()) + 1
         total = np.zeros((len(models), 2, 2), np.int64)
-        having = [[[np.zeros(size, np.int64) for _ in (0, 1)] for size in (len(features), SIZES[PAGE])] for _ in models]
+        having = [[[np.zeros(size, np.int64) for _ in (0, 1)] for size in (width, SIZES[PAGE])] for _ in models]
         for batch in batches:
             for lo, hi, data, at in tx.chunks(batch, text):
                 doc, feature, page, first, margins = view_margins(models, data, at, _names(batch.slice(lo, hi - lo), metadata), numbers)
@@ -286,8 +309,7 @@ def _pseudo_label_rows(text: str, metadata: list[str], shared, sure: float):
             for v in (0, 1):
                 for label in (0, 1):
                     some = np.flatnonzero(having[q][v][label])
-                    names = features[some] if v == CONTENT else some
-                    more = [np.full(len(some), x) for x in (q, v, label)] + [names, having[q][v][label][some]]
+                    more = [np.full(len(some), x) for x in (q, v, label)] + [some, having[q][v][label][some]]
                     columns = [np.concatenate(c) for c in zip(columns, more, strict=True)]
         yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int32)) for c in columns[:4]], pa.array(columns[4])],
                                          names=["question", "view", "label", "feature", "n"])
@@ -296,12 +318,13 @@ def _pseudo_label_rows(text: str, metadata: list[str], shared, sure: float):
 
 def pseudo_label_counts(spark: SparkSession, docs: DataFrame, models: list[Model], candidates: np.ndarray, text: str, metadata: list[str],
                         sure: float = 0.98) -> list[tuple[Counts, Counts]]:
-    """For each question the counts from which the content and the page view learn, over all of ``docs``."""
+    """For each question the counts from which the content and the page view learn, over all of ``docs``; content features
+    are numbered by ``candidates``."""
     numbers = np.full(SIZES[CONTENT], -1, np.int32)
     numbers[candidates] = np.arange(len(candidates))
-    shared = spark.sparkContext.broadcast((models, numbers, candidates))  # tables of fixed size
+    shared = spark.sparkContext.broadcast((models, numbers))  # tables of fixed size
     counted = docs.select(text, *metadata).mapInArrow(_pseudo_label_rows(text, metadata, shared, sure), COUNTED)
-    out = [tuple(Counts(np.zeros(2), np.zeros((2, size))) for size in SIZES) for _ in models]
+    out = [tuple(Counts(np.zeros(2), np.zeros((2, size))) for size in (len(candidates), SIZES[PAGE])) for _ in models]
     # at most one row per feature, view, question and label
     for r in counted.groupBy("question", "view", "label", "feature").agg(F.sum("n").alias("n")).collect():
         counts = out[r.question][r.view]
@@ -360,14 +383,17 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: st
     rows = named.join(F.broadcast(sample), "k").drop("k")
     kinds = ", ".join(f"{q} int" for q in QUESTIONS)
     found = rows.mapInArrow(_sampler(text, metadata), f"ordered long, {kinds}, content binary, page binary")
-    found = sorted(found.collect(), key=lambda r: (r.ordered, bytes(r.content)))
+    found = sorted(found.collect(), key=lambda r: (r.ordered, bytes(r.content)))  # bounded: the sample
     content, page = _rows([r.content for r in found]), _rows([r.page for r in found])
-    asked = {q: CoTraining(content, page, np.array([r[q] for r in found], int)) for q in QUESTIONS}
+    answers = [np.array([r[q] for r in found], int) for q in QUESTIONS]
     del found
+    n = content.n
+    asked = dict(zip(QUESTIONS, co_trainings(content, page, answers), strict=True))
+    del content, page
     models = {q: c.fit() for q, c in asked.items()}
     others = named.join(F.broadcast(sample.select("k")), "k", "left_anti")
-    candidates = np.unique(np.concatenate([c.candidates() for c in asked.values()]))
-    for _ in range(rounds if content.n else 0):
+    candidates = next(iter(asked.values())).candidates
+    for _ in range(rounds if n else 0):
         counts = pseudo_label_counts(spark, others, list(models.values()), candidates, text, metadata)
         models = {q: c.fit(given) for (q, c), given in zip(asked.items(), counts, strict=True)}
     return models

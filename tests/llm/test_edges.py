@@ -264,7 +264,8 @@ def test_pseudo_labels_come_from_all_documents(spark):
         for v in (0, 1):
             assert got[k][v].total.tolist() == total[k, v].tolist()
             where = np.argwhere(got[k][v].having)
-            assert {(k, v, a, b): got[k][v].having[a, b] for a, b in where.tolist()} == {x: n for x, n in having.items() if x[:2] == (k, v)}
+            named = [(a, b, int(candidates[b]) if v == q.CONTENT else b) for a, b in where.tolist()]
+            assert {(k, v, a, name): got[k][v].having[a, b] for a, b, name in named} == {x: n for x, n in having.items() if x[:2] == (k, v)}
 
 
 def test_pseudo_labels_teach_the_other_view():
