@@ -416,7 +416,7 @@ def _edge_batch(u, v, split) -> pa.RecordBatch:
                                        pa.array(np.concatenate(split))], names=["u", "v", "split"])
 
 
-PIECE_SHINGLES = 1 << 20
+PIECE_SHINGLES = 1 << 22  # a task holds two pieces: 64 MB
 
 
 def _told(text: str):
