@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import text as tx
-from sluice.llm.batches import small_batches
+from sluice.llm.batches import give_back, small_batches
 from sluice.llm.columns import packed, unpacked
 from sluice.llm.components import components
 from sluice.session import persist_table
@@ -428,15 +428,15 @@ def _told(text: str):
 def _labelled(spark: SparkSession, docs: DataFrame, key: str, text: str, k: int, num: int, den: int, piece_shingles: int) -> DataFrame:
     """(id, told, n, node, root) of every row: its set's size and node and the node that stands for its component."""
     rows = docs.select(F.col(key).cast("long").alias("id"), _told(text).alias("told"), F.col(text).alias("text"))
-    sets = persist_table(spark, rows.mapInArrow(_set_rows(k, "text"), "id long, told long, n long, node long, check long"), "sets")
+    sets = persist_table(spark, rows.mapInArrow(give_back(_set_rows(k, "text")), "id long, told long, n long, node long, check long"), "sets")
 
     # about (1 - similarity) * 2.5 keys a shingle; a bucket holds some hundred thousand
     shingled = sets.agg(F.sum("n")).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(4 * partitions, int(2.5 * shingled * (den - num) / den / 500_000) + 1)
-    keyed = rows.select("text").mapInArrow(_key_rows(k, "text", num, den, buckets), KEYS)
+    keyed = rows.select("text").mapInArrow(give_back(_key_rows(k, "text", num, den, buckets)), KEYS)
     dealt = keyed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    edges = dealt.mapInArrow(_star_rows, "u long, v long")
+    edges = dealt.mapInArrow(give_back(_star_rows), "u long, v long")
     blocks = persist_table(spark, components(spark, edges), "blocks")
     roots = persist_table(spark, _roots(spark, rows, sets, blocks, k, num, den, piece_shingles), "roots")
     return sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -460,7 +460,7 @@ def _roots(spark: SparkSession, rows: DataFrame, sets: DataFrame, blocks: DataFr
     members = persist_table(spark, members.join(sizes, "block").select("id", "told", "node", "block", "cls", "whole"), "members")
     chosen = _few(members.withColumnRenamed("id", "id_").withColumnRenamed("told", "told_"))
     full = rows.join(chosen, (F.col("told") == F.col("told_")) & F.col("id").eqNullSafe(F.col("id_"))).mapInArrow(
-        _member_rows(k, "text"), "block long, cls int, whole boolean, node long, shingles binary")
+        give_back(_member_rows(k, "text")), "block long, cls int, whole boolean, node long, shingles binary")
     # a large block is cut into windows of two neighbouring size classes, a set going to two of them;
     # where a window is large, its pieces by hash meet in pairs; other blocks stay whole
     whole = full.filter("whole").select("block", F.lit(-1).alias("window"), F.lit(-1).alias("first"),
@@ -477,7 +477,7 @@ def _roots(spark: SparkSession, rows: DataFrame, sets: DataFrame, blocks: DataFr
     pairs = whole.unionByName(cut)
     dealt = (pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block", "window", "first", "second")
              .sortWithinPartitions("block", "window", "first", "second", "node"))
-    links = persist_table(spark, dealt.mapInArrow(_block_rows(num, den), "u long, v long, split boolean"), "links")
+    links = persist_table(spark, dealt.mapInArrow(give_back(_block_rows(num, den)), "u long, v long, split boolean"), "links")
     inside = links.filter("not split and u <> v").select(F.col("u").alias("node"), F.col("v").alias("root"))
     across = components(spark, links.filter("split")).select("node", F.col("component").alias("root"))
     return inside.unionByName(across)

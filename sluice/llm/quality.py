@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.llm import text as tx
+from sluice.llm.batches import give_back
 from sluice.llm.rules import document_counts
 from sluice.session import persist_table
 
@@ -323,7 +324,7 @@ def pseudo_label_counts(spark: SparkSession, docs: DataFrame, models: list[Model
     numbers = np.full(SIZES[CONTENT], -1, np.int32)
     numbers[candidates] = np.arange(len(candidates))
     shared = spark.sparkContext.broadcast((models, numbers))  # tables of fixed size
-    counted = docs.select(text, *metadata).mapInArrow(_pseudo_label_rows(text, metadata, shared, sure), COUNTED)
+    counted = docs.select(text, *metadata).mapInArrow(give_back(_pseudo_label_rows(text, metadata, shared, sure)), COUNTED)
     out = [tuple(Counts(np.zeros(2), np.zeros((2, size))) for size in (len(candidates), SIZES[PAGE])) for _ in models]
     # at most one row per feature, view, question and label
     for r in counted.groupBy("question", "view", "label", "feature").agg(F.sum("n").alias("n")).collect():
@@ -424,7 +425,7 @@ def scored(spark: SparkSession, docs: DataFrame, models: dict[str, Model], text:
                 p = [m.score(*odds) for m, odds in zip(models, margins, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[tx.column(part, c) for c in kept], *map(pa.array, p),
                                                   pa.array(np.minimum(*p))], schema=arrow)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(give_back(run), schema)
 
 
 def acceptable(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:

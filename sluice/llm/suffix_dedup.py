@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import text as tx
-from sluice.llm.batches import small_batches
+from sluice.llm.batches import give_back, small_batches
 from sluice.llm.induced_sort import suffix_array
 from sluice.session import persist_table
 
@@ -285,7 +285,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
                                                        F.first("context", ignorenulls=True).alias("context"))
     distinct = distinct.select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "one", "two", "times", "context")
     dealt = distinct.repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard")
-    ranges = persist_table(spark, dealt.mapInArrow(_shard_rows(length, memory), "one long, two long, low int, high int"),
+    ranges = persist_table(spark, dealt.mapInArrow(give_back(_shard_rows(length, memory)), "one long, two long, low int, high int"),
                            "ranges")
     covered = contexts.select("one", "two", "node", "first").join(ranges, ["one", "two"])
     covered = covered.groupBy("node").agg(F.collect_set(F.struct(
