@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-import ctypes.util
 import functools
+import sys
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -37,7 +37,6 @@ def give_back(run: Callable) -> Callable:
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()
-            libc = ctypes.util.find_library("c")
-            if libc and hasattr(found := ctypes.CDLL(libc), "malloc_trim"):
-                found.malloc_trim(0)
+            if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
     return released
