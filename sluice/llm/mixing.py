@@ -9,9 +9,10 @@ are taken until the source's remaining words are used up, cutting at the nearest
 sample of fixed size (in words) with unequal probabilities. With ``weight`` the expected
 copies of a document are in proportion to it.
 
-Scale: ranks are dealt into buckets of ``Q / (1 + Q)``, bucket sums become word offsets, and
-running sums are taken inside a bucket, so a hot source is spread over many tasks. Only the
-table of sources (one row each) meets in one place.
+Scale: ranks are dealt into buckets of about equal size, bucket sums become word offsets, and
+running sums are taken inside a bucket, so a hot source is spread over many tasks. Sizes, keys
+and a digest of each row are all that is ranked, equal rows as one; whole rows are shuffled
+once. Only the table of sources (one row each) meets in one place.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.columns import WORD, hash_bits, packed, unpacked
+from sluice.llm.columns import WORD, hash_bits, put_back, row_digest, unpacked
 
 U_DIGITS = 13  # 52 bits: u is exact in a double
 
@@ -68,12 +69,13 @@ def pareto_mix(spark: SparkSession, df: DataFrame, source: Column, key: Column,
     copy limit can leave a source short of its target.
     """
     columns = df.columns
-    keyed = packed(df, s=source.cast("string"), id=key, size=size,
-                   wt=F.lit(1.0) if weight is None else weight.cast("double"),
-                   k=hash_bits(seed, key, U_DIGITS))
-    narrow = keyed.select("s", "id", "size", "wt", "k").checkpoint()  # the texts are read once for sizes
-    targets = source_targets(narrow.select("s", "size"), cycle, max_copies)
-    heavy = narrow.groupBy("s").agg(F.sum(F.col("wt") * F.col("size")).alias("weighted"))
+    keyed = df.select(source.cast("string").alias("s"), key.alias("id"), size.alias("size"),
+                      (F.lit(1.0) if weight is None else weight.cast("double")).alias("wt"),
+                      hash_bits(seed, key, U_DIGITS).alias("k"), row_digest(df).alias("digest"))
+    narrow = (keyed.groupBy("s", "id", "size", "wt", "k", "digest").agg(F.count(F.lit(1)).alias("n"))
+              .checkpoint())  # the texts are read once for sizes
+    targets = source_targets(narrow.select("s", (F.col("size") * F.col("n")).alias("size")), cycle, max_copies)
+    heavy = narrow.groupBy("s").agg(F.sum(F.col("wt") * F.col("size") * F.col("n")).alias("weighted"))
     targets = (targets.alias("t").join(heavy.alias("h"), F.col("t.s").eqNullSafe(F.col("h.s")))
                .select("t.*", "h.weighted").checkpoint())
 
@@ -91,29 +93,40 @@ def pareto_mix(spark: SparkSession, df: DataFrame, source: Column, key: Column,
         return j.withColumn("q", F.when(F.col("pi") > 0, q))
 
     total = narrow.count()
-    buckets = max(1, math.ceil(total / rows_per_bucket))
-    def bucket():
-        return F.least(F.lit(buckets - 1), F.floor(F.col("q") / (1.0 + F.col("q")) * buckets)).cast("int")
-    rows = expected(narrow).withColumn("b", bucket())
-    sums = rows.groupBy("s", "b").agg(F.sum(F.when(F.col("q").isNotNull(), F.col("size"))).alias("words"),
-                                      F.sum(F.col("sure") * F.col("size")).alias("sure_words"))
+    buckets = max(1, math.ceil(total / rows_per_bucket), min(total, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = expected(narrow)
+    # q is u again where pi is the middle of its source: buckets of that are even
+    if weight is None:
+        rows = rows.withColumn("middle", F.col("pi"))
+    else:
+        middles = rows.groupBy("s").agg(F.avg(F.when(F.col("pi") > 0, F.col("pi"))).alias("middle")).checkpoint()
+        rows = (rows.alias("l").join(middles.alias("m"), F.col("l.s").eqNullSafe(F.col("m.s")))
+                .select("l.*", "m.middle"))
+    even = F.col("q") * F.col("middle") / (F.col("q") * F.col("middle") + (1.0 - F.col("middle")))
+    rows = rows.withColumn("b", F.least(F.lit(buckets - 1), F.floor(even * buckets)).cast("int"))
+    words = F.col("size") * F.col("n")
+    sums = rows.groupBy("s", "b").agg(F.sum(F.when(F.col("q").isNotNull(), words)).alias("words"),
+                                      F.sum(F.col("sure") * words).alias("sure_words"))
     per_source = Window.partitionBy("s")
     before = F.sum("words").over(per_source.orderBy(F.col("b").asc_nulls_first())) - F.col("words")
     offsets = sums.select("s", "b", F.coalesce(before, F.lit(0)).alias("before"),
                           F.sum("sure_words").over(per_source).alias("sure_words")).checkpoint()
 
-    full = expected(keyed).withColumn("b", bucket())
-    full = (full.alias("l").join(offsets.alias("o"), F.col("l.s").eqNullSafe(F.col("o.s"))
+    full = (rows.alias("l").join(offsets.alias("o"), F.col("l.s").eqNullSafe(F.col("o.s"))
                                  & F.col("l.b").eqNullSafe(F.col("o.b")))
             .select("l.*", "o.before", "o.sure_words"))
     # rows that cannot get one more copy need no running sum: they are dealt by their key
     running = Window.partitionBy("s", "b", F.when(F.col("q").isNull(), F.pmod("k", F.lit(4096)))).orderBy(
-        "q", F.col("id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
-    full = full.withColumn("upto", F.col("before") + F.sum("size").over(running))
+        "q", F.col("id").asc_nulls_first(), "size", "digest").rowsBetween(Window.unboundedPreceding, 0)
+    full = full.withColumn("upto", F.col("before") + F.sum(words).over(running))
+    # a row that occurs n times is one row up to here
+    full = full.withColumn("later", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    full = full.withColumn("upto", F.col("upto") - F.col("later") * F.col("size"))
     left = F.col("target") - F.col("sure_words")
     more = F.col("q").isNotNull() & (F.col("upto") - F.col("size") / 2.0 <= left)
-    return unpacked(full, columns, size=F.col("size"), source_size=F.col("source_size"), target=F.col("target"),
-                    copies=F.col("sure") + F.when(more, 1).otherwise(0))
+    mixed = full.select("digest", "n", "size", "source_size", "target",
+                        (F.col("sure") + F.when(more, 1).otherwise(0)).alias("copies")).checkpoint()
+    return unpacked(put_back(df, mixed), columns, **{c: F.col(c) for c in ("size", "source_size", "target", "copies")})
 
 
 def copied(mixed: DataFrame, columns: list[str]) -> DataFrame:
