@@ -60,13 +60,15 @@ SELECT doc_id, (coalesce(octet_length(encode(text)), 0) + 8)::BIGINT AS size, te
   (p - ((p * {SHARDS} // n) * n + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot, NULL::INTEGER AS grown_shard
 FROM placed""")
 def op7_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's shard and slot. Text sizes and checksums are taken in the scan, so
+    """Every document's shard and slot. Text sizes and checksums are taken once, in the scan, so
     only narrow rows are ranked."""
     from sluice.llm.sharding import interleaved_shards
+    from sluice.session import persist_table
 
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = table(spark, sf_dir, "documents").select(
         "doc_id", "source", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    narrow = persist_table(spark, narrow, "text-sizes")
     placed = interleaved_shards(spark, narrow, SHARDS, F.col("source"), F.col("doc_id"), SHARD_SEED)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
@@ -100,10 +102,12 @@ SELECT doc_id, size, source_size, target,
   (size * (sure + CASE WHEN q IS NOT NULL AND upto - size / 2.0::DOUBLE <= target - sure_words THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM run""")
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words the mix takes of every document."""
+    """The words the mix takes of every document; words are counted once."""
     from sluice.llm.mixing import pareto_mix, word_count
+    from sluice.session import persist_table
 
     narrow = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    narrow = persist_table(spark, narrow, "word-sizes")
     mixed = pareto_mix(spark, narrow, F.col("source"), F.col("doc_id"), F.col("words"), MIX_SEED)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
