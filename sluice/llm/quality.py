@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.llm import text as tx
-from sluice.llm.batches import give_back
+from sluice.llm.batches import give_back, small_batches
 from sluice.llm.rules import document_counts
 from sluice.session import persist_table
 
+CHUNK = 1 << 19  # bytes of texts whose features are in memory together
 BITS = 20  # hashed features of the content view
 PAGE_BITS = 12
 QUESTIONS = {"good": "quality = 1", "clean": "toxic = 0"}
@@ -294,7 +295,7 @@ def _pseudo_label_rows(text: str, metadata: list[str], shared, sure: float):
         total = np.zeros((len(models), 2, 2), np.int64)
         having = [[[np.zeros(size, np.int64) for _ in (0, 1)] for size in (width, SIZES[PAGE])] for _ in models]
         for batch in batches:
-            for lo, hi, data, at in tx.chunks(batch, text):
+            for lo, hi, data, at in tx.chunks(batch, text, CHUNK):
                 doc, feature, page, first, margins = view_margins(models, data, at, _names(batch.slice(lo, hi - lo), metadata), numbers)
                 number = numbers[feature]
                 for q, odds in enumerate(margins):
@@ -348,7 +349,7 @@ def _names(part: pa.RecordBatch, metadata: list[str]) -> list[list[str | None]]:
 def _sampler(text: str, metadata: list[str]):
     def run(batches):
         for batch in batches:
-            for lo, hi, data, at in tx.chunks(batch, text):
+            for lo, hi, data, at in tx.chunks(batch, text, CHUNK):
                 part = batch.slice(lo, hi - lo)
                 doc, feature = _distinct(*content_features(data, at))
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
@@ -368,6 +369,7 @@ def _rows(column: list) -> Rows:
     return Rows(doc, np.concatenate(parts) if parts else np.zeros(0, np.int32), len(parts))
 
 
+@small_batches
 def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
                 metadata: tuple[str, ...] = ("lang", "source"), max_labelled: int = 20_000, rounds: int = 2,
                 seed: int = 5) -> dict[str, Model]:
@@ -418,7 +420,7 @@ def scored(spark: SparkSession, docs: DataFrame, models: dict[str, Model], text:
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, at in tx.chunks(batch, text):
+            for lo, hi, data, at in tx.chunks(batch, text, CHUNK):
                 part = batch.slice(lo, hi - lo)
                 models = list(shared.value.values())
                 margins = view_margins(models, data, at, _names(part, metadata))[-1]
