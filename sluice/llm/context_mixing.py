@@ -1,4 +1,4 @@
-"""Language-model scores by online logistic mixing of hashed-context bit predictors.
+"""Language-model scores by logistic mixing of hashed-context bit predictors.
 
 A text is a sequence of words and one end. Every word is spelled in binary decisions: the path to
 it in a Huffman tree over the most frequent words, the end and an escape; an escaped word is
@@ -9,14 +9,16 @@ Their log-odds are mixed by weights from a set that a gate picks by how much the
 seen, and an adaptive probability map refines the result. The product over all decisions is the
 model's probability of the text.
 
-Learning takes the training documents once, after a word count. Each task learns online: it predicts a
-batch with the counts and weights it has, moves the weights along the error, then counts the
-batch. Context counts of all tasks are added up (block by block, on executors), map counts too, and
-weights are averaged by the decisions behind them. The tables have a fixed size and are
-broadcast for scoring, a pass over all documents.
+Counts come first, then what is learned from them. After a word count one pass over the training documents
+counts the bits under every context; the counts of all tasks are added up on executors. A second
+pass predicts every training decision from those counts, the decision's own count taken out,
+and gathers a histogram of (gate, log-odds of the three predictors, bit). The weights of each gate and the
+map are learned from that histogram, whose size is fixed. All of it is sums of whole numbers, so scores do not depend on
+the number of tasks. Scoring is a pass over all documents; in training documents the
+decision's own count is taken out again, so they are scored as texts that the model has not seen there.
 
 Word counts are unbounded: the ``HEAD`` most frequent words or fewer are broadcast, rarer words' counts
-are joined by a shuffle.
+are joined by a shuffle. Context tables have eight slots a training token, ``MOST_BITS`` bits at most, and are broadcast.
 """
 
 from __future__ import annotations
@@ -30,18 +32,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import text as tx
+from sluice.llm.batches import give_back
 from sluice.session import persist_table
 
 _U = np.uint64
 HEAD = 1 << 17  # words in the tree at most
-SLOT_BITS = 21  # slots of a context table
+LEAST_BITS, MOST_BITS = 16, 22  # slots of a context table
 LETTERS = (3, 5)  # bytes before in the two contexts of an escaped word's bytes
 LEAST = 2  # occurrences of a head word
 DEPTH = 64  # no path is longer: one of 65 needs more than 2^44 tokens
+LEVELS = 3  # of a tree whose nodes share a bucket: 1 + 2 + 4 slots of 8
 BLOCK = 1 << 13  # slots summed up together
+CHUNK = 1 << 18  # bytes of text whose arrays stay in the processor's cache
+EXACT, COUNTS = 32, 194  # counts kept exactly, and all levels of a summed-up count
+STATES = COUNTS * COUNTS  # of a slot
 SEEN, MODES, STEPS = 4, 3, 33
 GATES = SEEN * SEEN * MODES
-RATE = 0.02
+BINS = 17  # of a predictor's log-odds in the histogram
+TREE_STEP = 4  # bins a unit of a tree node's log-odds
 
 
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,6 +82,19 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return (nodes[rows, take].astype(np.int32), np.stack([p[1] for p in paths], 1)[rows, take].astype(np.int8), lengths, odds)
 
 
+class Tree:
+    """Paths of a Huffman tree: ``steps[d]`` holds 2 * node + bit of every symbol's decision ``d``, or -1."""
+
+    def __init__(self, counts: np.ndarray):
+        nodes, bits, lengths, odds = huffman(counts)
+        self.steps = [np.ascontiguousarray(np.where(lengths > d, 2 * nodes[:, d] + bits[:, d], -1).astype(np.int32))
+                      for d in range(nodes.shape[1])]
+        self.lengths = lengths.astype(np.uint8)
+        self.odds = odds.astype(np.float32)
+        # what a step adds to the number of a histogram's cell
+        self.cells = (np.repeat(_bin(TREE_STEP * self.odds), 2) * BINS ** 2 * 2 + np.tile([0, 1], len(odds))).astype(np.int32)
+
+
 class Code:
     """The trees and what follows from them. Symbols: the head words by hash, then end, then escape."""
 
@@ -81,10 +102,8 @@ class Code:
         order = np.argsort(head)
         self.head, self.counts = head[order], counts[order]
         self.end, self.escape, self.ends = len(head), len(head) + 1, end
-        self.nodes, self.bits, self.lengths, odds = huffman(np.concatenate([self.counts, [max(end, 1), max(escaped, 1)]]))
-        self.odds = odds.astype(np.float32)
-        self.byte_nodes, self.byte_bits, self.byte_lengths, byte_odds = huffman(byte_counts + 1)
-        self.byte_odds = byte_odds.astype(np.float32)
+        self.words = Tree(np.concatenate([self.counts, [max(end, 1), max(escaped, 1)]]))
+        self.letters = Tree(byte_counts + 1)
 
     def symbols(self, words: np.ndarray) -> np.ndarray:
         if not len(self.head):
@@ -93,51 +112,122 @@ class Code:
         return np.where(self.head[at] == words, at, self.escape)
 
 
-class Learner:
-    """Counts and weights of one task while it learns."""
+def slot_bits(tokens: int) -> int:
+    """Bits of a context table's slots for so many training tokens."""
+    return min(MOST_BITS, max(LEAST_BITS, (8 * max(tokens, 1) - 1).bit_length()))
+
+
+class Counter:
+    """Bits seen under each context."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.counts = np.zeros((2, 2 << bits), np.uint32)  # of bit 0 and 1 of each slot in turn
+
+    def decide(self, tree: Tree, step: np.ndarray, slots: list[np.ndarray], own: None, mode: int) -> None:
+        bit = step & 1
+        for counts, slot in zip(self.counts, slots, strict=True):
+            np.add.at(counts, 2 * slot + bit, np.uint32(1))
+
+
+def _levels(n: np.ndarray) -> np.ndarray:
+    """Counts below ``EXACT`` as they are, greater ones in steps of a sixth of a power of two."""
+    steps = np.floor(6 * np.log2(np.maximum(n, EXACT) / EXACT))
+    return np.where(n < EXACT, n, EXACT + np.minimum(steps, COUNTS - EXACT - 1)).astype(np.int64)
+
+
+def states(counts: np.ndarray) -> np.ndarray:
+    """Counts of bit 0 and 1 in turn as one 16-bit number a slot."""
+    level = _levels(counts.reshape(-1, 2))
+    return (level[:, 0] * COUNTS + level[:, 1]).astype(np.uint16)
 
-    def __init__(self):
-        self.counts = np.zeros((2, 1 << SLOT_BITS, 2), np.uint32)  # of bit 0 and 1 in each slot
-        self.weights = np.tile(np.array([1.0, 0.1, 0.1], np.float32), (GATES, 1))
-        self.weights[2 * SEEN * SEEN:] = 0.4, 0.5, 0.4
-        self.behind = np.zeros(GATES)
-        self.map = np.zeros((MODES, STEPS, 2))
 
-    def look(self, k: int, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        both = self.counts[k].view(np.uint64).ravel()[slot]
-        n0, n1 = (both & _U(0xFFFFFFFF)).astype(np.float32), (both >> _U(32)).astype(np.float32)
-        return np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))), _SEEN[np.minimum(n0 + n1, 64).astype(np.int32)]
+def _state_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-odds with how much was seen in the last two bits, seen, and bin of the log-odds, of every state: as it is, less one
+    bit 0, and less one bit 1."""
+    level = np.arange(COUNTS)
+    count = np.where(level < EXACT, level, EXACT * 2.0 ** ((level - EXACT + 0.5) / 6))
+    n0, n1 = np.repeat(count, COUNTS), np.tile(count, COUNTS)
+    n0, n1 = np.concatenate([n0, np.maximum(n0 - 1, 0), n0]), np.concatenate([n1, n1, np.maximum(n1 - 1, 0)])
+    odds = np.log((n1 + 0.4) / (n0 + 0.4)).astype(np.float32)
+    seen = np.minimum(SEEN - 1, np.ceil(np.log2(np.minimum(n0 + n1, 64) + 1) / 2)).astype(np.int32)
+    return ((odds.view(np.uint32) & np.uint32(0xFFFFFFFC)) | seen.astype(np.uint32)).view(np.float32), seen, _bin(odds).astype(np.int32)
 
-    def learn(self, slots: list[np.ndarray], bit: np.ndarray, inputs: list[np.ndarray], gate: np.ndarray, odds: np.ndarray,
-              mode: int) -> None:
-        error = bit - 1 / (1 + np.exp(-odds))
-        n = np.bincount(gate, minlength=GATES)
-        for i, x in enumerate(inputs):
-            self.weights[:, i] += RATE * np.bincount(gate, error * x, GATES) / np.sqrt(np.maximum(n, 1))
-        np.clip(self.weights, -0.5, 2, out=self.weights)
-        self.behind += n
-        self.map[mode] += np.bincount(2 * _step(odds) + bit, minlength=2 * STEPS).reshape(STEPS, 2)
-        for k, s in enumerate(slots):
-            np.add.at(self.counts[k].ravel(), 2 * s + bit, np.uint32(1))
 
+def _bin(x: np.ndarray) -> np.ndarray:
+    return (np.clip(np.rint(x), -(BINS // 2), BINS // 2) + BINS // 2).astype(np.int64)
 
-_SEEN = np.minimum(SEEN - 1, np.ceil(np.log2(np.arange(65) + 1) / 2)).astype(np.int64)
+
+_ODDS, _SEEN, _BINNED = _state_tables()
+# what a context adds to the number of a histogram's cell
+_CELL1 = (_SEEN * SEEN * BINS ** 3 + _BINNED * BINS) * 2
+_CELL2 = (_SEEN * BINS ** 3 + _BINNED) * 2
+
+
+class _Reader:
+    """Summed-up tables that decisions are predicted from."""
+
+    def __init__(self, bits: int, tables: np.ndarray):
+        self.bits, self.tables = bits, tables
+
+    def look(self, bit: np.ndarray, slots: list[np.ndarray], own: np.ndarray) -> list[np.ndarray]:
+        """States of both contexts, without what the decisions counted themselves (``own`` is 1)."""
+        without = (own + own * bit) * STATES
+        return [table[slot] + without for table, slot in zip(self.tables, slots, strict=True)]
+
+
+class Histogram(_Reader):
+    """How often each bit came with each gate and log-odds of the predictors."""
+
+    def __init__(self, bits: int, tables: np.ndarray):
+        super().__init__(bits, tables)
+        self.cells = np.zeros(GATES * BINS ** 3 * 2, np.int64)
+
+    def decide(self, tree: Tree, step: np.ndarray, slots: list[np.ndarray], own: np.ndarray, mode: int) -> None:
+        bit = step & 1
+        first, second = self.look(bit, slots, own)
+        cell = tree.cells[step] + _CELL1[first]
+        cell += _CELL2[second]
+        cell += mode * SEEN * SEEN * BINS ** 3 * 2
+        np.add.at(self.cells, cell, 1)
+
+
+def learned(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights of each gate, map): the weights by Newton's method on the logistic loss of the histogram,
+    drawn to where they start by a few decisions' worth; the map counts bits by mixed log-odds."""
+    n = cells.reshape(GATES, BINS ** 3, 2).astype(np.float64)
+    axis = np.arange(BINS) - BINS // 2
+    x = np.stack([g.ravel() for g in np.meshgrid(axis / TREE_STEP, axis, axis, indexing="ij")], 1).astype(np.float64)
+    start = np.tile(np.array([1.0, 0.1, 0.1]), (GATES, 1))
+    start[2 * SEEN * SEEN:] = 0.4, 0.5, 0.4
+    weights, seen = start.copy(), np.zeros((MODES, STEPS, 2))
+    for gate in range(GATES):
+        at = np.flatnonzero(n[gate].sum(axis=1))
+        if not len(at):
+            continue
+        some, total, ones, w = x[at], n[gate, at].sum(axis=1), n[gate, at, 1], weights[gate]
+        for _ in range(25):
+            p = 1 / (1 + np.exp(-np.clip(some @ w, -12, 12)))
+            slope = some.T @ (ones - total * p) - 4 * (w - start[gate])
+            step = np.linalg.solve((some * (total * p * (1 - p))[:, None]).T @ some + 4 * np.eye(3), slope)
+            w = np.clip(w + np.clip(step, -0.5, 0.5), -0.5, 3)
+            if np.abs(step).max() < 1e-6:
+                break
+        weights[gate] = w
+        np.add.at(seen[gate // (SEEN * SEEN)], _step(np.clip(some @ w, -12, 12)), n[gate, at])
+    return weights, seen
 
 
 def _step(odds: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(2 * odds), -(STEPS // 2), STEPS // 2).astype(np.int64) + STEPS // 2
 
 
-class Model:
-    """Frozen tables for scoring."""
+class Model(_Reader):
+    """What scores a text."""
 
-    def __init__(self, counts: np.ndarray, weights: np.ndarray, seen_map: np.ndarray):
-        n = counts.astype(np.float64)
-        odds = np.log((n[:, :, 1] + 0.4) / (n[:, :, 0] + 0.4)).astype(np.float32)
-        seen = _SEEN[np.minimum(n.sum(axis=2), 64).astype(np.int64)].astype(np.uint32)
-        # how much a slot has seen, in the last two bits of its log-odds
-        self.slots = (odds.view(np.uint32) & np.uint32(0xFFFFFFFC)) | seen
-        self.weights = weights.astype(np.float32)
+    def __init__(self, bits: int, tables: np.ndarray, weights: np.ndarray, seen_map: np.ndarray):
+        super().__init__(bits, tables)
+        self.weights = np.ascontiguousarray(weights.T.astype(np.float32))
         # log probability by mode, log-odds in steps of 1/64 and bit, the adaptive map included
         centre = 1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2))
         refined = (seen_map[:, :, 1] + 8 * centre) / (seen_map.sum(axis=2) + 8)
@@ -145,37 +235,56 @@ class Model:
         p = 0.5 / (1 + np.exp(-odds)) + 0.5 * np.stack([np.interp(odds, (np.arange(STEPS) - STEPS // 2) / 2, r) for r in refined])
         self.logs = np.stack([np.log(1 - p), np.log(p)], axis=2).astype(np.float32).reshape(MODES, -1)
 
-    def look(self, k: int, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = self.slots[k][slot]
-        return found.view(np.float32), (found & np.uint32(3)).astype(np.int64)
-
-
-def _decide(model: Model | Learner, contexts: list[np.ndarray], node: np.ndarray, bit: np.ndarray, tree_odds: np.ndarray,
-            mode: int) -> np.ndarray | None:
-    """Log probability of each decision (a model), or learn from them (a learner). Words and letters
-    use one half of the slots each."""
-    mixed = (node.astype(_U) + _U(1 + (mode << 24))) * _U(0x9E3779B97F4A7C15)
-    slots = []
-    for c in contexts:
-        slot = (c ^ mixed) * _U(0xD1342543DE82EF95)
-        slots.append((slot >> _U(65 - SLOT_BITS)).view(np.int64) + ((mode == 2) << (SLOT_BITS - 1)))
-    first, seen1 = model.look(0, slots[0])
-    second, seen2 = model.look(1, slots[1])
-    gate = (mode * SEEN + seen1) * SEEN + seen2
-    w = model.weights[gate]
-    odds = np.clip(w[:, 0] * tree_odds + w[:, 1] * first + w[:, 2] * second, -12, 12)
-    if isinstance(model, Learner):
-        model.learn(slots, bit, [tree_odds, first, second], gate, odds, mode)
+    def decide(self, tree: Tree, step: np.ndarray, slots: list[np.ndarray], own: np.ndarray, mode: int) -> np.ndarray:
+        bit = step & 1
+        first, second = (_ODDS[state] for state in self.look(bit, slots, own))
+        gate = ((first.view(np.int32) & 3) << 2) + (second.view(np.int32) & 3) + mode * SEEN * SEEN
+        w = self.weights
+        odds = w[0][gate] * tree.odds[step >> 1]
+        odds += w[1][gate] * first
+        odds += w[2][gate] * second
+        np.clip(odds, -12, 12, out=odds)
+        return self.logs[mode][2 * (odds * 64 + np.float32(768.5)).astype(np.int32) + bit]
+
+
+def _walk(visitor, tree: Tree, symbols: np.ndarray, contexts: list[np.ndarray], own: np.ndarray, letters: bool) -> np.ndarray | None:
+    """Take every symbol's decisions in turn; a model gives the log probability of each symbol. Symbols
+    go by falling path length, so the ones still under way are always the first."""
+    lengths = tree.lengths[symbols]
+    order = np.argsort(lengths, kind="stable")[::-1]
+    symbols, contexts, own = symbols[order], [c[order] for c in contexts], own[order]
+    under_way = len(symbols) - np.cumsum(np.bincount(lengths, minlength=len(tree.steps) + 1))
+    scoring = isinstance(visitor, Model)
+    gained = np.zeros(len(symbols))
+    shift, half = _U(64 - (visitor.bits - 4)), int(letters) << (visitor.bits - 1)
+    base, local = [], None
+    for d, steps in enumerate(tree.steps):
+        n = int(under_way[d])
+        if not n:
+            break
+        step = steps[symbols[:n]]
+        if d % LEVELS == 0:
+            tag = ((step >> 1).astype(_U) + _U(1 + ((1 + letters) << 24))) * _U(0x9E3779B97F4A7C15)
+            base = [((((c[:n] ^ tag) * _U(0xD1342543DE82EF95)) >> shift) << _U(3)).view(np.int64) + half for c in contexts]
+            local = np.ones(n, np.int64)
+        got = visitor.decide(tree, step, [b[:n] + local[:n] for b in base], own[:n], 2 if letters else int(d > 1))
+        local = 2 * local[:n] + (step & 1)
+        if scoring:
+            gained[:n] += got
+    if not scoring:
         return None
-    return model.logs[mode][2 * (odds * 64 + np.float32(768.5)).astype(np.int32) + bit]
+    out = np.empty(len(symbols))
+    out[order] = gained
+    return out
 
 
-def spell(model: Model | Learner, code: Code, data: np.ndarray, at: np.ndarray) -> tuple | None:
+def spell(visitor: Counter | Histogram | Model, code: Code, data: np.ndarray, at: np.ndarray, own: np.ndarray | None = None) -> tuple | None:
     """Go through all decisions of the documents; a model gives (log probability, tokens, symbols,
-    word hashes, document of each word)."""
+    word hashes, document of each word). ``own`` tells the documents whose decisions are in the counts."""
     low, start, end, doc, first = tx.words(data, at)
     word = tx.span_hash(tx.prefix_hash(low), start, end)
     n_docs, n = len(at) - 1, len(word)
+    own = np.zeros(n_docs, np.int32) if own is None else own.astype(np.int32)
     # tokens with the ends in place
     place = np.arange(n) + doc
     ends = first[1:] + np.arange(n_docs)
@@ -186,19 +295,9 @@ def spell(model: Model | Learner, code: Code, data: np.ndarray, at: np.ndarray)
     before = np.append(_U(0), value[:-1])  # an end stands before a document's first word, with hash 0
     before2 = np.append(_U(0), before[:-1])
     before2[before == 0] = 0
+    begin = np.append(0, ends[:-1] + 1)
     contexts = [tx.mix(before), tx.mix(before ^ tx.mix(before2 + _U(1)))]
-    scoring = isinstance(model, Model)
-    gained = np.zeros(total)
-    here, s = np.arange(total), symbol
-    for d in range(code.nodes.shape[1]):
-        longer = np.flatnonzero(code.lengths[s] > d)
-        if not len(longer):
-            break
-        here, s, contexts = here[longer], s[longer], [c[longer] for c in contexts]
-        node = code.nodes[s, d]
-        got = _decide(model, contexts, node, code.bits[s, d], code.odds[node], int(d > 1))
-        if scoring:
-            gained[here] += got
+    gained = _walk(visitor, code.words, symbol, contexts, np.repeat(own, ends + 1 - begin), False)
     # escaped words, byte by byte, closed by a space
     rare = np.flatnonzero(word_symbol == code.escape)
     if len(rare):
@@ -216,21 +315,11 @@ def spell(model: Model | Learner, code: Code, data: np.ndarray, at: np.ndarray)
             history[ok] |= letters[ok - j].astype(_U)
         short = history & _U((1 << 8 * LETTERS[0]) - 1)
         contexts = [tx.mix(short + _U(1 << 62)), tx.mix(history + _U(1 << 63))]
-        spelled = np.zeros(len(letters))
-        for d in range(code.byte_nodes.shape[1]):
-            here = np.flatnonzero(code.byte_lengths[letters] > d)
-            if not len(here):
-                break
-            s = letters[here]
-            node = code.byte_nodes[s, d]
-            got = _decide(model, [c[here] for c in contexts], node, code.byte_bits[s, d], code.byte_odds[node], 2)
-            if scoring:
-                spelled[here] += got
-        if scoring:
+        spelled = _walk(visitor, code.letters, letters, contexts, np.repeat(own[doc[rare]], sizes), True)
+        if gained is not None:
             gained[place[rare]] += np.add.reduceat(spelled, stop - sizes + 1)
-    if not scoring:
+    if gained is None:
         return None
-    begin = np.append(0, ends[:-1] + 1)
     return np.add.reduceat(gained, begin), ends + 1 - begin, word_symbol, word, doc, first
 
 
@@ -262,50 +351,76 @@ def _merged(words: list, counts: list) -> tuple[list, list]:
     return [w], [np.bincount(back, np.concatenate(counts), len(w)).astype(np.int64)]
 
 
-TABLES = "block int, n double, body binary"
+TABLES = "block int, body binary"
+
+
+def _count(code, bits):
+    @give_back
+    def run(batches):
+        counter, any_ = Counter(bits), False
+        for batch in batches:
+            for _, _, data, at in tx.chunks(batch, limit=CHUNK):
+                spell(counter, code.value, data, at)
+                any_ = True
+        if any_:
+            yield from _blobs(counter.counts.ravel(), 2 * BLOCK)
+    return run
 
 
-def _learn(code):
+def _gather(shared):
+    @give_back
     def run(batches):
-        learner = Learner()
-        any_ = False
+        code, bits, tables = shared.value
+        histogram, any_ = Histogram(bits, tables), False
         for batch in batches:
-            for _, _, data, at in tx.chunks(batch):
-                spell(learner, code.value, data, at)
+            for _, _, data, at in tx.chunks(batch, limit=CHUNK):
+                spell(histogram, code, data, at, np.ones(len(at) - 1))
                 any_ = True
         if any_:
-            flat = learner.counts.reshape(2, -1)
-            per = 2 * BLOCK
-            for k in range(2):
-                for b in range(flat.shape[1] // per):
-                    part = flat[k, b * per:(b + 1) * per]
-                    if part.any():
-                        yield _blob(k * (flat.shape[1] // per) + b, 0.0, part.tobytes())
-            rest = np.concatenate([(learner.weights * learner.behind[:, None]).ravel(), learner.behind, learner.map.ravel()])
-            yield _blob(-1, 1.0, rest.tobytes())
+            yield from _blobs(histogram.cells, BINS ** 3 * 2)
     return run
 
 
-def _blob(block: int, n: float, body: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([n]),
-                                       pa.array([zlib.compress(body, 1)], pa.binary())], names=["block", "n", "body"])
+def _blobs(flat: np.ndarray, per: int):
+    """The parts that hold anything, bytes of equal weight together (most are zero)."""
+    for block in range(len(flat) // per):
+        part = flat[block * per:(block + 1) * per]
+        if part.any():
+            planes = part.view(np.uint8).reshape(per, -1).T
+            yield _blob(block, np.ascontiguousarray(planes).tobytes())
+
 
+def _blob(block: int, body: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(body, 1)], pa.binary())],
+                                      names=["block", "body"])
 
-def _add_blocks(batches):
+
+def _summed(kind: type, pack: bool):
     """Rows sorted by block: one row per block with the sum."""
-    block, total = None, None
-    for batch in batches:
-        for b, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            values = np.frombuffer(zlib.decompress(body), np.uint32 if b >= 0 else np.float64)
-            values = values.astype(np.uint64) if b >= 0 else values
-            if b != block:
-                if block is not None:
-                    yield _blob(block, 0.0, total.tobytes())
-                block, total = b, values.copy()
-            else:
-                total += values
-    if block is not None:
-        yield _blob(block, 0.0, total.tobytes())
+    def run(batches):
+        block, total = None, None
+        for batch in batches:
+            for b, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                planes = np.frombuffer(zlib.decompress(body.as_buffer()), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+                values = np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
+                if b != block:
+                    if block is not None:
+                        yield _blob(block, (states(total) if pack else total).tobytes())
+                    block, total = b, values
+                else:
+                    total += values
+        if block is not None:
+            yield _blob(block, (states(total) if pack else total).tobytes())
+    return run
+
+
+def _sums(spark: SparkSession, blobs: DataFrame, kind: type, out: np.ndarray, pack: bool) -> np.ndarray:
+    """Blocks of all tasks added up on executors, one row a block to the driver: ``out``, of fixed size."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    summed = blobs.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(_summed(kind, pack), TABLES)
+    for r in summed.collect():
+        out[r.block] = np.frombuffer(zlib.decompress(bytes(r.body)), out.dtype)
+    return out
 
 
 def fit(spark: SparkSession, training: DataFrame, text: str = "text") -> tuple[Code, Model, DataFrame, int, int, int]:
@@ -329,36 +444,28 @@ def fit(spark: SparkSession, training: DataFrame, text: str = "text") -> tuple[C
                 all_words - tokens, np.array([others.get((1, b), 0) for b in range(256)]))
     distinct = sum(k for _, k in by_count) + (1 if ends else 0)
 
+    bits = slot_bits(all_words + ends)
     shared = spark.sparkContext.broadcast(code)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blobs = texts.mapInArrow(_learn(shared), TABLES).repartition(partitions, "block").sortWithinPartitions("block")
-    sums = {r.block: np.frombuffer(zlib.decompress(bytes(r.body)), np.uint64 if r.block >= 0 else np.float64)
-            for r in blobs.mapInArrow(_add_blocks, TABLES).collect()}  # tables of fixed size
-    table = np.zeros((2, 1 << SLOT_BITS, 2), np.uint64)
-    flat = table.reshape(-1, 2 * BLOCK)
-    for b, values in sums.items():
-        if b >= 0:
-            flat[b] = values
-    learner = Learner()
-    weights, seen = learner.weights, learner.map
-    if -1 in sums:
-        rest = sums[-1]
-        behind = rest[3 * GATES:4 * GATES]
-        weights = np.where(behind[:, None] > 0, rest[:3 * GATES].reshape(GATES, 3) / np.maximum(behind, 1)[:, None], weights)
-        seen = rest[4 * GATES:].reshape(seen.shape)
-    return code, Model(table, weights, seen), words, all_words + ends, distinct, least
+    tables = _sums(spark, texts.mapInArrow(_count(shared, bits), TABLES), np.uint32,
+                   np.zeros((2 * (1 << bits) // BLOCK, BLOCK), np.uint16), True).reshape(2, -1)
+    counted = spark.sparkContext.broadcast((code, bits, tables))  # of fixed size
+    cells = _sums(spark, texts.mapInArrow(_gather(counted), TABLES), np.int64,
+                  np.zeros((GATES, BINS ** 3 * 2), np.int64), False)
+    return code, Model(bits, tables, *learned(cells)), words, all_words + ends, distinct, least
 
 
 SCORES = "id long, trained boolean, n_bytes long, n_tokens long, head_known long, head_sum double, log_p double, rare array<long>"
 
 
 def _score(shared):
+    @give_back
     def run(batches):
         code, model = shared.value
         known = np.append(np.log10(code.counts + 0.5), [0.0, 0.0])
         for batch in batches:
-            for lo, hi, data, at in tx.chunks(batch):
-                log_p, tokens, symbol, word, doc, first = spell(model, code, data, at)
+            trained = tx.column(batch, "trained").to_numpy(zero_copy_only=False)
+            for lo, hi, data, at in tx.chunks(batch, limit=CHUNK):
+                log_p, tokens, symbol, word, doc, first = spell(model, code, data, at, trained[lo:hi])
                 is_head = symbol < code.end
                 rare = word[~is_head].view(np.int64)
                 cut = np.append(0, np.cumsum(np.bincount(doc[~is_head], minlength=hi - lo)))
@@ -376,7 +483,8 @@ def text_scores(spark: SparkSession, docs: DataFrame, training: Column, key: str
     """(``id``, ``trained``, ``n_bytes``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``,
     ``bits_per_byte``) of every document, learning from the rows where ``training`` holds.
 
-    Null texts are empty: their only token is the end. Repeated rows score alike. Without a
+    Null texts are empty: their only token is the end. Repeated rows score alike where ``training`` holds for all or
+    none of them. Without a
     training row every word is unknown and spelled with even odds. An empty table gives an
     empty result. Words are compared by 64-bit hashes."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(training, F.lit(False)).alias("trained"),

@@ -365,6 +365,20 @@ def test_base_scores(spark, sf, docs):
         assert r.score < 0
 
 
+def trained_model(code, chunks):
+    from sluice.llm import context_mixing as cm
+
+    bits = cm.slot_bits(sum(len(data) for data, _ in chunks))
+    counter = cm.Counter(bits)
+    for data, at in chunks:
+        cm.spell(counter, code, data, at)
+    tables = np.stack([cm.states(c) for c in counter.counts])
+    histogram = cm.Histogram(bits, tables)
+    for data, at in chunks:
+        cm.spell(histogram, code, data, at, np.ones(len(at) - 1))
+    return cm.Model(bits, tables, *cm.learned(histogram.cells))
+
+
 def test_model_is_a_probability():
     """All texts of the code: the probabilities of symbols and of bytes add up to one."""
     from sluice.llm import context_mixing as cm
@@ -375,17 +389,15 @@ def test_model_is_a_probability():
     known = [cm.tx.span_hash(cm.tx.prefix_hash(np.frombuffer(w, np.uint8)), np.array([0]), np.array([len(w)]))[0]
              for w in (b"the", b"cat", b"sat", b"on")]
     code = cm.Code(np.array(known), np.array([90, 60, 60, 30]), 120, 200, np.bincount(data, minlength=256))
-    learner = cm.Learner()
-    cm.spell(learner, code, data, at)
-    model = cm.Model(learner.counts.astype(np.uint64), learner.weights, learner.map)
+    model = trained_model(code, [(data, at)])
 
     def log_p(words):
         b = np.frombuffer(words, np.uint8)
         return cm.spell(model, code, b, np.array([0, len(b)]))[0][0]
     # prefix sums: extending by each symbol in turn shares out the probability of what stands before
-    nodes = code.nodes.shape[1]
-    assert nodes <= cm.DEPTH and (code.lengths >= 1).all()
-    total = sum(np.exp(-np.log(2) * n) for n in code.lengths) if nodes < cm.DEPTH else 1
+    nodes = len(code.words.steps)
+    assert nodes <= cm.DEPTH and (code.words.lengths >= 1).all()
+    total = sum(np.exp(-np.log(2) * n) for n in code.words.lengths) if nodes < cm.DEPTH else 1
     assert total <= 1 + 1e-9
     assert log_p(b"the cat sat on the mat") > log_p(b"mat the on sat cat the") and log_p(b"") < 0
 
@@ -419,13 +431,59 @@ def test_contexts_predict_whole_words():
     low, start, end, _, _ = cm.tx.words(data, at)
     words, counts = np.unique(cm.tx.span_hash(cm.tx.prefix_hash(low), start, end), return_counts=True)
     code = cm.Code(words, counts, 320, 0, np.bincount(low, minlength=256))
-    learner = cm.Learner()
-    for k in range(8):
-        cm.spell(learner, code, *chunk(texts[k:320:8]))
-    log_p, tokens = cm.spell(cm.Model(learner.counts.astype(np.uint64), learner.weights, learner.map), code, *chunk(texts[320:]))[:2]
+    model = trained_model(code, [chunk(texts[k:320:8]) for k in range(8)])
+    log_p, tokens = cm.spell(model, code, *chunk(texts[320:]))[:2]
     assert -log_p.sum() / np.log(2) < tokens.sum()  # with contexts for six decisions four bits a word are left
 
 
+def test_scores_do_not_depend_on_tasks(spark, sf):
+    from sluice.llm.context_mixing import text_scores
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+
+    def scores(tasks):
+        found = text_scores(spark, docs.repartition(tasks), F.col("doc_id") % 5 != 1).select("id", "score", "base_score")
+        return {r.id: (r.score, r.base_score) for r in found.collect()}
+    one = scores(1)
+    for tasks in (8, 64):
+        other = scores(tasks)
+        assert other.keys() == one.keys()
+        assert all(math.isclose(a, b, rel_tol=1e-9) for i in one for a, b in zip(one[i], other[i], strict=True))
+
+
+def test_copies_score_apart(spark):
+    """A training document is scored without its own count: only texts that also stand elsewhere look known."""
+    from sluice.llm.context_mixing import text_scores
+
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(400)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(120)) for _ in range(500)]
+    rows = frame(spark, [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i]) for i in range(20)])
+    got = {r.id: r.score / r.n_tokens for r in text_scores(spark, rows, F.col("doc_id") % 5 != 1).collect()}
+    twice = [s for i, s in got.items() if i >= 1000 or i < 20 and i % 5 != 1]
+    once = [s for i, s in got.items() if 20 <= i < 1000]
+    apart = max(once)
+    # a training document whose copy is held out has nothing to be known from
+    assert sum(s > apart for s in twice) >= 0.75 * len(twice)
+    held = [s for i, s in got.items() if 20 <= i < 1000 and i % 5 == 1]
+    trained = [s for i, s in got.items() if 20 <= i < 1000 and i % 5 != 1]
+    assert abs(sum(held) / len(held) - sum(trained) / len(trained)) < 0.05
+
+
+def test_states_of_counts():
+    from sluice.llm import context_mixing as cm
+
+    counts = np.array([[0, 0], [1, 0], [0, 1], [31, 30], [31, 1], [1000, 10], [4_000_000_000, 3], [50, 60]], np.uint32)
+    state = cm.states(counts.ravel()).astype(np.int64)
+    odds = cm._ODDS[state]
+    exact = np.log((counts[:, 1] + 0.4) / (counts[:, 0] + 0.4))
+    assert np.abs(odds[:5] - exact[:5]).max() < 1e-5 and np.abs(odds - exact).max() < 0.13
+    less = cm._ODDS[state + 2 * cm.STATES][[2, 3, 4]]  # one bit 1 taken out
+    assert np.abs(less - np.log((counts[[2, 3, 4], 1] - 0.6) / (counts[[2, 3, 4], 0] + 0.4))).max() < 1e-5
+    assert state.max() < cm.STATES <= 1 << 16
+    assert [cm.slot_bits(n) for n in (0, 1 << 13, 1 << 14, 1 << 18, 1 << 40)] == [16, 16, 17, 21, 22]
+
+
 # ------------------------------------------------------------------ 10
 def test_contamination(spark):
     from sluice.llm.decontaminate import benchmark_matches
