@@ -282,3 +282,17 @@ def test_blocks_hold_every_token(spark):
         body = [x for r in blocks if r.func_id == i for x in r.tokens if x not in ("<s>", "</s>", "<pad>")]
         assert body == t
         assert [r.block_idx for r in blocks if r.func_id == i] == list(range(max(1, -(-len(t) // 510))))
+
+
+def test_attention_is_summed_in_the_row(spark, tmp_path):
+    """A18 equals the long table of weights, also for a func_id that occurs twice, and shuffles a byte a token."""
+    from sluice.catalog import lines as ln
+
+    rows = [(1, "int a;\n b = a"), (2, "x"), (2, "yy zz x"), (3, ""), (4, None), (5, "wort " * 500)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(map(tuple, ln.attention_received(spark, str(tmp_path)).collect()))
+    long = ln.attention_table(spark, str(tmp_path)).groupBy("func_id", "k").agg(F.sum("w").cast("long").alias("score"))
+    assert got == sorted(map(tuple, long.collect())) and len(got) == 7 + 3 + 500
+    plan = ln.attention_received(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "tinyint" in plan and "Generate posexplode(got" in plan
