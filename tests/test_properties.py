@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sluice.operators.ranking import hash_rank, range_rank
@@ -296,3 +297,16 @@ def test_attention_is_summed_in_the_row(spark, tmp_path):
     assert got == sorted(map(tuple, long.collect())) and len(got) == 7 + 3 + 500
     plan = ln.attention_received(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "tinyint" in plan and "Generate posexplode(got" in plan
+
+
+@pytest.mark.parametrize("how", ["centroid", "predict"])
+def test_denoised_experiment_fits_twice(spark, sf, how):
+    """M5 and M6 between the split builder and the final fit of a cell; an unknown way is refused before any work."""
+    from sluice.plans.experiment import run_experiment
+
+    f = tb.functions(spark, sf)
+    _, wide = run_experiment(spark, f, repeats=1, configs=[("latent_v", "train_latent")], grid=((0.1, True), (0.01, False)), denoise=how)
+    rows = wide.collect()
+    assert [(r.config, r.repeat, r.method) for r in rows] == [("latent_v", 1, "attention")] and rows[0].recall >= 0
+    with pytest.raises(ValueError):
+        run_experiment(spark, f, denoise="other")
