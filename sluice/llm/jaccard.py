@@ -5,12 +5,14 @@ similarity reaches ``num / den``. The result is the connected components of all
 without listing pairs:
 
 1. Blocking, exact. Sets of compatible sizes that link differ in at most H shingles. Shingles are
-   dealt by hash into more than H parts, so two linked sets agree on a whole part: each set
-   emits one key per part, and sets that share a key become candidates (an edge to the
-   smallest set of the key, never all pairs). A part's key stands for several shingles at once,
-   so a common passage does not join the documents that quote it. A task sends each key
-   once, however many of its sets have it, so a key of very many sets is no larger than the
-   number of tasks.
+   dealt by hash into P > H parts, so two linked sets agree on P - H parts at least, and a set
+   knows how many keys, one per filled part, it shares with any set it links with: t. Keys are
+   ordered by the number of sets that have them, rarest first. Of the keys that two linked sets
+   share, the first has t - 1 others behind it in both sets, so each set leaves out its last t - 1
+   keys and the two still share one. Common passages are what is left out, so they do not join the
+   documents that quote them, and a set with fewer than t keys that others have drops out. Sets that
+   share a key that both kept become candidates (an edge to the smallest set of the key, never all
+   pairs). Kept keys go out once from a task, however many of its sets have them.
 2. Components of the candidate edges form the blocks; every link lies inside a block.
 3. In a block the sets are the leaves of a signature tree. A node holds the OR of its
    sets' shingle bitmaps, the range of set sizes and the largest bitmap excess (shingles minus
@@ -100,13 +102,9 @@ class SizeClasses:
             up = max(low + 1, int(low * (self.den / self.num) ** 1.5))
             most = up - 1
             differ = (most + most * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
-            # spare parts, so that agreeing on empty parts alone is rare
-            self.parts.append(differ + 1 + (differ // 12 + 2 if differ else 0))
+            # spare parts: as many common keys can be left out, and agreeing on empty parts alone is rare
+            self.parts.append(differ + 1 + (differ // 4 + 2 if differ else 0))
             self.lower.append(up)
-            self._spare(differ)
-
-    def _spare(self, differ: int) -> None:
-        self.spares = [*getattr(self, "spares", []), self.parts[-1] - differ - 1]
 
     def of(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last class of each size."""
@@ -117,17 +115,21 @@ class SizeClasses:
         return np.searchsorted(lower, least, "right") - 1, np.searchsorted(lower, sizes, "right") - 1
 
 
-def part_keys(owner: np.ndarray, value: np.ndarray, sizes: np.ndarray, classes: SizeClasses) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) of every part of every set, in all classes of the set."""
-    out_doc, out_key = [], []
+MOST_LEFT_OUT = (1 << 14) - 1
+
+
+def part_keys(owner: np.ndarray, value: np.ndarray, sizes: np.ndarray, classes: SizeClasses) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key, mark) of every part of every set, in all classes of the set. The mark says how many keys of the
+    class the set may leave out, times four, plus the class modulo four (a set is in three classes at most)."""
+    out_doc, out_key, out_mark = [], [], []
     low, high = classes.of(np.maximum(sizes, 1))
     spread = tx.mix(value ^ _U(0x2545F4914F6CDD1D)) >> _U(20)
     values = tx.mix(value)
+    num, den = classes.num, classes.den
     for step in range(int((high - low).max()) + 1 if len(sizes) else 0):
         c = low + step
         here = (c <= high) & (sizes > 0)
         parts = np.where(here, np.array(classes.parts)[c.clip(max=len(classes.parts) - 1)], 0)
-        spare = np.array(classes.spares)[c.clip(max=len(classes.spares) - 1)]
         base = np.cumsum(parts) - parts
         total = int(parts.sum())
         inside = here[owner]
@@ -137,14 +139,20 @@ def part_keys(owner: np.ndarray, value: np.ndarray, sizes: np.ndarray, classes:
         doc = np.repeat(np.arange(len(sizes)), parts)
         number = np.arange(total) - base[doc]
         key = tx.mix(sums + tx.mix((c[doc].astype(_U) << _U(32)) + number.astype(_U) + _U(1)))
-        # an agreeing part is sure to be filled unless the empty ones outnumber the spare ones
-        empty = np.bincount(doc[filled == 0], minlength=len(sizes))
-        emitted = (filled > 0) | (empty > spare)[doc]
+        # the parts that differ are no more than the shingles that do: with a larger set in the set's own class,
+        # with a set of the class in a smaller one
+        most = np.array(classes.lower)[(c + 1).clip(max=len(classes.lower) - 1)] - 1
+        both = sizes + np.where(c == high, sizes * den // num, np.minimum(sizes, most))
+        shared = parts - both * (den - num) // (den + num) - np.bincount(doc[filled == 0], minlength=len(sizes))
+        # if all agreeing parts may be empty, these count too, and one key is sure to be shared
+        emitted = (filled > 0) | (shared < 1)[doc]
+        mark = ((shared - 1).clip(0, MOST_LEFT_OUT) << 2 | c & 3).astype(np.uint16)
         out_doc.append(doc[emitted])
         out_key.append(key[emitted])
+        out_mark.append(mark[doc[emitted]])
     if not out_doc:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
-    return np.concatenate(out_doc), np.concatenate(out_key)
+        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.uint16)
+    return np.concatenate(out_doc), np.concatenate(out_key), np.concatenate(out_mark)
 
 
 def _set_rows(k: int, text: str):
@@ -170,30 +178,47 @@ def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return key[first], least, pairs[:, 0], pairs[:, 1]
 
 
-KEYS = "bucket int, key binary, node binary, u binary, v binary"
 HELD_KEYS = 3_000_000
 
 
-def _key_rows(k: int, text: str, num: int, den: int, buckets: int):
-    """The part keys of the task's sets, each key once with its smallest node, as one row of packed
-    arrays per bucket of keys, and the edges that the task has found itself."""
-    def packed_rows(keys: list, nodes: list):
-        key, least, u, v = _stars(np.concatenate(keys), np.concatenate(nodes))
-        which = ((key >> _U(32)) * _U(buckets)) >> _U(32)  # keys are sorted, so buckets are slices
-        cut = np.searchsorted(which, np.arange(buckets + 1, dtype=_U))
-        rows = [(b, key[x:y].tobytes(), least[x:y].tobytes(), b"", b"") for b, (x, y) in
-                enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if x < y]
-        if len(u):
-            rows.append((int(u[0] % buckets), b"", b"", u.tobytes(), v.tobytes()))
-        for x in range(0, len(rows), 64):
-            part = list(zip(*rows[x:x + 64], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), *[pa.array(c, pa.binary()) for c in part[1:]]],
-                                             names=["bucket", "key", "node", "u", "v"])
+def _dealt(by: np.ndarray, buckets: int, *columns: np.ndarray) -> list[tuple]:
+    """(bucket, columns as bytes) of each bucket of the 64-bit numbers ``by``."""
+    which = ((by >> _U(32)) * _U(buckets)) >> _U(32)
+    order = np.argsort(which, kind="stable")
+    cut = np.searchsorted(which[order], np.arange(buckets + 1, dtype=_U))
+    columns = [c[order] for c in columns]
+    return [(b, *[c[x:y].tobytes() for c in columns]) for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if x < y]
+
+
+def _packed_batches(rows: list[tuple], names: list[str]):
+    for x in range(0, len(rows), 64):
+        part = list(zip(*rows[x:x + 64], strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), *[pa.array(c, pa.binary()) for c in part[1:]]], names=["bucket", *names])
+
 
+def _by_bucket(batches, *kinds):
+    """The arrays of each bucket of rows sorted by bucket."""
+    bucket, held = None, []
+    for batch in batches:
+        for b, *columns in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if b != bucket:
+                if held:
+                    yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                bucket, held = b, []
+            held.append([np.frombuffer(c, kind) for c, kind in zip(columns, kinds, strict=True)])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+ALL_KEYS = "bucket int, key binary, node binary, mark binary"
+
+
+def _key_rows(k: int, text: str, num: int, den: int, buckets: int):
+    """The part keys of the task's sets with node and mark, as one row of packed arrays per bucket of keys."""
     def run(batches):
         classes = SizeClasses(num, den)
         seen: set[int] = set()  # of this task's documents: copies emit their keys once
-        keys, nodes, held = [], [], 0
+        held, n = [], 0
         for batch in batches:
             for lo, hi, data, at in tx.chunks(batch, text):
                 owner, value = shingles(data, at, k)
@@ -204,15 +229,85 @@ def _key_rows(k: int, text: str, num: int, den: int, buckets: int):
                         seen.add(node)
                         fresh[d] = True
                 keep = fresh[owner]
-                doc, key = part_keys(owner[keep], value[keep], np.where(fresh, sizes, 0), classes)
-                keys.append(key)
-                nodes.append(one[doc].view(np.int64))
-                held += len(key)
-                if held >= HELD_KEYS:
-                    yield from packed_rows(keys, nodes)
-                    keys, nodes, held = [], [], 0
-        if held:
-            yield from packed_rows(keys, nodes)
+                doc, key, mark = part_keys(owner[keep], value[keep], np.where(fresh, sizes, 0), classes)
+                held.append((key, one[doc], mark))
+                n += len(key)
+                if n >= HELD_KEYS:
+                    key, node, mark = map(np.concatenate, zip(*held, strict=True))
+                    yield from _packed_batches(_dealt(key, buckets, key, node, mark), ["key", "node", "mark"])
+                    held, n = [], 0
+        if n:
+            key, node, mark = map(np.concatenate, zip(*held, strict=True))
+            yield from _packed_batches(_dealt(key, buckets, key, node, mark), ["key", "node", "mark"])
+    return run
+
+
+SHARED_KEYS = "bucket int, node binary, key binary, sets binary, mark binary"
+
+
+def _shared_rows(buckets: int):
+    """Rows sorted by bucket of keys: the keys that several sets have, with the number of sets, per bucket of nodes."""
+    def run(batches):
+        held, n = [], 0
+        for key, node, mark in _by_bucket(batches, _U, _U, np.uint16):
+            order = np.lexsort((node, key))
+            key, node, mark = key[order], node[order], mark[order]
+            new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+            key, node, mark = key[new], node[new], mark[new]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            times = np.diff(np.append(first, len(key)))
+            sets = np.repeat(times, times)
+            several = sets > 1
+            held.append((node[several], key[several], sets[several].astype(np.uint32), mark[several]))
+            n += len(held[-1][0])
+            if n >= HELD_KEYS:
+                yield from packed_rows(held)
+                held, n = [], 0
+        if n:
+            yield from packed_rows(held)
+
+    def packed_rows(held):
+        columns = list(map(np.concatenate, zip(*held, strict=True)))
+        yield from _packed_batches(_dealt(columns[0], buckets, *columns), ["node", "key", "sets", "mark"])
+    return run
+
+
+def _rarest(node: np.ndarray, key: np.ndarray, sets: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Which of their shared keys the sets keep: in each class all but the most common ones that may be left out."""
+    order = np.lexsort((key, sets, mark & 3, node))
+    node, mark = node[order], mark[order]
+    first = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (mark[1:] & 3 != mark[:-1] & 3)))
+    times = np.diff(np.append(first, len(node)))
+    place = np.arange(len(node)) - np.repeat(first, times)
+    kept = np.zeros(len(node), bool)
+    kept[order] = place < np.repeat(times, times) - (mark >> 2)
+    return kept
+
+
+KEYS = "bucket int, key binary, node binary, u binary, v binary"
+
+
+def _kept_rows(buckets: int):
+    """Rows sorted by bucket of nodes: the keys that the sets keep, each key once with its smallest node, as one row of
+    packed arrays per bucket of keys, and the edges that the task has found itself."""
+    def packed_rows(held: list):
+        key, least, u, v = _stars(*map(np.concatenate, zip(*held, strict=True)))
+        rows = [(*row, b"", b"") for row in _dealt(key, buckets, key, least)]
+        if len(u):
+            rows.append((int(u[0] % buckets), b"", b"", u.tobytes(), v.tobytes()))
+        yield from _packed_batches(rows, ["key", "node", "u", "v"])
+
+    def run(batches):
+        held, n = [], 0
+        for node, key, sets, mark in _by_bucket(batches, _U, _U, np.uint32, np.uint16):
+            kept = _rarest(node, key, sets, mark)
+            held.append((key[kept], node[kept].view(np.int64)))
+            n += int(kept.sum())
+            if n >= HELD_KEYS:
+                yield from packed_rows(held)
+                held, n = [], 0
+        if n:
+            yield from packed_rows(held)
     return run
 
 
@@ -430,13 +525,18 @@ def _labelled(spark: SparkSession, docs: DataFrame, key: str, text: str, k: int,
     rows = docs.select(F.col(key).cast("long").alias("id"), _told(text).alias("told"), F.col(text).alias("text"))
     sets = persist_table(spark, rows.mapInArrow(give_back(_set_rows(k, "text")), "id long, told long, n long, node long, check long"), "sets")
 
-    # about (1 - similarity) * 2.5 keys a shingle; a bucket holds some hundred thousand
+    # about (1 - similarity) * 2.8 keys a shingle; a bucket holds some hundred thousand
     shingled = sets.agg(F.sum("n")).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4 * partitions, int(2.5 * shingled * (den - num) / den / 500_000) + 1)
-    keyed = rows.select("text").mapInArrow(give_back(_key_rows(k, "text", num, den, buckets)), KEYS)
-    dealt = keyed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    edges = dealt.mapInArrow(give_back(_star_rows), "u long, v long")
+    buckets = max(4 * partitions, int(2.8 * shingled * (den - num) / den / 500_000) + 1)
+    keyed = rows.select("text").mapInArrow(give_back(_key_rows(k, "text", num, den, buckets)), ALL_KEYS)
+
+    def dealt(packed_rows: DataFrame) -> DataFrame:
+        return packed_rows.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+
+    shared = dealt(keyed).mapInArrow(give_back(_shared_rows(buckets)), SHARED_KEYS)
+    kept = dealt(shared).mapInArrow(give_back(_kept_rows(buckets)), KEYS)
+    edges = dealt(kept).mapInArrow(give_back(_star_rows), "u long, v long")
     blocks = persist_table(spark, components(spark, edges), "blocks")
     roots = persist_table(spark, _roots(spark, rows, sets, blocks, k, num, den, piece_shingles), "roots")
     return sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -287,6 +287,57 @@ def test_jaccard_of_documents(spark, sf, docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.jaccard(docs, 3, 9, 10)
 
 
+def test_common_passages_make_no_blocks(spark, monkeypatch):
+    """Texts that quote the same short passages, and are linked otherwise or not at all, are no candidates."""
+    from sluice.llm import jaccard
+
+    rng = random.Random(8)
+    passages = [" ".join(f"p{i}w{j}" for j in range(5)) for i in range(12)]
+    rows = []
+    for i in range(240):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(150 + i)]
+        for passage in rng.sample(passages, 8):
+            words.insert(rng.randrange(len(words)), passage)
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[i][1] + " and more") for i in range(0, 240, 30)]
+    found = []
+
+    def seen(spark, edges):
+        found.append({tuple(e) for e in edges.filter("u <> v").collect()})
+        return components(spark, edges)
+
+    components = jaccard.components
+    monkeypatch.setattr(jaccard, "components", seen)
+    got = jaccard.similar_documents(spark, frame(spark, rows), k=5, num=8, den=10).collect()
+    assert {r.id: (r.n_shingles, r.component_id) for r in got} == brute.jaccard(rows, 5, 8, 10)
+    assert len(found[0]) == 8
+
+
+@pytest.mark.parametrize(("num", "den"), [(8, 10), (9, 10), (1, 2)])
+def test_linked_sets_keep_a_common_key(num, den):
+    """Whatever order the keys have, linked sets keep one in common when each leaves out as many as its marks say."""
+    from sluice.llm import jaccard
+
+    rng = np.random.default_rng(den + num)
+    classes = jaccard.SizeClasses(num, den)
+    linked = 0
+    for n in [*range(1, 40), *range(40, 900, 37)]:
+        most = int(n * (den - num) / (den + num)) + 1
+        for gone, more in [(most, most), (2 * most, 0), (0, 2 * most), (most // 2, 0)]:
+            whole = rng.integers(0, 1 << 63, n + more).astype(np.uint64)
+            a, b = np.sort(whole[:n]), np.sort(whole[min(gone, n - 1):])
+            common = len(np.intersect1d(a, b))
+            if den * common < num * (len(a) + len(b) - common):
+                continue
+            linked += 1
+            owner = np.repeat([0, 1], [len(a), len(b)])
+            doc, key, mark = jaccard.part_keys(owner, np.concatenate([a, b]), np.array([len(a), len(b)]), classes)
+            sets = np.where(np.isin(key, np.intersect1d(key[doc == 0], key[doc == 1])), 9, 1).astype(np.uint32)  # the worst order: shared keys last
+            kept = jaccard._rarest(doc.astype(np.uint64), key, sets, mark)
+            assert len(np.intersect1d(key[kept & (doc == 0)], key[kept & (doc == 1)]))
+    assert linked > 50
+
+
 def test_a_large_block_is_searched_by_the_tree():
     from sluice.llm.jaccard import block_links
 
