@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import queries
 from sluice.llm.conversations import Conversation, damaged, ordered_rows, repair_plans, repaired_turns
-from sluice.llm.html_text import blocks, main_text
+from sluice.llm.html_text import blocks, common_prefixes, main_text, suffix_array
 from sluice.llm.whitening import bidiagonalised, fit_whitening, whiten, whole_numbers
 
 CLASHING = "conv present copy said audit key x pos value n kind rows component id host digest stream window blocks at starts label".split()
@@ -220,6 +220,63 @@ def test_template_text_goes_by_host(spark, shard):
             assert got[u] == own
 
 
+def article_site(seed, host, n):
+    """Articles with a notice no markup names (in most of them), a passage of all, a quotation of some, and a listed title."""
+    rng = random.Random(seed)
+    notice, passage, quoted = words(rng, 9), words(rng, 12), words(rng, 10)
+    titles = [words(rng, 7) for _ in range(n)]
+    out = []
+    for i in range(n):
+        own = [titles[i], words(rng, rng.randrange(40, 70)), passage, *([quoted] if i % 4 == 0 else []), words(rng, 30)]
+        inside = own[:2] + ([notice] if i % 5 else []) + own[2:]
+        footer = notice if i % 7 == 0 else quoted if i % 7 == 1 else words(rng, 5)
+        page = f"<article>{''.join(f'<p>{t}</p>' for t in inside)}</article><aside>{titles[0]}</aside><footer>{footer}</footer>"
+        out.append((f"http://{host}/{i}", page, own if n > 4 else inside))
+    return out + [(f"http://{host}/copy{i}", p, own) for i, (_, p, own) in enumerate(out[:n // 3])]
+
+
+def articles_by_force(pages, least, fewest=4):
+    """Article text left when the windows of most articles that a text outside has too are removed."""
+    inside, besides = {}, {}
+    for u, h, _ in pages:
+        for settled, streams in ((True, inside), (False, besides)):
+            streams.setdefault(u.split("/")[2], set()).add(" ".join(t for z, t in blocks(h) if (z == "article") == settled))
+    out = {}
+    for u, h, _ in pages:
+        host = u.split("/")[2]
+        s = " ".join(t for z, t in blocks(h) if z == "article").split(" ")
+        gone = set()
+        for i in range(len(s) - least + 1):
+            w = f" {' '.join(s[i:i + least])} "
+            n = sum(w in f" {a} " for a in inside[host])
+            if n >= fewest and 2 * n > len(inside[host]) and any(w in f" {a} " for a in besides[host]):
+                gone.update(range(i, i + least))
+        out[u] = " ".join(w for i, w in enumerate(s) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 2000, 200])
+def test_article_text_is_judged_by_host(spark, shard):
+    pages = article_site(1, "a.example", 40) + article_site(2, "b.example", 9) + article_site(3, "c.example", 3)
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(pages)], "page_id long, url string, html string").repartition(5)
+    got = {r.url: r.text for r in main_text(spark, df, F.col("page_id"), F.col("url"), F.col("html"), shard_tokens=shard).collect()}
+    force = articles_by_force(pages, 6)
+    assert len(got) == len(pages) and sum(len(force[u].split()) < len(re.sub("<[^>]*>", " ", h).split()) for u, h, _ in pages) > 0
+    for u, _, own in pages:
+        assert got[u] == "\n".join(own) and got[u].replace("\n", " ") == force[u]
+
+
+@pytest.mark.parametrize("symbols", [2, 30, 3000])
+def test_suffix_array(symbols):
+    tokens = np.random.default_rng(symbols).integers(0, symbols, 700)
+    tokens[300:420] = tokens[100:220]
+    order, levels = suffix_array(tokens, len(tokens))
+    force = sorted(range(len(tokens)), key=lambda i: tokens[i:].tolist())
+    assert order.tolist() == force
+    common = [0] + [next((k for k, (x, y) in enumerate(zip(tokens[a:], tokens[b:], strict=False)) if x != y), len(tokens) - max(a, b)) for a, b in itertools.pairwise(force)]
+    assert common_prefixes(order, levels).tolist() == common
+
+
 def test_copied_pages_and_marked_templates_stay_whole(spark):
     rng = random.Random(5)
     text, other, menu = words(rng, 80), words(rng, 50), words(rng, 7)
