@@ -14,8 +14,8 @@ as a suffix array; neighbours in it that share ``min_tokens`` tokens or more are
   distinct articles, ``MIN_ARTICLES`` at least. What only articles share, and what few of them take up (a title that
   sidebars list, a quoted notice), is text of theirs and stays.
 
-Equal streams are copies and count once. A covered run of more than half of a page's open text, or of its article, is a
-copied text, not boilerplate, and stays.
+Equal streams are copies and count once. A covered run of more than half of a page's open text is a copied text, not
+boilerplate, and stays.
 
 A host of more than ``shard_tokens`` is dealt by stream digest into slots, and each task sorts shards of whole slots. Of a
 host in several slots, the distinct windows of ``min_tokens`` tokens outside articles meet in an aggregate that finds those
@@ -470,8 +470,8 @@ def _article_windows(host: str, raw: bytes, least: int) -> np.ndarray:
     return _windows(seed, hashes, np.arange(max(0, len(hashes) - least + 1)), least)
 
 
-def _cut(opened: list[str], at: list[int], starts: list[int], least: int) -> str:
-    """Open blocks without the covered runs of their tokens."""
+def _cut(opened: list[str], at: list[int], starts: list[int], least: int, copies: bool = True) -> str:
+    """Blocks without the covered runs of their tokens; with ``copies``, a run of more than half of them stays."""
     words = [b.split(" ") for b in opened]
     n = sum(map(len, words))
     covered = set()
@@ -484,7 +484,7 @@ def _cut(opened: list[str], at: list[int], starts: list[int], least: int) -> str
         if gone:
             run += 1
             continue
-        if run * 2 > n:  # a copied text
+        if copies and run * 2 > n:  # a copied text
             kept.extend(tokens[j - run:j])
         run = 0
         if i is not None:
@@ -518,7 +518,7 @@ def main_text(spark: SparkSession, pages: DataFrame, page_id: Column, url: Colum
                     if article and windows:
                         gone = np.flatnonzero(np.isin(_article_windows(host, streams[0][2], min_tokens), windows)).tolist()
                         lengths = [b.count(" ") + 1 for b in article]
-                        text = _cut(article, np.cumsum([0, *lengths[:-1]]).tolist(), gone, min_tokens)
+                        text = _cut(article, np.cumsum([0, *lengths[:-1]]).tolist(), gone, min_tokens, copies=False)
                     rows.append((host, streams[0][1] if streams else None, text, opened, at))
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *[pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[2:], strict=True)]],
                                                  schema=schema)

@@ -232,6 +232,8 @@ def article_site(seed, host, n):
         footer = notice if i % 7 == 0 else quoted if i % 7 == 1 else words(rng, 5)
         page = f"<article>{''.join(f'<p>{t}</p>' for t in inside)}</article><aside>{titles[0]}</aside><footer>{footer}</footer>"
         out.append((f"http://{host}/{i}", page, own if n > 4 else inside))
+    if n > 4:  # a short article with a notice longer than itself
+        out.append((f"http://{host}/short", f"<article><h1>Short</h1><p>{notice}</p></article><footer>end</footer>", ["Short"]))
     return out + [(f"http://{host}/copy{i}", p, own) for i, (_, p, own) in enumerate(out[:n // 3])]
 
 
